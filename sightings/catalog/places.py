@@ -178,7 +178,7 @@ def _grid_sql(code: str, *more: str) -> str:
 
 def _grid_counts(spark, sf_dir, scheme: str, size: int):
     df = occurrence(spark, sf_dir, "decimallatitude", "decimallongitude")
-    return df.groupBy(grids.grid_cell(scheme, size, *_point()).alias("cell")).agg(F.count("*").alias("n"))
+    return df.groupBy(grids.grid_cell(scheme, size).alias("cell")).agg(F.count("*").alias("n"))
 
 
 @query("GEO10", _grid_sql(f"CASE WHEN decimallatitude IS NOT NULL THEN '10kmE' || CAST(CAST(floor(({_EAST}) / 10000) AS BIGINT) AS VARCHAR)"
@@ -232,6 +232,6 @@ def military_cells(spark, sf_dir):
 @query("GEO15")
 def displaced_cells(spark, sf_dir):
     df = occurrence(spark, sf_dir, *COORDINATES, "coordinateuncertaintyinmeters")
-    cell = grids.grid_cell("eea", 1000, *_point(), record_id=F.col("recordid"), jitter=True,
-                           uncertainty=F.coalesce("coordinateuncertaintyinmeters", F.lit(1000.0)))
-    return df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    lat, lon = grids.displaced(F.col("recordid"), *_point(), F.coalesce("coordinateuncertaintyinmeters", F.lit(1000.0)))
+    moved = df.select(lat.alias("decimallatitude"), lon.alias("decimallongitude"))
+    return moved.groupBy(grids.grid_cell("eea", 1000).alias("cell")).agg(F.count("*").alias("n"))

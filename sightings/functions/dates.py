@@ -80,57 +80,51 @@ def range_bounds(text: str) -> tuple[int | None, int | None]:
     return start, end
 
 
-# ---- bounds of a date column --------------------------------------------------------
+# ---- bounds of a date column, as SQL text shared with the registered functions ------
 
-def lower_bound(c: Column) -> Column:
+def lower_bound_sql(c: str) -> str:
     """First instant of a year, month or day given as text."""
-    return F.try_to_timestamp(F.concat(c, F.substring(F.lit("0000-01-01"), F.length(c) + 1, F.lit(10))), F.lit("yyyy-MM-dd"))
+    return f"try_to_timestamp(concat({c}, substr('0000-01-01', length({c}) + 1)), 'yyyy-MM-dd')"
 
 
-def upper_bound(c: Column) -> Column:
+def after_sql(c: str) -> str:
+    """First instant after a year, month or day given as text."""
+    start = lower_bound_sql(c)
+    return (f"CAST(CASE length({c}) WHEN 4 THEN add_months({start}, 12) WHEN 7 THEN add_months({start}, 1)"
+            f" ELSE date_add({start}, 1) END AS TIMESTAMP)")
+
+
+def lower_bound(column: str) -> Column:
+    return F.expr(f"unix_seconds({lower_bound_sql(column)})")
+
+
+def upper_bound(column: str) -> Column:
     """Last second of a year, month or day given as text."""
-    start = lower_bound(c)
-    after = (
-        F.when(F.length(c) == 4, F.add_months(start, 12))
-        .when(F.length(c) == 7, F.add_months(start, 1))
-        .otherwise(F.date_add(start, 1))
-    )
-    return F.timestamp_seconds(F.unix_seconds(after.cast("timestamp")) - 1)
+    return F.expr(f"unix_seconds({after_sql(column)}) - 1")
 
 
-def temporal_uncertainty(event_date: Column, event_time: Column | None = None) -> Column:
+def temporal_uncertainty_sql(event_date: str, event_time: str = "NULL") -> str:
     """Length in seconds of the interval a date, date-time or date range covers.
 
     Year, month and day precision count their whole length; a time narrows a
-    day to a minute or a second.  ``a/b`` runs from the start of a to the end of b.
+    single day to a minute or a second.  ``a/b`` runs from the start of a to the end of b.
     """
-    first = F.substring_index(event_date, "/", 1)
-    last = F.substring_index(event_date, "/", -1)
-
-    def moment(c: Column) -> Column:
-        return F.unix_seconds(F.try_to_timestamp(c))
-
-    def end(c: Column) -> Column:
-        """First second after the interval; seconds, minutes, days, months, years by length."""
-        return (
-            F.when(F.length(c) >= 19, moment(F.substring(c, 1, 19)) + 1)
-            .when(F.length(c) == 16, moment(c) + 60)
-            .otherwise(F.unix_seconds(upper_bound(c)) + 1)
-        )
-
-    def start(c: Column) -> Column:
-        return F.when(F.length(c) >= 16, moment(F.substring(c, 1, 19))).otherwise(F.unix_seconds(lower_bound(c)))
-
-    whole = end(last) - start(first)
-    if event_time is None:
-        return whole
-    # A stated time applies to a single day only; seconds give one, minutes sixty.
-    one_day = event_date.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    return (
-        F.when(one_day & event_time.rlike(r"^\d{1,2}:\d{2}:\d{2}"), F.lit(1).cast("bigint"))
-        .when(one_day & event_time.rlike(r"^\d{1,2}:\d{2}"), F.lit(60).cast("bigint"))
-        .otherwise(whole)
-    )
+    first, last = f"substring_index({event_date}, '/', 1)", f"substring_index({event_date}, '/', -1)"
+
+    def moment(c: str) -> str:
+        return f"unix_seconds(try_to_timestamp(substr({c}, 1, 19)))"
+
+    start = f"CASE WHEN length({first}) >= 16 THEN {moment(first)} ELSE unix_seconds({lower_bound_sql(first)}) END"
+    end = (f"CASE WHEN length({last}) >= 19 THEN {moment(last)} + 1 WHEN length({last}) = 16 THEN {moment(last)} + 60"
+           f" ELSE unix_seconds({after_sql(last)}) END")
+    one_day = f"{event_date} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'"
+    return (f"CASE WHEN {one_day} AND {event_time} RLIKE '^[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}' THEN 1L"
+            f" WHEN {one_day} AND {event_time} RLIKE '^[0-9]{{1,2}}:[0-9]{{2}}' THEN 60L ELSE {end} - ({start}) END")
+
+
+def temporal_uncertainty(event_date: str, event_time: str | None = None) -> Column:
+    time = "CAST(NULL AS STRING)" if event_time is None else event_time
+    return F.expr(temporal_uncertainty_sql(event_date, time))
 
 
 # The day-level text forms accepted besides ISO, tried in this order.
