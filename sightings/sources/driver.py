@@ -45,7 +45,7 @@ _SPECIES_KEY = "CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(l_partkey AS STRIN
 def _compact(*items: str) -> tuple[str, str]:
     """The non-null items as an array, in Spark and in DuckDB."""
     joined = ", ".join(items)
-    return f"array_compact(array({joined}))", f"list_filter([{joined}], x -> x IS NOT NULL)"
+    return f"array_compact(array({joined}))", f"list_filter([{joined}], lambda x: x IS NOT NULL)"
 
 
 def _array(needs: str, *items: str) -> Source:
