@@ -75,12 +75,13 @@ class Filters:
         return F.exists(F.col(path), lambda e: reduce(and_, [self._element_tree(c, e) for c in conditions]))
 
     def _nested_path(self, p: Predicate) -> str | None:
-        """The one nested array a whole subtree reads, if it reads nothing else."""
+        """The one nested array a whole subtree reads, if it reads nothing else.
+
+        A negation stays outside: no element at all may match it.
+        """
         if p["type"] in ("and", "or"):
             paths = {self._nested_path(q) for q in p["predicates"]}
             return paths.pop() if len(paths) == 1 else None
-        if p["type"] == "not":
-            return self._nested_path(p["predicate"])
         if "key" not in p:
             return None
         field = m.field_of(p["key"], self.fields)
@@ -90,8 +91,6 @@ class Filters:
         if p["type"] in ("and", "or"):
             op = and_ if p["type"] == "and" else or_
             return reduce(op, [self._element_tree(q, e) for q in p["predicates"]])
-        if p["type"] == "not":
-            return ~self._element_tree(p["predicate"], e)
         return self._element(p, m.field_of(p["key"], self.fields), e)
 
     def _element(self, p: Predicate, field: m.Field, e: Column) -> Column:
