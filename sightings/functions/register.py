@@ -15,16 +15,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sightings.functions.dates import temporal_uncertainty_sql
+from sightings.functions.text import LINE_BREAKERS
 from sightings.operators import grids
 from sightings.operators.geo import DISTANCE_UNITS, EARTH_RADIUS_M
 from sightings.operators.shapes import Shape, parse_wkt
 
-_BREAKERS = r"[\\t\\n\\r\\x0B\\x0C\\u0085\\u2028\\u2029\\x00]"
-_EDGES = r"^[\\x00-\\x20]+|[\\x00-\\x20]+$"
-
-
 def _clean(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, '{_BREAKERS}', ' '), '{_EDGES}', '')"
+    breakers = "\\t\\n\\r\\u000B\\u000C\\u0085\\u2028\\u2029\\u0000"
+    blanks = "".join(f"\\u{code:04X}" for code in range(0x21))
+    return f"trim(BOTH '{blanks}' FROM translate({c}, '{breakers}', '{' ' * len(LINE_BREAKERS)}'))"
 
 
 def _iso(c: str, suffix: str) -> str:
@@ -37,15 +36,14 @@ def _millis(c: str) -> str:
 
 
 # Wildcard pattern to regular expression: * any text, ? one character, backslash escapes.
+# Escaped wildcards wait as control characters while the rest is quoted.  Built from
+# plain functions only, so that a literal pattern is folded and compiled once.
 _REGEX = (
-    r"concat('(?s)', CASE WHEN casesensitive THEN '' ELSE '(?iu)' END, '^', aggregate(split(pattern, ''),"
-    r" named_struct('text', '', 'escaped', false), (done, ch) -> CASE"
-    r" WHEN done.escaped THEN named_struct('text', concat(done.text, CASE WHEN ch RLIKE '^[A-Za-z0-9]$' THEN ch ELSE concat('\\\\', ch) END), 'escaped', false)"
-    r" WHEN ch = '\\' THEN named_struct('text', done.text, 'escaped', true)"
-    r" WHEN ch = '*' THEN named_struct('text', concat(done.text, '.*'), 'escaped', false)"
-    r" WHEN ch = '?' THEN named_struct('text', concat(done.text, '.'), 'escaped', false)"
-    r" WHEN instr('^$.|+()[]{}', ch) > 0 THEN named_struct('text', concat(done.text, '\\\\', ch), 'escaped', false)"
-    r" ELSE named_struct('text', concat(done.text, ch), 'escaped', false) END, done -> done.text), '$')"
+    r"concat('(?s)', CASE WHEN casesensitive THEN '' ELSE '(?iu)' END, '^',"
+    r" replace(replace(replace(replace(replace(regexp_replace(regexp_replace("
+    r"replace(replace(replace(pattern, '\\\\', '\u0001'), '\\*', '\u0002'), '\\?', '\u0003'),"
+    r" '\\\\(.)', '$1'), '([\\\\^$.|+()\\[\\]{}])', '\\\\$1'), '*', '.*'), '?', '.'),"
+    r" '\u0001', '\\\\'), '\u0002', '\\*'), '\u0003', '\\?'), '$')"
 )
 
 _METRES = "CASE lower(regexp_extract(distance, '([A-Za-z]*) *$', 1)) " + " ".join(

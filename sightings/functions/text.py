@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 # The characters that would break a tab-separated line.  A carriage
 # return followed by a line feed is two characters here and becomes two spaces.
-LINE_BREAKERS = "[\\t\\n\\r\\x0B\\x0C\\u0085\\u2028\\u2029\\x00]"
-_EDGE_BLANKS = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
+LINE_BREAKERS = "\t\n\r\x0b\x0c\x85\u2028\u2029\x00"
+# What is trimmed at both ends, every character up to the blank.
+BLANKS = "".join(map(chr, range(0x21)))
 
 
 def clean_delimiters(c: Column) -> Column:
-    """Separators become spaces, control characters and blanks at both ends go."""
-    return F.regexp_replace(F.regexp_replace(c, LINE_BREAKERS, " "), _EDGE_BLANKS, "")
+    """Separators become spaces, control characters and blanks at both ends go.
+
+    Character mapping and trimming, because regular expressions cost several times more.
+    """
+    return F.trim(F.translate(c, LINE_BREAKERS, " " * len(LINE_BREAKERS)), F.lit(BLANKS))
 
 
 def null_if_empty(a: Column) -> Column:
@@ -47,7 +51,7 @@ def array_union_all(left: Column, right: Column) -> Column:
 def nested_value(m: Column, *keys: str) -> Column:
     """Value at a path of map keys; null where any key is missing."""
     for key in keys:
-        m = F.try_element_at(m, F.lit(key))
+        m = m.getItem(key)
     return m
 
 

@@ -40,10 +40,9 @@ class Field:
 
     def col(self, checklist: str | None = None) -> Column:
         if self.kind == RANK:
-            details = F.try_element_at(F.col("classificationdetails"), F.lit(checklist))
-            return F.try_element_at(details, F.lit(self.column))
+            return F.col("classificationdetails").getItem(checklist).getItem(self.column)
         if self.kind in (ANCESTORS, STATUS, STATUS_ARRAY):
-            return F.try_element_at(F.col(self.column), F.lit(checklist))
+            return F.col(self.column).getItem(checklist)
         return F.col(self.column)
 
 

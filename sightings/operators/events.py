@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightings.session import cut_lineage
+from sightings.session import staged
 
 # Fixed value: ancestors followed at most.
 MAX_DEPTH = 300
@@ -39,7 +39,7 @@ def lineage(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     links = events.filter("parenteventid IS NOT NULL").select(
         "datasetkey", F.col("eventid").alias("id"), F.col("parenteventid").alias("up"))
     known = events.select("datasetkey", F.col("eventid").alias("up"))
-    links = cut_lineage(links.join(known, ["datasetkey", "up"]).select("datasetkey", "id", "up"))
+    links = staged(links.join(known, ["datasetkey", "up"]).select("datasetkey", "id", "up"), "lineage")
     pairs = links.withColumn("distance", F.lit(1))
     jump, reach = links, 1
     while reach < max_depth:
@@ -50,9 +50,9 @@ def lineage(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         grown = grown.filter((F.col("distance") <= max_depth) & (F.col("up") != F.col("id")))
         next_jump = jump.join(
             jump.select("datasetkey", F.col("id").alias("up"), F.col("up").alias("further")), ["datasetkey", "up"])
-        next_jump = cut_lineage(next_jump.select("datasetkey", "id", F.col("further").alias("up")))
+        next_jump = staged(next_jump.select("datasetkey", "id", F.col("further").alias("up")), "lineage")
         pairs = pairs.unionByName(grown).groupBy("datasetkey", "id", "up").agg(F.min("distance").alias("distance"))
-        pairs = cut_lineage(pairs)
+        pairs = staged(pairs, "lineage")
         jump, reach = next_jump, reach * 2
         if jump.isEmpty():
             break

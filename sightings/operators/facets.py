@@ -21,6 +21,9 @@ MAX_FACET_TERMS = 1_200_000
 _WINDOW_PAGE = 1000
 
 
+_ONE_TERM = (m.KEYWORD, m.NUMBER, m.BOOLEAN, m.DATE, m.MILLIS, m.RANK, m.STATUS)
+
+
 def page_size(cardinality: int | None, offset: int, limit: int) -> int:
     """Terms to fetch for a page: bounded by the field's cardinality and the cap."""
     wanted = offset + limit
@@ -83,7 +86,7 @@ def multi_select(df: DataFrame, facets: Sequence[str], selected: Mapping[str, Se
     pairs = []
     for name in facets:
         others = _keep(test for other, test in tests.items() if other != name)
-        labelled = _labelled(name, facet_terms(name, filters.fields, checklist))
+        labelled = _labelled(name, filters.fields, checklist)
         pairs.append(F.when(others, labelled).otherwise(F.array().cast("array<struct<facet:string,term:string>>")))
     exploded = df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.facet", "p.term")
     counts = (exploded.filter("term IS NOT NULL").groupBy("facet", "term").agg(F.count("*").alias("count"))
@@ -91,8 +94,11 @@ def multi_select(df: DataFrame, facets: Sequence[str], selected: Mapping[str, Se
     return _pages(counts, facets, offset, limit)
 
 
-def _labelled(name: str, terms: Column) -> Column:
-    return F.transform(terms, lambda x: F.struct(F.lit(name).alias("facet"), x.alias("term")))
+def _labelled(name: str, fields: Mapping[str, m.Field], checklist: str | None) -> Column:
+    field = m.field_of(name, fields)
+    if field.kind in _ONE_TERM:  # no lambda: stays inside generated code
+        return F.array(F.struct(F.lit(name).alias("facet"), field.col(checklist).cast("string").alias("term")))
+    return F.transform(facet_terms(name, fields, checklist), lambda x: F.struct(F.lit(name).alias("facet"), x.alias("term")))
 
 
 def _pages(counts: DataFrame, facets: Sequence[str], offset: int, limit: int) -> DataFrame:

@@ -17,11 +17,13 @@ def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int, digit
     The media of a kingdom may be a third of all media, so positions are worked out per
     hash bucket (see ``hot.numbered``) and no task holds more than a bucket or a chunk.
     """
-    taxa = occurrences.select("recordid", F.explode("taxonkeys").alias("checklistkey", "keys")).select(
-        "recordid", "checklistkey", F.explode(F.array_distinct("keys")).alias("taxonkey"))
     typed = media.filter("type IS NOT NULL").withColumn("mediatype", F.lower("type"))
     item = F.struct("recordid", "identifier", "title", "license", "created", "creator").alias("item")
-    rows = taxa.join(typed, "recordid").select(*KEYS, "recordid", "identifier", item)
+    # joined before the taxa are exploded: the shuffle carries each media item once
+    joined = occurrences.select("recordid", "taxonkeys").join(typed, "recordid").select(
+        "recordid", "taxonkeys", "mediatype", "identifier", item)
+    rows = joined.select("*", F.explode("taxonkeys").alias("checklistkey", "keys")).select(
+        "*", F.explode(F.array_distinct("keys")).alias("taxonkey")).select(*KEYS, "recordid", "identifier", "item")
     placed = numbered(rows, KEYS, "recordid", tie=["identifier"], digits=digits)
     chunk = F.floor((F.col("place") - 1) / chunk_size).cast("int").alias("chunk")
     ordered = F.array_sort(F.collect_list(F.struct("place", "item")))

@@ -8,7 +8,6 @@ a hint: the planner broadcasts them only when their measured size allows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -367,33 +366,42 @@ def _one_edit_keys(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 0, removed).otherwise(F.array().cast("array<string>"))))
 
 
+def _least(backbone: DataFrame, key: str, out: str) -> DataFrame:
+    """One usage per key, the one with the smallest usage key."""
+    return backbone.groupBy(key).agg(F.min_by("usage", "usage.usagekey").alias(out))
+
+
 def match_taxa(df: DataFrame, name: str, backbone: DataFrame) -> DataFrame:
     """Adds the usage of each name: exact, without author, one edit off, or its genus.
 
     ``backbone``: usagekey, scientificname, canonicalname, taxonrank and any rank columns.
-    Distinct names are matched by equality joins only: the edit distance of one is found
-    through shared keys inside a genus, then verified, so no pairs are enumerated.
+    The distinct names go through one chain of equality joins; the edit distance of one
+    is found through shared keys inside a genus, only for names still unmatched, and
+    then verified, so no pairs are enumerated.
     """
     low = F.lower(F.col(name))
-    names = df.select(low.alias("_name")).filter("_name IS NOT NULL").distinct()
     words = F.split("_name", " ")
-    names = names.withColumn("_genus", words[0]).withColumn(
-        "_epithet", F.when(F.size(words) > 1, F.get(words, F.lit(1)))).withColumn("_canonical", F.concat_ws(" ", "_genus", "_epithet"))
-    usage = F.struct("usagekey", *[c for c in backbone.columns if c not in ("usagekey",)]).alias("usage")
-    known = backbone.select(F.lower("scientificname").alias("_full"), F.lower("canonicalname").alias("_canon"), "taxonrank", usage)
+    names = df.select(low.alias("_name")).distinct().filter("_name IS NOT NULL").select(
+        "_name", words[0].alias("_genus"), F.get(words, F.lit(1)).alias("_epithet"))
+    names = names.withColumn("_canon", F.concat_ws(" ", "_genus", "_epithet"))
+    known = backbone.select(F.lower("scientificname").alias("_name"), F.lower("canonicalname").alias("_canon"), "taxonrank",
+                            F.struct("usagekey", *[c for c in backbone.columns if c != "usagekey"]).alias("usage"))
     species = known.filter(F.instr("_canon", " ") > 0)
-    exact = names.join(known.withColumnRenamed("_full", "_name"), "_name").select("_name", F.lit(0).alias("how"), "usage")
-    canonical = names.join(species.withColumnRenamed("_canon", "_canonical"), "_canonical").select("_name", F.lit(1).alias("how"), "usage")
-    parts = F.split("_canon", " ")
-    keyed = species.select(parts[0].alias("_genus"), parts[1].alias("_known"), "usage").withColumn("_key", F.explode(_one_edit_keys(F.col("_known"))))
-    asked = names.filter("_epithet IS NOT NULL").select("_name", "_genus", "_epithet", F.explode(_one_edit_keys(F.col("_epithet"))).alias("_key"))
-    fuzzy = asked.join(keyed, ["_genus", "_key"]).filter(F.levenshtein("_epithet", "_known") <= 1).select("_name", F.lit(2).alias("how"), "usage")
     genera = known.filter("taxonrank = 'GENUS'").withColumnRenamed("_canon", "_genus")
-    higher = names.join(genera, "_genus").select("_name", F.lit(3).alias("how"), "usage")
-    found = reduce(DataFrame.unionByName, [exact, canonical, fuzzy, higher])
-    best = found.groupBy("_name").agg(F.min_by("usage", F.struct("how", "usage.usagekey")).alias("usage"), F.min("how").alias("how"))
-    types = F.array(*map(F.lit, (EXACT, CANONICAL, FUZZY, HIGHER_RANK)))
-    resolved = best.select("_name", "usage.*", F.element_at(types, F.col("how") + 1).alias("matchtype"))
+    parts = F.split("_canon", " ")
+    near = species.select(parts[0].alias("_genus"), parts[1].alias("_known"), "usage").select(
+        "*", F.explode(_one_edit_keys(F.col("_known"))).alias("_key"))
+    direct = (names.join(_least(known, "_name", "u0"), "_name", "left").join(_least(species, "_canon", "u1"), "_canon", "left")
+              .join(_least(genera, "_genus", "u3"), "_genus", "left"))
+    unmatched = F.col("u0").isNull() & F.col("u1").isNull() & F.col("_epithet").isNotNull()
+    asked = direct.withColumn("_key", F.explode_outer(F.when(unmatched, _one_edit_keys(F.col("_epithet")))))
+    tried = asked.join(near, ["_genus", "_key"], "left")
+    close = F.levenshtein("_epithet", "_known") <= 1
+    fuzzy = F.min_by(F.when(close, F.col("usage")), F.when(close, F.col("usage.usagekey")))
+    best = tried.groupBy("_name").agg(*[F.first(u, ignorenulls=True).alias(u) for u in ("u0", "u1", "u3")], fuzzy.alias("u2"))
+    how = (F.when(F.col("u0").isNotNull(), EXACT).when(F.col("u1").isNotNull(), CANONICAL)
+           .when(F.col("u2").isNotNull(), FUZZY).when(F.col("u3").isNotNull(), HIGHER_RANK).otherwise(NONE))
+    resolved = best.select("_name", F.coalesce("u0", "u1", "u2", "u3").alias("usage"), how.alias("matchtype")).select("_name", "usage.*", "matchtype")
     joined = df.withColumn("_name", low).join(resolved, "_name", "left").drop("_name")
     return joined.withColumn("matchtype", F.coalesce("matchtype", F.lit(NONE)))
 

@@ -7,6 +7,7 @@ scans ``lineitem`` alone.  ``cte(...)`` gives the same frame as DuckDB SQL.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -217,9 +218,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LINE_COLUMNS = re.compile(r"\bl_[a-z]+\b")
+
+
+def _lines(spark: SparkSession, sf_dir: str, names: tuple[str, ...], aliases: list[str]) -> DataFrame:
+    """The needed columns of the fact table.
+
+    A table stored as fewer files than there are cores (one row group, one task) is
+    spread by the order key, which the join with the orders can use; a table of many
+    files, as on a cluster, is left where it is.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    text = " ".join([*[OCCURRENCE[n].spark_sql for n in names], *[_JOINS[a][2] for a in aliases], "l_orderkey"])
+    used = set(_LINE_COLUMNS.findall(text))
+    lines = lines.select(*[c for c in lines.columns if c in used])
+    cores = spark.sparkContext.defaultParallelism
+    return lines.repartition(cores, "l_orderkey") if len(lines.inputFiles()) < cores else lines
+
+
 def occurrence(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     names = names or tuple(OCCURRENCE)
-    df = table(spark, sf_dir, "lineitem").alias("l")
+    df = _lines(spark, sf_dir, names, _tables_for(names)).alias("l")
     for alias in _tables_for(names):
         name, _, condition = _JOINS[alias]
         df = df.join(table(spark, sf_dir, name).alias(alias), F.expr(condition))
