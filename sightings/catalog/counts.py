@@ -103,7 +103,7 @@ def agents_with_records(spark, sf_dir):
                 " (SELECT *, CASE WHEN count(*) OVER (PARTITION BY family) <= 2400 THEN '' ELSE substr(md5(recordid), 1, 2) END AS part FROM occ) GROUP BY 1")
 def families_with_records(spark, sf_dir):
     """A low bound on the ids per row, so that larger families are split into parts."""
-    parts = agents.families(occurrence(spark, sf_dir, "recordid", "family"), max_ids=2400)
+    parts = agents.families(occurrence(spark, sf_dir, "recordid", "family"), max_ids=2400, digits=2)
     return parts.groupBy("family").agg(F.sum("total").alias("total"), F.sum(F.size("ids")).alias("ids"), F.count("*").alias("parts"))
 
 
@@ -334,9 +334,15 @@ def counts_by_kingdom(spark, sf_dir):
 _RAW_DATES = ("v_year", "v_month", "v_day", "v_eventdate", "v_startdayofyear", "v_enddayofyear")
 
 
-@query("AGG31", f"WITH {cte('datasetkey', *_RAW_DATES)} SELECT datasetkey, {', '.join(_RAW_DATES)}, count(*) AS count FROM occ GROUP BY ALL")
+@query("AGG31", f"WITH {cte('datasetkey', *_RAW_DATES)} SELECT datasetkey, {', '.join(_RAW_DATES)}, count(*) AS count,"
+                " CASE WHEN v_eventdate LIKE '%/%' OR v_eventdate IS NULL THEN CAST(coalesce(v_year, substr(v_eventdate, 1, 4)) AS INT)"
+                " WHEN regexp_matches(v_eventdate, '^[0-9-]+$') AND substr(v_eventdate, 1, 4) = v_year THEN CAST(v_year AS INT) ELSE -1 END AS year FROM occ GROUP BY ALL")
 def date_profile(spark, sf_dir):
-    return metrics.count_by(occurrence(spark, sf_dir, "datasetkey", *_RAW_DATES), "datasetkey", *_RAW_DATES)
+    """Records per dataset and raw date, then the raw dates of the reduced rows interpreted."""
+    from sightings.plans.interpret import standardise_dates
+
+    profile = metrics.count_by(occurrence(spark, sf_dir, "datasetkey", *_RAW_DATES), "datasetkey", *_RAW_DATES)
+    return standardise_dates(profile).select("datasetkey", *_RAW_DATES, "count", F.coalesce("year", F.lit(-1)).alias("year"))
 
 
 @query("AGG32", f"WITH {cte('datasetkey', 'countrycode')} SELECT datasetkey, countrycode, count(*) AS n FROM occ WHERE countrycode IS NOT NULL GROUP BY ALL")
@@ -356,7 +362,7 @@ _MEDIA_ROWS = (
     " taxon AS (SELECT 'cl-1' AS checklistkey, unnest([kingdom, family, specieskey]) AS taxonkey, * FROM item"
     " UNION ALL SELECT 'cl-2', unnest([kingdom, family]), * FROM item),"
     " placed AS (SELECT checklistkey, taxonkey, lower(m.type) AS mediatype, recordid, m.identifier AS identifier,"
-    " row_number() OVER (PARTITION BY checklistkey, taxonkey, m.type ORDER BY md5(recordid), recordid, m.identifier) AS place,"
+    " row_number() OVER (PARTITION BY checklistkey, taxonkey, m.type ORDER BY md5(recordid || '|' || m.identifier), recordid, m.identifier) AS place,"
     " count(*) OVER (PARTITION BY checklistkey, taxonkey, m.type) AS total FROM taxon WHERE taxonkey IS NOT NULL)")
 
 

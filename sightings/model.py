@@ -11,6 +11,8 @@ ID = "recordid"
 
 # Kinds of search field; the kind decides how a filter or facet reads the column.
 KEYWORD = "keyword"          # text compared without case
+UPPER = "upper"              # vocabulary names, always stored in capitals
+LOWER = "lower"              # keys, always stored in lower case
 NUMBER = "number"
 BOOLEAN = "boolean"
 DATE = "date"                # epoch seconds
@@ -52,11 +54,11 @@ def _fields(kind: str, *names: str, **more) -> dict[str, Field]:
 
 # Search parameter names, by the kind of column they read.
 OCCURRENCE_FIELDS: dict[str, Field] = {
-    **_fields(KEYWORD, "dataset_key", "license", "protocol", "project_id", "programme_acronym",
-              "publishing_country", "installation_key", "hosting_organization_key", "basis_of_record",
-              "occurrence_status", "dataset_id", "continent", "coordinate_precision", "island",
+    **_fields(UPPER, "license", "protocol", "publishing_country", "basis_of_record", "occurrence_status", "continent"),
+    **_fields(LOWER, "dataset_key", "installation_key", "hosting_organization_key", "collection_key", "institution_key"),
+    **_fields(KEYWORD, "project_id", "programme_acronym", "dataset_id", "coordinate_precision", "island",
               "island_group", "higher_geography", "georeferenced_by", "taxon_id", "taxon_concept_id",
-              "verbatim_scientific_name", "collection_key", "institution_key", "previous_identifications",
+              "verbatim_scientific_name", "previous_identifications",
               "field_number", "lowest_biostratigraphic_zone", "highest_biostratigraphic_zone", "group",
               "formation", "member", "bed", "associated_sequences", "organism_quantity_type",
               "sample_size_unit", "crawl_id", "dna_sequence_id"),
@@ -82,8 +84,8 @@ OCCURRENCE_FIELDS: dict[str, Field] = {
     **_fields(VOCABULARY_ARRAY, "type_status"),
     **_fields(MILLIS, "modified", "last_interpreted"),
     **_fields(DATE, "date_identified"),
-    "PUBLISHING_ORG": Field("publishingorgkey"),
-    "COUNTRY": Field("countrycode"),
+    "PUBLISHING_ORG": Field("publishingorgkey", LOWER),
+    "COUNTRY": Field("countrycode", UPPER),
     "REGION": Field("region"),
     "PUBLISHED_BY_REGION": Field("publishedbyregion"),
     "RECORD_ID": Field(ID),
@@ -108,14 +110,15 @@ OCCURRENCE_FIELDS: dict[str, Field] = {
 
 # Search parameters of the event table; Humboldt ones read one element.
 EVENT_FIELDS: dict[str, Field] = {
-    **_fields(KEYWORD, "dataset_key", "license", "publishing_country", "continent", "event_type",
-              "sample_size_unit", "type"),
+    **_fields(UPPER, "license", "publishing_country", "continent"),
+    **_fields(LOWER, "dataset_key"),
+    **_fields(KEYWORD, "event_type", "sample_size_unit", "type"),
     **_fields(KEYWORD, "event_id", "parent_event_id", "sampling_protocol", "locality", "state_province",
               "water_body", suggest=True),
     **_fields(NUMBER, "decimal_latitude", "decimal_longitude", "year", "month", "day", "depth", "elevation",
               "sample_size_value"),
     **_fields(ARRAY, "issue", "media_type", "network_key"),
-    "COUNTRY": Field("countrycode"),
+    "COUNTRY": Field("countrycode", UPPER),
     "EVENT_DATE": Field("eventdate", INTERVAL),
     "HUMBOLDT_EVENT_DURATION_VALUE_IN_MINUTES": Field("humboldt", NESTED, "duration", NUMBER),
     "HUMBOLDT_INVENTORY_TYPES": Field("humboldt", NESTED, "inventory"),

@@ -27,9 +27,9 @@ def identifiers(df: DataFrame, max_ids: int = MAX_IDS) -> DataFrame:
     return bounded_sets(rows, "identifier", "recordid", {"recordedbyid": "r", "identifiedbyid": "i"}, max_ids)
 
 
-def families(df: DataFrame, max_ids: int = MAX_IDS) -> DataFrame:
+def families(df: DataFrame, max_ids: int = MAX_IDS, digits: int | None = None) -> DataFrame:
     rows = _roles(df, "family", {"f": "family"})
-    return bounded_sets(rows, "family", "recordid", {"": "f"}, max_ids)
+    return bounded_sets(rows, "family", "recordid", {"": "f"}, max_ids, digits)
 
 
 def outer_totals(left: DataFrame, right: DataFrame, key: str, left_total: str, right_total: str) -> DataFrame:

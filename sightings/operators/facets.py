@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightings import model as m
 from sightings.operators.params import parameter_predicate
-from sightings.operators.predicates import Filters
+from sightings.operators.predicates import Filters, having_child
 
 # Page defaults and the largest number of terms a facet may reach.
 DEFAULT_LIMIT, DEFAULT_OFFSET = 10, 0
@@ -21,7 +21,7 @@ MAX_FACET_TERMS = 1_200_000
 _WINDOW_PAGE = 1000
 
 
-_ONE_TERM = (m.KEYWORD, m.NUMBER, m.BOOLEAN, m.DATE, m.MILLIS, m.RANK, m.STATUS)
+_ONE_TERM = (m.KEYWORD, m.UPPER, m.LOWER, m.NUMBER, m.BOOLEAN, m.DATE, m.MILLIS, m.RANK, m.STATUS)
 
 
 def page_size(cardinality: int | None, offset: int, limit: int) -> int:
@@ -121,5 +121,4 @@ def post_filtered_hits(df: DataFrame, selected: Mapping[str, Sequence[str]], fil
 def child_facet(parents: DataFrame, children: DataFrame, keys: Sequence[str], parameter: str,
                 fields: Mapping[str, m.Field], **page: int) -> DataFrame:
     """Terms of the parents that have at least one of the (already filtered) children."""
-    matched = parents.join(children.select(*keys), list(keys), "left_semi")
-    return facet(matched, parameter, fields, **page)
+    return facet(having_child(parents, children, list(keys)), parameter, fields, **page)

@@ -7,25 +7,38 @@ and only one small row per (group, bucket) is gathered per group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def bucket_of(record_id: Column, digits: int = 2) -> Column:
+def bucket_digits(spark: SparkSession) -> int:
+    """Hex digits for more buckets than shuffle partitions: 256 at least, 65536 at most.
+
+    So the hottest group still spreads over the whole cluster, whatever its size.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(4, max(2, math.ceil(math.log(4 * partitions, 16))))
+
+
+def bucket_of(record_id: Column, digits: int) -> Column:
     """16**digits buckets, ordered like the hash itself: a prefix of its hex text."""
     return F.substring(F.md5(record_id), 1, digits)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], record_id: str, tie: Sequence[str] = (), digits: int = 2) -> DataFrame:
-    """Adds ``place`` (1, 2, …) and ``total`` per group, in the order of the id's hash.
+def numbered(df: DataFrame, keys: Sequence[str], *ids: str, digits: int | None = None) -> DataFrame:
+    """Adds ``place`` (1, 2, …) and ``total`` per group, in the order of the ids' hash.
+
+    ``ids`` tell the rows of a group apart.  The places do not depend on ``digits``.
 
     Counts per (group, bucket) are combined map-side; their running sum gives each
     bucket its start; the position inside a bucket is a window over that bucket only.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_hash", F.md5(F.col(record_id))).withColumn("_bucket", F.substring("_hash", 1, digits))
+    digits = bucket_digits(df.sparkSession) if digits is None else digits
+    bucketed = df.withColumn("_hash", F.md5(F.concat_ws("|", *ids))).withColumn("_bucket", F.substring("_hash", 1, digits))
     sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,18 +46,19 @@ def numbered(df: DataFrame, keys: Sequence[str], record_id: str, tie: Sequence[s
         *keys, "_bucket",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
         F.sum("_n").over(group).alias("total"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_hash", record_id, *tie)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
     placed = bucketed.withColumn("_inside", F.row_number().over(inside)).join(starts, [*keys, "_bucket"])
     return placed.withColumn("place", F.col("_start") + F.col("_inside")).drop("_hash", "_bucket", "_start", "_inside")
 
 
-def bounded_sets(df: DataFrame, key: str, record_id: str, roles: dict[str, str], max_ids: int, digits: int = 2) -> DataFrame:
+def bounded_sets(df: DataFrame, key: str, record_id: str, roles: dict[str, str], max_ids: int, digits: int | None = None) -> DataFrame:
     """Counts and id sets per key and role, a row at most ``max_ids`` ids long where it can.
 
     ``roles`` maps an output suffix to the value of the ``role`` column.  A key with up to
     ``max_ids`` ids gives one row (``part`` is empty); a hotter one gives a row per
     bucket, whose counts and sets add up to the whole.
     """
+    digits = bucket_digits(df.sparkSession) if digits is None else digits
     bucketed = df.withColumn("_bucket", bucket_of(F.col(record_id), digits))
 
     def measures(counts_only: bool) -> list[Column]:

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightings.operators.hot import numbered
+from sightings.session import staged
 
 MAX_PAGE = 100
 KEYS = ["checklistkey", "taxonkey", "mediatype"]
 
 
-def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int, digits: int = 2) -> DataFrame:
+def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int) -> DataFrame:
     """Per checklist, taxon and media type: chunks of media items and the total.
 
-    The media of a kingdom may be a third of all media, so positions are worked out per
-    hash bucket (see ``hot.numbered``) and no task holds more than a bucket or a chunk.
+    The media of a kingdom may be a third of all media, and so may those of one record:
+    positions are worked out per bucket of the hash of record and media identifier (see
+    ``hot.numbered``), so no task holds more than a bucket or a chunk.
     """
     typed = media.filter("type IS NOT NULL").withColumn("mediatype", F.lower("type"))
     item = F.struct("recordid", "identifier", "title", "license", "created", "creator").alias("item")
@@ -24,7 +26,9 @@ def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int, digit
         "recordid", "taxonkeys", "mediatype", "identifier", item)
     rows = joined.select("*", F.explode("taxonkeys").alias("checklistkey", "keys")).select(
         "*", F.explode(F.array_distinct("keys")).alias("taxonkey")).select(*KEYS, "recordid", "identifier", "item")
-    placed = numbered(rows, KEYS, "recordid", tie=["identifier"], digits=digits)
+    # numbering reads its input twice; staged, the join and the JSON behind it run once
+    rows = staged(rows, "media")
+    placed = numbered(rows, KEYS, "recordid", "identifier")
     chunk = F.floor((F.col("place") - 1) / chunk_size).cast("int").alias("chunk")
     ordered = F.array_sort(F.collect_list(F.struct("place", "item")))
     grouped = placed.groupBy(*KEYS, chunk).agg(F.max("total").alias("total"), ordered.alias("placed"))

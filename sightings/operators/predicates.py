@@ -6,6 +6,7 @@ neither matched nor matched by the negation.  An empty array counts as missing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import reduce
 from operator import and_, or_
@@ -24,6 +25,8 @@ IN_LIST_LIMIT = 1000
 
 Predicate = dict
 
+_STORED_CASE = {m.UPPER: str.upper, m.LOWER: str.lower}
+
 
 class Filters:
     """Compiles predicates for one table; the checklist picks the classification."""
@@ -37,7 +40,7 @@ class Filters:
     # ---- tree ----------------------------------------------------------------------
 
     def compile(self, p: Predicate) -> Column:
-        p = merge_equals(p)
+        p = merge_equals(normalised(p))
         kind = p["type"]
         if kind in ("and", "or"):
             return self._compound(p)
@@ -148,10 +151,18 @@ class Filters:
     def _scalar(self, p: Predicate, c: Column, kind: str) -> Column:
         test = p["type"]
         match_case = p.get("matchCase", False)
+        if kind in _STORED_CASE and test != "like":
+            # the column's case is known: a plain comparison, which reaches the scan
+            stored = _STORED_CASE[kind]
+            if test == "in":
+                return c.isin([stored(str(v)) for v in p["values"]])
+            return _compare(test, c, F.lit(stored(str(p["value"]))))
         if test == "in":
             if kind == m.KEYWORD:
                 values = [str(v) if match_case else str(v).lower() for v in p["values"]]
                 return (c if match_case else F.lower(c)).isin(values)
+            if kind == m.NUMBER and not any("," in str(v) for v in p["values"]):
+                return c.isin([_number(str(v)) for v in p["values"]])
             return reduce(or_, [self._scalar({"type": "equals", "value": v}, c, kind) for v in p["values"]])
         if test == "like":
             return like_text(c, p["value"], match_case)
@@ -271,6 +282,19 @@ def _compare(test: str, c: Column, value: Column) -> Column:
     raise ValueError(f"unknown predicate type {test}")
 
 
+def normalised(p: Predicate) -> Predicate:
+    """Some requests name the field ``parameter``, and some give the tree as JSON text."""
+    if isinstance(p, str):
+        p = json.loads(p)
+    if "parameter" in p:
+        p = {**{k: v for k, v in p.items() if k != "parameter"}, "key": p["parameter"]}
+    if "predicates" in p:
+        p = {**p, "predicates": [normalised(q) for q in p["predicates"]]}
+    if "predicate" in p:
+        p = {**p, "predicate": normalised(p["predicate"])}
+    return p
+
+
 def merge_equals(p: Predicate) -> Predicate:
     """OR of several equals on one key becomes a single IN; other parts stay."""
     if p["type"] != "or":
@@ -321,5 +345,9 @@ def filter_in(df: DataFrame, column: Column, values: list[str], match_case: bool
 
 
 def having_child(parents: DataFrame, children: DataFrame, keys: list[str]) -> DataFrame:
-    """Parents with at least one of the (already filtered) children."""
-    return parents.join(children.select(*keys), keys, "left_semi")
+    """Parents with at least one of the (already filtered) children.
+
+    The children's keys are made distinct before the shuffle: a parent with very many
+    children sends one row per task.
+    """
+    return parents.join(children.select(*keys).distinct(), keys, "left_semi")

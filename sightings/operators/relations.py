@@ -15,9 +15,8 @@ def related_records(edges: DataFrame, limit: int = MAX_RELATED) -> DataFrame:
     The row-number filter is a limit the planner also applies before the shuffle, so a
     record with many edges sends at most ``limit`` rows per task.
     """
-    columns = ["recordid", "relatedid", "reasons"]
-    forward = edges.select(F.col("id1"), F.col("id2"), "reasons").toDF(*columns)
-    backward = edges.select(F.col("id2"), F.col("id1"), "reasons").toDF(*columns)
+    directions = [F.struct(F.col(a).alias("recordid"), F.col(b).alias("relatedid")) for a, b in (("id1", "id2"), ("id2", "id1"))]
+    both = edges.select(F.explode(F.array(*directions)).alias("d"), "reasons").select("d.recordid", "d.relatedid", "reasons")
     order = Window.partitionBy("recordid").orderBy("relatedid")
-    ranked = forward.unionByName(backward).withColumn("place", F.row_number().over(order))
+    ranked = both.withColumn("place", F.row_number().over(order))
     return ranked.filter(F.col("place") <= limit).select("recordid", "relatedid", F.split("reasons", ",").alias("reasons"))

@@ -36,8 +36,14 @@ def sequence_rows(dna: DataFrame, exported: DataFrame) -> DataFrame:
 
 
 def with_humboldt(events: DataFrame, humboldt: DataFrame, key: str) -> DataFrame:
-    """Events with their inventory rows; an event with several appears several times."""
-    return events.join(humboldt.withColumnRenamed("recordid", key), key, "left")
+    """Events with their inventory rows; an event with several appears several times.
+
+    A left join cannot split a hot key of its right side.  An inner join can, so the
+    events without an inventory are added by an anti join on the distinct keys.
+    """
+    rows = humboldt.withColumnRenamed("recordid", key)
+    without = events.join(rows.select(key).distinct(), key, "left_anti")
+    return events.join(rows, key).unionByName(without, allowMissingColumns=True)
 
 
 # ---- jobs ------------------------------------------------------------------------------------
@@ -130,8 +136,8 @@ def event_archive(events: DataFrame, where: Column, humboldt: DataFrame, occurre
 
 def fasta_archive(occurrences: DataFrame, where: Column, dna: DataFrame) -> Tables:
     """Records that have a sequence, the sequences as text, and the citation."""
-    with_sequence = dna.filter("sequence IS NOT NULL")
-    exported = staged(occurrences.filter(where).join(with_sequence.select("recordid"), "recordid", "left_semi"), "fasta")
+    with_sequence = dna.filter("sequence IS NOT NULL").select("recordid").distinct()
+    exported = staged(occurrences.filter(where).join(with_sequence, "recordid", "left_semi"), "fasta")
     rows = sequence_rows(dna, exported)
     text = fasta(F.col("nucleotidesequenceid"), F.col("recordid"), F.col("targetgene.concept"), F.col("sequence"))
     return {
