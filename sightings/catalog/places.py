@@ -224,14 +224,53 @@ def degree_minute_second_cells(spark, sf_dir):
     return _grid_counts(spark, sf_dir, "dmsg", 7200)
 
 
-@query("GEO14")
+def military_cte(size: int) -> str:
+    """Zone, easting and northing on UTM as CTEs over ``occ``; ``code`` holds the cell."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    k = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
+    east = " + ".join(f"{c!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    north = " + ".join(f"{c!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    digits = 5 - round(math.log10(size))
+    figures = "" if digits == 0 else "".join(f" || lpad(CAST((CAST(floor({c}) AS BIGINT) % 100000) // {size} AS VARCHAR), {digits}, '0')" for c in ("east", "north"))
+    return (
+        "z AS (SELECT *, CASE WHEN decimallatitude >= 56 AND decimallatitude < 64 AND decimallongitude >= 3 AND decimallongitude < 12 THEN 32"
+        " WHEN decimallatitude >= 72 AND decimallongitude >= 0 AND decimallongitude < 9 THEN 31 WHEN decimallatitude >= 72 AND decimallongitude >= 9 AND decimallongitude < 21 THEN 33"
+        " WHEN decimallatitude >= 72 AND decimallongitude >= 21 AND decimallongitude < 33 THEN 35 WHEN decimallatitude >= 72 AND decimallongitude >= 33 AND decimallongitude < 42 THEN 37"
+        " ELSE CAST(floor((decimallongitude + 180) / 6) AS INT) % 60 + 1 END AS zone FROM occ),"
+        " t AS (SELECT *, radians(decimallongitude - (zone * 6 - 183)) AS turn,"
+        f" sinh(atanh(sin(radians(decimallatitude))) - {e!r} * atanh({e!r} * sin(radians(decimallatitude)))) AS tau FROM z WHERE decimallatitude >= -80 AND decimallatitude < 84),"
+        " x AS (SELECT *, atan2(tau, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + tau * tau)) AS eta FROM t),"
+        f" u AS (SELECT *, ({k!r} * (eta + {east})) + 500000 AS east, ({k!r} * (xi + {north})) + CASE WHEN decimallatitude < 0 THEN 10000000 ELSE 0 END AS north FROM x),"
+        " code AS (SELECT *, lpad(CAST(zone AS VARCHAR), 2, '0') || substr('CDEFGHJKLMNPQRSTUVWX', least(19, CAST(floor((decimallatitude + 80) / 8) AS INT)) + 1, 1)"
+        " || substr('ABCDEFGHJKLMNPQRSTUVWXYZ', ((zone - 1) % 3) * 8 + CAST(floor(east / 100000) AS INT), 1)"
+        f" || substr('ABCDEFGHJKLMNPQRSTUV', (CAST(floor(north / 100000) AS INT) + CASE WHEN zone % 2 = 0 THEN 5 ELSE 0 END) % 20 + 1, 1){figures} AS cell FROM u)")
+
+
+@query("GEO14", f"WITH {cte('decimallatitude', 'decimallongitude')}, {military_cte(10000)} SELECT cell, count(*) AS n FROM code GROUP BY 1"
+                " UNION ALL SELECT NULL, count(*) FROM occ WHERE decimallatitude IS NULL OR decimallatitude < -80 OR decimallatitude >= 84")
 def military_cells(spark, sf_dir):
-    return _grid_counts(spark, sf_dir, "mgrs", 100000)
+    return _grid_counts(spark, sf_dir, "mgrs", 10000)
 
 
-@query("GEO15")
+_METRES_PER_DEGREE = math.pi * 6371008.7714 / 180
+
+
+def _draw_sql(salt: str) -> str:
+    return f"(CAST('0x' || substr(md5(recordid || '|{salt}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+_MOVED = (
+    "SELECT * REPLACE (greatest(-90.0, least(90.0, decimallatitude + r * cos(angle) / " + f"{_METRES_PER_DEGREE!r})) AS decimallatitude,"
+    f" ((decimallongitude + r * sin(angle) / (greatest(cos(radians(decimallatitude)), 0.01) * {_METRES_PER_DEGREE!r}) + 180 + 360.0) % 360.0) - 180 AS decimallongitude) FROM"
+    f" (SELECT *, coalesce(coordinateuncertaintyinmeters, 1000) * sqrt({_draw_sql('radius')}) AS r, {_draw_sql('angle')} * {2 * math.pi!r} AS angle FROM occ)")
+
+
+@query("GEO15", f"WITH {cte(*COORDINATES, 'coordinateuncertaintyinmeters')}, moved AS ({_MOVED}) SELECT CASE WHEN decimallatitude IS NOT NULL THEN"
+                f" '10kmE' || CAST(CAST(floor(({_EAST}) / 10000) AS BIGINT) AS VARCHAR) || 'N' || CAST(CAST(floor(({_NORTH}) / 10000) AS BIGINT) AS VARCHAR) END AS cell, count(*) AS n FROM moved GROUP BY 1")
 def displaced_cells(spark, sf_dir):
     df = occurrence(spark, sf_dir, *COORDINATES, "coordinateuncertaintyinmeters")
     lat, lon = grids.displaced(F.col("recordid"), *_point(), F.coalesce("coordinateuncertaintyinmeters", F.lit(1000.0)))
     moved = df.select(lat.alias("decimallatitude"), lon.alias("decimallongitude"))
-    return moved.groupBy(grids.grid_cell("eea", 1000).alias("cell")).agg(F.count("*").alias("n"))
+    return moved.groupBy(grids.grid_cell("eea", 10000).alias("cell")).agg(F.count("*").alias("n"))

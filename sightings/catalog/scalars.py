@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightings.catalog.places import _EAST, _NORTH, military_cte
 from sightings.catalog.registry import query
 from sightings.functions import dates, text
 from sightings.functions.register import register_functions
@@ -211,7 +212,10 @@ def registered_functions(spark, sf_dir):
         FROM sightings_udf1""")
 
 
-@query("UDF2")
+@query("UDF2", f"WITH {cte('decimallatitude', 'decimallongitude')}, {military_cte(100000)}, pts AS (SELECT o.*, code.cell AS mgrs FROM occ o LEFT JOIN"
+               " (SELECT DISTINCT decimallatitude, decimallongitude, cell FROM code) code USING (decimallatitude, decimallongitude))"
+               f" SELECT CASE WHEN decimallatitude IS NOT NULL THEN '100kmE' || CAST(CAST(floor(({_EAST}) / 100000) AS BIGINT) AS VARCHAR) || 'N' ||"
+               f" CAST(CAST(floor(({_NORTH}) / 100000) AS BIGINT) AS VARCHAR) END AS eea, mgrs, count(*) AS n FROM pts GROUP BY ALL")
 def typed_parameters(spark, sf_dir):
     """Grid functions by name; arguments are cast to the declared parameter types."""
     register_functions(spark)

@@ -27,7 +27,10 @@ def relevance_order(spark, sf_dir):
     return paging.page(found, [F.desc("score"), F.col("doc_id")], limit=50).select("doc_id", F.col("score").cast("bigint").alias("score"))
 
 
-@query("SRT3")
+_PLACE = "CAST('0x' || substr(md5(recordid || '|seed-1'), 1, 8) AS BIGINT) % 1000000"
+
+
+@query("SRT3", f"WITH {cte('recordid', 'year')} SELECT recordid, year FROM occ ORDER BY {_PLACE}, recordid LIMIT 200")
 def seeded_shuffle(spark, sf_dir):
     df = occurrence(spark, sf_dir, "recordid", "year")
     return paging.page(df, paging.shuffled_order("seed-1"), limit=200)

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightings.operators.hot import hashed_number
+
 # ETRS89-LAEA (EPSG:3035), UTM and the military grid's letters.
 LAEA_LAT0, LAEA_LON0 = 52.0, 10.0
 LAEA_FALSE_EASTING, LAEA_FALSE_NORTHING = 4321000.0, 3210000.0
@@ -190,7 +192,7 @@ def displaced(record_id: Column, lat: Column, lon: Column, uncertainty: Column)
     """A point inside the uncertainty circle, drawn from the record id so that retries agree."""
 
     def draw(salt: str) -> Column:
-        return F.pmod(F.xxhash64(record_id, F.lit(salt)), F.lit(1 << 31)) / float(1 << 31)
+        return hashed_number(record_id, salt) / float(1 << 32)
 
     radius = F.coalesce(uncertainty, F.lit(0.0)) * F.sqrt(draw("radius"))
     angle = draw("angle") * (2 * math.pi)

@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def hashed_number(c: Column, salt: str) -> Column:
+    """A whole number below 2**32 drawn from a text and a salt; the same on every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", c, F.lit(salt))), 1, 8), 16, 10).cast("bigint")
+
+
 def bucket_digits(spark: SparkSession) -> int:
     """Hex digits for more buckets than shuffle partitions: 256 at least, 65536 at most.
 

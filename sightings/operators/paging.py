@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightings.operators.hot import hashed_number
+
 # Page limits of a search.
 MAX_PAGE = 300
 MAX_RESULT_WINDOW = 100_000
@@ -28,7 +30,7 @@ def default_order() -> list[Column]:
 
 def shuffled_order(seed: str) -> list[Column]:
     """A stable permutation per seed: the same seed always gives the same order."""
-    place = F.pmod(F.xxhash64(F.col("recordid"), F.lit(seed)), F.lit(SHUFFLE_RANGE))
+    place = F.pmod(hashed_number(F.col("recordid"), seed), F.lit(SHUFFLE_RANGE))
     return [place, F.col("recordid")]
 
 
