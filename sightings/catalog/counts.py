@@ -100,10 +100,10 @@ def agents_with_records(spark, sf_dir):
 
 
 @query("AGG10", f"WITH {cte('recordid', 'family')} SELECT family, count(*) AS total, count(DISTINCT recordid) AS ids, count(DISTINCT part) AS parts FROM"
-                " (SELECT *, CASE WHEN count(*) OVER (PARTITION BY family) <= 2400 THEN '' ELSE substr(md5(recordid), 1, 2) END AS part FROM occ) GROUP BY 1")
+                " (SELECT *, CASE WHEN count(*) OVER (PARTITION BY family) <= 1000 THEN 0 ELSE CAST('0x' || substr(md5(recordid || '|part'), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY family) / 1000.0) AS BIGINT) END AS part FROM occ) GROUP BY 1")
 def families_with_records(spark, sf_dir):
     """A low bound on the ids per row, so that larger families are split into parts."""
-    parts = agents.families(occurrence(spark, sf_dir, "recordid", "family"), max_ids=2400, digits=2)
+    parts = agents.families(occurrence(spark, sf_dir, "recordid", "family"), max_ids=1000)
     return parts.groupBy("family").agg(F.sum("total").alias("total"), F.sum(F.size("ids")).alias("ids"), F.count("*").alias("parts"))
 
 
@@ -399,4 +399,5 @@ def total_of_higher_taxon(spark, sf_dir):
 def positions_in_groups(spark, sf_dir):
     from sightings.operators.hot import numbered
 
-    return numbered(occurrence(spark, sf_dir, "recordid", "datasetkey", "year"), ["datasetkey", "year"], "recordid")
+    # a low limit, so that some groups are cut into buckets
+    return numbered(occurrence(spark, sf_dir, "recordid", "datasetkey", "year"), ["datasetkey", "year"], "recordid", hot_rows=100)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,30 +33,25 @@ def occurrences_of(events: DataFrame, occurrences: DataFrame) -> DataFrame:
 def lineage(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Every (event, ancestor, distance), nearest first, up to a root, a repeat or the depth.
 
-    Ancestors are found by doubling: round k joins each event's 2**k-th ancestor with
-    that ancestor's own list, so 300 levels take nine rounds, not three hundred.  A
-    walk into a cycle meets its ids again only at a larger distance; the smallest one
-    is kept and an event is never its own ancestor.
+    Ancestors are found by doubling: a round joins each event's 2**k-th ancestor with
+    that ancestor's own list, so 300 levels take nine rounds, not three hundred, and
+    each round writes only the pairs it found.  A walk into a cycle meets its ids again
+    at a larger distance only; the smallest one is kept and an event is never its
+    own ancestor.
     """
-    links = events.filter("parenteventid IS NOT NULL").select(
-        "datasetkey", F.col("eventid").alias("id"), F.col("parenteventid").alias("up"))
-    known = events.select("datasetkey", F.col("eventid").alias("up"))
-    links = staged(links.join(known, ["datasetkey", "up"]).select("datasetkey", "id", "up"), "lineage")
-    pairs = links.withColumn("distance", F.lit(1))
-    jump, reach = links, 1
+    known = events.select("datasetkey", F.col("eventid").alias("ancestorid")).distinct()
+    links = events.filter("parenteventid IS NOT NULL").select("datasetkey", "eventid", F.col("parenteventid").alias("ancestorid")).distinct()
+    first = links.join(known, ["datasetkey", "ancestorid"]).select("datasetkey", "eventid", "ancestorid", F.lit(1).alias("distance"))
+    found, reach = [staged(first, "lineage")], 1
     while reach < max_depth:
-        far = pairs.select("datasetkey", F.col("id").alias("up"), F.col("up").alias("further"), F.col("distance").alias("more"))
-        # an ancestor without a list of its own is a root: the inner join drops it
-        grown = jump.join(far, ["datasetkey", "up"]).select(
-            "datasetkey", "id", F.col("further").alias("up"), (F.col("more") + reach).alias("distance"))
-        grown = grown.filter((F.col("distance") <= max_depth) & (F.col("up") != F.col("id")))
-        next_jump = jump.join(
-            jump.select("datasetkey", F.col("id").alias("up"), F.col("up").alias("further")), ["datasetkey", "up"])
-        next_jump = staged(next_jump.select("datasetkey", "id", F.col("further").alias("up")), "lineage")
-        pairs = pairs.unionByName(grown).groupBy("datasetkey", "id", "up").agg(F.min("distance").alias("distance"))
-        pairs = staged(pairs, "lineage")
-        jump, reach = next_jump, reach * 2
-        if jump.isEmpty():
+        top = found[-1].filter(F.col("distance") == reach).select("datasetkey", "eventid", F.col("ancestorid").alias("via"))
+        if top.isEmpty():
             break
-    return pairs.filter((F.col("distance") <= max_depth) & (F.col("up") != F.col("id"))).select(
-        "datasetkey", F.col("id").alias("eventid"), F.col("up").alias("ancestorid"), "distance")
+        further = reduce(DataFrame.unionByName, found).select("datasetkey", F.col("eventid").alias("via"), "ancestorid", "distance")
+        # an ancestor without a list of its own is a root: the inner join drops it
+        grown = top.join(further, ["datasetkey", "via"]).select(
+            "datasetkey", "eventid", "ancestorid", (F.col("distance") + reach).alias("distance"))
+        found.append(staged(grown.filter(F.col("distance") <= max_depth), "lineage"))
+        reach *= 2
+    pairs = reduce(DataFrame.unionByName, found).filter(F.col("eventid") != F.col("ancestorid"))
+    return pairs.groupBy("datasetkey", "eventid", "ancestorid").agg(F.min("distance").alias("distance"))

@@ -1,8 +1,9 @@
 """Exact group operations that never bring one group to one task.
 
-A group may hold a third of all rows.  Its rows are spread over buckets taken from the
-hash of the record id; work that would need the whole group in order runs per bucket,
-and only one small row per (group, bucket) is gathered per group.
+A group may hold a third of all rows.  Groups are counted first, which is combined
+map-side and cheap; the few that are too large are spread over buckets taken from a
+hash of the row's id.  Work that would need a whole group in order then runs per
+bucket, and only one small row per bucket is gathered per group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Rows up to which a group may stay in one task.
+HOT_ROWS = 1_000_000
+
 
 def hashed_number(c: Column, salt: str) -> Column:
     """A whole number below 2**32 drawn from a text and a salt; the same on every engine."""
@@ -28,59 +32,64 @@ def bucket_digits(spark: SparkSession) -> int:
     return min(4, max(2, math.ceil(math.log(4 * partitions, 16))))
 
 
-def bucket_of(record_id: Column, digits: int) -> Column:
-    """16**digits buckets, ordered like the hash itself: a prefix of its hex text."""
-    return F.substring(F.md5(record_id), 1, digits)
+def hot_groups(df: DataFrame, keys: Sequence[str], above: int) -> DataFrame:
+    """The keys of groups with more rows than ``above``, and their number of rows.
+
+    There are at most rows/above of them; the planner broadcasts them when their
+    measured size is small.
+    """
+    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > above)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], *ids: str, digits: int | None = None) -> DataFrame:
-    """Adds ``place`` (1, 2, …) and ``total`` per group, in the order of the ids' hash.
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys that may be null; the right side's copies of the keys are dropped."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
-    ``ids`` tell the rows of a group apart.  The places do not depend on ``digits``.
 
-    Counts per (group, bucket) are combined map-side; their running sum gives each
-    bucket its start; the position inside a bucket is a window over that bucket only.
+def numbered(df: DataFrame, keys: Sequence[str], *ids: str, digits: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``place`` (1, 2, …) and ``total`` per group, in the order of the ids' hash.
+
+    ``ids`` tell the rows of a group apart.  A hot group is cut into buckets by a prefix of
+    the hash: places inside a bucket come from a window over the bucket, and the running
+    sum of the bucket sizes gives each bucket its start.  The places depend on
+    neither ``digits`` nor ``hot_rows``.
     """
     keys = list(keys)
     digits = bucket_digits(df.sparkSession) if digits is None else digits
-    bucketed = df.withColumn("_hash", F.md5(F.concat_ws("|", *ids))).withColumn("_bucket", F.substring("_hash", 1, digits))
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *ids)))
+    hot = hot_groups(df, keys, hot_rows).drop("_rows").withColumn("_hot", F.lit(True))
+    spread = _null_safe(hashed, hot, keys, "left").withColumn(
+        "_bucket", F.when(F.col("_hot"), F.substring("_hash", 1, digits)).otherwise(""))
+    part = Window.partitionBy(*keys, "_bucket")
+    placed = spread.withColumn("_inside", F.row_number().over(part.orderBy("_hash", *ids))).withColumn(
+        "_size", F.count("*").over(part))
+
+    slim = hashed.select(*keys, F.substring("_hash", 1, digits).alias("_bucket"))
+    sizes = _null_safe(slim, hot, keys, "inner").groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(group).alias("total"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
-    placed = bucketed.withColumn("_inside", F.row_number().over(inside)).join(starts, [*keys, "_bucket"])
-    return placed.withColumn("place", F.col("_start") + F.col("_inside")).drop("_hash", "_bucket", "_start", "_inside")
+    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                          F.sum("_n").over(group).alias("_whole"))
+    joined = _null_safe(placed, starts, [*keys, "_bucket"], "left")
+    return joined.withColumn("place", F.coalesce("_start", F.lit(0)) + F.col("_inside")).withColumn(
+        "total", F.coalesce("_whole", "_size")).drop("_hash", "_hot", "_bucket", "_inside", "_size", "_start", "_whole")
 
 
-def bounded_sets(df: DataFrame, key: str, record_id: str, roles: dict[str, str], max_ids: int, digits: int | None = None) -> DataFrame:
-    """Counts and id sets per key and role, a row at most ``max_ids`` ids long where it can.
+def bounded_sets(df: DataFrame, key: str, record_id: str, roles: dict[str, str], max_ids: int) -> DataFrame:
+    """Counts and id sets per key and role, about ``max_ids`` ids long at most.
 
     ``roles`` maps an output suffix to the value of the ``role`` column.  A key with up to
-    ``max_ids`` ids gives one row (``part`` is empty); a hotter one gives a row per
-    bucket, whose counts and sets add up to the whole.
+    ``max_ids`` rows gives one row (``part`` 0); a hotter one gives rows/max_ids parts
+    by hash, whose counts and sets add up to the whole.
     """
-    digits = bucket_digits(df.sparkSession) if digits is None else digits
-    bucketed = df.withColumn("_bucket", bucket_of(F.col(record_id), digits))
-
-    def measures(counts_only: bool) -> list[Column]:
-        out = [F.count("*").alias("_n")]
-        if counts_only:
-            return out
-        for suffix, role in roles.items():
-            mine = F.when(F.col("role") == role, F.col(record_id))
-            out += [F.count(mine).alias(f"total{suffix}"), F.collect_set(mine).alias(f"ids{suffix}")]
-        return out
-
-    sets = bucketed.groupBy(key, "_bucket").agg(*measures(False)).drop("_n")
-    sizes = bucketed.groupBy(key, "_bucket").agg(*measures(True))
-    whole = F.sum("_n").over(Window.partitionBy(key))
-    parts = sizes.select(key, "_bucket", F.when(whole <= max_ids, F.lit("")).otherwise(F.col("_bucket")).alias("part"))
-    merged = []
-    for suffix in roles:
-        merged += [F.sum(f"total{suffix}").alias(f"total{suffix}"),
-                   F.flatten(F.collect_list(f"ids{suffix}")).alias(f"ids{suffix}")]
-    return sets.join(parts, [key, "_bucket"]).groupBy(key, "part").agg(*merged)
+    hot = hot_groups(df, [key], max_ids).select(key, F.ceil(F.col("_rows") / max_ids).alias("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(hashed_number(F.col(record_id), "part"), F.col("_parts"))).otherwise(F.lit(0))
+    measures = []
+    for suffix, role in roles.items():
+        mine = F.when(F.col("role") == role, F.col(record_id))
+        measures += [F.count(mine).alias(f"total{suffix}"), F.collect_set(mine).alias(f"ids{suffix}")]
+    return df.join(hot, key, "left").withColumn("part", part.cast("bigint")).groupBy(key, "part").agg(*measures)

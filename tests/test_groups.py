@@ -22,8 +22,9 @@ def digest(s):
     return hashlib.md5(s.encode()).hexdigest()
 
 
-def test_numbered_equals_a_plain_ranking(skewed):
-    got = {(r.k, r.recordid): (r.place, r.total) for r in hot.numbered(skewed, ["k"], "recordid").collect()}
+@pytest.mark.parametrize("hot_rows", [0, 500, 10_000])
+def test_numbered_equals_a_plain_ranking(skewed, hot_rows):
+    got = {(r.k, r.recordid): (r.place, r.total) for r in hot.numbered(skewed, ["k"], "recordid", hot_rows=hot_rows).collect()}
     groups = {}
     for r in skewed.collect():
         groups.setdefault(r.k, []).append(r.recordid)
@@ -35,10 +36,17 @@ def test_numbered_equals_a_plain_ranking(skewed):
 
 
 def test_places_do_not_depend_on_the_buckets(skewed):
-    few, many = (hot.numbered(skewed, ["k"], "recordid", digits=d).select("recordid", "place", "total") for d in (1, 3))
+    few, many = (hot.numbered(skewed, ["k"], "recordid", digits=d, hot_rows=100).select("recordid", "place", "total") for d in (1, 3))
     assert few.exceptAll(many).count() == 0
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("recordid"), F.when(F.col("id") % 2 == 0, "k").alias("k"))
+    for hot_rows in (0, 100):
+        rows = hot.numbered(df, ["k"], "recordid", hot_rows=hot_rows).collect()
+        assert sorted(r.place for r in rows if r.k is None) == list(range(1, 26)) and {r.total for r in rows} == {25}
+
+
 def test_no_window_over_a_whole_group(skewed):
     """The only window by the key alone runs over bucket counts."""
     plan = hot.numbered(skewed, ["k"], "recordid")._jdf.queryExecution().executedPlan().toString()
@@ -51,12 +59,12 @@ def test_id_sets_are_whole_and_bounded(skewed):
     rows = skewed.select("recordid", F.col("k").alias("v_recordedby"), F.when(F.col("k") == "k1", F.col("k")).alias("v_identifiedby"))
     parts = agents.agents(rows, max_ids=100).collect()
     hot_parts = [p for p in parts if p.agent == "hot"]
-    assert len(hot_parts) > 100 and max(len(p.idsrecordedby) for p in hot_parts) < 40 and len({p.part for p in hot_parts}) == len(hot_parts)
+    assert len(hot_parts) == 20 and max(len(p.idsrecordedby) for p in hot_parts) < 150 and {p.part for p in hot_parts} == set(range(20))
     found = sorted(i for p in hot_parts for i in p.idsrecordedby)
     assert found == sorted(r.recordid for r in skewed.filter("k = 'hot'").collect())
     assert sum(p.totalrecordedby for p in hot_parts) == 2000
     whole = {p.agent: p for p in agents.agents(rows, max_ids=10_000).collect()}
-    assert whole["hot"].part == "" and len(whole["hot"].idsrecordedby) == 2000 and whole["hot"].idsidentifiedby == []
+    assert whole["hot"].part == 0 and len(whole["hot"].idsrecordedby) == 2000 and whole["hot"].idsidentifiedby == []
     assert whole["k1"].totalidentifiedby == whole["k1"].totalrecordedby
 
 
