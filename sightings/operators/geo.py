@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import reduce
@@ -20,6 +21,10 @@ DISTANCE_UNITS = {
     "yd": 0.9144, "mi": 1609.344, "nmi": 1852.0,
 }
 
+# Shapes of many edges are cut into bands of latitude, with about this many edges each.
+EDGES_PER_BAND, MAX_BANDS = 8, 1024
+
+
 def parse_distance(text: str) -> float:
     match = re.match(r"^\s*([0-9.]+)\s*([a-zA-Z]*)\s*$", text)
     if match is None or (match.group(2) or "m").lower() not in DISTANCE_UNITS:
@@ -68,7 +73,8 @@ def _edges(rings: list[Ring]) -> list[Edge]:
 def crosses_right(x: Column, y: Column, x0, y0, x1, y1) -> Column:
     """The edge passes to the right of the point on its way over the point's latitude."""
     spans = (y0 > y) != (y1 > y)
-    return spans & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    # a horizontal edge spans no latitude; try_divide keeps its slope from failing
+    return spans & (x < F.try_divide((x1 - x0) * (y - y0), y1 - y0) + x0)
 
 
 def touches(x: Column, y: Column, x0, y0, x1, y1) -> Column:
@@ -76,30 +82,59 @@ def touches(x: Column, y: Column, x0, y0, x1, y1) -> Column:
     return on_line & x.between(F.least(x0, x1), F.greatest(x0, x1)) & y.between(F.least(y0, y1), F.greatest(y0, y1))
 
 
-def _edge_array(edges: list[Edge]) -> Column:
-    structs = ",".join(
-        f"named_struct('x0',{x0!r}D,'y0',{y0!r}D,'x1',{x1!r}D,'y1',{y1!r}D)" for x0, y0, x1, y1 in edges
-    )
-    return F.expr(f"array({structs})")
+_EDGE = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def _literal(value: list, ddl: str) -> Column:
+    """A nested literal; the text is parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def _rows(edges: list[Edge]) -> list[dict[str, float]]:
+    return [{"x0": x0, "y0": y0, "x1": x1, "y1": y1} for x0, y0, x1, y1 in edges]
+
+
+def _near_edges(lat: Column, edges: list[Edge]) -> Column:
+    """The edges that can matter for a latitude: those of its band, for shapes of many edges.
+
+    A point is compared with the edges whose latitudes span its own, a few of
+    thousands; an edge is listed in every band it passes through.
+    """
+    bottom = min(min(e[1], e[3]) for e in edges)
+    height = max(max(e[1], e[3]) for e in edges) - bottom
+    bands = min(MAX_BANDS, len(edges) // EDGES_PER_BAND)
+    if bands < 2 or height == 0:
+        return _literal(_rows(edges), f"array<{_EDGE}>")
+    step = height / bands
+
+    def band(y: float) -> int:
+        return max(0, min(bands - 1, math.floor((y - bottom) / step)))
+
+    listed: list[list[Edge]] = [[] for _ in range(bands)]
+    for edge in edges:
+        for n in range(band(min(edge[1], edge[3])), band(max(edge[1], edge[3])) + 1):
+            listed[n].append(edge)
+    place = F.greatest(F.lit(0), F.least(F.lit(bands - 1), F.floor((lat - bottom) / step).cast("int")))
+    return F.get(_literal([_rows(b) for b in listed], f"array<array<{_EDGE}>>"), place)
 
 
 def _meets(lat: Column, lon: Column, edges: list[Edge], closed: bool) -> Column:
     """On an edge or, for closed rings, inside by the even-odd rule.
 
-    The edges are one array literal and the point is bound once as a lambda variable:
-    the expression keeps its size however many vertices the shape has.
+    The point and its edges are bound once as lambda variables: the expression keeps
+    its size however many vertices the shape has.
     """
-    # a horizontal edge spans no latitude, so it takes no part in the crossings
-    sloped = [e for e in edges if e[1] != e[3]]
 
     def test(p: Column) -> Column:
-        touching = F.exists(_edge_array(edges), lambda e: touches(p["x"], p["y"], e["x0"], e["y0"], e["x1"], e["y1"]))
-        if not closed or not sloped:
+        near = p["edges"]
+        touching = F.exists(near, lambda e: touches(p["x"], p["y"], e["x0"], e["y0"], e["x1"], e["y1"]))
+        if not closed:
             return touching
-        crossed = F.filter(_edge_array(sloped), lambda e: crosses_right(p["x"], p["y"], e["x0"], e["y0"], e["x1"], e["y1"]))
+        crossed = F.filter(near, lambda e: crosses_right(p["x"], p["y"], e["x0"], e["y0"], e["x1"], e["y1"]))
         return (F.size(crossed) % 2 == 1) | touching
 
-    return F.exists(F.array(F.struct(lon.alias("x"), lat.alias("y"))), test)
+    point = F.struct(lon.alias("x"), lat.alias("y"), _near_edges(lat, edges).alias("edges"))
+    return F.exists(F.array(point), test)
 
 
 def _in_polygon(lat: Column, lon: Column, rings: list[Ring]) -> Column:

@@ -14,8 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows up to which a group may stay in one task.
+from sightings.session import staged
+
+# Rows up to which a group may stay in one task, and up to which a counted table is broadcast.
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def hashed_number(c: Column, salt: str) -> Column:
@@ -32,22 +35,29 @@ def bucket_digits(spark: SparkSession) -> int:
     return min(4, max(2, math.ceil(math.log(4 * partitions, 16))))
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], above: int) -> DataFrame:
-    """The keys of groups with more rows than ``above``, and their number of rows.
+def hot_groups(df: DataFrame, keys: Sequence[str], above: int) -> tuple[DataFrame, int]:
+    """The keys of groups with more rows than ``above``, their rows, and how many there are.
 
-    There are at most rows/above of them; the planner broadcasts them when their
-    measured size is small.
+    There are at most rows/above of them.  They are written out once, so that their
+    exact number decides how they are joined.
     """
-    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > above)
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > above)
+    hot = staged(counted, "hot")
+    return hot, hot.count()
+
 
+def _lookup(left: DataFrame, right: DataFrame, rows: int, keys: Sequence[str], how: str) -> DataFrame:
+    """Join a table of known size on keys that may be null.
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on keys that may be null; the right side's copies of the keys are dropped."""
+    Up to ``BROADCAST_ROWS`` rows it is sent to every task, so the large side does not
+    move; beyond that both sides are shuffled and the planner splits hot partitions.
+    """
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = F.lit(True)
     for k in keys:
         condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    small = F.broadcast(renamed) if rows <= BROADCAST_ROWS else renamed
+    return left.join(small, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], *ids: str, digits: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -59,22 +69,27 @@ def numbered(df: DataFrame, keys: Sequence[str], *ids: str, digits: int | None =
     neither ``digits`` nor ``hot_rows``.
     """
     keys = list(keys)
-    digits = bucket_digits(df.sparkSession) if digits is None else digits
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *ids)))
-    hot = hot_groups(df, keys, hot_rows).drop("_rows").withColumn("_hot", F.lit(True))
-    spread = _null_safe(hashed, hot, keys, "left").withColumn(
-        "_bucket", F.when(F.col("_hot"), F.substring("_hash", 1, digits)).otherwise(""))
+    hot, groups = hot_groups(df, keys, hot_rows)
+    if groups == 0:
+        whole = Window.partitionBy(*keys)
+        placed = hashed.withColumn("place", F.row_number().over(whole.orderBy("_hash", *ids)).cast("bigint"))
+        return placed.withColumn("total", F.count("*").over(whole)).drop("_hash")
+
+    digits = bucket_digits(df.sparkSession) if digits is None else digits
+    flagged = _lookup(hashed, hot.select(*keys, F.lit(True).alias("_hot")), groups, keys, "left")
+    spread = flagged.withColumn("_bucket", F.when(F.col("_hot"), F.substring("_hash", 1, digits)).otherwise(""))
     part = Window.partitionBy(*keys, "_bucket")
     placed = spread.withColumn("_inside", F.row_number().over(part.orderBy("_hash", *ids))).withColumn(
         "_size", F.count("*").over(part))
 
     slim = hashed.select(*keys, F.substring("_hash", 1, digits).alias("_bucket"))
-    sizes = _null_safe(slim, hot, keys, "inner").groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    sizes = _lookup(slim, hot.select(*keys), groups, keys, "inner").groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-                          F.sum("_n").over(group).alias("_whole"))
-    joined = _null_safe(placed, starts, [*keys, "_bucket"], "left")
+    starts = staged(sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                                 F.sum("_n").over(group).alias("_whole")), "starts")
+    joined = _lookup(placed, starts, starts.count(), [*keys, "_bucket"], "left")
     return joined.withColumn("place", F.coalesce("_start", F.lit(0)) + F.col("_inside")).withColumn(
         "total", F.coalesce("_whole", "_size")).drop("_hash", "_hot", "_bucket", "_inside", "_size", "_start", "_whole")
 
@@ -86,10 +101,14 @@ def bounded_sets(df: DataFrame, key: str, record_id: str, roles: dict[str, str],
     ``max_ids`` rows gives one row (``part`` 0); a hotter one gives rows/max_ids parts
     by hash, whose counts and sets add up to the whole.
     """
-    hot = hot_groups(df, [key], max_ids).select(key, F.ceil(F.col("_rows") / max_ids).alias("_parts"))
-    part = F.when(F.col("_parts").isNotNull(), F.pmod(hashed_number(F.col(record_id), "part"), F.col("_parts"))).otherwise(F.lit(0))
+    hot, groups = hot_groups(df, [key], max_ids)
     measures = []
     for suffix, role in roles.items():
         mine = F.when(F.col("role") == role, F.col(record_id))
         measures += [F.count(mine).alias(f"total{suffix}"), F.collect_set(mine).alias(f"ids{suffix}")]
-    return df.join(hot, key, "left").withColumn("part", part.cast("bigint")).groupBy(key, "part").agg(*measures)
+    if groups == 0:
+        return df.groupBy(key, F.lit(0).cast("bigint").alias("part")).agg(*measures)
+    parts = hot.select(key, F.ceil(F.col("_rows") / max_ids).alias("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(hashed_number(F.col(record_id), "part"), F.col("_parts"))).otherwise(F.lit(0))
+    split = _lookup(df, parts, groups, [key], "left").withColumn("part", part.cast("bigint"))
+    return split.groupBy(key, "part").agg(*measures)

@@ -18,12 +18,7 @@ def ring_edges(ring: Column) -> Column:
 def polygon_contains(edges: Column, lat: Column, lon: Column) -> Column:
     """Even-odd rule over a column of edges; points on an edge are inside."""
 
-    def crosses(e: Column) -> Column:
-        # a horizontal edge spans no latitude; its slope must not be computed
-        sloped = e["y0"] != e["y1"]
-        return F.when(sloped, crosses_right(lon, lat, e["x0"], e["y0"], e["x1"], e["y1"])).otherwise(False)
-
-    inside = F.size(F.filter(edges, crosses)) % 2 == 1
+    inside = F.size(F.filter(edges, lambda e: crosses_right(lon, lat, e["x0"], e["y0"], e["x1"], e["y1"]))) % 2 == 1
     return inside | F.exists(edges, lambda e: touches(lon, lat, e["x0"], e["y0"], e["x1"], e["y1"]))
 
 

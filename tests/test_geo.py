@@ -39,6 +39,18 @@ def test_columns_agree_with_the_batch_form(points, wkt):
     assert expected.any() and not expected.all()
 
 
+def test_many_vertices(points):
+    """A star of 3000 vertices, cut into bands, against the batch form."""
+    import math
+
+    angles = [2 * math.pi * n / 3000 for n in range(3000)]
+    ring = [((20 + 8 * math.sin(17 * a)) * math.cos(a), (18 + 7 * math.cos(11 * a)) * math.sin(a)) for a in angles]
+    wkt = "POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*ring, ring[0]]) + "))"
+    rows = points.select("lat", "lon", geo.within(wkt, F.col("lat"), F.col("lon")).alias("inside")).toPandas()
+    expected = points_in_shape(parse_wkt(wkt), rows["lat"].to_numpy(), rows["lon"].to_numpy())
+    assert rows["inside"].tolist() == expected.tolist() and expected.any() and not expected.all()
+
+
 def test_edges_count_and_holes_do_not(spark):
     df = spark.createDataFrame([(5.0, 0.0), (5.0, 5.0), (5.0, 2.0), (5.0, 1.0), (None, 1.0), (91.0, 1.0)], "lat double, lon double")
     inside = [r[0] for r in df.select(geo.within(SHAPES[1], F.col("lat"), F.col("lon"))).collect()]

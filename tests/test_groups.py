@@ -49,7 +49,7 @@ def test_null_keys_are_a_group(spark):
 
 def test_no_window_over_a_whole_group(skewed):
     """The only window by the key alone runs over bucket counts."""
-    plan = hot.numbered(skewed, ["k"], "recordid")._jdf.queryExecution().executedPlan().toString()
+    plan = hot.numbered(skewed, ["k"], "recordid", hot_rows=500)._jdf.queryExecution().executedPlan().toString()
     for line in plan.splitlines():
         if "Window [row_number" in line:
             assert "_bucket" in line
