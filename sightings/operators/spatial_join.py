@@ -23,21 +23,36 @@ def polygon_contains(edges: Column, lat: Column, lon: Column) -> Column:
 
 
 def layer_cells(layer: DataFrame, cell_degrees: float) -> DataFrame:
-    """One row per polygon and grid cell its bounding box meets."""
-    xs = F.transform("ring", lambda p: p["x"])
-    ys = F.transform("ring", lambda p: p["y"])
+    """One row per polygon and grid cell its bounding box meets, with the edges that matter there.
 
-    def cells(values: Column) -> Column:
+    A polygon has a ``ring``, or ``rings`` for holes and parts.  A point of a cell is only
+    ever compared with edges that reach the cell's latitudes and do not end west of
+    it; the others are dropped before the join, and cells left without edges with them.
+    """
+    if "rings" in layer.columns:
+        corners, edges = F.flatten("rings"), F.flatten(F.transform("rings", ring_edges))
+    else:
+        corners, edges = F.col("ring"), ring_edges(F.col("ring"))
+
+    def cells(axis: str) -> Column:
+        values = F.transform(corners, lambda p: p[axis])
         low = F.floor(F.array_min(values) / cell_degrees).cast("int")
         high = F.floor(F.array_max(values) / cell_degrees).cast("int")
         return F.explode(F.sequence(low, high))
 
-    edged = layer.withColumn("edges", ring_edges(F.col("ring"))).withColumn("cell_x", cells(xs))
-    return edged.withColumn("cell_y", cells(ys)).drop("ring")
+    south, west = F.col("cell_y") * cell_degrees, F.col("cell_x") * cell_degrees
+
+    def matters(e: Column) -> Column:
+        return ((F.greatest(e["y0"], e["y1"]) >= south) & (F.least(e["y0"], e["y1"]) <= south + cell_degrees)
+                & (F.greatest(e["x0"], e["x1"]) >= west))
+
+    named = layer.withColumn("edges", edges).withColumn("cell_x", cells("x")).withColumn("cell_y", cells("y"))
+    cut = named.drop("ring", "rings").withColumn("edges", F.filter("edges", matters))
+    return cut.filter(F.size("edges") > 0)
 
 
 def join_layer(points: DataFrame, layer: DataFrame, lat: str, lon: str, cell_degrees: float = 5.0) -> DataFrame:
-    """Inner join of points and the polygons (``country``, ``ring``) that contain them.
+    """Inner join of points and the polygons of a layer that contain them.
 
     The layer is exploded to cells, so the condition is an equality: the adaptive
     planner broadcasts the cells when their measured size is small, and otherwise

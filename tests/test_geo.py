@@ -141,3 +141,24 @@ def test_displaced_points_stay_inside_and_repeat(spark):
     far = moved.filter(geo.haversine_metres(F.col("lat0"), F.col("lon0"), F.col("a"), F.col("b")) > 1005)
     assert far.count() == 0 and moved.select("a", "b").distinct().count() == 500
     assert moved.filter("b < -180 OR b > 180").count() == 0
+
+
+def test_layer_join_with_holes_and_parts(spark, points):
+    from sightings.operators.spatial_join import join_layer
+
+    def ring(*corners):
+        return [{"x": float(x), "y": float(y)} for x, y in corners]
+
+    shapes = {
+        "holed": ("POLYGON ((-21 -21, 22 -20, 20 21, -20 20, -21 -21), (-5 -5, 6 -5, 6 6, -5 5, -5 -5))",
+                  [ring((-21, -21), (22, -20), (20, 21), (-20, 20), (-21, -21)), ring((-5, -5), (6, -5), (6, 6), (-5, 5), (-5, -5))]),
+        "parts": ("MULTIPOLYGON (((0 0, 9 0, 9 9, 0 0)), ((-9 -9, -1 -9, -3 -1, -9 -9)))",
+                  [ring((0, 0), (9, 0), (9, 9), (0, 0)), ring((-9, -9), (-1, -9), (-3, -1), (-9, -9))]),
+    }
+    layer = spark.createDataFrame([(name, rings) for name, (_, rings) in shapes.items()], "country string, rings array<array<struct<x:double,y:double>>>")
+    distinct = points.distinct()
+    got = {(r.country, r.lat, r.lon) for r in join_layer(distinct, layer, "lat", "lon", cell_degrees=4.0).collect()}
+    want = set()
+    for name, (wkt, _) in shapes.items():
+        want |= {(name, r.lat, r.lon) for r in distinct.filter(geo.within(wkt, F.col("lat"), F.col("lon"))).collect()}
+    assert got == want and want
