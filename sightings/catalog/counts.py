@@ -12,7 +12,7 @@ from sightings.operators import agents, citations, cubes, facets, geo, grids, me
 from sightings.operators.predicates import Filters
 from sightings.plans.quality import cube_quality
 from sightings.plans.terms import SPECIES_TERMS
-from sightings.sources.driver import EVENT_CTE, cte, event, occurrence, table
+from sightings.sources.driver import EVENT_CTE, cte, event, occurrence
 from sightings.sources.tables import build_multimedia_table
 
 OCCURRENCES = Filters()

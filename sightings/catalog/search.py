@@ -15,7 +15,6 @@ def default_order(spark, sf_dir):
     return paging.page(df, paging.default_order(), limit=300).select("recordid", "year")
 
 
-_WORDS = ("water", "city", "small")
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
 
 

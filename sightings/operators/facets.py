@@ -87,7 +87,8 @@ def multi_select(df: DataFrame, facets: Sequence[str], selected: Mapping[str, Se
     for name in facets:
         others = _keep(test for other, test in tests.items() if other != name)
         labelled = _labelled(name, filters.fields, checklist)
-        pairs.append(F.when(others, labelled).otherwise(F.array().cast("array<struct<facet:string,term:string>>")))
+        # a missing array has no terms; it must not take the other facets' terms with it
+        pairs.append(F.when(others & labelled.isNotNull(), labelled).otherwise(F.array().cast("array<struct<facet:string,term:string>>")))
     exploded = df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.facet", "p.term")
     counts = (exploded.filter("term IS NOT NULL").groupBy("facet", "term").agg(F.count("*").alias("count"))
               .filter(F.col("count") >= min_count))

@@ -55,6 +55,9 @@ class Filters:
         field = m.field_of(p["key"], self.fields)
         checklist = p.get("checklistKey", self.checklist)
         if field.kind == m.NESTED:
+            if kind == "isNull":
+                present = F.exists(F.col(field.column), lambda e: e.getField(field.element).isNotNull())
+                return ~F.coalesce(present, F.lit(False))
             return F.exists(F.col(field.column), lambda e: self._element(p, field, e))
         return self._leaf(p, field, checklist)
 
@@ -151,6 +154,10 @@ class Filters:
     def _scalar(self, p: Predicate, c: Column, kind: str) -> Column:
         test = p["type"]
         match_case = p.get("matchCase", False)
+        if test == "isNotNull":
+            return c.isNotNull()
+        if test == "isNull":
+            return c.isNull()
         if kind in _STORED_CASE and test != "like":
             # the column's case is known: a plain comparison, which reaches the scan
             stored = _STORED_CASE[kind]
@@ -229,6 +236,8 @@ class Filters:
     def _age(self, p: Predicate) -> Column:
         if self.geologic is None:
             raise ValueError("a geological time filter needs the table of concepts")
+        if p["type"] == "in":
+            return reduce(or_, [self._age({"type": "equals", "value": v}) for v in p["values"]])
         youngest, oldest = self.geologic.bounds(str(p["value"]), p["type"])
         c = F.col("geologicaltime")
         parts = []

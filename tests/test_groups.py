@@ -126,6 +126,12 @@ def test_facets_page_and_limits(spark):
         facets.page_size(None, 1_200_000, 1)
 
 
+def test_facets_of_records_without_an_array(spark):
+    df = spark.createDataFrame([(None, 2000), (["a"], 2000), ([], 2001)], "recordedby array<string>, year int")
+    counts = facets.multi_select(df, ["YEAR", "RECORDED_BY"], {}, Filters()).collect()
+    assert {(r.facet, r.term): r["count"] for r in counts} == {("YEAR", "2000"): 2, ("YEAR", "2001"): 1, ("RECORDED_BY", "a"): 1}
+
+
 def test_multi_select_with_deep_pages(spark):
     df = spark.range(5000).select((F.col("id") % 2500).cast("string").alias("datasetkey"), (F.col("id") % 3 + 1990).cast("int").alias("year"))
     near = facets.multi_select(df, ["YEAR"], {"YEAR": ["1990"], "DATASET_KEY": ["1", "2"]}, Filters(), limit=10)

@@ -75,6 +75,19 @@ def test_nested_conditions_hold_on_one_element(spark):
     assert ids(filters.apply(df, {"type": "not", "predicate": {**EQ, "key": "HUMBOLDT_INVENTORY_TYPES", "value": "b"}})) == [2]
 
 
+def test_missing_nested_values(spark):
+    df = spark.createDataFrame([(1, [(None, "a")]), (2, [(1.0, "a")]), (3, []), (4, None)], "id int, humboldt array<struct<duration:double,inventory:string>>")
+    key = "HUMBOLDT_EVENT_DURATION_VALUE_IN_MINUTES"
+    assert ids(Filters(m.EVENT_FIELDS).apply(df, {"type": "isNull", "key": key})) == [1, 3, 4]
+    assert ids(Filters(m.EVENT_FIELDS).apply(df, {"type": "isNotNull", "key": key})) == [2]
+
+
+def test_several_geological_times(spark):
+    df = spark.createDataFrame([(1, (3.0, 4.0)), (2, (100.0, 120.0)), (3, (300.0, 301.0))], "id int, geologicaltime struct<gt:double,lte:double>")
+    filters = Filters(geologic=GeologicTime())
+    assert ids(filters.apply(df, {"type": "in", "key": "GEOLOGICAL_TIME", "values": ["pliocene", "cretaceous"]})) == [1, 2]
+
+
 def test_long_lists_use_a_key_table(spark):
     df = spark.range(3 * IN_LIST_LIMIT).select(F.col("id").cast("string").alias("k"))
     wanted = [str(n) for n in range(0, 2 * IN_LIST_LIMIT, 1)]
