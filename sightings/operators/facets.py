@@ -49,7 +49,9 @@ def facet_terms(parameter: str, fields: Mapping[str, m.Field], checklist: str |
 
 
 def term_counts(df: DataFrame, parameter: str, fields: Mapping[str, m.Field], checklist: str | None = None) -> DataFrame:
-    terms = df.select(F.explode(facet_terms(parameter, fields, checklist)).alias("term"))
+    field = m.field_of(parameter, fields)
+    term = field.col(checklist).cast("string") if field.kind in _ONE_TERM else F.explode(facet_terms(parameter, fields, checklist))
+    terms = df.select(term.alias("term"))
     return terms.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("count"))
 
 
