@@ -37,3 +37,17 @@ def unused(taken: Iterable[str], *names: str) -> list[str]:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves no rest by five; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart by their texts; null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of docs that keepers (doc_id, text_hash) name, in docs' own columns; of repeated rows one."""
+    mark, key, hashed = unused(docs.columns, "text_hash", "keeper_id", "keeper_hash")
+    keepers = keepers.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed))
+    marked = docs.withColumn(mark, text_hash(F.col("text")))
+    same = marked["doc_id"].eqNullSafe(keepers[key]) & (marked[mark] == keepers[hashed])
+    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)

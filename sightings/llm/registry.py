@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from sightings.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
