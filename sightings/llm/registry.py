@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from sightings.llm.packing import op8_best_fit_packing
 from sightings.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
