@@ -51,3 +51,28 @@ def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     marked = docs.withColumn(mark, text_hash(F.col("text")))
     same = marked["doc_id"].eqNullSafe(keepers[key]) & (marked[mark] == keepers[hashed])
     return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
+
+
+def id_bounds(docs: DataFrame, parts: int) -> list[int]:
+    """At most parts - 1 ids that cut the ascending ids into runs of about the same number of rows."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = docs.select(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def part_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many bounds are at or below the id, by bisection; a null id is before all."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(doc_id >= bounds[middle], between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(bounds))
+
+
+def default_parts(spark: SparkSession) -> int:
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
