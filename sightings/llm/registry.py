@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from sightings.llm.packing import op8_best_fit_packing
+from sightings.llm.piece_codec import op5_piece_codec
 from sightings.llm.simhash import op9_simhash
 from sightings.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op5_piece_codec": op5_piece_codec,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
