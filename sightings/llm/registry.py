@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from sightings.llm.language_id import op2_language_id
 from sightings.llm.lz_fingerprint import op4_lz_fingerprint
 from sightings.llm.packing import op8_best_fit_packing
 from sightings.llm.piece_codec import op5_piece_codec
@@ -10,6 +11,7 @@ from sightings.llm.simhash import op9_simhash
 from sightings.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_piece_codec": op5_piece_codec,
