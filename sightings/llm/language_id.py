@@ -168,8 +168,8 @@ def identify(text: Column, model: Broadcast[Model]) -> Column:
     return F.pandas_udf(of, "lang_pred string, score double")(text)
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents in a language of the labelled ones, with a probability of ``least``; docs' own columns."""
+def drop_unknown(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents that have a language, with a probability of ``least``; the others have no letter.  docs' own columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     (found,) = unused(docs.columns, "found")
     marked = docs.withColumn(found, identify(F.col("text"), model))

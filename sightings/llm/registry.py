@@ -9,12 +9,14 @@ from sightings.llm.packing import op8_best_fit_packing
 from sightings.llm.piece_codec import op5_piece_codec
 from sightings.llm.simhash import op9_simhash
 from sightings.llm.token_files import op3_token_files
+from sightings.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_piece_codec": op5_piece_codec,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
