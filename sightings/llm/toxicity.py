@@ -16,6 +16,7 @@ toxic or none is labelled clean.  A document labelled both ways counts as toxic.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -34,7 +35,7 @@ from sightings.llm.common import documents, held_out, unused
 TOXIC, CLEAN, SAMPLE_CHARS = 1000, 4000, 20_000
 # A toxic word: so many times as frequent in toxic documents, in so many of them and between so many neighbours.
 RATIO, SUPPORT = 20, 5  # or one in a hundred, if that is more
-PLACES = 1 << 18
+PLACES = 1 << 21
 STEPS, STEP, PENALTY = 50, 0.5, 1e-4
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 _STOPS = frozenset(".!?\n")
@@ -77,6 +78,7 @@ class Field:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(PLACES, np.float32))
     follow: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     trained: bool = False
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def chains(self, emission: np.ndarray, starts: np.ndarray, sizes: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of the toxic tag at all tokens; with ``expect`` also the expected number of each pair of tags.
@@ -268,14 +270,22 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     return train(texts[1], texts[0])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(model: Field) -> Scorer:
+    """The model's scorer in this Python worker; that of an earlier model is let go."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    return _SCORERS[model.name]
 
 
 def judge(text: Column, model: Broadcast[Field]) -> Column:
     """struct(score, spans) of a text column; spans are struct(start, end, score) in characters."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _SCORERS.setdefault(model.id, Scorer(model.value))
+        scorer = _scorer(model.value)
         for texts in batches:
             rows = list(scorer.score([x or "" for x in texts]))
             spans = [[{"start": a, "end": b, "score": p} for a, b, p in found] for _, found in rows]
