@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from sightings.session import configure
 
-# Rows in an Arrow batch: texts may be long, so batches are kept small.
-ARROW_ROWS = 1000
+# Rows in a batch of the Parquet reader and of Arrow: texts may be long, so batches are kept small.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark
 
 
