@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from sightings.llm.language_id import op2_language_id
+from sightings.llm.license_scan import OP1_SQL, op1_license_scan
 from sightings.llm.lz_fingerprint import op4_lz_fingerprint
 from sightings.llm.packing import op8_best_fit_packing
 from sightings.llm.piece_codec import op5_piece_codec
@@ -12,6 +13,7 @@ from sightings.llm.token_files import op3_token_files
 from sightings.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
@@ -22,5 +24,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op1_license_scan": OP1_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
