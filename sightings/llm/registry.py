@@ -5,6 +5,7 @@ from __future__ import annotations
 from sightings.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from sightings.llm.language_id import op2_language_id
 from sightings.llm.license_scan import OP1_SQL, op1_license_scan
+from sightings.llm.line_templates import OP6_SQL, op6_line_templates
 from sightings.llm.lz_fingerprint import op4_lz_fingerprint
 from sightings.llm.packing import op8_best_fit_packing
 from sightings.llm.piece_codec import op5_piece_codec
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_lz_fingerprint": op4_lz_fingerprint,
     "op5_piece_codec": op5_piece_codec,
+    "op6_line_templates": op6_line_templates,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash": op9_simhash,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_license_scan": OP1_SQL,
+    "op6_line_templates": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
