@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sightings.llm.common import documents
 from sightings.session import staged
 
-CONTAINED = 0.8
+CONTAINED = 0.9
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Notices as their publishers word them, with the label they stand for.
 TEMPLATES = [
