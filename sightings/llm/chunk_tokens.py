@@ -111,7 +111,8 @@ class ChunkEncoder:
         found, other, merge = {}, [], self.tokenizer.model.tokenize
         for key in keys:
             if _LETTERS.fullmatch(key):  # one word for the file's pattern: straight to its merges
-                word = key if key.isascii() else key.translate(self.spelling)
+                word = key.lower() if self.drops_space else key
+                word = word if word.isascii() else word.translate(self.spelling)
                 ids = [x.id for x in merge(word if self.drops_space else self.space + word)]
                 found[key] = array(UINT32, ids).tobytes()
             else:
