@@ -26,12 +26,14 @@ DEPTH, SUPPORT, CONSTANT = 3, 5, 0.6
 FIELD = "<*>"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+# The same for an engine that tries one start after the other: from a token's first character, without going back.
+_VARIABLE_ONCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(text: Column) -> Column:
     """The text with variable fields for tokens with a digit, one space between tokens and none around a line."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE, FIELD)
-    return F.regexp_replace(F.regexp_replace(marked, _SPACE, " "), r"(?m)^ | $", "")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE_ONCE, FIELD)
+    return F.regexp_replace(F.regexp_replace(marked, _SPACE, " "), r"(?dm)^ | $", "")
 
 
 def _leaf(tokens: Column) -> Column:
