@@ -3,8 +3,8 @@
 Runs of one to three characters of the lower-cased text (digits and ASCII punctuation count as a space) are hashed
 into 2^16 places.  The model is trained by follow-the-regularised-leader, per coordinate, with elastic-net
 penalties, so most weights are exactly zero; a temperature fitted on a part of the sample that it did not see makes
-its probabilities honest.  Training takes a bounded sample of labelled rows (``SAMPLE`` per language), of which
-only n-gram counts leave the executors; prediction is a column over whole texts, without a shuffle.
+its probabilities honest.  Document frequencies count all labelled rows; the weights are fitted on a bounded sample
+of them (``SAMPLE`` per language), of which only n-gram counts leave the executors; prediction is a column over whole texts, without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is everything if no row is
 labelled; rows without a label or a text are not learned from.
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ UNKNOWN = "und"
 PLACES = 1 << 16
 # Labelled rows per language that the model is fitted on, at most; a fifth of them set the temperature.
 SAMPLE = 300
-# Features kept: the n-grams found in most rows of the sample.
+# Features kept: the n-grams found in most documents.
 FEATURES = 4096
 EPOCHS = 6
 # Of follow-the-regularised-leader: step, damping, and the two penalties.
@@ -119,6 +120,18 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's texts each place occurs."""
+    total = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen = np.zeros(PLACES, np.int64)
+            seen[ngrams(text)] = 1
+            total += seen
+    place = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(total[place])], ["place", "n"])
+
+
 def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = [np.unique(ngrams(x or ""), return_counts=True) for x in texts]
@@ -140,14 +153,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     drawn = drawn.orderBy("draw", "id").limit(2 * sample * len(languages))
     made = F.pandas_udf(_counts, "places array<int>, counts array<int>")(F.col("text"))
     drawn = drawn.select("lang", made.alias("x"), "draw").select("lang", "x.*", "draw").toPandas().sort_values("draw", kind="stable")
+    # document frequencies are those of all rows that may be learned from: a row per place, partial sums by task
+    frequencies = rows.select("text").mapInArrow(_frequencies, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(PLACES, np.int64)
-    for places in drawn.places:
-        found[places] += 1
+    found[frequencies.place] = frequencies.n
     kept = np.argsort(-found, kind="stable")[:FEATURES]
     kept = np.sort(kept[found[kept] > 1])
     feature = np.zeros(PLACES, np.int32)
     feature[kept] = np.arange(1, len(kept) + 1)
-    idf = np.r_[0.0, np.log((1 + len(drawn)) / (1 + found[kept])) + 1]
+    idf = np.r_[0.0, np.log((1 + sum(sizes.values())) / (1 + found[kept])) + 1]
     model = Model(languages, feature, idf, np.zeros((len(languages), len(idf))), np.zeros(len(languages)), 1.0)
     x = np.array([model.vector(np.asarray(p), np.asarray(c)) for p, c in zip(drawn.places, drawn.counts, strict=True)])
     y = np.array([languages.index(lang) for lang in drawn.lang], int)
