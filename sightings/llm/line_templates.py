@@ -16,6 +16,8 @@ are separate documents, repeated rows are alike; a document all of whose lines r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +32,24 @@ _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _VARIABLE_ONCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked(text: Column) -> Column:
-    """The text with variable fields for tokens with a digit, one space between tokens and none around a line."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _VARIABLE_ONCE, FIELD)
-    return F.regexp_replace(F.regexp_replace(marked, _SPACE, " "), r"(?dm)^ | $", "")
+def masked(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns and ``masked``: the text with variable fields for tokens with a digit, one space between tokens and
+    none around a line.  Each step rewrites only the texts that need it."""
+
+    def has(*marks: str) -> Column:
+        found = [F.contains(F.col("masked"), F.lit(mark)) for mark in marks]
+        return reduce(lambda a, b: a | b, found)
+
+    around = F.startswith(F.col("masked"), F.lit(" ")) | F.endswith(F.col("masked"), F.lit(" ")) | has(" \n", "\n ")
+    steps = [
+        (F.col("masked").rlike("[0-9]"), _VARIABLE_ONCE, FIELD),
+        (has("  ", "\t", "\x0b", "\x0c", "\r"), _SPACE, " "),
+        (around, r"(?dm)^ | $", ""),
+    ]
+    rows = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("masked"))
+    for needed, pattern, value in steps:
+        rows = rows.withColumn("masked", F.when(needed, F.regexp_replace("masked", pattern, value)).otherwise(F.col("masked")))
+    return rows
 
 
 def _leaf(tokens: Column) -> Column:
@@ -42,7 +58,7 @@ def _leaf(tokens: Column) -> Column:
 
 def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """(line) for every masked line whose template recurs."""
-    lines = docs.select(F.explode(F.array_distinct(F.split(masked(F.col("text")), "\n"))).alias("line")).where("line <> ''")
+    lines = masked(docs).select(F.explode(F.array_distinct(F.split("masked", "\n"))).alias("line")).where("line <> ''")
     leaf = F.xxhash64(_leaf(F.split("line", " ")))
     leaves = lines.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf")
     leaves = staged(leaves, "leaves")
@@ -65,7 +81,8 @@ def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CO
     """docs' columns with the text without its recurring lines, and n_lines and n_dropped (which see)."""
     hashed, ids, dropped, key, lines, gone = unused(docs.columns, "text_hash", "key_id", "dropped", "key_hash", "n_lines", "n_dropped")
     said = staged(recurring(docs, support, constant).select(F.xxhash64("line").alias("said")).distinct(), "recurring-lines")
-    places = docs.select("doc_id", text_hash(F.col("text")).alias("hash"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("place", "line"))
+    places = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
+    places = places.select("doc_id", "hash", F.posexplode(F.split("masked", "\n")).alias("place", "line"))
     places = places.select("doc_id", "hash", "place", F.xxhash64("line").alias("said")).join(said, "said", "left_semi")
     drops = places.groupBy("doc_id", "hash").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias(ids), F.col("hash").alias(key), F.col("places").alias(dropped))
