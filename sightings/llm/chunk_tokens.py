@@ -10,7 +10,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 
 # Unicode White_Space, spelt out so that it does not depend on a library's idea of white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -31,17 +34,17 @@ class Memo:
 
     def split(self, keys: set[str]) -> tuple[dict, list[str]]:
         """What is known of the keys, and the keys that are not."""
-        known, missing, young, old = {}, [], self.young, self.old
-        for key in keys:
-            value = young.get(key)
-            if value is None:
-                value = old.get(key)
-                if value is None:
-                    missing.append(key)
-                    continue
-                young[key] = value
-            known[key] = value
-        return known, missing
+        young, old = self.young, self.old
+        hits = keys & young.keys()
+        known = dict(zip(hits, map(young.__getitem__, hits), strict=True))
+        rest = keys - hits
+        again = rest & old.keys()
+        if again:
+            found = dict(zip(again, map(old.__getitem__, again), strict=True))
+            young.update(found)
+            known.update(found)
+            rest -= again
+        return known, list(rest)
 
     def add(self, values: dict) -> None:
         self.young.update(values)
@@ -49,16 +52,27 @@ class Memo:
             self.old, self.young = self.young, {}
 
 
-def slices(texts: Sequence[str], chars: int = 5_000_000) -> Iterator[Sequence[str]]:
-    """Runs of whole texts of about so many characters, so that lists of chunks stay small."""
-    begin = size = 0
-    for i, text in enumerate(texts):
+CHARS = 5_000_000
+
+
+def slices(texts: Iterable[str], chars: int = CHARS) -> Iterator[list[str]]:
+    """Runs of whole texts of about so many characters: the memo is asked for a run at once, its lists stay small."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
         size += len(text)
         if size >= chars:
-            yield texts[begin : i + 1]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def texts_of(batches: Iterator[pa.RecordBatch], doc_ids: deque[int | None]) -> Iterator[str]:
+    """The texts of (doc_id, text); their ids wait in the queue."""
+    for batch in batches:
+        doc_ids.extend(batch.column(0).to_pylist())
+        yield from (x or "" for x in batch.column(1).to_pylist())
 
 
 class ChunkEncoder:
@@ -141,7 +155,7 @@ class ChunkEncoder:
         self.memo.add(fresh | whole)
         return known | whole
 
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text, in order."""
         for some in slices(texts):
             lists = [self.keys(text) for text in some]

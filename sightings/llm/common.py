@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,26 +56,44 @@ def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
+# Rows of a part, about: a part of long texts is sorted by one task, on disk where it must.
+PART_ROWS = 200_000
+
+
+def default_parts(docs: DataFrame) -> int:
+    """Twice the shuffle partitions, and more where parts would get too many rows."""
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
+
+
 def id_bounds(docs: DataFrame, parts: int) -> list[int]:
     """At most parts - 1 ids that cut the ascending ids into runs of about the same number of rows."""
     if parts < 2:
         return []
     shares = [i / parts for i in range(1, parts)]
-    found = docs.select(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, 10_000)).first()[0]
+    accuracy = max(10_000, 4 * parts)
+    found = docs.select(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, accuracy)).first()[0]
     return sorted(set(found or []))
 
 
 def part_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the id, by bisection; a null id is before all."""
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(doc_id >= bounds[middle], between(middle + 1, high)).otherwise(between(low, middle))
-
-    return between(0, len(bounds))
-
-
-def default_parts(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """How many bounds are at or below the id, by bisection of an array; a null id is before all."""
+    depth = len(bounds).bit_length()
+    filled = bounds + [(1 << 63) - 1] * ((1 << depth) - 1 - len(bounds))
+    if not filled:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")  # folded to one constant
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(depth))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= doc_id, at + step).otherwise(at))
+    return F.least(found, F.lit(len(bounds)))
+
+
+def plain_texts(batches: Iterable[pd.Series]) -> Iterator[str]:
+    """The texts of a column's batches, null as empty."""
+    return (text or "" for texts in batches for text in texts)
+
+
+def frames(rows: Iterable[tuple], columns: list[str], size: int = 1000) -> Iterator[pd.DataFrame]:
+    """Rows in frames, for a column function that reads its batches ahead."""
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        yield pd.DataFrame(some, columns=columns)

@@ -139,7 +139,7 @@ def with_following(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def lz_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    return with_following(docs, parts or default_parts(docs.sparkSession)).mapInArrow(_prints, ROWS)
+    return with_following(docs, parts or default_parts(docs)).mapInArrow(_prints, ROWS)
 
 
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

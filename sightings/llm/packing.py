@@ -13,6 +13,7 @@ documents, told apart by their text, and rows that repeat entirely are packed as
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 from zlib import crc32
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightings.llm.chunk_tokens import encoder
+from sightings.llm.chunk_tokens import encoder, texts_of
 from sightings.llm.common import documents
 from sightings.session import staged
 
@@ -30,6 +31,8 @@ CAPACITY = 2048
 END = 0
 # Pieces of one length are numbered in hashed parts: so many at least, and one for so many pieces.
 PARTS, PART_ROWS = 64, 1_000_000
+# Rows of an Arrow batch that a task hands back.
+ROWS = 5000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -105,18 +108,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to pieces; a long document's first piece has what the full ones leave."""
     tail = np.array([end], "<u4").tobytes()
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-        rows: list[tuple] = []
-        for doc_id, tokens in zip(ids, encoder(path, False).encode(texts), strict=True):
-            tokens += tail
-            total = len(tokens) // 4
-            cut = total % capacity or min(total, capacity)
-            for piece, (a, b) in enumerate(zip([0, *range(cut, total, capacity)], [*range(cut, total + 1, capacity)], strict=True)):
-                rows.append((doc_id, piece, a, b - a, crc32(tokens[4 * a : 4 * b])))
-        columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * 5
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    doc_ids: deque[int | None] = deque()
+    rows: list[tuple] = []
+    for tokens in encoder(path, False).encode(texts_of(batches, doc_ids)):
+        doc_id = doc_ids.popleft()
+        tokens += tail
+        total = len(tokens) // 4
+        cut = total % capacity or min(total, capacity)
+        for piece, (a, b) in enumerate(zip([0, *range(cut, total, capacity)], [*range(cut, total + 1, capacity)], strict=True)):
+            rows.append((doc_id, piece, a, b - a, crc32(tokens[4 * a : 4 * b])))
+        if len(rows) >= ROWS:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

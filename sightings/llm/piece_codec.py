@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from hashlib import sha256
 
 import pandas as pd
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightings.llm.chunk_tokens import UINT32, Memo, slices
-from sightings.llm.common import documents
+from sightings.llm.common import documents, frames, plain_texts
 
 MARK = "▁"  # stands for a space in pieces
 _SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -102,7 +102,7 @@ class PieceCodec:
         if wrong:
             raise ValueError(f"sentencepiece encodes otherwise: {wrong[:3]!r}")
 
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Begin id, ids and end id of every text, as little-endian unsigned 32-bit integers."""
         for some in slices(texts):
             lists = [self.segments(text) for text in some]
@@ -137,40 +137,29 @@ def codec(path: str) -> PieceCodec:
     return _CODECS[path]
 
 
-def _encoded(batches: Iterator[pd.Series], path: str) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(list(codec(path).encode([x or "" for x in texts])), dtype="object")
-
-
-def _digests(batches: Iterator[pd.Series], path: str) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows: list[tuple] = []
-        for some in slices([x or "" for x in texts]):
-            ids = list(codec(path).encode(some))
-            decoded = codec(path).decode(ids)
-            rows += [(len(x) // 4, sha256(x).hexdigest(), sha256(d.encode("utf-8")).hexdigest()) for x, d in zip(ids, decoded, strict=True)]
-        yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+def _rows(batches: Iterator[pd.Series], path: str) -> Iterator[tuple[int, str, str]]:
+    for some in slices(plain_texts(batches)):
+        ids = list(codec(path).encode(some))
+        for one, decoded in zip(ids, codec(path).decode(ids), strict=True):
+            yield len(one) // 4, sha256(one).hexdigest(), sha256(decoded.encode("utf-8")).hexdigest()
 
 
 def encode(text: Column, path: str) -> Column:
     """Begin id, ids and end id of a text column, as bytes of little-endian unsigned 32-bit integers."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return _encoded(batches, path)
+        ids = ((x,) for x in codec(path).encode(plain_texts(batches)))
+        return (frame["ids"] for frame in frames(ids, ["ids"]))
 
     return F.pandas_udf(of, "binary")(text)
 
 
-def _decoded(batches: Iterator[pd.Series], path: str) -> Iterator[pd.Series]:
-    for ids in batches:
-        yield pd.Series(codec(path).decode([x or b"" for x in ids]), dtype="object")
-
-
 def decode(ids: Column, path: str) -> Column:
     """The text of a column that encode() made; null as no ids."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return _decoded(batches, path)
+        for some in batches:
+            yield pd.Series(codec(path).decode([x or b"" for x in some]), dtype="object")
 
     return F.pandas_udf(of, "string")(ids)
 
@@ -179,7 +168,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id with count and digests of its ids and of what they decode to; ids never leave the task."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _digests(batches, path)
+        return frames(_rows(batches, path), ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = F.pandas_udf(of, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")(F.col("text"))
     return docs.select("doc_id", made.alias("made")).select("doc_id", "made.*")

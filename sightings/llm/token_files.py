@@ -19,6 +19,7 @@ their text, a null id comes first; no rows make no segments.
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
 from functools import partial
 from zlib import crc32
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightings.llm.chunk_tokens import encoder
+from sightings.llm.chunk_tokens import encoder, texts_of
 from sightings.llm.common import default_parts, documents, id_bounds, part_of
 from sightings.session import scratch_path
 
@@ -119,17 +120,16 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         names = ["shard", "segment", "first", "n_ids", "doc_ids", "doc_starts", "block_starts", "payload"]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
-    for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path, True).encode(texts), strict=True):
-            doc_ids.append(doc_id)
-            starts.append(size)
-            held.append(ids + tail)
-            size += len(ids) // 4 + 1
-            if size >= SEGMENT:
-                yield closed()
-                segment, first, size = segment + 1, first + size, 0
-                doc_ids, starts, held = [], [], []
+    ids_in_turn: deque[int | None] = deque()
+    for ids in encoder(path, True).encode(texts_of(batches, ids_in_turn)):
+        doc_ids.append(ids_in_turn.popleft())
+        starts.append(size)
+        held.append(ids + tail)
+        size += len(ids) // 4 + 1
+        if size >= SEGMENT:
+            yield closed()
+            segment, first, size = segment + 1, first + size, 0
+            doc_ids, starts, held = [], [], []
     if held:
         yield closed()
 
@@ -137,7 +137,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
 def write(docs: DataFrame, folder: str, path: str, end: int = END, shards: int | None = None) -> None:
     """Tokenises the documents in ascending id order and writes ``folder``/segments and ``folder``/shards."""
     spark = docs.sparkSession
-    bounds = id_bounds(docs, shards or default_parts(spark))
+    bounds = id_bounds(docs, shards or default_parts(docs))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = rows.withColumn("part", part_of(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, "part")
     rows = rows.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
