@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -29,14 +29,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightings.llm.chunk_tokens import Memo, slices
-from sightings.llm.common import documents, held_out, unused
+from sightings.llm.common import documents, frames, held_out, plain_texts, unused
 
 # Labelled documents that the field is fitted on, at most, and the longest text among them.
 TOXIC, CLEAN, SAMPLE_CHARS = 1000, 4000, 20_000
 # A toxic word: so many times as frequent in toxic documents, in so many of them and between so many neighbours.
 RATIO, SUPPORT = 20, 5  # or one in a hundred, if that is more
 PLACES = 1 << 21
-STEPS, STEP, PENALTY = 50, 0.5, 1e-4
+STEPS, STEP, PENALTY = 30, 0.5, 1e-4
+# Longer sentences are scored, but not trained on.
+SENTENCE = 200
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 _STOPS = frozenset(".!?\n")
 _STOP = ""  # between sentences
@@ -136,7 +138,7 @@ def _emission(ids: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.nd
 class Scorer:
     """A field and a memo of its words, kept by a Python worker."""
 
-    def __init__(self, model: Field, generation: int = 300_000):
+    def __init__(self, model: Field, generation: int = 150_000):
         self.model, self.memo = model, Memo(generation)
 
     def marginals(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
@@ -171,7 +173,7 @@ class Scorer:
                 open_run = True
         return out
 
-    def score(self, texts: Sequence[str]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+    def score(self, texts: Iterable[str]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
         if not self.model.trained:
             yield from ((0.0, []) for _ in texts)
             return
@@ -187,24 +189,31 @@ def _keys(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (6, 5, 4) if len(word) > n)]
 
 
-def toxic_keys(toxic: Sequence[list[str]], clean: Sequence[list[str]]) -> set[str]:
+def toxic_keys(toxic: Sequence[list[str]], clean: Iterable[list[str]]) -> set[str]:
     """Words and beginnings of words that mark the toxic documents, as the module says."""
-    clean_docs = Counter(key for words in clean for key in {k for w in words for k in _keys(w)})
+    counts = Counter(key for words in toxic for key in {k for w in set(words) for k in _keys(w)})
+    counts = {key: n for key, n in counts.items() if n > 1}
+    clean_docs: Counter[str] = Counter()
+    n_clean = 0
+    for words in clean:
+        clean_docs.update({k for w in set(words) for k in _keys(w)} & counts.keys())
+        n_clean += 1
+    rate = max(1e-9, len(toxic)) / max(1, n_clean)
+    ratio = {key: n / rate / (clean_docs[key] + 0.5) for key, n in counts.items()}
+    ratio = {key: r for key, r in ratio.items() if r >= RATIO / 4}
     docs: dict[str, set[int]] = defaultdict(set)
     places: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for i, words in enumerate(toxic):
         for j, word in enumerate(words):
             if word:
-                around = words[j - 1] if j else "", words[j + 1]
                 for key in _keys(word):
-                    docs[key].add(i)
-                    places[key].add(around)
-    least = max(1e-9, len(toxic)) / max(1, len(clean))
-    ratio = {key: len(found) / least / (clean_docs[key] + 0.5) for key, found in docs.items()}
+                    if key in ratio:
+                        docs[key].add(i)
+                        places[key].add((words[j - 1] if j else "", words[j + 1]))
     support = max(SUPPORT, len(toxic) // 100)
     chosen = {key for key, found in docs.items() if ratio[key] >= RATIO and min(len(found), len(places[key])) >= support}
     open_docs = set(range(len(toxic))) - {i for key in chosen for i in docs[key]}
-    likely = [key for key in docs if key not in chosen and ratio[key] >= RATIO / 4 and len(places[key]) > 1]
+    likely = [key for key in docs if key not in chosen and len(places[key]) > 1]
     while open_docs and likely:
         best = max(likely, key=lambda key: (len(docs[key] & open_docs), -clean_docs[key], len(key), key))
         if len(docs[best] & open_docs) < max(2, len(toxic) // 200):
@@ -218,13 +227,13 @@ def toxic_keys(toxic: Sequence[list[str]], clean: Sequence[list[str]]) -> set[st
 def train(toxic: Sequence[str], clean: Sequence[str]) -> Field:
     """A field from texts of toxic and of clean documents."""
     model = Field()
-    bad, good = [tokens(x) for x in toxic], [tokens(x) for x in clean]
-    keys = toxic_keys(bad, good)
+    bad = [tokens(x) for x in toxic]
+    keys = toxic_keys(bad, map(tokens, clean))
     if not keys:
         return model
     marked = {w: any(k in keys for k in _keys(w)) for words in bad for w in words if w}
-    # sentences with toxic tokens, the others of toxic documents, and as many again of clean ones
-    lists = bad + good[: max(1, len(bad))]
+    # all sentences of the toxic documents, and those of half as many clean ones
+    lists = bad + [tokens(x) for x in clean[: max(1, len(bad) // 2)]]
     flat, sizes = _flat(lists)
     index = {word: i for i, word in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
@@ -233,17 +242,21 @@ def train(toxic: Sequence[str], clean: Sequence[str]) -> Field:
     tag = (is_marked[ids] & from_bad).astype(float)
     stop = ids == index[_STOP]
     starts, lengths = _runs(stop)
+    short = lengths <= SENTENCE
+    starts, lengths = starts[short], lengths[short]
+    inside = np.zeros(len(ids), bool)
+    inside[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = True
     own = np.array([features(word) if word else [0] * 6 for word in index])
     around = np.array([neighbours(word) for word in index])
     has_word = np.array([bool(word) for word in index])
-    inner = np.flatnonzero(~stop[1:] & ~stop[:-1])  # tokens followed by a token of their sentence
+    inner = np.flatnonzero(inside[1:] & inside[:-1])  # tokens followed by a token of their sentence
     seen = np.array([[((tag[inner] == i) & (tag[inner + 1] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     w, sums, follow_sums = np.zeros(PLACES), np.full(PLACES, 1e-8), np.full((2, 2), 1e-8)
     many = len(index)
     for _ in range(STEPS):
         emission = _emission(ids, np.where(has_word, w[own].sum(1), 0.0), w[around[:, 0]], w[around[:, 1]])
         marginal, pairs = model.chains(emission, starts, lengths, expect=True)
-        miss = np.where(stop, 0.0, tag - marginal)
+        miss = np.where(inside, tag - marginal, 0.0)
         by_word = np.bincount(ids, miss, many)
         gradient = np.bincount(own[has_word].ravel(), np.repeat(by_word[has_word], own.shape[1]), PLACES)
         gradient += np.bincount(around[:, 0], np.bincount(ids[:-1], miss[1:], many), PLACES)
@@ -285,11 +298,9 @@ def judge(text: Column, model: Broadcast[Field]) -> Column:
     """struct(score, spans) of a text column; spans are struct(start, end, score) in characters."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(model.value)
-        for texts in batches:
-            rows = list(scorer.score([x or "" for x in texts]))
-            spans = [[{"start": a, "end": b, "score": p} for a, b, p in found] for _, found in rows]
-            yield pd.DataFrame({"score": [s for s, _ in rows], "spans": spans})
+        judged = _scorer(model.value).score(plain_texts(batches))
+        rows = ((score, [{"start": a, "end": b, "score": p} for a, b, p in spans]) for score, spans in judged)
+        return frames(rows, ["score", "spans"])
 
     return F.pandas_udf(of, "score double, spans array<struct<start:int,end:int,score:double>>")(text)
 
