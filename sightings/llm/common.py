@@ -47,13 +47,20 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """The rows of docs that keepers (doc_id, text_hash) name, in docs' own columns; of repeated rows one."""
-    mark, key, hashed = unused(docs.columns, "text_hash", "keeper_id", "keeper_hash")
-    keepers = keepers.select(F.col("doc_id").alias(key), F.col("text_hash").alias(hashed))
-    marked = docs.withColumn(mark, text_hash(F.col("text")))
-    same = marked["doc_id"].eqNullSafe(keepers[key]) & (marked[mark] == keepers[hashed])
-    return marked.join(keepers, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
+def keep_rows(docs: DataFrame, keepers: DataFrame, mark: Column, kept_id: str, kept_mark: str) -> DataFrame:
+    """The rows of docs whose id and ``mark`` are some keeper's, in docs' own columns; of repeated rows one.
+
+    Null ids are equal.  The keys are columns of both sides, so that rows with the same keys meet in the join's
+    partition, where one of them is taken: the texts are shuffled once.
+    """
+    none, number, hashed = keys = unused([*docs.columns, *keepers.columns], "no_id", "keeper_id", "keeper_mark")
+
+    def keyed(rows: DataFrame, row_id: str, row_mark: Column) -> DataFrame:
+        of_id = F.col(row_id).cast("bigint")
+        return rows.withColumns({none: of_id.isNull(), number: F.coalesce(of_id, F.lit(0)), hashed: row_mark})
+
+    named = keyed(keepers, kept_id, F.col(kept_mark)).select(*keys)
+    return keyed(docs, "doc_id", mark).join(named, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 # Rows of a part, about: a part of long texts is sorted by one task, on disk where it must.

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightings.llm.common import documents, unused
+from sightings.llm.common import documents, keep_rows
 from sightings.session import shared_folder, staged
 
 # Digests a bucket should hold at most: about 200 MB, sorted within one task's memory.
@@ -112,13 +112,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = digests(docs)
     index = DigestIndex.for_rows(spark, rows.count())
     kept = index.add(first_rows(rows)).select("digest", "keep_id")
-    mark, key = unused(docs.columns, "digest", "keep_id")
-    kept = kept.select(F.col("digest").alias(mark), F.col("keep_id").alias(key))
-    marked = docs.withColumn(mark, digest(F.col("text")))
-    same = (marked[mark] == kept[mark]) & marked["doc_id"].eqNullSafe(kept[key])
-    # rows with one id and one text meet in the join's partition, where one of them is taken
-    out = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark])
-    return out.select(*docs.columns)
+    never_null = F.coalesce(digest(F.col("text")), F.lit(b""))  # else the planner would test it for null, computing it twice
+    return keep_rows(docs, kept, never_null, "keep_id", "digest")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

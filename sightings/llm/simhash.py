@@ -220,7 +220,7 @@ def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     own = prints.groupBy("print").agg(first.alias("first")).join(root, "print")
     kept = own.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
-    return keep_rows(docs, kept)
+    return keep_rows(docs, kept, text_hash(F.col("text")), "doc_id", "text_hash")
 
 
 def hex_print(column: Column) -> Column:
