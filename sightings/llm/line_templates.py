@@ -57,30 +57,30 @@ def _leaf(tokens: Column) -> Column:
 
 
 def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
-    """(line) for every masked line whose template recurs."""
+    """(said), the hash of every masked line whose template recurs."""
     lines = masked(docs).select(F.explode(F.array_distinct(F.split("masked", "\n"))).alias("line")).where("line <> ''")
     leaf = F.xxhash64(_leaf(F.split("line", " ")))
     leaves = lines.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf")
     leaves = staged(leaves, "leaves")
     likely = lines.withColumn("leaf", leaf).join(leaves, "leaf", "left_semi")
     known = staged(likely.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "leaf-lines")
-    known = known.withColumn("tokens", F.split("line", " ")).withColumn("path", _leaf(F.col("tokens")))
-    each = known.select("line", "n", "path", F.posexplode("tokens").alias("place", "token"))
-    held = each.groupBy("path", "place", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= support)
-    # a line's constants, in order; the tokens that lead are constants by the path
-    kept = each.join(held.drop("held"), ["path", "place", "token"], "left_semi")
-    constants = kept.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constants"))
-    shaped = known.select("line", "n", "path", F.size("tokens").alias("size")).join(constants, "line")
-    shaped = shaped.where(F.size(F.filter("constants", lambda c: c["token"] != FIELD)) >= constant * F.col("size"))
-    shaped = staged(shaped.select("line", "n", F.xxhash64("path", "constants").alias("template")), "templates")
+    # from here on a line, and a token at its place in its leaf, are 64-bit hashes: rows are narrow whatever the texts
+    known = known.withColumn("tokens", F.split("line", " ")).withColumn("path", F.xxhash64(_leaf(F.col("tokens"))))
+    each = known.select(F.xxhash64("line").alias("said"), "n", F.size("tokens").alias("size"), "path", F.posexplode("tokens").alias("place", "token"))
+    each = each.select("said", "n", "size", F.xxhash64("path", "place", "token").alias("slot"), (F.col("token") != FIELD).cast("int").alias("fixed"))
+    held = each.groupBy("slot").agg(F.sum("n").alias("held")).where(F.col("held") >= support).select("slot")
+    # a line's constants; a slot has its leaf and place in it, so equal sets are equal templates
+    kept = each.join(held, "slot", "left_semi")
+    shaped = kept.groupBy("said", "n", "size").agg(F.xxhash64(F.sort_array(F.collect_list("slot"))).alias("template"), F.sum("fixed").alias("fixed"))
+    shaped = staged(shaped.where(F.col("fixed") >= constant * F.col("size")).select("said", "n", "template"), "templates")
     often = shaped.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("template")
-    return shaped.join(often, "template", "left_semi").select("line")
+    return shaped.join(often, "template", "left_semi").select("said")
 
 
 def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """docs' columns with the text without its recurring lines, and n_lines and n_dropped (which see)."""
     hashed, ids, dropped, key, lines, gone = unused(docs.columns, "text_hash", "key_id", "dropped", "key_hash", "n_lines", "n_dropped")
-    said = staged(recurring(docs, support, constant).select(F.xxhash64("line").alias("said")).distinct(), "recurring-lines")
+    said = staged(recurring(docs, support, constant), "recurring-lines")
     places = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
     places = places.select("doc_id", "hash", F.posexplode(F.split("masked", "\n")).alias("place", "line"))
     places = places.select("doc_id", "hash", "place", F.xxhash64("line").alias("said")).join(said, "said", "left_semi")
