@@ -1,0 +1,173 @@
+"""Near copies for the pipeline: an exact set-similarity join on word shingles, and one document of each component.
+
+A text is the set of its five-word shingles; two texts are near copies if their sets' Jaccard likeness is four fifths
+or more.  Such sets share so much that, in any order of all shingles, they meet in the first ``n - ceil(0.8 n) + 1``
+of either (prefix filter).  The order has common shingles last, as a bounded sample of the texts tells them, and goes
+by hash otherwise; it decides how many pairs are looked at, never which are found.
+
+Pairs are not listed inside a group of near copies: in each bucket of a shared shingle the members are first held
+against one of them, in several rounds with another one each, and what that links is one component.  Only pairs of
+different components are listed in the end.  Every link is counted over the whole sets.
+
+Defined cases: texts with equal sets count once; texts without words have the empty set and are alike; a text of
+fewer than five words has itself as its shingle.  Shingles are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sightings.llm.common import keep_rows, text_hash
+from sightings.llm.components import components
+from sightings.session import staged
+
+WORDS, SEED = 5, 42
+# Texts that tell which shingles are common, in so many of them and at most so many shingles.
+SAMPLE, COMMON, MOST = 4000, 5, 200_000
+# Rounds that hold buckets against one member; another follows while a round links at least so many.
+ROUNDS, ENOUGH = 6, 100
+_SETS = "doc_id bigint, text_hash bigint, node bigint, n int, shingles array<bigint>"
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """A hash for every run of so many words; a shorter text is one run."""
+    from xxhash import xxh64_intdigest
+
+    parts = (text or "").encode("utf-8", "replace").lower().split()  # ASCII white space, ASCII case
+    if not parts:
+        return np.empty(0, "<u8")
+    joined = b" ".join(parts)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes).tolist()
+    last = ends[words - 1 :].tolist() or ends[-1:].tolist()
+    shingles = [joined[a:b] for a, b in zip(starts, last)]
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
+
+
+def _lists(some: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i8"), *some])))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(text, WORDS)).view("<i8") for text in batch.column(2).to_pylist()]
+        node = np.fromiter((xxh64_intdigest(x.tobytes(), SEED) for x in sets), "<u8", len(sets)).view("<i8")
+        n = pa.array([len(x) for x in sets], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, _lists(sets)], ["doc_id", "text_hash", "node", "n", "shingles"])
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, n, shingles), written once; node names the set."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash(F.col("text")).alias("text_hash"), "text")
+    return staged(rows.mapInArrow(_sets, _SETS), "shingle-sets")
+
+
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    every = max(1, sets.count() // SAMPLE)
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).limit(2 * SAMPLE).select(F.explode("shingles").alias("key"))
+    found = sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(MOST).collect()], np.int64))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, node, n): the first shingles of every set, without repeated rows."""
+    shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keys = []
+            for x in batch.column(2):
+                x = x.values.to_numpy()
+                if len(common):
+                    late = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
+                keys.append(x[: len(x) - (4 * len(x) + 4) // 5 + 1])
+            sizes = [len(x) for x in keys]
+            key = np.concatenate([np.empty(0, np.int64), *keys])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, sizes)), pa.array(np.repeat(n, sizes))], ["key", "node", "n"])
+
+    rows = sets.where("n > 0").select("node", "n", "shingles").mapInArrow(first, "key bigint, node bigint, n int").distinct()
+    # a shingle of one set joins nothing
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
+    return staged(staged(rows, "all-prefixes").join(several, "key", "left_semi"), "prefixes")
+
+
+def _need(a: Column, b: Column) -> Column:
+    """The least overlap of two sets of these sizes: 9 i >= 4 (a + b) is a Jaccard likeness of 4/5."""
+    return F.floor((4 * (a + b) + 8) / 9)
+
+
+def _likely(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the rows (u, n_u, v, n_v), a row per shared shingle of the prefixes, that can be near copies.
+
+    Of the set whose prefix ends first, all shared shingles up to there are among the rows.
+    """
+    least, most = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    counted = pairs.where(5 * least >= 4 * most).groupBy("u", "n_u", "v", "n_v").agg(F.count(F.lit(1)).alias("met"))
+    return counted.where(F.col("met") + F.floor((4 * most + 4) / 5) - 1 >= _need(F.col("n_u"), F.col("n_v"))).select("u", "v")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are alike, counted over the whole sets."""
+    pairs = staged(pairs, "likely-pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    own = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    own = staged(own, "likely-sets")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = both.join(own.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return staged(both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "near-pairs")
+
+
+def _ordered(left: tuple[str, str], right: tuple[str, str]) -> list[Column]:
+    """u, n_u, v, n_v with the lower node first."""
+    (a, n_a), (b, n_b) = left, right
+    low, high = F.least(F.struct(a, n_a), F.struct(F.col(b).alias(a), F.col(n_b).alias(n_a))), F.greatest(F.struct(a, n_a), F.struct(F.col(b).alias(a), F.col(n_b).alias(n_a)))
+    return [low[a].alias("u"), low[n_a].alias("n_u"), high[a].alias("v"), high[n_a].alias("n_v")]
+
+
+def near_pairs(sets: DataFrame) -> DataFrame:
+    """Links (u, v) between different sets that join all near copies."""
+    prefix = prefixes(sets)
+    found, rows = None, prefix.withColumn("root", F.col("node"))
+    for turn in range(ROUNDS):
+        one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("mid"), F.col("n").alias("n_mid"), F.col("root").alias("mid_root")))
+        mids = rows.groupBy("key").agg(one.alias("one")).select("key", "one.mid", "one.n_mid", "one.mid_root")
+        star = rows.join(mids, "key").where("root <> mid_root").select(*_ordered(("node", "n"), ("mid", "n_mid")))
+        links = _checked(_likely(star), sets)
+        found = links if found is None else found.unionByName(links)
+        new = links.count()
+        if new:
+            roots = components(found).select("node", "root")
+            rows = prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            # buckets of a single component have no more links to give
+            open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+            rows = staged(rows.join(open_keys, "key", "left_semi"), "open-prefixes")
+        if new < ENOUGH:
+            break
+    other = rows.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    pairs = rows.join(other, "key").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("node_b").alias("v"), F.col("n_b").alias("n_v"))
+    return found.unionByName(_checked(_likely(pairs), sets))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component of near copies stays, that of the smallest id (null last); docs' own columns."""
+    sets = sets_of(docs)
+    roots = components(near_pairs(sets))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    own = sets.groupBy("node").agg(first.alias("first")).join(roots, "node", "left")
+    kept = own.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    return keep_rows(docs, kept, text_hash(F.col("text")), "doc_id", "text_hash")

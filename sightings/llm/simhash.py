@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightings.llm.common import documents, keep_rows, text_hash
+from sightings.llm.common import documents, text_hash
 from sightings.llm.components import components
+from sightings.llm.near_copies import drop_near_copies, shingle_hashes  # noqa: F401  (the pipeline's stage is known here)
 from sightings.session import staged
 
-BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
+BITS, RADIUS, WORDS = 64, 4, 4
 # Fingerprints that are compared at once in a bucket: 4 MB of distances.
 BUCKET = 2000
 LEVELS = 3
@@ -36,18 +36,9 @@ LEVELS = 3
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """A bit is 1 if it is set in over half of the hashes of the text's shingles; signed, as Spark's bigint."""
-    from xxhash import xxh64_intdigest
-
-    parts = (text or "").encode("utf-8", "replace").lower().split()  # ASCII white space, ASCII case
-    if not parts:
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
         return 0
-    joined = b" ".join(parts)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes).tolist()
-    last = ends[words - 1 :].tolist() or ends[-1:].tolist()
-    shingles = [joined[a:b] for a, b in zip(starts, last)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(shingles))
     counts = np.zeros(BITS, np.int64)
     for begin in range(0, len(hashes), 100_000):
         some = hashes[begin : begin + 100_000]
@@ -213,16 +204,6 @@ def label(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     return prints.join(root.join(first, "root").select("print", "component_id"), "print")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component stays, that of the smallest id (null last); docs' own columns."""
-    prints = fingerprints(docs)
-    root = groups(prints, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    own = prints.groupBy("print").agg(first.alias("first")).join(root, "print")
-    kept = own.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
-    return keep_rows(docs, kept, text_hash(F.col("text")), "doc_id", "text_hash")
-
-
 def hex_print(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
