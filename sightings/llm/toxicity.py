@@ -36,8 +36,8 @@ TOXIC, CLEAN, SAMPLE_CHARS = 1000, 4000, 20_000
 # A toxic word: so many times as frequent in toxic documents, in so many of them and between so many neighbours.
 RATIO, SUPPORT = 20, 5  # or one in a hundred, if that is more
 PLACES = 1 << 21
-STEPS, STEP, PENALTY = 30, 0.5, 1e-4
-# Longer sentences are scored, but not trained on.
+STEPS, STEP, PENALTY = 50, 0.5, 1e-4
+# Longer sentences are trained on in chains of so many tokens; they are scored whole.
 SENTENCE = 200
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 _STOPS = frozenset(".!?\n")
@@ -73,6 +73,14 @@ def _runs(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[sizes > 0], sizes[sizes > 0]
 
 
+def _cut(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same runs in parts of at most so many tokens."""
+    parts = -(-sizes // most)
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(starts, parts) + most * number
+    return begin, np.minimum(np.repeat(starts + sizes, parts) - begin, most)
+
+
 @dataclass
 class Field:
     """Weights of the features for the toxic tag, and the scores of tags that follow each other."""
@@ -232,8 +240,8 @@ def train(toxic: Sequence[str], clean: Sequence[str]) -> Field:
     if not keys:
         return model
     marked = {w: any(k in keys for k in _keys(w)) for words in bad for w in words if w}
-    # all sentences of the toxic documents, and those of half as many clean ones
-    lists = bad + [tokens(x) for x in clean[: max(1, len(bad) // 2)]]
+    # all sentences of the toxic documents, and those of as many clean ones
+    lists = bad + [tokens(x) for x in clean[: max(1, len(bad))]]
     flat, sizes = _flat(lists)
     index = {word: i for i, word in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
@@ -241,22 +249,22 @@ def train(toxic: Sequence[str], clean: Sequence[str]) -> Field:
     is_marked = np.array([marked.get(word, False) for word in index])
     tag = (is_marked[ids] & from_bad).astype(float)
     stop = ids == index[_STOP]
-    starts, lengths = _runs(stop)
-    short = lengths <= SENTENCE
-    starts, lengths = starts[short], lengths[short]
-    inside = np.zeros(len(ids), bool)
-    inside[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())] = True
+    if not tag.any():
+        return model
+    starts, lengths = _cut(*_runs(stop), SENTENCE)
+    goes_on = ~stop
+    goes_on[starts + lengths - 1] = False
     own = np.array([features(word) if word else [0] * 6 for word in index])
     around = np.array([neighbours(word) for word in index])
     has_word = np.array([bool(word) for word in index])
-    inner = np.flatnonzero(inside[1:] & inside[:-1])  # tokens followed by a token of their sentence
+    inner = np.flatnonzero(goes_on)  # tokens followed by a token of their chain
     seen = np.array([[((tag[inner] == i) & (tag[inner + 1] == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     w, sums, follow_sums = np.zeros(PLACES), np.full(PLACES, 1e-8), np.full((2, 2), 1e-8)
     many = len(index)
     for _ in range(STEPS):
         emission = _emission(ids, np.where(has_word, w[own].sum(1), 0.0), w[around[:, 0]], w[around[:, 1]])
         marginal, pairs = model.chains(emission, starts, lengths, expect=True)
-        miss = np.where(inside, tag - marginal, 0.0)
+        miss = np.where(stop, 0.0, tag - marginal)
         by_word = np.bincount(ids, miss, many)
         gradient = np.bincount(own[has_word].ravel(), np.repeat(by_word[has_word], own.shape[1]), PLACES)
         gradient += np.bincount(around[:, 0], np.bincount(ids[:-1], miss[1:], many), PLACES)

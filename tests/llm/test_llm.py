@@ -347,6 +347,23 @@ def test_toxicity_query_and_cases(spark, edge):
     assert toxicity.drop_toxic(edge.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxic_words_in_texts_without_stops():
+    rng = random.Random(7)
+    plain = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+
+    def text(bad):
+        words = rng.choices(plain, k=toxicity.SENTENCE + 150)
+        if bad:
+            words[rng.randrange(len(words))] = rng.choice(["scoundrel", "villain"])
+        return " ".join(words)
+
+    model = toxicity.train([text(True) for _ in range(60)], [text(False) for _ in range(120)])
+    scores = np.array([s for s, _ in toxicity.Scorer(model).score([text(True) for _ in range(30)] + [text(False) for _ in range(30)])])
+    assert model.trained and (scores[:30] >= 0.5).mean() > 0.95 and (scores[30:] >= 0.5).mean() < 0.05
+    starts, sizes = toxicity._cut(np.array([0, 5, 20]), np.array([4, 10, 5]), 5)
+    assert starts.tolist() == [0, 5, 10, 20] and sizes.tolist() == [4, 5, 5, 5]
+
+
 # 8 packing
 
 
