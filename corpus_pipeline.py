@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sightings.llm.common import documents, prepare
 from sightings.llm.exact_dedup import drop_copies
 from sightings.llm.language_id import drop_unknown
-from sightings.llm.near_copies import drop_near_copies
 from sightings.llm.packing import pack_documents
+from sightings.llm.simhash import drop_near_copies
 from sightings.llm.toxicity import drop_toxic
 from sightings.session import staged
 
@@ -38,7 +38,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near copies stays, those of a likeness of 0.8 over five-word shingles."""
+    """Operator 9: one document of each group of near copies stays; four-word shingles, fingerprints within four bits."""
     prepare(spark)
     return drop_near_copies(docs)
 

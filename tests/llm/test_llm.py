@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from conftest import SF_DIR
 from sightings.llm import (
-    chunk_tokens, common, components, exact_dedup, language_id, license_scan, line_templates, lz_fingerprint, near_copies, packing, piece_codec,
+    chunk_tokens, common, components, exact_dedup, language_id, license_scan, line_templates, lz_fingerprint, packing, piece_codec,
     simhash, token_files, toxicity,
 )
 from sightings.llm.registry import ORACLES, QUERIES
@@ -494,33 +494,6 @@ def test_simhash_cases(spark, edge):
     assert simhash.drop_near_copies(edge.limit(0)).count() == 0
 
 
-def test_near_copies_equal_all_pairs(spark, monkeypatch):
-    rng = random.Random(8)
-    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
-    bases = [rng.choices(words, k=rng.choice([6, 30, 80, 200])) for _ in range(40)] + [rng.choices(words, k=100)] * 25
-    rows = []
-    for base in bases:
-        for share in (0, 0.01, 0.02, 0.03, 0.05):
-            text = [rng.choice(words) if rng.random() < share else w for w in base]
-            rows.append((len(rows), " ".join(text[: len(text) - rng.randint(0, len(text) // 5)])))
-    rows += [(len(rows), rows[3][1].upper()), (len(rows) + 1, ""), (len(rows) + 2, " \n")]
-    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in rows]
-    first = list(range(len(rows)))
-    for i in range(len(rows)):
-        todo = [i] if first[i] == i else []
-        while todo:
-            at = todo.pop()
-            for j in range(i + 1, len(rows)):
-                if first[j] == j and 5 * len(sets[at] & sets[j]) >= 4 * len(sets[at] | sets[j]):
-                    first[j] = i
-                    todo.append(j)
-    likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a]
-    assert sum(0.8 <= x < 0.9 for x in likeness) > 50
-    for enough in (1, 10**9):
-        monkeypatch.setattr(near_copies, "ENOUGH", enough)
-        assert {r.doc_id for r in near_copies.drop_near_copies(_tables(spark, rows)).collect()} == set(first)
-
-
 # 10 exact dedup
 
 
