@@ -1,18 +1,13 @@
-"""Points joined to polygons: equi-join on grid cells, exact test as the residual."""
+"""Points joined to polygons: equi-join on the cells of an adaptive covering, exact test as the residual."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightings.operators.covering import BASE, cell_of, covering, levels_in_use
 from sightings.operators.geo import crosses_right, touches
-
-
-def ring_edges(ring: Column) -> Column:
-    """``array<struct<x,y>>`` (closed) to an array of edges."""
-    starts, ends = F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1)
-    return F.zip_with(starts, ends, lambda a, b: F.struct(
-        a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
+from sightings.session import staged
 
 
 def polygon_contains(edges: Column, lat: Column, lon: Column) -> Column:
@@ -22,48 +17,23 @@ def polygon_contains(edges: Column, lat: Column, lon: Column) -> Column:
     return inside | F.exists(edges, lambda e: touches(lon, lat, e["x0"], e["y0"], e["x1"], e["y1"]))
 
 
-def layer_cells(layer: DataFrame, cell_degrees: float) -> DataFrame:
-    """One row per polygon and grid cell its bounding box meets, with the edges that matter there.
-
-    A polygon has a ``ring``, or ``rings`` for holes and parts.  A point of a cell is only
-    ever compared with edges that reach the cell's latitudes and do not end west of
-    it; the others are dropped before the join, and cells left without edges with them.
-    """
-    if "rings" in layer.columns:
-        corners, edges = F.flatten("rings"), F.flatten(F.transform("rings", ring_edges))
-    else:
-        corners, edges = F.col("ring"), ring_edges(F.col("ring"))
-
-    def cells(axis: str) -> Column:
-        values = F.transform(corners, lambda p: p[axis])
-        low = F.floor(F.array_min(values) / cell_degrees).cast("int")
-        high = F.floor(F.array_max(values) / cell_degrees).cast("int")
-        return F.explode(F.sequence(low, high))
-
-    south, west = F.col("cell_y") * cell_degrees, F.col("cell_x") * cell_degrees
-
-    def matters(e: Column) -> Column:
-        return ((F.greatest(e["y0"], e["y1"]) >= south) & (F.least(e["y0"], e["y1"]) <= south + cell_degrees)
-                & (F.greatest(e["x0"], e["x1"]) >= west))
-
-    named = layer.withColumn("edges", edges).withColumn("cell_x", cells("x")).withColumn("cell_y", cells("y"))
-    cut = named.drop("ring", "rings").withColumn("edges", F.filter("edges", matters))
-    return cut.filter(F.size("edges") > 0)
-
-
-def join_layer(points: DataFrame, layer: DataFrame, lat: str, lon: str, cell_degrees: float = 5.0) -> DataFrame:
-    """Inner join of points and the polygons of a layer that contain them.
+def join_covering(points: DataFrame, leaves: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Inner join of points and the polygons of a covering that contain them.
 
-    The layer is exploded to cells, so the condition is an equality: the adaptive
-    planner broadcasts the cells when their measured size is small, and otherwise
-    sorts both sides and splits a cell that holds many points.
+    A point first meets the table of the levels in use below its cell of the first level: that table has 4096 rows at
+    most and is broadcast, and points far from the layer end there.  Its cells at these levels, mostly one or two,
+    are then joined by equality: the adaptive planner broadcasts the leaves when their measured size is small, and
+    otherwise sorts both sides and splits a cell that holds many points.
     """
-    cells = layer_cells(layer, cell_degrees)
-    cell_x = F.floor(F.col(lon) / cell_degrees).cast("int")
-    cell_y = F.floor(F.col(lat) / cell_degrees).cast("int")
-    keyed = points.withColumn("cell_x", cell_x).withColumn("cell_y", cell_y)
-    return (
-        keyed.join(cells, ["cell_x", "cell_y"])
-        .filter(polygon_contains(F.col("edges"), F.col(lat), F.col(lon)))
-        .drop("cell_x", "cell_y", "edges")
-    )
+    base, levels = "_base", "_levels"
+    in_use = levels_in_use(leaves).withColumnsRenamed({"base": base, "levels": levels})
+    placed = points.withColumn("_at", cell_of(F.col(lat), F.col(lon), BASE)).join(F.broadcast(in_use), F.col("_at") == F.col(base))
+    cells = placed.withColumn("_cell", F.explode(F.transform(levels, lambda level: cell_of(F.col(lat), F.col(lon), level))))
+    joined = cells.join(leaves, F.col("_cell") == F.col("cell"))
+    return joined.filter(F.col("interior") | polygon_contains(F.col("edges"), F.col(lat), F.col(lon))).drop(
+        "_at", base, levels, "_cell", "cell", "level", "interior", "edges")
+
+
+def join_layer(points: DataFrame, layer: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Inner join of points and the polygons of a layer that contain them; the layer's covering is written once."""
+    return join_covering(points, staged(covering(layer), "covering"), lat, lon)

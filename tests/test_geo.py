@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -157,8 +160,94 @@ def test_layer_join_with_holes_and_parts(spark, points):
     }
     layer = spark.createDataFrame([(name, rings) for name, (_, rings) in shapes.items()], "country string, rings array<array<struct<x:double,y:double>>>")
     distinct = points.distinct()
-    got = {(r.country, r.lat, r.lon) for r in join_layer(distinct, layer, "lat", "lon", cell_degrees=4.0).collect()}
+    got = {(r.country, r.lat, r.lon) for r in join_layer(distinct, layer, "lat", "lon").collect()}
     want = set()
     for name, (wkt, _) in shapes.items():
         want |= {(name, r.lat, r.lon) for r in distinct.filter(geo.within(wkt, F.col("lat"), F.col("lon"))).collect()}
     assert got == want and want
+
+
+def _brute(edges, lat, lon):
+    """Even-odd rule over all edges, and the edge test, as the column expressions have it."""
+    x0, y0, x1, y1 = edges.T
+    spans = (y0 > lat) != (y1 > lat)
+    crossed = spans & (lon < (x1 - x0) * (lat - y0) / np.where(y1 == y0, 1, y1 - y0) + x0)
+    on = (x1 - x0) * (lat - y0) == (y1 - y0) * (lon - x0)
+    on &= (np.minimum(x0, x1) <= lon) & (lon <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= lat) & (lat <= np.maximum(y0, y1))
+    return bool(crossed.sum() % 2 == 1 or on.any())
+
+
+def _star(rng, x, y, radius, corners, whole=False):
+    """A closed ring of many corners around a place; with ``whole`` its corners stand on whole degrees."""
+    turns = sorted(rng.random() for _ in range(corners))
+    ring = [(x + (r := radius * rng.uniform(0.4, 1)) * math.cos(2 * math.pi * t), y + r * math.sin(2 * math.pi * t) / 2) for t in turns]
+    ring = [(float(round(a)), float(round(b))) for a, b in ring] if whole else ring
+    return [*ring, ring[0]]
+
+
+def test_covering_equals_all_edges():
+    from sightings.operators import covering as cov
+
+    rng = random.Random(11)
+    polygons = [
+        [_star(rng, 10, 10, 60, 5000)],
+        [_star(rng, -100, 20, 70, 400), _star(rng, -100, 20, 20, 300)],
+        [_star(rng, 40, -30, 45, 40, whole=True)],
+        [_star(rng, x, -60, 12, 30) for x in (-150, -120, -90, 0, 100)],
+        [_star(rng, 80, 50, 0.02, 600)],
+    ]
+    for rings in polygons:
+        arrays = [np.array(r) for r in rings]
+        leaves, every = {}, np.vstack([np.hstack([a[:-1], a[1:]]) for a in arrays])
+        for cell, level, inside, edges in cov.polygon_leaves(cov.ring_edges(arrays)):
+            assert inside or len(edges) <= 3 * cov.EDGES + 1 or level + cov.STEP > cov.DEEPEST
+            leaves[cell] = edges
+        corners = [p for r in rings for p in rng.sample(r, 20)]
+        xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+        some = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(300)] + [(rng.uniform(min(xs), max(xs)), rng.uniform(min(ys), max(ys))) for _ in range(700)]
+        some += corners + [(float(round(x)), float(round(y))) for x, y in some[:300]] + [(x, rng.choice(corners)[1]) for x, _ in some[:200]]
+        some += [(180.0, 90.0), (-180.0, -90.0), (180.0, 0.0)]
+        for lon, lat in some:
+            found = False
+            for level in range(cov.BASE, cov.DEEPEST + 1, cov.STEP):
+                many = 1 << level
+                place = [max(0, min(many - 1, math.floor(v * many))) for v in ((lon + 180) / 360, (lat + 90) / 180)]
+                number = cov._number(level, *place)
+                if number in leaves:
+                    edges = leaves[number]
+                    found |= edges is None or _brute(edges, lat, lon)
+            assert found == _brute(every, lat, lon), (lon, lat)
+
+
+def test_layer_join_over_the_dateline_and_with_a_hot_cell(spark):
+    from sightings.operators.covering import covering
+    from sightings.operators.spatial_join import join_covering
+
+    def ring(*corners):
+        return [{"x": float(x), "y": float(y)} for x, y in corners]
+
+    layer = spark.createDataFrame(
+        [("pacific", [ring((150, -50), (-140, -45), (-150, 40), (160, 30), (150, -50))]), ("pole", [ring((-180, -70), (-60, -65), (60, -72), (180, -70))]),
+         ("none", None), ("empty", [])], "country string, rings array<array<struct<x:double,y:double>>>")
+    leaves = covering(layer).cache()
+    rows = [(0, 0.0, 170.0), (1, 0.0, -170.0), (2, 0.0, 0.0), (3, -80.0, 0.0), (4, -89.0, 179.0), (5, 60.0, 170.0), (6, None, 3.0), (7, 200.0, 3.0)]
+    points = spark.createDataFrame(rows, "id int, lat double, lon double")
+    got = {(r.id, r.country) for r in join_covering(points, leaves, "lat", "lon").collect()}
+    assert got == {(0, "pacific"), (1, "pacific"), (3, "pole"), (4, "pole")}
+    # a third of all rows in one cell: the adaptive planner cuts it
+    many = spark.range(300_000).select("id", (F.rand(1) * 0.01).alias("lat"), (F.rand(2) * 0.01 + F.when(F.col("id") % 3 == 0, 170.0).otherwise(F.rand(3) * 20 + 157)).alias("lon"))
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        frame = join_covering(many.repartition(8), leaves, "lat", "lon")
+        assert len(frame.toPandas()) == 300_000
+        assert "skew=true" in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
