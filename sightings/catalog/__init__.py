@@ -14,6 +14,7 @@ from sightings.catalog import (  # noqa: F401  (imports register the queries)
     standardising,
     exporting,
     changes,
+    indexed,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -71,7 +71,7 @@ def swap_versions(spark, sf_dir):
     parts, folder = table(spark, sf_dir, "part"), shared_folder(spark)
     name = "sightings_swap"
     for old in (name, f"old_{name}"):
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"DROP VIEW IF EXISTS {old}")
     tables.publish(parts, name, folder)
     tables.publish(parts.filter("p_size >= 25"), name, folder)
     current, old = spark.table(name), spark.table(f"old_{name}")

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sightings.functions.text import clean_delimiters, clean_delimiters_array, media_items
 from sightings.model import SNAPSHOT_SCHEMA
 from sightings.plans.terms import MEDIA_COLUMNS
+from sightings.sources.versions import VersionLog
 
 
 def read_occurrences(spark: SparkSession, path: str, schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
@@ -57,18 +59,46 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", codec: str = "zs
     df.write.mode("overwrite").format(fmt).option("compression", codec).save(path)
 
 
+class PublishedTable:
+    """A table in versions: data in folders of their own, and a log whose last entry is what readers get.
+
+    A version is published by one step, the log's new entry, on the condition that the version it follows is still the
+    last one.  Whatever fails before leaves the former version whole; readers of an older version keep it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, folder: str):
+        self.spark, self.name, self.folder = spark, name, folder.rstrip("/")
+        self.log = VersionLog(spark, f"{self.folder}/{name}-versions")
+
+    @property
+    def version(self) -> int | None:
+        current = self.log.current()
+        return current.number if current else None
+
+    def publish(self, df: DataFrame, expected: int | None, fmt: str = "parquet", codec: str = "zstd") -> int:
+        """Writes df and makes it the version after ``expected``, which is None for the first one."""
+        path = f"{self.folder}/{self.name}-{uuid.uuid4().hex}"
+        write_table(df, path, fmt, codec)
+        return self.log.commit({"path": path, "format": fmt, "schema": df.schema.jsonValue()}, expected).number
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The last version, or the one asked for."""
+        found = self.log.current() if version is None else self.log.read(version)
+        if found is None:
+            raise LookupError(f"{self.name} has no version yet")
+        return self.spark.read.schema(StructType.fromJson(found.entry["schema"])).format(found.entry["format"]).load(found.entry["path"])
+
+
 def publish(df: DataFrame, name: str, folder: str) -> None:
-    """Write a new version beside the current one, then swap the names.
+    """Publish df as the next version, and have the names ``<name>`` and ``old_<name>`` show the last two versions.
 
-    The current table is renamed ``old_<name>``, the new one takes its name; the data
-    of both stay in their own folders, so readers of the old version are not disturbed.
+    The names are views of the catalog on a version's folder, each replaced in one step; the former version gets its
+    second name first, so no moment is without a whole ``<name>``.
     """
     spark = df.sparkSession
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    write_table(df, path)
-    spark.sql(f"DROP TABLE IF EXISTS new_{name}")
-    spark.catalog.createTable(f"new_{name}", path=path, source="parquet")
-    if spark.catalog.tableExists(name):
-        spark.sql(f"DROP TABLE IF EXISTS old_{name}")
-        spark.sql(f"ALTER TABLE {name} RENAME TO old_{name}")
-    spark.sql(f"ALTER TABLE new_{name} RENAME TO {name}")
+    table = PublishedTable(spark, name, folder)
+    before = table.version
+    number = table.publish(df, before)
+    for view, version in ((f"old_{name}", before), (name, number)):
+        if version is not None:
+            spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.`{table.log.read(version).entry['path']}`")
