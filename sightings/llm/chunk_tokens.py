@@ -3,6 +3,9 @@
 Both BPE files split a text before they merge, and no token crosses from a non-space character to white space.
 A text can therefore be cut before every run of white space and each chunk encoded alone: the ids of the chunks in
 a row are the ids of the text.  Chunks repeat as words do, so a bounded memo answers most of them.
+
+The files' added tokens, such as an end-of-text mark, have one id where a text spells them; the library cuts a text at
+them before anything else, and so does this module.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ _LETTER = frozenset(c for c in map(chr, range(256)) if _LETTERS.fullmatch(c))
 UINT32 = "I"  # array type of an id; four bytes, little-endian on every platform that Spark runs on
 _CLOSING = ".,!?;:"
 _VERBATIM = "\n\n"  # opens the key of a chunk that is taken as it is; other keys have a space before them
+_ADDED = "\n\n\n"  # opens the key of an added token
 
 
 class Memo:
@@ -86,7 +90,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {token.content: id_ for id_, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {_ADDED + text: array(UINT32, [id_]).tobytes() for text, id_ in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.marks = sorted({text[:2] for text in added})
+        self.tokenizer.encode_special_tokens = True  # chunks are cut at added tokens and hold ordinary text only
         self.drops_space = drops_space
         self.memo = Memo(generation)
         # how the library spells a space and the letters of Latin-1 before it merges
@@ -95,7 +103,13 @@ class ChunkEncoder:
         self.space = spell.pre_tokenize_str(" ")[0][0]
 
     def keys(self, text: str) -> list[str]:
-        """The text's chunks in order, as keys of the memo."""
+        """The text's chunks and added tokens in order, as keys of the memo."""
+        if self.cut and any(mark in text for mark in self.marks):
+            parts = self.cut.split(text)
+            return [key for k, part in enumerate(parts) if part for key in ([_ADDED + part] if k % 2 else self._keys(part))]
+        return self._keys(text)
+
+    def _keys(self, text: str) -> list[str]:
         if self.drops_space:
             try:
                 text.encode("latin-1")
@@ -124,7 +138,9 @@ class ChunkEncoder:
     def _ask(self, keys: list[str]) -> dict[str, bytes]:
         found, other, merge = {}, [], self.tokenizer.model.tokenize
         for key in keys:
-            if _LETTERS.fullmatch(key):  # one word for the file's pattern: straight to its merges
+            if key in self.added:
+                found[key] = self.added[key]
+            elif _LETTERS.fullmatch(key):  # one word for the file's pattern: straight to its merges
                 word = key.lower() if self.drops_space else key
                 word = word if word.isascii() else word.translate(self.spelling)
                 ids = [x.id for x in merge(word if self.drops_space else self.space + word)]
