@@ -4,6 +4,11 @@ The index is a table bucketed and sorted by digest.  A batch of documents is red
 anti-join by sort and merge drops the digests that the index has, and the rest is appended.  The index is read in
 its buckets, so only the new side is shuffled.  Texts never travel: a row is an id and 32 bytes.
 
+The number of buckets is kept at the index's path, in a log of its versions, and an index that is opened again has the
+buckets that it was written with.  Every append adds a file to each bucket; after ``APPENDS`` of them the index is
+written anew as the next version, one sorted file a bucket, and the log names that version when it is whole.  One
+session writes an index at a time.
+
 Defined cases: a null text is empty, and empty texts are equal.  The smallest id of a group stays, a null id comes
 last, and of several rows with that id one stays.  Empty tables give empty results; other columns are not touched.
 """
@@ -12,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +26,9 @@ from sightings.session import shared_folder, staged
 
 # Digests a bucket should hold at most: about 200 MB, sorted within one task's memory.
 BUCKET_ROWS = 4_000_000
+# Files of a bucket after which the index is written anew.
+APPENDS = 16
+_LOG = "version int, buckets int"
 
 
 def normalised(text: Column) -> Column:
@@ -45,22 +54,61 @@ def first_rows(rows: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table (digest, keep_id) bucketed and sorted by digest; it outlives the session at its path."""
+    """A table (digest, keep_id) bucketed and sorted by digest; it outlives the session at its path.
+
+    ``buckets`` is for a new index; one that is there already keeps its own number, see ``rewrite`` for another.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
         self.path = path or f"{shared_folder(spark)}/digest-index-{uuid.uuid4().hex}"
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet LOCATION '{self.path}' "
+        if not (path and self._log()):
+            self._commit(0, buckets)
+        self._open()
+
+    def _log(self) -> list[tuple[int, int]]:
+        """(version, buckets) of all whole versions; a row per rewriting."""
+        try:
+            rows = self.spark.read.schema(_LOG).parquet(f"{self.path}/log").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted(tuple(r) for r in rows)
+
+    def _commit(self, version: int, buckets: int) -> None:
+        self.spark.createDataFrame([(version, buckets)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def _table(self, version: int, buckets: int) -> str:
+        name = f"digest_index_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT) USING parquet LOCATION '{self.path}/v{version}' "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
         )
+        return name
+
+    def _open(self) -> None:
+        self.version, self.buckets = self._log()[-1]
+        self.table = self._table(self.version, self.buckets)
+
+    def rewrite(self, buckets: int | None = None) -> None:
+        """The next version: the same rows, in one sorted file a bucket, with another number of buckets if wanted."""
+        buckets = buckets or self.buckets
+        rows, following = self.read(), self._table(self.version + 1, buckets)
+        self._write(rows, following, buckets)
+        self._commit(self.version + 1, buckets)
+        self._open()
 
     @classmethod
     def for_rows(cls, spark: SparkSession, rows: int) -> DigestIndex:
-        """An index of as many buckets as so many rows ask for: a power of two, eight at least."""
+        """A new index of as many buckets as so many rows ask for: a power of two, eight at least."""
         return cls(spark, buckets=max(8, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length()))
 
+    @staticmethod
+    def _write(rows: DataFrame, table: str, buckets: int) -> None:
+        rows = rows.select("digest", F.col("keep_id").cast("bigint").alias("keep_id")).repartition(buckets, "digest")
+        rows.write.bucketBy(buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(table)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -69,8 +117,9 @@ class DigestIndex:
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        rows = groups.select("digest", F.col("keep_id").cast("bigint").alias("keep_id")).repartition(self.buckets, "digest")
-        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
+        self._write(groups, self.table, self.buckets)
+        if len(self.read().inputFiles()) > APPENDS * self.buckets:
+            self.rewrite()
 
     def add(self, groups: DataFrame) -> DataFrame:
         """Appends what is new and returns it; written before it is appended, so that it does not meet itself."""
