@@ -1,11 +1,14 @@
 """Operator 1: license scans as an exact set-similarity join, with DataFrame functions only.
 
-Text blocks are lines, templates are license notices; both are sets of words.  A block meets a template if it has
+Text blocks are windows of the text's words whatever its line breaks: twice as long as the longest notice, a new one
+every such length, so that a notice lies whole in one.  Templates are license notices; both are sets of words.  A
+block meets a template if it has
 at least ``CONTAINED`` of the template's words.  The join orders words by how many blocks of the corpus have them,
 rarest first: a pair with an overlap of a shares a word among the first |T| - a + 1 of the template and the first
 |B| - a + 1 of the block (prefix filter), a block needs a words (length filter), and from the places of the shared
 word follows how large the overlap can still be (positional filter).  What is left is counted exactly.  Words of no
-template can't be part of an overlap and are left out of the blocks at once.
+template can't be part of an overlap and are left out of the blocks at once.  A text is taken apart only if it has one
+of the longest |T| - a + 1 words of some template: a block that lacks them all has fewer than a of its words.
 
 Beside it the phrases of ``PHRASES`` are sought as consecutive words of the whole text.
 
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +49,6 @@ TEMPLATES = [
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BETWEEN_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def template_words(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
@@ -52,6 +56,23 @@ def template_words(templates: list[tuple[str, str]]) -> list[tuple[int, str, lis
     return [(i, label, sorted(set(re.findall(_WORD, text.lower())))) for i, (label, text) in enumerate(templates)]
 
 
+def block_step(templates: list[tuple[str, str]]) -> int:
+    """Words of the longest notice, repeats included: a block begins every so many words and is twice as long."""
+    return max(len(re.findall(_WORD, text.lower())) for _, text in templates)
+
+
+def needs(templates: list[tuple[str, str]], contained: float = CONTAINED) -> dict[int, int]:
+    """How many of a template's words a block must have."""
+    return {i: max(1, math.ceil(contained * len(words) - 1e-9)) for i, _, words in template_words(templates)}
+
+
+def telling_words(templates: list[tuple[str, str]], contained: float = CONTAINED) -> list[str]:
+    """Words one of which every block has that meets a template."""
+    least = needs(templates, contained)
+    longest = [sorted(words, key=lambda w: (-len(w), w))[: len(words) - least[i] + 1] for i, _, words in template_words(templates)]
+    return sorted({w for some in longest for w in some})
+
+
 def _ascii_lower(text: Column) -> Column:
     """A-Z only.  lower() is faster and differs for ASCII results in the Kelvin sign alone, which is treated apart."""
     return F.when(F.contains(text, F.lit("K")), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
@@ -70,30 +91,34 @@ def _places(words: Column, phrase: str) -> Column:
     return F.array_compact(F.transform(words, at))
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """A row per document: row, doc_id, n_words, the places of each phrase, and its blocks as words of the vocabulary.
+def scanned(docs: DataFrame, templates: list[tuple[str, str]], contained: float = CONTAINED) -> DataFrame:
+    """A row per document: row, doc_id, n_words, the places of each phrase, and its blocks as words of the templates.
 
-    Blocks with fewer than ``least`` such words are left out.  Written once, so that texts are read a single time.
+    Blocks with fewer such words than any template needs are left out.  Written once, so that texts are read a single
+    time.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = _ascii_lower(F.regexp_replace(text, _BETWEEN_IN_LINE, " "))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    blocks = F.transform(F.split(F.col("low"), "\n"), lambda line: F.array_intersect(F.split(line, " "), known))
-    none = F.array().cast("array<int>")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_count(text, F.lit(_WORD_ANY_CASE)).cast("bigint").alias("n_words"), low.alias("low"))
-    # only texts with a phrase's last word are taken apart
-    words = F.regexp_extract_all(F.col("low"), F.lit(_WORD), F.lit(0))
-    places = [F.when(F.contains(F.col("low"), F.lit(p.split()[-1])), _places(words, p)).otherwise(none).alias(f"places_{i}") for i, p in enumerate(PHRASES)]
-    rows = rows.select("row", "doc_id", "n_words", F.filter(blocks, lambda b: F.size(b) >= least).alias("blocks"), *places)
-    return staged(rows, "license-blocks")
+    text, low = F.coalesce(F.col("text"), F.lit("")), F.col("low")
+    step, least = block_step(templates), min(needs(templates, contained).values())
+    known = F.array(*[F.lit(w) for w in sorted({w for _, _, words in template_words(templates) for w in words})])
+    telling = reduce(or_, [F.contains(low, F.lit(w)) for w in telling_words(templates, contained)])
+    has_phrase = reduce(or_, [F.contains(low, F.lit(p.split()[-1])) for p in PHRASES])
+    count = F.regexp_count(text, F.lit(_WORD_ANY_CASE)).cast("bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", count.alias("n_words"), _ascii_lower(text).alias("low"))
+    # only texts with a telling word or a phrase's last word are taken apart
+    rows = rows.select("row", "doc_id", "n_words", telling.alias("telling"), F.when(telling | has_phrase, F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
+    blocks = F.transform(starts, lambda begin: F.array_intersect(F.slice("words", begin + 1, 2 * step), known))
+    blocks = F.when(F.col("telling"), F.filter(blocks, lambda b: F.size(b) >= least))
+    places = [F.coalesce(_places(F.col("words"), p), F.array().cast("array<int>")).alias(f"places_{i}") for i, p in enumerate(PHRASES)]
+    return staged(rows.select("row", "doc_id", "n_words", blocks.alias("blocks"), *places), "license-blocks")
 
 
 def matches(rows: DataFrame, templates: list[tuple[str, str]], contained: float = CONTAINED) -> DataFrame:
     """(row, labels, score) of the rows with a block that meets a template; score is the greatest containment."""
     spark = rows.sparkSession
     parts = template_words(templates)
-    needs = {i: max(1, math.ceil(contained * len(words) - 1e-9)) for i, _, words in parts}
-    least = min(needs.values())
+    need_of = needs(templates, contained)
+    least = min(need_of.values())
     blocks = rows.select("row", F.posexplode("blocks").alias("block", "words"))
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").count().collect()  # words of the templates
     found = dict(counts)
@@ -102,7 +127,7 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], contained: float
     prefixes, whole = [], []
     for i, label, words in parts:
         ranks = sorted(order[w] for w in words)
-        need = needs[i]
+        need = need_of[i]
         prefixes += [(rank, i, place, len(ranks), need) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
         whole.append((i, label, ranks))
     prefix = F.broadcast(spark.createDataFrame(prefixes, "rank int, template int, t_place int, t_size int, need int"))
@@ -125,10 +150,7 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], contained: float
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """Every document with its words, phrases and labels, as op1's contract names them."""
-    parts = template_words(templates)
-    vocabulary = sorted({w for _, _, words in parts for w in words})
-    least = min(max(1, math.ceil(contained * len(words) - 1e-9)) for _, _, words in parts)
-    rows = scanned(docs, vocabulary, least)
+    rows = scanned(docs, templates, contained)
     found = matches(rows, templates, contained)
     places = F.concat(*[F.col(f"places_{i}") for i in range(len(PHRASES))])
     base = F.array_compact(F.array(*[F.when(F.size(f"places_{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
@@ -157,7 +179,7 @@ def _sql() -> str:
         f"SELECT r, i, '{label}' AS label FROM w WHERE " + " AND ".join(f"words[i + {k + 1}] = '{part}'" for k, part in enumerate(phrase.split()))
         for phrase, label in PHRASES.items()
     )
-    line_words = words.replace("coalesce(text, '')", "line")
+    step = block_step(TEMPLATES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, {words} AS words FROM d),
@@ -165,8 +187,8 @@ w AS (SELECT r, words, unnest(range(len(words))) AS i FROM a),
 hit AS ({hits}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM hit GROUP BY r),
 t(t, label, t_words) AS (VALUES {values}),
-line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
-block AS (SELECT r, list_distinct({line_words}) AS words FROM line),
+start AS (SELECT r, words, unnest(range(0, len(words), {step})) AS s FROM a),
+block AS (SELECT r, list_distinct(words[s + 1 : s + {2 * step}]) AS words FROM start),
 pair AS (SELECT r, label, len(list_intersect(words, t_words)) / len(t_words) AS share FROM block, t
   WHERE len(list_intersect(words, t_words)) >= ceil({CONTAINED} * len(t_words) - 1e-9)),
 met AS (SELECT r, list(DISTINCT label) AS met, max(share) AS share FROM pair GROUP BY r)

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -94,16 +95,32 @@ def test_license_joins_equal_brute_force(spark):
     rng = random.Random(1)
     words = "aa bb cc dd ee ff gg hh".split()
     templates = [("x", "aa bb cc dd ee"), ("y", "bb ff gg"), ("z", "hh"), ("x", "cc dd ee ff gg hh")]
-    lines = [" ".join(rng.choices(words + ["zz"], k=rng.randint(0, 7))) for _ in range(400)]
-    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(100)]
+    rows = [(i, rng.choice([" ", "\n"]).join(rng.choices(words + ["zz"], k=rng.randint(0, 40)))) for i in range(150)]
+    step = license_scan.block_step(templates)
+    assert step == 6
     for contained in (0.4, 0.7, 1.0):
         got = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan(_tables(spark, rows), templates, contained).collect()}
         for i, text in rows:
-            share = [(label, len(set(line.split()) & set(t.split())) / len(set(t.split()))) for line in text.split("\n") for label, t in templates]
+            own = text.split()
+            blocks = [set(own[k : k + 2 * step]) for k in range(0, len(own), step)]
+            share = [(label, len(b & set(t.split())) / len(set(t.split()))) for b in blocks for label, t in templates]
             met = [(label, s) for label, s in share if s >= contained - 1e-9]
             assert got[i] == (",".join(sorted({label for label, _ in met})), round(max((s for _, s in met), default=0.0), 9))
 
 
+def test_wrapped_notices_are_found(spark):
+    """Notices as source files have them: with comment signs, broken at any column, in the midst of other words."""
+    rng, rows = random.Random(9), []
+    for label, notice in license_scan.TEMPLATES:
+        for width in (20, 40, 72, 500):
+            for mark in ("", " * ", "# "):
+                around = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(0, 90))]
+                text = " ".join(around) + "\n" + "\n".join(mark + line for line in textwrap.wrap(notice, width, break_long_words=False)) + "\n" + " ".join(around[::-1])
+                rows.append((len(rows), label, text))
+    got = {r.doc_id: r for r in license_scan.scan(_tables(spark, [(i, t) for i, _, t in rows])).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label, _ in rows)
+
+
 def test_license_places(spark, edge):
     rows = [(1, "MIT\nLicense, mit-license MITlicense"), (2, "é general PUBLIC license general public"), (3, "KMIT license")]
     got = {r.doc_id: r for r in license_scan.scan(_tables(spark, rows)).collect()}
@@ -170,7 +187,6 @@ def test_blocks_round_trip():
 
 def test_token_files(spark, texts, edge):
     library = Tokenizer.from_file(WORD_BPE)
-    library.encode_special_tokens = True
     start = 0
     got = {r.doc_id: r for r in QUERIES["op3_token_files"](spark, SF_DIR).collect()}
     assert len(got) == len(texts)
@@ -187,14 +203,26 @@ def test_token_files(spark, texts, edge):
         assert [r.doc_id for r in back] == sorted((r.doc_id for r in back), key=lambda x: (x is not None, x))
 
 
+def test_added_tokens_in_files_and_packs(spark):
+    rows = [(1, "a <|endoftext|>b"), (2, "<|startoftext|>"), (3, "<|endoftext|><|endoftext|> x <|EndOfText|>"), (4, "plain")]
+    library = Tokenizer.from_file(WORD_BPE)
+    folder = f"{common.prepare(spark) and token_files.scratch_path(spark, 'token-test')}"
+    token_files.write(_tables(spark, rows), folder, WORD_BPE, shards=2)
+    for r in token_files.read(spark, folder).collect():
+        assert list(r.ids) == [*library.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids, 1]
+    _check_packing(packing.pack_documents(_tables(spark, rows), BYTE_BPE).collect(), rows)
+
+
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
 def test_chunks_equal_library(path, texts):
-    library = chunk_tokens.ChunkEncoder(path, path == WORD_BPE, generation=50)
+    encoder, library = chunk_tokens.ChunkEncoder(path, path == WORD_BPE, generation=50), Tokenizer.from_file(path)
     rng = random.Random(3)
     drawn = ["".join(rng.choice("aB .,!'s\n\t\x0b\x1c\xa0 éÉß中́🙂0 ") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "a", "Ab.", "\n", "é", "x  "]
+    drawn += ["".join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(1500)]
     some = [t or "" for _, t in texts[:40]] + ODD + drawn
-    for text, ids in zip(some, library.encode(some), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for text, ids in zip(some, encoder.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 # 4 Lempel-Ziv fingerprints
@@ -395,7 +423,6 @@ def test_best_fit_equals_single_pieces():
 
 def _check_packing(got, rows):
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
     wanted = Counter()
     for i, text in rows:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -508,6 +535,20 @@ def test_exact_dedup_batches(spark, edge):
     got = exact_dedup.deduplicate(spark, _tables(spark, [(100, "text 1"), (101, "new"), (102, "new")]), index).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(100, 1, False), (101, 101, True), (102, 101, False)]
     assert index.read().count() == 8
+    other = spark.newSession()
+    for buckets in (16, 3, 8):  # an index that is opened again has its own buckets, whatever is asked for
+        again = exact_dedup.DigestIndex(common.prepare(other), index.path, buckets)
+        got = exact_dedup.deduplicate(other, other.createDataFrame([(200 + i, t) for i, t in rows[:10]], "doc_id bigint, text string"), again).collect()
+        assert again.buckets == 8 and not any(r.kept for r in got) and again.read().count() == 8
+    again.rewrite(5)
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert (again.version, again.buckets, again.read().count(), len(again.read().inputFiles()) <= 5) == (1, 5, 8, True)
+    for turn in range(exact_dedup.APPENDS + 2):  # many appends are brought back to a file a bucket
+        new = spark.createDataFrame([(1000 * turn + k, f"batch {turn} {k}") for k in range(40)], "doc_id bigint, text string")
+        assert all(r.kept for r in exact_dedup.deduplicate(spark, new, again, batches=1).collect())
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.version > 1 and again.read().count() == 8 + 40 * (exact_dedup.APPENDS + 2) == again.read().distinct().count()
+    assert not any(r.kept for r in exact_dedup.deduplicate(spark, new, again).collect())
     plan = index.new(exact_dedup.first_rows(exact_dedup.digests(_tables(spark, rows))))._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan and "SortMergeJoin" in plan
 
