@@ -81,7 +81,8 @@ class TermDictionary:
 
     def _terms(self, parameter: str, kind: str, prefix: str) -> DataFrame:
         rows = self.entries().where((F.col("field") == parameter) & (F.col("kind") == kind) & F.col("entry").startswith(prefix))
-        return rows.groupBy("term").agg(F.sum("count").alias("count")).where("count > 0")
+        by_entry = rows.groupBy("term", "entry").agg(F.sum("count").alias("count"))  # a term may have several such entries
+        return by_entry.groupBy("term").agg(F.max("count").alias("count")).where("count > 0")
 
     def suggest(self, parameter: str, prefix: str, limit: int = 10) -> DataFrame:
         """Terms of a field that start with the prefix, in order."""

@@ -122,8 +122,8 @@ def move_subtree(tree: DataFrame, node: str, parent: str) -> tuple[DataFrame, Ca
     if a <= found[parent].first <= b:
         raise ValueError("a subtree can't move below itself")
     size = b - a + 1
-    low, high = (b + 1, end) if end > b else (end + 1, a - 1)  # places that make room
-    room, shift = (-size, end - b) if end > b else (size, end + 1 - a)
+    low, high = (b + 1, end) if end >= b else (end + 1, a - 1)  # places that make room
+    room, shift = (-size, end - b) if end >= b else (size, end + 1 - a)
 
     def renumber(place: Column) -> Column:
         return F.when(place.between(a, b), place + shift).when(place.between(low, high), place + room).otherwise(place)
