@@ -12,10 +12,10 @@ from sightings.operators import agents, citations, cubes, facets, geo, grids, me
 from sightings.operators.predicates import Filters
 from sightings.plans.quality import cube_quality
 from sightings.plans.terms import SPECIES_TERMS
-from sightings.sources.driver import EVENT_CTE, cte, event, occurrence
+from sightings.sources.driver import EVENT_CTE, cte, event, sighting
 from sightings.sources.tables import build_multimedia_table
 
-OCCURRENCES = Filters()
+RECORDS = Filters()
 EVENTS = Filters(m.EVENT_FIELDS)
 
 
@@ -23,33 +23,33 @@ EVENTS = Filters(m.EVENT_FIELDS)
 
 @query("AGG1", f"WITH {cte('datasetkey', 'license')} SELECT datasetkey, license, count(*) AS num_occurrences FROM occ GROUP BY ALL")
 def citation_with_license(spark, sf_dir):
-    return citations.citation(occurrence(spark, sf_dir, "datasetkey", "license"))
+    return citations.citation(sighting(spark, sf_dir, "datasetkey", "license"))
 
 
 @query("AGG2", f"WITH {cte('datasetkey', 'year')} SELECT datasetkey, count(*) AS num_occurrences FROM occ WHERE year = 1999 GROUP BY ALL")
 def citation_of_archive(spark, sf_dir):
-    return citations.citation(occurrence(spark, sf_dir, "datasetkey", "year").filter("year = 1999"), with_license=False)
+    return citations.citation(sighting(spark, sf_dir, "datasetkey", "year").filter("year = 1999"), with_license=False)
 
 
 @query("AGG3", f"WITH {cte('datasetkey', 'license', 'countrycode')} SELECT datasetkey, license, count(*) AS num_occurrences FROM occ"
                " WHERE countrycode LIKE 'NATION_1%' GROUP BY ALL")
 def citation_of_user_query(spark, sf_dir):
     """The citation of a user's export: the base table with the same filter text."""
-    return citations.citation(occurrence(spark, sf_dir, "datasetkey", "license", "countrycode").where("countrycode LIKE 'NATION_1%'"))
+    return citations.citation(sighting(spark, sf_dir, "datasetkey", "license", "countrycode").where("countrycode LIKE 'NATION_1%'"))
 
 
 @query("AGG4", f"WITH {cte('publishingorgkey', 'license', 'year')} SELECT publishingorgkey,"
                " ['CC0_1_0', 'CC_BY_4_0', 'CC_BY_NC_4_0'][max(CASE license WHEN 'CC0_1_0' THEN 1 WHEN 'CC_BY_4_0' THEN 2 ELSE 3 END)] AS license"
                " FROM occ WHERE publishingorgkey <> 'org-3' GROUP BY 1 UNION ALL SELECT 'all', 'CC_BY_NC_4_0'")
 def most_restrictive_license(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "publishingorgkey", "license").filter("publishingorgkey <> 'org-3'")
+    df = sighting(spark, sf_dir, "publishingorgkey", "license").filter("publishingorgkey <> 'org-3'")
     whole = citations.most_restrictive(df).select(F.lit("all").alias("publishingorgkey"), "license")
     return citations.most_restrictive(df, "publishingorgkey").unionByName(whole)
 
 
 @query("AGG5", f"WITH {cte('datasetkey')} SELECT datasetkey, count(*) AS num_occurrences FROM occ GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM occ")
 def dataset_usage(spark, sf_dir):
-    usage = citations.dataset_usage(citations.citation(occurrence(spark, sf_dir, "datasetkey", "license")))
+    usage = citations.dataset_usage(citations.citation(sighting(spark, sf_dir, "datasetkey", "license")))
     whole = usage.agg(F.sum("num_occurrences").alias("num_occurrences")).select(F.lit("total").alias("datasetkey"), "num_occurrences")
     return usage.unionByName(whole)
 
@@ -62,20 +62,20 @@ _SPECIES = [c for c in ("taxonkey", "scientificname", "taxonrank", "kingdom", "f
 @query("AGG6", f"WITH {cte(*_SPECIES, 'year')}, o AS (SELECT * REPLACE (CASE WHEN year = 1995 THEN NULL ELSE taxonkey END AS taxonkey) FROM occ)"
                f" SELECT {', '.join(_SPECIES)}, count(taxonkey) AS numberofoccurrences FROM o GROUP BY ALL")
 def species_list(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *_SPECIES, "year")
+    df = sighting(spark, sf_dir, *_SPECIES, "year")
     return species.species_list(df.withColumn("taxonkey", F.when(F.col("year") != 1995, F.col("taxonkey"))), _SPECIES)
 
 
 @query("AGG7", f"WITH {cte('recordid', 'taxonkey', 'scientificname', 'countrycode')} SELECT taxonkey, arg_min(scientificname, recordid) AS scientificname,"
                " arg_min(countrycode, recordid) AS countrycode, count(*) AS numberofoccurrences FROM occ GROUP BY 1")
 def species_list_by_key(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "taxonkey", "scientificname", "countrycode")
+    df = sighting(spark, sf_dir, "recordid", "taxonkey", "scientificname", "countrycode")
     return species.species_list_by_key(df, ["taxonkey", "scientificname", "countrycode"])
 
 
 @query("AGG8", f"WITH {cte('year', 'hascoordinate')} SELECT count(*) AS count FROM occ WHERE year = 1998 AND hascoordinate")
 def export_row_count(spark, sf_dir):
-    return metrics.count_where(occurrence(spark, sf_dir, "year", "hascoordinate"), F.expr("year = 1998 AND hascoordinate"))
+    return metrics.count_where(sighting(spark, sf_dir, "year", "hascoordinate"), F.expr("year = 1998 AND hascoordinate"))
 
 
 def _sets_sql(out: str, left: str, right: str, left_name: str, right_name: str) -> str:
@@ -95,7 +95,7 @@ def _flat_sets(df, key, *names):
 
 @query("AGG9", _sets_sql("agent", "v_recordedby", "v_identifiedby", "recordedby", "identifiedby"))
 def agents_with_records(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_recordedby", "v_identifiedby")
+    df = sighting(spark, sf_dir, "recordid", "v_recordedby", "v_identifiedby")
     return _flat_sets(agents.agents(df), "agent", "recordedby", "identifiedby")
 
 
@@ -103,13 +103,13 @@ def agents_with_records(spark, sf_dir):
                 " (SELECT *, CASE WHEN count(*) OVER (PARTITION BY family) <= 1000 THEN 0 ELSE CAST('0x' || substr(md5(recordid || '|part'), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY family) / 1000.0) AS BIGINT) END AS part FROM occ) GROUP BY 1")
 def families_with_records(spark, sf_dir):
     """A low bound on the ids per row, so that larger families are split into parts."""
-    parts = agents.families(occurrence(spark, sf_dir, "recordid", "family"), max_ids=1000)
+    parts = agents.families(sighting(spark, sf_dir, "recordid", "family"), max_ids=1000)
     return parts.groupBy("family").agg(F.sum("total").alias("total"), F.sum(F.size("ids")).alias("ids"), F.count("*").alias("parts"))
 
 
 @query("AGG11", _sets_sql("identifier", "v_recordedbyid", "v_identifiedbyid", "recordedbyid", "identifiedbyid"))
 def identifiers_with_records(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_recordedbyid", "v_identifiedbyid")
+    df = sighting(spark, sf_dir, "recordid", "v_recordedbyid", "v_identifiedbyid")
     return _flat_sets(agents.identifiers(df), "identifier", "recordedbyid", "identifiedbyid")
 
 
@@ -119,7 +119,7 @@ _PERSON = ("recordid", "datasetkey", "v_recordedby", "v_identifiedby")
 @query("AGG12", f"WITH {cte(*_PERSON, 'ext_multimedia')} SELECT recordid, datasetkey, v_recordedby, v_identifiedby,"
                 " coalesce(contains(ext_multimedia, 'StillImage'), false) AS hasimage FROM occ WHERE v_recordedby IS NOT NULL OR v_identifiedby IS NOT NULL")
 def person_rows(spark, sf_dir):
-    return agents.person_rows(occurrence(spark, sf_dir, *_PERSON, "mediatype"))
+    return agents.person_rows(sighting(spark, sf_dir, *_PERSON, "mediatype"))
 
 
 # ---- cubes -----------------------------------------------------------------------------------
@@ -145,7 +145,7 @@ CUBE_SQL = (
 
 def published_cube(spark, sf_dir):
     """Year-month, grid cell, taxon, sex and life stage; counts, uncertainties and family totals."""
-    df = occurrence(spark, sf_dir, *_CUBE, "issue", "sex", "lifestage").filter(cube_quality(1000, 1996))
+    df = sighting(spark, sf_dir, *_CUBE, "issue", "sex", "lifestage").filter(cube_quality(1000, 1996))
     uncertainty = F.coalesce("coordinateuncertaintyinmeters", F.lit(1000.0))
     cube = cubes.data_cube(
         df,
@@ -176,7 +176,7 @@ _ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S')"
                 f" {_SECONDS} END) AS mindateonly, {_ISO.format('max(eventdatelte)')} AS latestdate, {_ISO.format('max(dateidentified)')} || 'Z' AS identifieddate"
                 " FROM kept GROUP BY ALL")
 def cube_with_every_function(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *_CUBE, "issue", "sex", "typestatus", "eventdatelte", "dateidentified")
+    df = sighting(spark, sf_dir, *_CUBE, "issue", "sex", "typestatus", "eventdatelte", "dateidentified")
     lat, lon = F.col("decimallatitude"), F.col("decimallongitude")
     df = df.filter(cube_quality(1000, 1900) & ~text.array_contains_text(F.col("issue"), "taxon_match_fuzzy", False)).filter(
         geo.geo_distance(20.0, 10.0, "2000km", lat, lon) | geo.within("POLYGON ((-120 -60, -20 -60, -20 10, -120 10, -120 -60))", lat, lon))
@@ -197,13 +197,13 @@ def _page(limit: int = 10, offset: int = 0) -> str:
 
 @query("AGG15", f"WITH {cte('datasetkey')} SELECT datasetkey AS term, count(*) AS count FROM occ GROUP BY 1 HAVING count(*) >= 550" + _page(10, 3))
 def facet_page(spark, sf_dir):
-    return facets.facet(occurrence(spark, sf_dir, "datasetkey"), "DATASET_KEY", min_count=550, limit=10, offset=3)
+    return facets.facet(sighting(spark, sf_dir, "datasetkey"), "DATASET_KEY", min_count=550, limit=10, offset=3)
 
 
 @query("AGG16", f"WITH {cte('recordid', 'recordedby_1', 'recordedby_2')} SELECT term, count(*) AS count FROM (SELECT recordedby_1 AS term FROM occ UNION ALL"
                 " SELECT recordedby_2 FROM occ WHERE recordedby_2 IS DISTINCT FROM recordedby_1) WHERE term IS NOT NULL GROUP BY 1" + _page(25))
 def facet_of_array(spark, sf_dir):
-    return facets.facet(occurrence(spark, sf_dir, "recordedby"), "RECORDED_BY", limit=25)
+    return facets.facet(sighting(spark, sf_dir, "recordedby"), "RECORDED_BY", limit=25)
 
 
 @query("AGG17", f"WITH {EVENT_CTE} SELECT term, count(*) AS count FROM (SELECT h1_inventory AS term FROM ev UNION ALL SELECT h2_inventory FROM ev) GROUP BY 1" + _page())
@@ -228,20 +228,20 @@ def _multi_sql() -> str:
 
 @query("AGG18", _multi_sql())
 def multi_select_facets(spark, sf_dir):
-    base = occurrence(spark, sf_dir, *_MULTI).filter("hascoordinate")
-    return facets.multi_select(base, _FACETS, _SELECTED, OCCURRENCES, limit=5)
+    base = sighting(spark, sf_dir, *_MULTI).filter("hascoordinate")
+    return facets.multi_select(base, _FACETS, _SELECTED, RECORDS, limit=5)
 
 
 @query("AGG19", f"WITH {cte('year')} SELECT CAST(year AS VARCHAR) AS term, count(*) AS count FROM occ GROUP BY 1" + _page())
 def single_multi_select_facet(spark, sf_dir):
     """One multi-select facet is not filtered by its own selection."""
-    return facets.multi_select(occurrence(spark, sf_dir, "year"), ["YEAR"], {"YEAR": ["1998"]}, OCCURRENCES).select("term", "count")
+    return facets.multi_select(sighting(spark, sf_dir, "year"), ["YEAR"], {"YEAR": ["1998"]}, RECORDS).select("term", "count")
 
 
 @query("AGG20", f"WITH {EVENT_CTE}, {cte('eventid', 'basisofrecord')} SELECT eventtype AS term, count(*) AS count FROM ev"
                 " WHERE eventid IN (SELECT eventid FROM occ WHERE basisofrecord = 'PRESERVED_SPECIMEN') GROUP BY 1" + _page())
 def facet_by_children(spark, sf_dir):
-    children = occurrence(spark, sf_dir, "eventid", "basisofrecord").filter("basisofrecord = 'PRESERVED_SPECIMEN'")
+    children = sighting(spark, sf_dir, "eventid", "basisofrecord").filter("basisofrecord = 'PRESERVED_SPECIMEN'")
     return facets.child_facet(event(spark, sf_dir), children, ["eventid"], "EVENT_TYPE", m.EVENT_FIELDS)
 
 
@@ -252,7 +252,7 @@ def facet_by_children(spark, sf_dir):
                 " SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c")
 def facet_of_checklist(spark, sf_dir):
     """Ancestor keys of one checklist and a rank of another, where one rank is absent."""
-    df = occurrence(spark, sf_dir, "taxonkeys", "classificationdetails")
+    df = sighting(spark, sf_dir, "taxonkeys", "classificationdetails")
     pages = [facets.facet(df, name, checklist=checklist, limit=20).select(F.lit(name).alias("facet"), "term", "count")
              for name, checklist in (("TAXON_KEY", "cl-1"), ("GENUS", "cl-2"), ("FAMILY", "cl-2"))]
     return pages[0].unionByName(pages[1]).unionByName(pages[2])
@@ -260,13 +260,13 @@ def facet_of_checklist(spark, sf_dir):
 
 @query("AGG22", f"WITH {cte('eventdategte', 'eventdatelte')} SELECT CAST(eventdategte AS VARCHAR) || '/' || CAST(eventdatelte AS VARCHAR) AS term, count(*) AS count FROM occ GROUP BY 1" + _page(30))
 def facet_of_interval(spark, sf_dir):
-    return facets.facet(occurrence(spark, sf_dir, "eventdategte", "eventdatelte"), "EVENT_DATE", limit=30)
+    return facets.facet(sighting(spark, sf_dir, "eventdategte", "eventdatelte"), "EVENT_DATE", limit=30)
 
 
 @query("AGG23", f"WITH {cte('basisofrecord', 'year')} SELECT CAST(year AS VARCHAR) AS term, count(*) AS count FROM occ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1000 OFFSET 2")
 def facet_bounded_by_cardinality(spark, sf_dir):
     """A deep page is cut to the number of distinct values of the field."""
-    df = occurrence(spark, sf_dir, "year")
+    df = sighting(spark, sf_dir, "year")
     cardinality = df.agg(F.countDistinct("year").alias("n")).first().n
     return facets.bounded_facet(df, "YEAR", cardinality, limit=500_000, offset=2)
 
@@ -276,10 +276,10 @@ def facet_bounded_by_cardinality(spark, sf_dir):
 @query("AGG24", f"WITH {cte('year', 'countrycode')} SELECT 'some' AS what, count(*) AS count FROM occ WHERE year >= 1997 AND countrycode = 'NATION_5'"
                 " UNION ALL SELECT 'all', count(*) FROM occ")
 def count_by_predicate(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "year", "countrycode")
-    some = metrics.count_where(df, OCCURRENCES.compile({"type": "and", "predicates": [
+    df = sighting(spark, sf_dir, "year", "countrycode")
+    some = metrics.count_where(df, RECORDS.compile({"type": "and", "predicates": [
         {"type": "equals", "key": "YEAR", "value": "1997,*"}, {"type": "equals", "key": "COUNTRY", "value": "NATION_5"}]}))
-    everything = metrics.count_where(OCCURRENCES.apply(df, None))
+    everything = metrics.count_where(RECORDS.apply(df, None))
     return some.select(F.lit("some").alias("what"), "count").unionByName(everything.select(F.lit("all").alias("what"), "count"))
 
 
@@ -289,7 +289,7 @@ _DIMENSIONS = ["basisofrecord", "countrycode", "year"]
 @query("AGG25", f"WITH {cte(*_DIMENSIONS)} SELECT 'country' AS address, count(*) AS count FROM occ WHERE countrycode = 'NATION_2'"
                 " UNION ALL SELECT 'basis+year', count(*) FROM occ WHERE basisofrecord = 'OCCURRENCE' AND year = 1998 UNION ALL SELECT 'any', count(*) FROM occ")
 def cube_addresses(spark, sf_dir):
-    cube = cubes.cube_table(occurrence(spark, sf_dir, *_DIMENSIONS), _DIMENSIONS)
+    cube = cubes.cube_table(sighting(spark, sf_dir, *_DIMENSIONS), _DIMENSIONS)
     asked = {"country": {"countrycode": "NATION_2"}, "basis+year": {"basisofrecord": "OCCURRENCE", "year": 1998}, "any": {}}
     found = [cubes.address_count(cube, _DIMENSIONS, address).select(F.lit(name).alias("address"), "count") for name, address in asked.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
@@ -298,20 +298,20 @@ def cube_addresses(spark, sf_dir):
 @query("AGG26", f"WITH {cte('basisofrecord', 'kingdom')} SELECT 'basisofrecord' AS dimension, basisofrecord AS value, count(*) AS count FROM occ GROUP BY 2"
                 " UNION ALL SELECT 'kingdom', kingdom, count(*) FROM occ GROUP BY 2")
 def counts_by_basis_and_kingdom(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "basisofrecord", "kingdom")
+    df = sighting(spark, sf_dir, "basisofrecord", "kingdom")
     frames = [metrics.count_by(df, c).select(F.lit(c).alias("dimension"), F.col(c).alias("value"), "count") for c in ("basisofrecord", "kingdom")]
     return frames[0].unionByName(frames[1])
 
 
 @query("AGG27", f"WITH {cte('year')} SELECT year, count(*) AS count FROM occ WHERE year BETWEEN 1996 AND 1999 GROUP BY 1")
 def counts_by_year(spark, sf_dir):
-    return metrics.count_by_year(occurrence(spark, sf_dir, "year"), 1996, 1999)
+    return metrics.count_by_year(sighting(spark, sf_dir, "year"), 1996, 1999)
 
 
 @query("AGG28", f"WITH {cte('countrycode', 'publishingcountry')} SELECT 'publishers' AS side, publishingcountry AS country, count(*) AS count FROM occ WHERE countrycode = 'NATION_4' GROUP BY 2"
                 " UNION ALL SELECT 'published', countrycode, count(*) FROM occ WHERE publishingcountry = 'NATION_4' GROUP BY 2")
 def countries_of_publishers(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "countrycode", "publishingcountry")
+    df = sighting(spark, sf_dir, "countrycode", "publishingcountry")
     publishers = metrics.publishing_countries(df, "NATION_4").select(F.lit("publishers").alias("side"), F.col("publishingcountry").alias("country"), "count")
     published = metrics.countries_published(df, "NATION_4").select(F.lit("published").alias("side"), F.col("countrycode").alias("country"), "count")
     return publishers.unionByName(published)
@@ -320,7 +320,7 @@ def countries_of_publishers(spark, sf_dir):
 @query("AGG29", f"WITH {cte('datasetkey', 'countrycode', 'family')} SELECT 'country' AS by, datasetkey, count(*) AS count FROM occ WHERE countrycode = 'NATION_9' GROUP BY 2"
                 " UNION ALL SELECT 'taxon', datasetkey, count(*) FROM occ WHERE family = 'Brand#12' GROUP BY 2")
 def datasets_of_country_and_taxon(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "datasetkey", "countrycode", "taxonkeys")
+    df = sighting(spark, sf_dir, "datasetkey", "countrycode", "taxonkeys")
     country = metrics.datasets_where(df, F.col("countrycode") == "NATION_9").select(F.lit("country").alias("by"), "datasetkey", "count")
     taxon = metrics.datasets_where(df, F.array_contains(F.try_element_at("taxonkeys", F.lit("cl-2")), "Brand#12"))
     return country.unionByName(taxon.select(F.lit("taxon").alias("by"), "datasetkey", "count"))
@@ -328,7 +328,7 @@ def datasets_of_country_and_taxon(spark, sf_dir):
 
 @query("AGG30", f"WITH {cte('kingdom')} SELECT kingdom, count(*) AS count FROM occ GROUP BY 1")
 def counts_by_kingdom(spark, sf_dir):
-    return metrics.count_by(occurrence(spark, sf_dir, "kingdom"), "kingdom")
+    return metrics.count_by(sighting(spark, sf_dir, "kingdom"), "kingdom")
 
 
 _RAW_DATES = ("v_year", "v_month", "v_day", "v_eventdate", "v_startdayofyear", "v_enddayofyear")
@@ -341,7 +341,7 @@ def date_profile(spark, sf_dir):
     """Records per dataset and raw date, then the raw dates of the reduced rows interpreted."""
     from sightings.plans.interpret import standardise_dates
 
-    profile = metrics.count_by(occurrence(spark, sf_dir, "datasetkey", *_RAW_DATES), "datasetkey", *_RAW_DATES)
+    profile = metrics.count_by(sighting(spark, sf_dir, "datasetkey", *_RAW_DATES), "datasetkey", *_RAW_DATES)
     return standardise_dates(profile).select("datasetkey", *_RAW_DATES, "count", F.coalesce("year", F.lit(-1)).alias("year"))
 
 
@@ -349,7 +349,7 @@ def date_profile(spark, sf_dir):
 def user_sql_groups(spark, sf_dir):
     from sightings.plans.user_sql import run_user_sql
 
-    views = {"occurrence": occurrence(spark, sf_dir, "datasetkey", "countrycode")}
+    views = {"occurrence": sighting(spark, sf_dir, "datasetkey", "countrycode")}
     return run_user_sql(spark, views, "SELECT datasetKey AS datasetkey, countryCode AS countrycode, COUNT(*) AS n FROM occurrence"
                                       " WHERE countrycode IS NOT NULL GROUP BY datasetKey, countryCode")
 
@@ -367,9 +367,9 @@ _MEDIA_ROWS = (
 
 
 def _media_index(spark, sf_dir, chunk_size: int):
-    occurrences = occurrence(spark, sf_dir, "recordid", "taxonkeys")
-    items = build_multimedia_table(occurrence(spark, sf_dir, "recordid", "ext_multimedia"))
-    return media.media_index(occurrences, items, chunk_size)
+    records = sighting(spark, sf_dir, "recordid", "taxonkeys")
+    items = build_multimedia_table(sighting(spark, sf_dir, "recordid", "ext_multimedia"))
+    return media.media_index(records, items, chunk_size)
 
 
 @query("AGG33", _MEDIA_ROWS + " SELECT checklistkey, taxonkey, mediatype, CAST((place - 1) // 50 AS INT) AS chunk, max(total) AS total,"
@@ -389,7 +389,7 @@ def media_page(spark, sf_dir):
 @query("WIN1", f"WITH {cte('familykey', 'specieskey', 'year')}, cells AS (SELECT familykey, specieskey, year, count(*) AS occurrences FROM occ GROUP BY ALL)"
                " SELECT *, CASE WHEN familykey IS NULL THEN -1 ELSE CAST(sum(occurrences) OVER (PARTITION BY familykey) AS BIGINT) END AS familycount FROM cells")
 def total_of_higher_taxon(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "familykey", "specieskey", "year")
+    df = sighting(spark, sf_dir, "familykey", "specieskey", "year")
     cube = cubes.data_cube(df, {c: F.col(c) for c in ("familykey", "specieskey", "year")}, {})
     return cubes.with_key_total(cube, df, "familykey", "familycount").withColumn("familycount", F.coalesce("familycount", F.lit(-1)))
 
@@ -400,4 +400,4 @@ def positions_in_groups(spark, sf_dir):
     from sightings.operators.hot import numbered
 
     # a low limit, so that some groups are cut into buckets
-    return numbered(occurrence(spark, sf_dir, "recordid", "datasetkey", "year"), ["datasetkey", "year"], "recordid", hot_rows=100)
+    return numbered(sighting(spark, sf_dir, "recordid", "datasetkey", "year"), ["datasetkey", "year"], "recordid", hot_rows=100)

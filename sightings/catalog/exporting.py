@@ -9,8 +9,8 @@ from sightings.plans import exports, layouts
 from sightings.plans.user_sql import sql_export
 from sightings.session import scratch_path
 from sightings.sources import sinks
-from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, occurrence
-from sightings.sources.tables import build_multimedia_table, build_occurrence_table
+from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, sighting
+from sightings.sources.tables import build_multimedia_table, build_record_table
 
 _SIMPLE = (
     "recordid datasetkey license occurrenceid classificationdetails taxonomicissue nontaxonomicissue issue countrycode locality occurrencestatus"
@@ -42,14 +42,14 @@ def _simple_sql(columns: int) -> str:
 
 @query("EXP1", _simple_sql(50))
 def simple_text_export(spark, sf_dir):
-    df = build_occurrence_table(occurrence(spark, sf_dir, *_SIMPLE))
+    df = build_record_table(sighting(spark, sf_dir, *_SIMPLE))
     return _manifest(exports.simple_text(df, _where(), "cl-1"), spark, "tsv")
 
 
 def _archive(spark, sf_dir):
     names = [*_SIMPLE, "publishingcountry", "eventid", "eventtime", "sex", "lifestage", "taxonomicstatuses", "modified", "eventdategte", "eventdatelte",
              "hascoordinate", "v_country", "v_year", "v_recordedby", "ext_multimedia"]
-    df = occurrence(spark, sf_dir, *names)
+    df = sighting(spark, sf_dir, *names)
     remarks = df.select("recordid", F.explode(F.array("locality", "recordnumber")).alias("remark"))
     return exports.full_archive(df, _where(), "cl-1", build_multimedia_table(df), dna(spark, sf_dir), {"remarks": remarks})
 
@@ -66,22 +66,22 @@ def full_archive_export(spark, sf_dir):
 
 @query("EXP3", _simple_sql(50))
 def simple_avro_export(spark, sf_dir):
-    return _manifest(exports.simple_avro(occurrence(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
+    return _manifest(exports.simple_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
 
 
 @query("EXP4", _simple_sql(len(layouts.simple_with_verbatim_pairs()) + 1))
 def simple_with_verbatim_export(spark, sf_dir):
-    return _manifest(exports.simple_with_verbatim_avro(occurrence(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
+    return _manifest(exports.simple_with_verbatim_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
 
 
 @query("EXP5", _simple_sql(50))
 def parquet_export(spark, sf_dir):
-    return _manifest(exports.simple_parquet(occurrence(spark, sf_dir, *_SIMPLE), _where()), spark)
+    return _manifest(exports.simple_parquet(sighting(spark, sf_dir, *_SIMPLE), _where()), spark)
 
 
 @query("EXP6", _simple_sql(76))
 def map_of_life_export(spark, sf_dir):
-    return _manifest(exports.map_of_life(occurrence(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
+    return _manifest(exports.map_of_life(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
 
 
 _PERSONS = ("recordid", "datasetkey", "license", "family", "v_recordedby", "v_identifiedby", "v_recordedbyid", "v_identifiedbyid", "year", "countrycode")
@@ -94,7 +94,7 @@ _PERSONS = ("recordid", "datasetkey", "license", "family", "v_recordedby", "v_id
     ("families", "SELECT DISTINCT family FROM n", 4),
     ("identifiers", "SELECT v_recordedbyid FROM n WHERE v_recordedbyid IS NOT NULL UNION SELECT v_identifiedbyid FROM n WHERE v_identifiedbyid IS NOT NULL", 6)))
 def person_export(spark, sf_dir):
-    return _manifest(exports.person_export(occurrence(spark, sf_dir, *_PERSONS, "mediatype"), _where()), spark)
+    return _manifest(exports.person_export(sighting(spark, sf_dir, *_PERSONS, "mediatype"), _where()), spark)
 
 
 _TAXON = ["taxonkey", "scientificname", "kingdom", "family", "genus", "species"]
@@ -104,7 +104,7 @@ _TAXON = ["taxonkey", "scientificname", "kingdom", "family", "genus", "species"]
     cte(*_TAXON, "datasetkey", "license", "year", "countrycode"), ("result", f"SELECT DISTINCT {', '.join(_TAXON)} FROM kept", 7),
     ("citation", "SELECT DISTINCT datasetkey, license FROM kept", 3), ("count", "SELECT 1", 1)))
 def species_export(spark, sf_dir):
-    return _manifest(exports.species_export(occurrence(spark, sf_dir, *_TAXON, "datasetkey", "license", "year", "countrycode"), _where(), _TAXON), spark)
+    return _manifest(exports.species_export(sighting(spark, sf_dir, *_TAXON, "datasetkey", "license", "year", "countrycode"), _where(), _TAXON), spark)
 
 
 @query("EXP9", f"WITH {cte('datasetkey', 'license', 'year', 'species', 'decimallatitude', 'decimallongitude')}, kept AS (SELECT * FROM occ WHERE year >= 1998),"
@@ -112,7 +112,7 @@ def species_export(spark, sf_dir):
                " SELECT 'result' AS part, CAST(year AS VARCHAR) || '/' || species AS key, n FROM r UNION ALL SELECT 'count', 'rows', count(*) FROM r"
                " UNION ALL SELECT 'citation', datasetkey || '/' || license, count(*) FROM kept GROUP BY 2")
 def user_sql_export(spark, sf_dir):
-    views = {"occurrence": occurrence(spark, sf_dir, "datasetkey", "license", "year", "species")}
+    views = {"occurrence": sighting(spark, sf_dir, "datasetkey", "license", "year", "species")}
     out = sql_export(spark, views, 'SELECT "year", species, COUNT(*) AS n FROM occurrence WHERE "year" >= 1998 GROUP BY "year", species;', where='"year" >= 1998')
     result = out["result"].select(F.lit("result").alias("part"), F.concat_ws("/", F.col("year").cast("string"), "species").alias("key"), "n")
     count = out["count"].select(F.lit("count").alias("part"), F.lit("rows").alias("key"), F.col("count").alias("n"))
@@ -126,14 +126,14 @@ def user_sql_export(spark, sf_dir):
     ("sequences", "SELECT * FROM s WHERE recordid IN (SELECT recordid FROM kept)", 5),
     ("citation", "SELECT DISTINCT datasetkey FROM kept WHERE recordid IN (SELECT recordid FROM s)", 2)))
 def fasta_export(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "year", "countrycode")
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "year", "countrycode")
     return _manifest(exports.fasta_archive(df, _where(), dna(spark, sf_dir)), spark)
 
 
 @query("EXP11", f"WITH {cte('recordid', 'year', 'countrycode')}, {DNA_CTE}, kept AS (SELECT * FROM occ WHERE {_WHERE})"
                 " SELECT 'remarks' AS extension, recordid, 2 AS n FROM kept UNION ALL SELECT 'dna', recordid, count(*) FROM dna WHERE recordid IN (SELECT recordid FROM kept) GROUP BY 2")
 def extensions_export(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "locality", "recordnumber", "year", "countrycode")
+    df = sighting(spark, sf_dir, "recordid", "locality", "recordnumber", "year", "countrycode")
     remarks = df.select("recordid", F.explode(F.array("locality", "recordnumber")).alias("remark"))
     cut = exports.verbatim_extensions({"remarks": remarks, "dna": dna(spark, sf_dir)}, df.filter(_where()))
     counted = [rows.groupBy("recordid").agg(F.count("*").alias("n")).select(F.lit(name).alias("extension"), "recordid", "n") for name, rows in cut.items()]
@@ -146,7 +146,7 @@ def archive_consistency(spark, sf_dir):
     tables = _archive(spark, sf_dir)
     report = exports.consistency_report(tables["verbatim"], tables["occurrence"], tables["citation"])
     path = scratch_path(spark, "lines")
-    text = build_occurrence_table(tables["verbatim"])
+    text = build_record_table(tables["verbatim"])
     sinks.write_tsv(text, path)
     return report.unionByName(exports.column_count_report(spark.read.text(path), len(text.columns)))
 
@@ -157,7 +157,7 @@ def archive_consistency(spark, sf_dir):
                 " UNION ALL SELECT 'occurrence', count(*), 3 FROM occ WHERE eventid IN (SELECT eventid FROM kept)"
                 " UNION ALL SELECT 'citation', count(DISTINCT datasetkey), 2 FROM kept")
 def event_archive_export(spark, sf_dir):
-    """The full archive with events as the core: inventories and the events' occurrences."""
-    records = occurrence(spark, sf_dir, "recordid", "eventid").withColumn("datasetkey", F.lit("ds-e"))
+    """The full archive with events as the core: inventories and the events' records."""
+    records = sighting(spark, sf_dir, "recordid", "eventid").withColumn("datasetkey", F.lit("ds-e"))
     wanted = ["eventid", "parenteventid", "datasetkey", "eventdategte"]
     return _manifest(exports.event_archive(event(spark, sf_dir), F.col("eventtype") == "view", humboldt(spark, sf_dir), records, wanted), spark)

@@ -11,12 +11,12 @@ from sightings.functions import text
 from sightings.operators import params as request
 from sightings.operators.geologic import CHRONOSTRATIGRAPHY, GeologicTime
 from sightings.operators.names import match_names
-from sightings.operators.paging import by_id, by_occurrence
+from sightings.operators.paging import by_id, by_record
 from sightings.operators.predicates import Filters, filter_in, having_child, keep_listed
 from sightings.plans.quality import cube_quality
-from sightings.sources.driver import EVENT_CTE, cte, event, occurrence, table
+from sightings.sources.driver import EVENT_CTE, cte, event, sighting, table
 
-OCCURRENCES = Filters()
+RECORDS = Filters()
 EVENTS = Filters(m.EVENT_FIELDS)
 
 
@@ -31,7 +31,7 @@ def _sql(columns: str, where: str) -> str:
 
 def _apply(spark: SparkSession, sf_dir: str, columns: str, predicate: dict | None) -> DataFrame:
     names = list(dict.fromkeys(["recordid", *columns.split()]))
-    return _ids(OCCURRENCES.apply(occurrence(spark, sf_dir, *names), predicate))
+    return _ids(RECORDS.apply(sighting(spark, sf_dir, *names), predicate))
 
 
 @query("FLT1", _sql("species", "lower(species) = 'red widget'"))
@@ -89,7 +89,7 @@ def and_or_nested(spark, sf_dir):
 @query("FLT8", _sql("datasetkey taxonkey", "datasetkey IN ('ds-1', 'ds-5') OR taxonkey IN (SELECT CAST(p_partkey AS STRING) FROM part WHERE p_size < 25)"))
 def in_lists(spark, sf_dir):
     """A short literal list, and a key list of any length as a semi join."""
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "taxonkey")
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "taxonkey")
     short = filter_in(df, F.col("datasetkey"), ["DS-1", "ds-5"])
     keys = table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").cast("string").alias("key"))
     rest = df.filter(~F.lower("datasetkey").isin("ds-1", "ds-5"))
@@ -136,7 +136,7 @@ def vocabulary_lineage(spark, sf_dir):
                      " AND (coalesce(lower(recordedby_1) = 'customer#000000010', false) OR coalesce(lower(recordedby_2) = 'customer#000000010', false)"
                      " OR coalesce(taxonissue_1 = 'TAXON_MATCH_FUZZY', false))"))
 def array_contains_never_null(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "issue", "recordedby")
+    df = sighting(spark, sf_dir, "recordid", "issue", "recordedby")
     return _ids(df.filter(
         ~text.array_contains_text(F.col("issue"), "ZERO_COORDINATE", True)
         & (text.array_contains_text(F.col("recordedby"), "CUSTOMER#000000010", False)
@@ -146,7 +146,7 @@ def array_contains_never_null(spark, sf_dir):
 @query("FLT14", _sql("recordedby_1 recordedby_2",
                      "coalesce(regexp_matches(recordedby_1, '^Customer#0*[0-9]7$'), false) OR coalesce(regexp_matches(recordedby_2, '^(?i)supplier#0000000.1$'), false)"))
 def array_like(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "recordedby")
+    df = sighting(spark, sf_dir, "recordid", "recordedby")
     people = F.col("recordedby")
     return _ids(df.filter(text.array_like_text(people, "Customer#0000000?7", True)
                           | text.array_like_text(people, "SUPPLIER#0000000?1", False)))
@@ -154,7 +154,7 @@ def array_like(spark, sf_dir):
 
 @query("FLT15", _sql("issue_2 taxonissue_1", "issue_2 IS NOT NULL OR taxonissue_1 IS NOT NULL"))
 def arrays_overlap(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "issue")
+    df = sighting(spark, sf_dir, "recordid", "issue")
     return _ids(df.filter(F.arrays_overlap("issue", F.array(F.lit("COUNTRY_COORDINATE_MISMATCH"), F.lit("TAXON_MATCH_FUZZY")))))
 
 
@@ -173,8 +173,8 @@ def any_rank_key(spark, sf_dir):
 @query("FLT18", _sql("issue_1 issue_2", "issue_1 = 'ZERO_COORDINATE' OR issue_2 = 'COUNTRY_COORDINATE_MISMATCH'"))
 def issues_of_a_checklist(spark, sf_dir):
     wanted = ["ZERO_COORDINATE", "COUNTRY_COORDINATE_MISMATCH"]
-    OCCURRENCES.check_issues({"type": "in", "key": "ISSUE", "values": wanted}, ["TAXON_MATCH_FUZZY", "TAXON_MATCH_NONE"])
-    df = occurrence(spark, sf_dir, "recordid", "nontaxonomicissue")
+    RECORDS.check_issues({"type": "in", "key": "ISSUE", "values": wanted}, ["TAXON_MATCH_FUZZY", "TAXON_MATCH_NONE"])
+    df = sighting(spark, sf_dir, "recordid", "nontaxonomicissue")
     return _ids(df.filter(F.arrays_overlap("nontaxonomicissue", F.array(*map(F.lit, wanted)))))
 
 
@@ -197,7 +197,7 @@ _AGES = ", ".join(f"('{c}', {s}, {e})" for c, s, e in CHRONOSTRATIGRAPHY)
                 " AND NOT (geologicaltime_gt >= j.end_age AND geologicaltime_lte <= j.start_age) AND geologicaltime_gt >= 66")
 def geological_time(spark, sf_dir):
     filters = Filters(geologic=GeologicTime())
-    df = occurrence(spark, sf_dir, "recordid", "geologicaltime")
+    df = sighting(spark, sf_dir, "recordid", "geologicaltime")
     return _ids(filters.apply(df, {"type": "and", "predicates": [
         {"type": "equals", "key": "GEOLOGICAL_TIME", "value": "cenozoic,mesozoic"},
         {"type": "not", "predicate": {"type": "equals", "key": "GEOLOGICAL_TIME", "value": "jurassic"}},
@@ -220,8 +220,8 @@ def same_element(spark, sf_dir):
 
 @query("FLT23", f"WITH {EVENT_CTE}, {cte('eventid', 'basisofrecord', 'year')} SELECT eventid FROM ev WHERE type = 'event' AND eventid IN"
                 " (SELECT eventid FROM occ WHERE basisofrecord = 'PRESERVED_SPECIMEN' AND year = 1996)")
-def events_having_occurrences(spark, sf_dir):
-    children = OCCURRENCES.apply(occurrence(spark, sf_dir, "eventid", "basisofrecord", "year"), {"type": "and", "predicates": [
+def events_having_records(spark, sf_dir):
+    children = RECORDS.apply(sighting(spark, sf_dir, "eventid", "basisofrecord", "year"), {"type": "and", "predicates": [
         {"type": "equals", "key": "BASIS_OF_RECORD", "value": "PRESERVED_SPECIMEN"}, {"type": "equals", "key": "YEAR", "value": "1996"}]})
     return having_child(event(spark, sf_dir).filter("type = 'event'"), children, ["eventid"]).select("eventid")
 
@@ -247,7 +247,7 @@ def scientific_name_to_keys(spark, sf_dir):
     backbone = table(spark, sf_dir, "part").select(
         F.col("p_name").alias("scientificname"), F.col("p_partkey").cast("string").alias("usagekey"),
         F.lit(None).cast("string").alias("acceptedkey"))
-    df = occurrence(spark, sf_dir, "recordid", "taxonkeys")
+    df = sighting(spark, sf_dir, "recordid", "taxonkeys")
     return _ids(match_names(df, backbone, ["Red Widget"], checklist="cl-1"))
 
 
@@ -260,7 +260,7 @@ def events_only(spark, sf_dir):
                      "occurrencestatus = 'PRESENT' AND hascoordinate AND (coordinateuncertaintyinmeters <= 1000 OR coordinateuncertaintyinmeters IS NULL)"
                      " AND year >= 1996 AND month IS NOT NULL AND specieskey IS NOT NULL AND issue_1 IS NULL AND issue_2 IS NULL"))
 def data_cube_quality(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "occurrencestatus", "hascoordinate", "coordinateuncertaintyinmeters",
+    df = sighting(spark, sf_dir, "recordid", "occurrencestatus", "hascoordinate", "coordinateuncertaintyinmeters",
                     "year", "month", "specieskey", "issue")
     return _ids(df.filter(cube_quality(1000, 1996)))
 
@@ -274,12 +274,12 @@ _POINT = "WITH " + cte("recordid", "datasetkey", "occurrenceid", "v_locality") +
 
 @query("FLT29", _POINT)
 def point_lookups(spark, sf_dir):
-    """One record by id and one by (dataset, occurrence id), verbatim form."""
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "occurrenceid", "v_locality")
+    """One record by id and one by (dataset, record id of the publisher), verbatim form."""
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "occurrenceid", "v_locality")
     named = df.filter("occurrenceid IS NOT NULL")
     last = df.agg(F.max("recordid").alias("recordid"), F.lit(1)).first().recordid
     dataset, name = named.agg(F.min(F.struct("datasetkey", "occurrenceid")).alias("k")).first().k
-    return by_id(df, last).unionByName(by_occurrence(df, dataset, name)).select("recordid", "v_locality")
+    return by_id(df, last).unionByName(by_record(df, dataset, name)).select("recordid", "v_locality")
 
 
 @query("FLT30", _sql("year month countrycode",

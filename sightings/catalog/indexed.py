@@ -17,7 +17,7 @@ from sightings.operators.heatmap import heatmap
 from sightings.operators.maintained_cube import MaintainedCube
 from sightings.operators.postings import DIGITS, PostingsIndex
 from sightings.session import scratch_path, staged
-from sightings.sources.driver import occurrence, table
+from sightings.sources.driver import sighting, table
 
 # ---- taxa as intervals ---------------------------------------------------------------------------
 
@@ -26,7 +26,7 @@ _RANKS = ("kingdom", "family", "specieskey")
 
 def _checklist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records with the place of their taxon, sorted by it, and the numbered tree with each node's key and rank."""
-    records = occurrence(spark, sf_dir, "recordid", *_RANKS)
+    records = sighting(spark, sf_dir, "recordid", *_RANKS)
     names = records.select(*_RANKS).distinct()
 
     def node(depth: int):
@@ -70,7 +70,7 @@ def facet_by_interval(spark, sf_dir):
 # ---- places in the curve's order -------------------------------------------------------------------
 
 def _clustered(spark: SparkSession, sf_dir: str, *names: str) -> ClusteredTable:
-    return ClusteredTable.write(occurrence(spark, sf_dir, *names), scratch_path(spark, "clustered"), spread="recordid" if "recordid" in names else None)
+    return ClusteredTable.write(sighting(spark, sf_dir, *names), scratch_path(spark, "clustered"), spread="recordid" if "recordid" in names else None)
 
 
 @query("GEO1C", ORACLES["GEO1"])
@@ -125,14 +125,14 @@ def relevance_by_postings(spark, sf_dir):
 @query("TXT3D", ORACLES["TXT3"])
 def suggestions_by_dictionary(spark, sf_dir):
     terms = TermDictionary(spark, scratch_path(spark, "terms"))
-    terms.apply("all", ["RECORDED_BY"], new=occurrence(spark, sf_dir, "recordedby"))
+    terms.apply("all", ["RECORDED_BY"], new=sighting(spark, sf_dir, "recordedby"))
     return terms.suggest("RECORDED_BY", "Customer#00000012", limit=8)
 
 
 @query("TXT4D", ORACLES["TXT4"])
 def terms_by_dictionary(spark, sf_dir):
     """Some records come twice and one version of them goes again."""
-    rows, terms = occurrence(spark, sf_dir, "locality", "year"), TermDictionary(spark, scratch_path(spark, "terms"))
+    rows, terms = sighting(spark, sf_dir, "locality", "year"), TermDictionary(spark, scratch_path(spark, "terms"))
     some = rows.where("year = 1997")
     terms.apply("first", ["LOCALITY"], new=rows)
     terms.apply("second", ["LOCALITY"], new=some)
@@ -147,7 +147,7 @@ _CUBE = ("basisofrecord", "countrycode", "publishingcountry", "year")
 
 def _kept_up(spark: SparkSession, sf_dir: str) -> MaintainedCube:
     """The cube of all records, which came in two batches, one with a wrong year that was mended later."""
-    rows, cube = occurrence(spark, sf_dir, *_CUBE), MaintainedCube(spark, scratch_path(spark, "cube"), _CUBE)
+    rows, cube = sighting(spark, sf_dir, *_CUBE), MaintainedCube(spark, scratch_path(spark, "cube"), _CUBE)
     late = rows.where("year = 1998")
     wrong = late.withColumn("year", F.lit(1066))
     cube.apply("early", new=rows.where("year <> 1998"))

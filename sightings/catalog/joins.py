@@ -9,33 +9,33 @@ from sightings.operators import agents, citations, events, relations
 from sightings.operators.predicates import having_child
 from sightings.operators.spatial_join import join_layer
 from sightings.plans.exports import extension_rows, media_rows, sequence_rows, with_humboldt
-from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, occurrence, table
+from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, sighting, table
 from sightings.sources.tables import build_extension_table, build_multimedia_table
 
 
 def _part_extension(spark, sf_dir):
     """Two extension rows per line of an order, keyed by the record id."""
-    rows = occurrence(spark, sf_dir, "recordid", "locality", "recordnumber")
+    rows = sighting(spark, sf_dir, "recordid", "locality", "recordnumber")
     return rows.select("recordid", F.explode(F.array("locality", "recordnumber")).alias("remark"))
 
 
 @query("JN1", f"WITH {cte('recordid', 'locality', 'recordnumber', 'year')} SELECT recordid, unnest([locality, recordnumber]) AS remark FROM occ WHERE year = 1997")
 def extension_of_export(spark, sf_dir):
-    exported = occurrence(spark, sf_dir, "recordid", "year").filter("year = 1997")
+    exported = sighting(spark, sf_dir, "recordid", "year").filter("year = 1997")
     return extension_rows(build_extension_table(_part_extension(spark, sf_dir)), exported)
 
 
 @query("JN2", f"WITH {cte('recordid', 'ext_multimedia', 'countrycode')} SELECT recordid, unnest(regexp_extract_all(ext_multimedia, '\"type\":\"([A-Za-z]+)\"', 1)) AS type"
               " FROM occ WHERE countrycode = 'NATION_8' AND ext_multimedia IS NOT NULL")
 def multimedia_of_export(spark, sf_dir):
-    exported = occurrence(spark, sf_dir, "recordid", "countrycode").filter("countrycode = 'NATION_8'")
-    items = build_multimedia_table(occurrence(spark, sf_dir, "recordid", "ext_multimedia"))
+    exported = sighting(spark, sf_dir, "recordid", "countrycode").filter("countrycode = 'NATION_8'")
+    items = build_multimedia_table(sighting(spark, sf_dir, "recordid", "ext_multimedia"))
     return media_rows(items, exported).select("recordid", "type")
 
 
 @query("JN3", f"WITH {DNA_CTE}, {cte('recordid', 'year')} SELECT recordid, sequence FROM dna JOIN occ USING (recordid) WHERE sequence IS NOT NULL AND year >= 1998")
 def sequences_of_export(spark, sf_dir):
-    exported = occurrence(spark, sf_dir, "recordid", "year").filter("year >= 1998")
+    exported = sighting(spark, sf_dir, "recordid", "year").filter("year >= 1998")
     return sequence_rows(dna(spark, sf_dir), exported).select("recordid", "sequence")
 
 
@@ -48,17 +48,17 @@ def events_with_inventories(spark, sf_dir):
 
 
 @query("JN5", f"WITH {EVENT_CTE}, {cte('recordid', 'eventid')} SELECT recordid, eventid FROM occ WHERE eventid IN (SELECT eventid FROM ev WHERE eventtype = 'click')")
-def occurrences_of_selected_events(spark, sf_dir):
+def records_of_selected_events(spark, sf_dir):
     chosen = event(spark, sf_dir).filter("eventtype = 'click'")
-    records = occurrence(spark, sf_dir, "recordid", "eventid").withColumn("datasetkey", F.lit("ds-e"))
-    return events.occurrences_of(chosen, records).select("recordid", "eventid")
+    records = sighting(spark, sf_dir, "recordid", "eventid").withColumn("datasetkey", F.lit("ds-e"))
+    return events.records_of(chosen, records).select("recordid", "eventid")
 
 
 @query("JN6", f"WITH {cte('v_recordedby', 'v_identifiedby')}, r AS (SELECT v_recordedby AS agent, count(*) AS n FROM occ WHERE v_recordedby IS NOT NULL GROUP BY 1),"
               " i AS (SELECT v_identifiedby AS agent, count(*) AS n FROM occ WHERE v_identifiedby IS NOT NULL GROUP BY 1)"
               " SELECT coalesce(r.agent, i.agent) AS agent, coalesce(r.n, 0) AS totalrecordedby, coalesce(i.n, 0) AS totalidentifiedby FROM r FULL JOIN i ON r.agent = i.agent")
 def outer_join_of_totals(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "v_recordedby", "v_identifiedby")
+    df = sighting(spark, sf_dir, "v_recordedby", "v_identifiedby")
 
     def totals(column: str, out: str):
         return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("agent")).agg(F.count("*").alias(out))
@@ -69,7 +69,7 @@ def outer_join_of_totals(spark, sf_dir):
 
 @query("JN7", f"WITH {EVENT_CTE}, {cte('eventid', 'countrycode')} SELECT eventid, eventtype FROM ev WHERE eventid IN (SELECT eventid FROM occ WHERE countrycode = 'NATION_11')")
 def events_by_child(spark, sf_dir):
-    children = occurrence(spark, sf_dir, "eventid", "countrycode").filter("countrycode = 'NATION_11'")
+    children = sighting(spark, sf_dir, "eventid", "countrycode").filter("countrycode = 'NATION_11'")
     return having_child(event(spark, sf_dir), children, ["eventid"]).select("eventid", "eventtype")
 
 
@@ -93,7 +93,7 @@ def layer_sql(lat: str, lon: str, key: str = "n.n_nationkey") -> str:
 
 @query("JN8", f"WITH {cte('recordid', 'decimallatitude', 'decimallongitude')} SELECT recordid, n_name AS country FROM occ JOIN nation n ON {layer_sql('decimallatitude', 'decimallongitude')}")
 def points_in_countries(spark, sf_dir):
-    points = occurrence(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude").filter("decimallatitude IS NOT NULL")
+    points = sighting(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude").filter("decimallatitude IS NOT NULL")
     return join_layer(points, nation_layer(spark, sf_dir), "decimallatitude", "decimallongitude").select("recordid", "country")
 
 
@@ -102,12 +102,12 @@ def dictionary_lookup(spark, sf_dir):
     from sightings.plans.interpret import with_lookup
 
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), F.col("n_name").alias("country"))
-    return with_lookup(occurrence(spark, sf_dir, "recordid", "v_country"), F.lower("v_country"), names, "name").select("recordid", "country")
+    return with_lookup(sighting(spark, sf_dir, "recordid", "v_country"), F.lower("v_country"), names, "name").select("recordid", "country")
 
 
 def _edges(spark, sf_dir):
     """Each record linked with the first record of its taxon and month (a star, not all pairs)."""
-    df = occurrence(spark, sf_dir, "recordid", "taxonkey", "year", "month").filter("month IS NOT NULL")
+    df = sighting(spark, sf_dir, "recordid", "taxonkey", "year", "month").filter("month IS NOT NULL")
     hubs = df.groupBy("taxonkey", "year", "month").agg(F.min("recordid").alias("id1"))
     linked = df.join(hubs, ["taxonkey", "year", "month"]).filter("id1 <> recordid")
     return linked.select("id1", F.col("recordid").alias("id2"), F.lit("SAME_TAXON,SAME_DATE").alias("reasons"))
@@ -144,8 +144,8 @@ def page_of_event_records(spark, sf_dir):
     from sightings.operators.paging import page
 
     one = event(spark, sf_dir).filter("eventid = '12'")
-    records = occurrence(spark, sf_dir, "recordid", "eventid", "species").withColumn("datasetkey", F.lit("ds-e"))
-    return page(events.occurrences_of(one, records), [F.col("recordid")], offset=2, limit=5).select("recordid", "species")
+    records = sighting(spark, sf_dir, "recordid", "eventid", "species").withColumn("datasetkey", F.lit("ds-e"))
+    return page(events.records_of(one, records), [F.col("recordid")], offset=2, limit=5).select("recordid", "species")
 
 
 @query("JN14", f"WITH {cte('recordid', 'datasetkey', 'publishingorgkey')} SELECT datasetkey, publishingorgkey, count(*) AS affected FROM occ"
@@ -155,7 +155,7 @@ def records_of_changed_organisations(spark, sf_dir):
 
     changed = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 IN (2, 5)").select(
         F.concat(F.lit("org-"), (F.col("s_suppkey") % 10).cast("string")).alias("publishingorgkey"))
-    records = occurrence(spark, sf_dir, "recordid", "datasetkey", "publishingorgkey")
+    records = sighting(spark, sf_dir, "recordid", "datasetkey", "publishingorgkey")
     return affected_records(records, changed, "publishingorgkey").groupBy("datasetkey", "publishingorgkey").agg(F.count("*").alias("affected"))
 
 
@@ -165,20 +165,20 @@ def records_of_changed_organisations(spark, sf_dir):
 def union_of_issue_lists(spark, sf_dir):
     from sightings.functions.text import array_union_all, nested_value
 
-    df = occurrence(spark, sf_dir, "recordid", "nontaxonomicissue", "taxonomicissue")
+    df = sighting(spark, sf_dir, "recordid", "nontaxonomicissue", "taxonomicissue")
     both = array_union_all(F.col("nontaxonomicissue"), nested_value(F.col("taxonomicissue"), "cl-1"))
     return df.select("recordid", F.array_join(both, ";").alias("issue"))
 
 
 @query("SET2", f"WITH {cte('eventid', 'datasetkey', 'year')} SELECT DISTINCT eventid, datasetkey FROM occ WHERE year = 1996")
 def distinct_event_ids(spark, sf_dir):
-    return occurrence(spark, sf_dir, "eventid", "datasetkey", "year").filter("year = 1996").select("eventid", "datasetkey").distinct()
+    return sighting(spark, sf_dir, "eventid", "datasetkey", "year").filter("year = 1996").select("eventid", "datasetkey").distinct()
 
 
 @query("SET3", f"WITH {cte('datasetkey')} SELECT datasetkey, count(*) AS num_occurrences FROM occ GROUP BY 1")
 def union_of_partials(spark, sf_dir):
     """Counts per year range, as workers would deliver them, added up."""
-    df = occurrence(spark, sf_dir, "datasetkey", "year")
+    df = sighting(spark, sf_dir, "datasetkey", "year")
     early, late = df.filter("year < 1998"), df.filter("year >= 1998")
     return citations.merge_partials([citations.citation(part, with_license=False) for part in (early, late)])
 
@@ -193,4 +193,4 @@ def difference_of_columns(spark, sf_dir):
     rest = [p for p in simple_with_verbatim_pairs(["scientificname", "locality", "eventdate", "country", "year"]) if p not in simple]
     if [group for group, _ in rest] != [VERBATIM] * len(rest):
         raise AssertionError("only verbatim columns may remain")
-    return project_grouped(occurrence(spark, sf_dir, "recordid", "v_country", "v_year"), rest)
+    return project_grouped(sighting(spark, sf_dir, "recordid", "v_country", "v_year"), rest)

@@ -12,7 +12,7 @@ from sightings.operators.heatmap import ALPHABET, heatmap
 from sightings.operators.params import search_predicate
 from sightings.operators.predicates import Filters
 from sightings.operators.shapes import parse_wkt
-from sightings.sources.driver import cte, occurrence
+from sightings.sources.driver import cte, sighting
 
 
 
@@ -57,7 +57,7 @@ def _select(where: str, *more: str) -> str:
                        " OR (decimallatitude BETWEEN -30 AND 30 AND (decimallongitude >= 100 OR decimallongitude <= -120)))"))
 def within_polygons(spark, sf_dir):
     """A holed polygon, one over the dateline, and a clockwise rectangle."""
-    df = occurrence(spark, sf_dir, *COORDINATES)
+    df = sighting(spark, sf_dir, *COORDINATES)
     tests = [geo.within(wkt, *_point()) for wkt in (HOLED, PACIFIC, CLOCKWISE)]
     return df.filter(geo.any_of(tests)).select("recordid")
 
@@ -69,7 +69,7 @@ def _haversine_sql(lat: float, lon: float) -> str:
 
 @query("GEO2", _select(f"{_haversine_sql(56.0, 12.0)} <= 2500000"))
 def distance_filter(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *COORDINATES)
+    df = sighting(spark, sf_dir, *COORDINATES)
     return df.filter(geo.geo_distance(56.0, 12.0, "2500km", *_point())).select("recordid")
 
 
@@ -80,12 +80,12 @@ def search_shapes(spark, sf_dir):
         {"type": "within", "geometry": MULTI},
         {"type": "within", "geometry": "LINESTRING (-80 -80, -40 -40, -40 -40, -10 -10)"},
         {"type": "within", "geometry": "POINT (300 10)"}]}
-    return Filters().apply(occurrence(spark, sf_dir, *COORDINATES), predicate).select("recordid")
+    return Filters().apply(sighting(spark, sf_dir, *COORDINATES), predicate).select("recordid")
 
 
 @query("GEO4", _select("decimallatitude BETWEEN 10 AND 50 AND (decimallongitude >= 170 OR decimallongitude <= -100)"))
 def box_filter(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *COORDINATES)
+    df = sighting(spark, sf_dir, *COORDINATES)
     return df.filter(geo.bounding_box(*_point(), 170.0, 10.0, -100.0, 50.0)).select("recordid")
 
 
@@ -94,7 +94,7 @@ def box_filter(spark, sf_dir):
 def several_geometries(spark, sf_dir):
     predicate = search_predicate({
         "GEOMETRY": [MULTI, HOLED], "GEO_DISTANCE": ["20,20,3000km", "-30,-60,1000km"], "YEAR": ["1999"]})
-    return Filters().apply(occurrence(spark, sf_dir, *COORDINATES, "year"), predicate).select("recordid")
+    return Filters().apply(sighting(spark, sf_dir, *COORDINATES, "year"), predicate).select("recordid")
 
 
 HEAT = ("decimallatitude", "decimallongitude", "hascoordinate")
@@ -126,25 +126,25 @@ _WORLD = "decimallatitude BETWEEN -90 AND 90 AND decimallongitude BETWEEN -180 A
 
 @query("GEO6", _heat_sql(4, "decimallatitude BETWEEN -40 AND 70 AND decimallongitude BETWEEN -100 AND 60", "", 50000))
 def geohash_counts(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *HEAT)
+    df = sighting(spark, sf_dir, *HEAT)
     return heatmap(df, zoom=4, box=(-100.0, -40.0, 60.0, 70.0)).select("cell", "count")
 
 
 @query("GEO7", _heat_sql(2, _WORLD, ", max(decimallatitude) AS top, min(decimallongitude) AS \"left\","
                          " min(decimallatitude) AS bottom, max(decimallongitude) AS \"right\"", 50000))
 def geohash_bounds(spark, sf_dir):
-    return heatmap(occurrence(spark, sf_dir, *HEAT), zoom=0)
+    return heatmap(sighting(spark, sf_dir, *HEAT), zoom=0)
 
 
 @query("GEO8", _heat_sql(3, _WORLD, ", round(avg(decimallatitude), 6) AS latitude, round(avg(decimallongitude), 6) AS longitude", 50000))
 def geohash_centroids(spark, sf_dir):
-    cells = heatmap(occurrence(spark, sf_dir, *HEAT), zoom=2, mode="GEO_CENTROID")
+    cells = heatmap(sighting(spark, sf_dir, *HEAT), zoom=2, mode="GEO_CENTROID")
     return cells.select("cell", "count", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
 
 
 @query("GEO9", _heat_sql(10, _WORLD, "", 50000))
 def geohash_cell_limit(spark, sf_dir):
-    return heatmap(occurrence(spark, sf_dir, *HEAT), zoom=18).select("cell", "count")
+    return heatmap(sighting(spark, sf_dir, *HEAT), zoom=18).select("cell", "count")
 
 
 def _laea_sql() -> tuple[str, str]:
@@ -177,7 +177,7 @@ def _grid_sql(code: str, *more: str) -> str:
 
 
 def _grid_counts(spark, sf_dir, scheme: str, size: int):
-    df = occurrence(spark, sf_dir, "decimallatitude", "decimallongitude")
+    df = sighting(spark, sf_dir, "decimallatitude", "decimallongitude")
     return df.groupBy(grids.grid_cell(scheme, size).alias("cell")).agg(F.count("*").alias("n"))
 
 
@@ -270,7 +270,7 @@ _MOVED = (
 @query("GEO15", f"WITH {cte(*COORDINATES, 'coordinateuncertaintyinmeters')}, moved AS ({_MOVED}) SELECT CASE WHEN decimallatitude IS NOT NULL THEN"
                 f" '10kmE' || CAST(CAST(floor(({_EAST}) / 10000) AS BIGINT) AS VARCHAR) || 'N' || CAST(CAST(floor(({_NORTH}) / 10000) AS BIGINT) AS VARCHAR) END AS cell, count(*) AS n FROM moved GROUP BY 1")
 def displaced_cells(spark, sf_dir):
-    df = occurrence(spark, sf_dir, *COORDINATES, "coordinateuncertaintyinmeters")
+    df = sighting(spark, sf_dir, *COORDINATES, "coordinateuncertaintyinmeters")
     lat, lon = grids.displaced(F.col("recordid"), *_point(), F.coalesce("coordinateuncertaintyinmeters", F.lit(1000.0)))
     moved = df.select(lat.alias("decimallatitude"), lon.alias("decimallongitude"))
     return moved.groupBy(grids.grid_cell("eea", 10000).alias("cell")).agg(F.count("*").alias("n"))

@@ -1,4 +1,4 @@
-"""Scalar functions over the occurrence columns, and the registered SQL names."""
+"""Scalar functions over the record columns, and the registered SQL names."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from sightings.catalog.places import _EAST, _NORTH, military_cte
 from sightings.catalog.registry import query
 from sightings.functions import dates, text
 from sightings.functions.register import register_functions
-from sightings.sources.driver import DNA_CTE, cte, dna, occurrence
+from sightings.sources.driver import DNA_CTE, cte, dna, sighting
 
 
 def _rows(columns: str, select: str) -> str:
@@ -20,7 +20,7 @@ _CLEAN = "trim(regexp_replace({0}, '[\\t\\n\\r\\x0B\\x0C]', ' ', 'g'), chr(32) |
 
 @query("STR1", _rows("v_scientificname v_locality", f"{_CLEAN.format('v_scientificname')} AS name, {_CLEAN.format('v_locality')} AS locality"))
 def clean_text(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_scientificname", "v_locality")
+    df = sighting(spark, sf_dir, "recordid", "v_scientificname", "v_locality")
     return df.select("recordid", text.clean_delimiters(F.col("v_scientificname")).alias("name"),
                      text.clean_delimiters(F.col("v_locality")).alias("locality"))
 
@@ -29,7 +29,7 @@ def clean_text(spark, sf_dir):
                      f"concat_ws('|', {_CLEAN.format('v_locality')}, {_CLEAN.format('v_scientificname')}) AS cleaned,"
                      " CAST(1 AS INT) AS blank_is_null"))
 def clean_text_arrays(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_scientificname", "v_locality")
+    df = sighting(spark, sf_dir, "recordid", "v_scientificname", "v_locality")
     cleaned = text.clean_delimiters_array(F.array("v_locality", F.lit(" \t"), "v_scientificname"))
     blank = text.clean_delimiters_array(F.array(F.lit(" "), F.lit("\n")))
     return df.select("recordid", F.array_join(cleaned, "|").alias("cleaned"), blank.isNull().cast("int").alias("blank_is_null"))
@@ -37,19 +37,19 @@ def clean_text_arrays(spark, sf_dir):
 
 @query("STR3", _rows("recordedby_1 recordedby_2", "nullif(concat_ws(';', recordedby_1, recordedby_2), '') AS people"))
 def join_text(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "recordedby")
+    df = sighting(spark, sf_dir, "recordid", "recordedby")
     return df.select("recordid", text.join_array(F.col("recordedby")).alias("people"))
 
 
 @query("STR4", _rows("year month", "printf('%04d-%02d', year, coalesce(month, 0)) AS yearmonth"))
 def year_month_text(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "year", "month")
+    df = sighting(spark, sf_dir, "recordid", "year", "month")
     return df.select("recordid", text.year_month(F.col("year"), F.coalesce("month", F.lit(0))).alias("yearmonth"))
 
 
 @query("STR5", _rows("recordedby_1 recordedby_2", "concat_ws(' | ', recordedby_1, recordedby_2) AS people"))
 def concat_with_separator(spark, sf_dir):
-    return occurrence(spark, sf_dir, "recordid", "recordedby").select("recordid", F.concat_ws(" | ", "recordedby").alias("people"))
+    return sighting(spark, sf_dir, "recordid", "recordedby").select("recordid", F.concat_ws(" | ", "recordedby").alias("people"))
 
 
 @query("STR6", f"WITH {DNA_CTE} SELECT '>' || coalesce(nucleotidesequenceid, '') || '|' || recordid || '|' || coalesce(targetgene_concept, '')"
@@ -63,7 +63,7 @@ def fasta_text(spark, sf_dir):
                      "coalesce(sex_concept, 'NOT_SUPPLIED') AS sex, CASE WHEN month IS NULL THEN 'none' ELSE 'some' END AS has_month,"
                      " lower(locality) LIKE 'plot 1%' AS first_plots"))
 def conditional_text(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "sex", "month", "locality")
+    df = sighting(spark, sf_dir, "recordid", "sex", "month", "locality")
     return df.select("recordid", text.supplied(F.col("sex.concept")).alias("sex"),
                      F.expr("IF(ISNULL(month), 'none', 'some')").alias("has_month"),
                      F.lower("locality").like("plot 1%").alias("first_plots"))
@@ -71,14 +71,14 @@ def conditional_text(spark, sf_dir):
 
 @query("ARR1", _rows("collectioncode recordedby_1", "nullif(concat_ws('|', collectioncode, recordedby_1), '') AS kept"))
 def remove_nulls(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "collectioncode", "recordedby_1")
+    df = sighting(spark, sf_dir, "recordid", "collectioncode", "recordedby_1")
     kept = text.remove_nulls(F.array("collectioncode", "recordedby_1"))
     return df.select("recordid", F.array_join(kept, "|").alias("kept"))
 
 
 @query("ARR2", _rows("collectioncode recordedby_1", "nullif(concat_ws('|', collectioncode, recordedby_1), '') AS kept"))
 def remove_null_strings(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "collectioncode", "recordedby_1")
+    df = sighting(spark, sf_dir, "recordid", "collectioncode", "recordedby_1")
     kept = text.remove_null_strings(F.array(F.lit("  "), "collectioncode", F.lit(""), "recordedby_1"))
     return df.select("recordid", F.array_join(kept, "|").alias("kept"))
 
@@ -86,13 +86,13 @@ def remove_null_strings(spark, sf_dir):
 @query("ARR3", f"WITH {cte('recordid')} SELECT o.recordid, p_size % 2 = 0 AS has_image FROM (SELECT recordid, split_part(recordid, '-', 3) AS pk FROM occ) o"
                " JOIN part ON CAST(p_partkey AS VARCHAR) = pk")
 def array_contains(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "mediatype")
+    df = sighting(spark, sf_dir, "recordid", "mediatype")
     return df.select("recordid", F.array_contains("mediatype", "StillImage").alias("has_image"))
 
 
 @query("MAP1", _rows("kingdom family species", "species AS species1, CAST(NULL AS VARCHAR) AS species2, family AS family2, CAST(NULL AS VARCHAR) AS none"))
 def nested_map_values(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "classificationdetails")
+    df = sighting(spark, sf_dir, "recordid", "classificationdetails")
     details = F.col("classificationdetails")
     return df.select("recordid", text.nested_value(details, "cl-1", "species").alias("species1"),
                      text.nested_value(details, "cl-2", "species").alias("species2"),
@@ -103,7 +103,7 @@ def nested_map_values(spark, sf_dir):
 @query("STC1", _rows("sex_concept sex_root typestatus_text",
                      "sex_concept AS sex, sex_root || '/' || sex_concept AS lineage, typestatus_text AS types"))
 def struct_fields(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "sex", "typestatus")
+    df = sighting(spark, sf_dir, "recordid", "sex", "typestatus")
     return df.select("recordid", text.concept(F.col("sex")).alias("sex"), F.array_join(text.lineage(F.col("sex")), "/").alias("lineage"),
                      text.join_array(text.concepts(F.col("typestatus"))).alias("types"))
 
@@ -111,20 +111,20 @@ def struct_fields(spark, sf_dir):
 @query("JSN1", _rows("ext_multimedia", "unnest(from_json(ext_multimedia, '[{\"type\": \"VARCHAR\", \"identifier\": \"VARCHAR\"}]'), recursive := true)")
        + " WHERE ext_multimedia IS NOT NULL")
 def json_to_rows(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "ext_multimedia")
+    df = sighting(spark, sf_dir, "recordid", "ext_multimedia")
     items = df.select("recordid", F.explode(text.media_items(F.col("ext_multimedia"))).alias("item"))
     return items.select("recordid", F.col("item")["type"].alias("type"), F.col("item")["identifier"].alias("identifier"))
 
 
 @query("DAT1", _rows("eventdategte", "strftime(to_timestamp(eventdategte) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS moment"))
 def seconds_utc(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdategte")
+    df = sighting(spark, sf_dir, "recordid", "eventdategte")
     return df.select("recordid", dates.seconds_to_iso8601(F.col("eventdategte")).alias("moment"))
 
 
 @query("DAT2", _rows("eventdatelte", "strftime(to_timestamp(eventdatelte) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS moment"))
 def seconds_local(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdatelte")
+    df = sighting(spark, sf_dir, "recordid", "eventdatelte")
     return df.select("recordid", dates.seconds_to_local_iso8601(F.col("eventdatelte")).alias("moment"))
 
 
@@ -136,20 +136,20 @@ def _millis_sql(suffix: str) -> str:
 
 @query("DAT3", _rows("modified", f"{_millis_sql('Z')} AS moment"))
 def millis_utc(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "modified")
+    df = sighting(spark, sf_dir, "recordid", "modified")
     return df.select("recordid", dates.millis_to_iso8601(F.col("modified")).alias("moment"))
 
 
 @query("DAT4", _rows("modified", f"{_millis_sql('Z')} AS utc, {_millis_sql('')} AS local"))
 def millis_both(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "modified")
+    df = sighting(spark, sf_dir, "recordid", "modified")
     return df.select("recordid", dates.millis_to_iso8601(F.col("modified")).alias("utc"),
                      dates.millis_to_local_iso8601(F.col("modified")).alias("local"))
 
 
 @query("DAT5", _rows("dateidentified", "CAST(to_timestamp(dateidentified) AT TIME ZONE 'UTC' AS VARCHAR) AS moment"))
 def seconds_to_timestamp(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "dateidentified")
+    df = sighting(spark, sf_dir, "recordid", "dateidentified")
     return df.select("recordid", F.timestamp_seconds("dateidentified").cast("string").alias("moment"))
 
 
@@ -162,14 +162,14 @@ _UNCERTAIN = (
 
 @query("DAT6", _rows("eventdate eventtime", f"{_UNCERTAIN} AS seconds"))
 def temporal_uncertainty(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdate", "eventtime")
+    df = sighting(spark, sf_dir, "recordid", "eventdate", "eventtime")
     return df.select("recordid", dates.temporal_uncertainty("eventdate", "eventtime").alias("seconds"))
 
 
 @query("DAT7", _rows("eventdategte", "strftime(to_timestamp(eventdategte) AT TIME ZONE 'UTC', '%Y-%m-%d') AS parsed"))
 def lenient_dates(spark, sf_dir):
     """The event day written in six different forms, read back."""
-    df = occurrence(spark, sf_dir, "recordid", "eventdategte")
+    df = sighting(spark, sf_dir, "recordid", "eventdategte")
     day = F.timestamp_seconds("eventdategte")
     forms = ["yyyy-MM-dd", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
     which = F.pmod(F.crc32(F.col("recordid")), F.lit(len(forms)))
@@ -182,7 +182,7 @@ def lenient_dates(spark, sf_dir):
                      " CAST(epoch(CASE length(eventdate) WHEN 4 THEN CAST(eventdate || '-01-01' AS TIMESTAMP) + INTERVAL 1 YEAR"
                      " WHEN 7 THEN CAST(eventdate || '-01' AS TIMESTAMP) + INTERVAL 1 MONTH ELSE CAST(eventdate AS TIMESTAMP) + INTERVAL 1 DAY END) AS BIGINT) - 1 AS last_second"))
 def precision_bounds(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdate")
+    df = sighting(spark, sf_dir, "recordid", "eventdate")
     return df.select("recordid", dates.lower_bound("eventdate").alias("first_second"), dates.upper_bound("eventdate").alias("last_second"))
 
 
@@ -202,7 +202,7 @@ _UDF_COLUMNS = ("recordid", "decimallatitude", "decimallongitude", "eventdate",
 def registered_functions(spark, sf_dir):
     """User SQL over a view, calling the functions by their registered names."""
     register_functions(spark)
-    occurrence(spark, sf_dir, *_UDF_COLUMNS).createOrReplaceTempView("sightings_udf1")
+    sighting(spark, sf_dir, *_UDF_COLUMNS).createOrReplaceTempView("sightings_udf1")
     return spark.sql("""
         SELECT recordid, SecondsToISO8601(eventdategte) AS utc, MillisecondsToISO8601(modified) AS changed,
           TemporalUncertainty(eventdate, eventtime) AS seconds, StringArrayContains(issue, 'ZERO_COORDINATE', true) AS zero,
@@ -219,7 +219,7 @@ def registered_functions(spark, sf_dir):
 def typed_parameters(spark, sf_dir):
     """Grid functions by name; arguments are cast to the declared parameter types."""
     register_functions(spark)
-    occurrence(spark, sf_dir, *_UDF_COLUMNS).createOrReplaceTempView("sightings_udf2")
+    sighting(spark, sf_dir, *_UDF_COLUMNS).createOrReplaceTempView("sightings_udf2")
     return spark.sql("""
         SELECT EEARGCode(100000, decimallatitude, decimallongitude, coalesce(coordinateuncertaintyinmeters, 1000)) AS eea,
           MGRSCode(100000, decimallatitude, decimallongitude, 1000) AS mgrs, count(*) AS n
@@ -230,5 +230,5 @@ def typed_parameters(spark, sf_dir):
                      " strftime(to_timestamp(eventdategte) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS local"))
 def registered_text_functions(spark, sf_dir):
     register_functions(spark)
-    occurrence(spark, sf_dir, "recordid", "v_locality", "eventdategte").createOrReplaceTempView("sightings_udf3")
+    sighting(spark, sf_dir, "recordid", "v_locality", "eventdategte").createOrReplaceTempView("sightings_udf3")
     return spark.sql("SELECT recordid, cleanDelimiters(v_locality) AS locality, SecondsToLocalISO8601(eventdategte) AS local FROM sightings_udf3")

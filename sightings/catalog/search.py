@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from sightings.catalog.registry import query
 from sightings.operators import paging, text_search
-from sightings.sources.driver import cte, occurrence, table
+from sightings.sources.driver import cte, sighting, table
 
 
 @query("SRT1", f"WITH {cte('recordid', 'year', 'month')} SELECT recordid, year FROM occ ORDER BY year NULLS LAST, month NULLS LAST, recordid LIMIT 300")
 def default_order(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "year", "month")
+    df = sighting(spark, sf_dir, "recordid", "year", "month")
     return paging.page(df, paging.default_order(), limit=300).select("recordid", "year")
 
 
@@ -31,7 +31,7 @@ _PLACE = "CAST('0x' || substr(md5(recordid || '|seed-1'), 1, 8) AS BIGINT) % 100
 
 @query("SRT3", f"WITH {cte('recordid', 'year')} SELECT recordid, year FROM occ ORDER BY {_PLACE}, recordid LIMIT 200")
 def seeded_shuffle(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "year")
+    df = sighting(spark, sf_dir, "recordid", "year")
     return paging.page(df, paging.shuffled_order("seed-1"), limit=200)
 
 
@@ -39,7 +39,7 @@ def seeded_shuffle(spark, sf_dir):
                " SELECT recordid, (SELECT count(*) FROM occ WHERE year = 1999) AS total FROM p")
 def page_with_total(spark, sf_dir):
     """A page asked larger than allowed, and the number of all hits."""
-    hits = occurrence(spark, sf_dir, "recordid", "year", "month").filter("year = 1999")
+    hits = sighting(spark, sf_dir, "recordid", "year", "month").filter("year = 1999")
     page = paging.page(hits, paging.default_order(), offset=40, limit=1000)
     total = paging.total(hits).first().total
     return page.select("recordid", F.lit(total).cast("bigint").alias("total"))
@@ -47,19 +47,19 @@ def page_with_total(spark, sf_dir):
 
 @query("SRT5", f"WITH {cte('recordid')} SELECT recordid FROM occ")
 def export_slices(spark, sf_dir):
-    return paging.export_slices(occurrence(spark, sf_dir, "recordid"), 6)
+    return paging.export_slices(sighting(spark, sf_dir, "recordid"), 6)
 
 
 @query("SRT6", f"WITH {cte('recordid', 'elevation')} SELECT recordid, round(elevation, 4) AS elevation FROM occ ORDER BY occ.elevation DESC, recordid LIMIT 25")
 def user_order_and_limit(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "elevation")
+    df = sighting(spark, sf_dir, "recordid", "elevation")
     top = df.orderBy(F.desc("elevation"), "recordid").limit(25)
     return top.select("recordid", F.round("elevation", 4).alias("elevation"))
 
 
 @query("SRT7", f"WITH {cte('species')} SELECT species AS term, count(*) AS count FROM occ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7")
 def most_frequent_terms(spark, sf_dir):
-    counts = occurrence(spark, sf_dir, "species").groupBy(F.col("species").alias("term")).agg(F.count("*").alias("count"))
+    counts = sighting(spark, sf_dir, "species").groupBy(F.col("species").alias("term")).agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), "term").limit(7)
 
 
@@ -78,7 +78,7 @@ _FULL = "list_distinct(list_filter([species, family, locality, countrycode, v_co
 @query("TXT2", f"WITH {cte('recordid', 'species', 'family', 'locality', 'countrycode', 'v_country', 'v_locality', 'year', 'month', 'datasetkey', 'hascoordinate', 'eventtime')}"
                f" SELECT recordid, array_to_string(list_sort({_FULL}), '|') AS fulltext FROM occ")
 def full_text_field(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "species", "family", "locality", "countrycode", "v_country", "v_locality", "year", "month",
+    df = sighting(spark, sf_dir, "recordid", "species", "family", "locality", "countrycode", "v_country", "v_locality", "year", "month",
                     "datasetkey", "hascoordinate", "eventtime", "recordedby")
     return df.select("recordid", F.array_join(F.array_sort(text_search.full_text(df)), "|").alias("fulltext"))
 
@@ -86,9 +86,9 @@ def full_text_field(spark, sf_dir):
 @query("TXT3", f"WITH {cte('recordedby_1', 'recordedby_2')}, v AS (SELECT recordedby_1 AS value FROM occ UNION SELECT recordedby_2 FROM occ)"
                " SELECT value FROM v WHERE lower(value) LIKE 'customer#00000012%' ORDER BY 1 LIMIT 8")
 def prefix_suggestions(spark, sf_dir):
-    return text_search.suggest(occurrence(spark, sf_dir, "recordedby"), "RECORDED_BY", "Customer#00000012", limit=8)
+    return text_search.suggest(sighting(spark, sf_dir, "recordedby"), "RECORDED_BY", "Customer#00000012", limit=8)
 
 
 @query("TXT4", f"WITH {cte('locality')} SELECT locality AS term, count(*) AS count FROM occ WHERE locality LIKE '% 17' OR lower(locality) LIKE '17%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def term_search(spark, sf_dir):
-    return text_search.field_terms(occurrence(spark, sf_dir, "locality"), "LOCALITY", "17")
+    return text_search.field_terms(sighting(spark, sf_dir, "locality"), "LOCALITY", "17")

@@ -8,7 +8,7 @@ from sightings.catalog.registry import query
 from sightings.plans import layouts, terms
 from sightings.session import scratch_path
 from sightings.sources import sinks, tables
-from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, occurrence, table
+from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, sighting, table
 
 _CLEAN = "trim(regexp_replace({0}, '[\\t\\n\\r\\x0B\\x0C]', ' ', 'g'), chr(32) || chr(9))"
 _UTC = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S')"
@@ -26,7 +26,7 @@ def _rows(columns: str, select: str) -> str:
 def fixed_schema_scan(spark, sf_dir):
     """Scan with a declared schema; only the three used columns are read."""
     schema = "l_orderkey bigint, l_quantity double, l_returnflag string, l_linestatus string"
-    rows = tables.read_occurrences(spark, f"{sf_dir}/lineitem.parquet", schema)
+    rows = tables.read_records(spark, f"{sf_dir}/lineitem.parquet", schema)
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
@@ -34,9 +34,9 @@ def fixed_schema_scan(spark, sf_dir):
                      f"{_CLEAN.format('v_scientificname')} AS name, {_CLEAN.format('v_locality')} AS locality, individualcount,"
                      " nullif(concat_ws(';', recordedby_1, recordedby_2), '') AS people"))
 def typed_base_table(spark, sf_dir):
-    raw = occurrence(spark, sf_dir, "recordid", "v_scientificname", "v_locality", "individualcount", "recordedby")
-    path = scratch_path(spark, "occurrence")
-    tables.write_table(tables.build_occurrence_table(raw), path, fmt="orc", codec="zlib")
+    raw = sighting(spark, sf_dir, "recordid", "v_scientificname", "v_locality", "individualcount", "recordedby")
+    path = scratch_path(spark, "records")
+    tables.write_table(tables.build_record_table(raw), path, fmt="orc", codec="zlib")
     built = spark.read.schema(raw.schema).orc(path)
     return built.select("recordid", F.col("v_scientificname").alias("name"), F.col("v_locality").alias("locality"),
                         "individualcount", F.array_join("recordedby", ";").alias("people"))
@@ -59,7 +59,7 @@ _MEDIA_SQL = (
 
 @query("SRC4", _MEDIA_SQL)
 def multimedia_table(spark, sf_dir):
-    media = tables.build_multimedia_table(occurrence(spark, sf_dir, "recordid", "ext_multimedia"))
+    media = tables.build_multimedia_table(sighting(spark, sf_dir, "recordid", "ext_multimedia"))
     return media.select("recordid", "type", "format", "identifier", "title", "license", "created", "creator")
 
 
@@ -82,15 +82,15 @@ def swap_versions(spark, sf_dir):
 @query("SNK1", f"WITH {cte('recordid', 'datasetkey', 'v_locality', 'collectioncode', 'year')} SELECT recordid || chr(9) || datasetkey || chr(9) ||"
                f" coalesce({_CLEAN.format('v_locality')}, '') || chr(9) || coalesce(collectioncode, '') || chr(9) || CAST(year AS VARCHAR) AS line FROM occ")
 def tsv_lines(spark, sf_dir):
-    raw = occurrence(spark, sf_dir, "recordid", "datasetkey", "v_locality", "collectioncode", "year")
+    raw = sighting(spark, sf_dir, "recordid", "datasetkey", "v_locality", "collectioncode", "year")
     path = scratch_path(spark, "tsv")
-    sinks.write_tsv(tables.build_occurrence_table(raw), path)
+    sinks.write_tsv(tables.build_record_table(raw), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("SNK2", f"WITH {cte('recordid', 'species', 'elevation')} SELECT recordid, species, round(elevation, 4) AS elevation FROM occ")
 def parquet_round_trip(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "species", "elevation")
+    df = sighting(spark, sf_dir, "recordid", "species", "elevation")
     path = scratch_path(spark, "parquet")
     sinks.write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path).select("recordid", "species", F.round("elevation", 4).alias("elevation"))
@@ -98,7 +98,7 @@ def parquet_round_trip(spark, sf_dir):
 
 @query("SNK3", f"WITH {cte('datasetkey')} SELECT datasetkey, count(*) AS n FROM occ GROUP BY 1")
 def avro_round_trip(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "recordedby", "eventdategte")
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "recordedby", "eventdategte")
     rows = layouts.project_avro(df, ["datasetkey", "recordedby", "eventdategte"])
     path = scratch_path(spark, "avro")
     fmt = sinks.write_avro(rows, path)
@@ -119,7 +119,7 @@ def fasta_lines(spark, sf_dir):
 
 @query("SNK5", "SELECT 'occurrence' AS \"table\", count(*) AS \"rows\", 2 AS columns FROM lineitem UNION ALL SELECT 'event', count(*), 2 FROM events")
 def bundle_manifest(spark, sf_dir):
-    frames = {"occurrence": occurrence(spark, sf_dir, "recordid", "datasetkey"), "event": event(spark, sf_dir).select("eventid", "parenteventid")}
+    frames = {"occurrence": sighting(spark, sf_dir, "recordid", "datasetkey"), "event": event(spark, sf_dir).select("eventid", "parenteventid")}
     return sinks.write_bundle(frames, scratch_path(spark, "bundle"))
 
 
@@ -127,7 +127,7 @@ def bundle_manifest(spark, sf_dir):
 
 @query("PRJ1", _rows("v_scientificname v_locality v_country v_eventdate", "v_scientificname, v_locality, v_country, v_eventdate"))
 def verbatim_layout(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_scientificname", "v_locality", "v_country", "v_eventdate")
+    df = sighting(spark, sf_dir, "recordid", "v_scientificname", "v_locality", "v_country", "v_eventdate")
     return layouts.project_verbatim(df, ["scientificname", "locality", "country", "eventdate"])
 
 
@@ -141,7 +141,7 @@ _ISSUES = "concat_ws(';', issue_1, issue_2, taxonissue_1) AS issue"
                      " coalesce(month, -1) AS month, elevation"))
 def interpreted_layout(spark, sf_dir):
     wanted = "datasetkey kingdom family species issue taxonomicstatus eventdategte dateidentified modified sex typestatus recordedby month elevation".split()
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "classificationdetails", "taxonomicstatuses", "nontaxonomicissue", "taxonomicissue",
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "classificationdetails", "taxonomicstatuses", "nontaxonomicissue", "taxonomicissue",
                     "eventdategte", "dateidentified", "modified", "sex", "typestatus", "recordedby", "month", "elevation")
     rows = layouts.project_interpreted(df, "cl-1", wanted)
     return rows.withColumn("month", F.coalesce("month", F.lit(-1)))
@@ -158,7 +158,7 @@ def event_layout(spark, sf_dir):
                      f"{_UTC.format('eventdategte')} AS eventdategte, {_MILLIS} AS modified, sex_concept AS sex,"
                      " to_json(list_filter([recordedby_1, recordedby_2], lambda x: x IS NOT NULL)) AS recordedby, kingdom"))
 def avro_layout(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdategte", "modified", "sex", "recordedby", "kingdom")
+    df = sighting(spark, sf_dir, "recordid", "eventdategte", "modified", "sex", "recordedby", "kingdom")
     rows = layouts.project_avro(df, ["eventdategte", "modified", "sex", "recordedby", "kingdom"])
     return rows.withColumn("recordedby", F.to_json("recordedby"))
 
@@ -168,7 +168,7 @@ def avro_layout(spark, sf_dir):
                      " CAST(epoch_ms(CAST(modified AS BIGINT)) AS VARCHAR) AS modified, sex_concept AS sex,"
                      " typestatus_text AS typestatus, concat_ws(';', recordedby_1, recordedby_2) AS recordedby, v_locality AS verbatimlocality"))
 def parquet_layout(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "eventdategte", "modified", "sex", "typestatus", "recordedby", "v_locality")
+    df = sighting(spark, sf_dir, "recordid", "eventdategte", "modified", "sex", "typestatus", "recordedby", "v_locality")
     rows = layouts.project_parquet(df, ["eventdategte", "modified", "sex", "typestatus", "recordedby"], ["locality"])
     return rows.select("recordid", F.col("eventdategte").cast("string").alias("eventdategte"), F.col("modified").cast("string").alias("modified"),
                        "sex", F.array_join("typestatus", ";").alias("typestatus"), F.array_join("recordedby", ";").alias("recordedby"), "verbatimlocality")
@@ -176,7 +176,7 @@ def parquet_layout(spark, sf_dir):
 
 @query("PRJ6", _rows("kingdom family genus species", "kingdom, family, genus, species, 'Order ' || family AS \"order\", CAST(NULL AS VARCHAR) AS phylum"))
 def taxonomic_layout(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "classificationdetails")
+    df = sighting(spark, sf_dir, "recordid", "classificationdetails")
     return layouts.project_taxonomic(df, "cl-1", ["kingdom", "family", "genus", "species", "order", "phylum"])
 
 
@@ -188,7 +188,7 @@ def taxonomic_list_layout(spark, sf_dir):
 
 @query("PRJ8", _rows("datasetkey species v_scientificname v_year sex_concept", "datasetkey, species, v_scientificname, sex_concept AS sex, v_year"))
 def grouped_layout(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "classificationdetails", "v_scientificname", "v_year", "sex")
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "classificationdetails", "v_scientificname", "v_year", "sex")
     return layouts.project_grouped(df, terms.grouped(["datasetkey", "species", "v:scientificname", "sex", "v:year"]), "cl-1")
 
 
@@ -196,7 +196,7 @@ def _select_from(wanted: list[str], known: dict[str, str]) -> str:
     return ", ".join(f'{known.get(w, "CAST(NULL AS VARCHAR)")} AS "{w}"' for w in wanted)
 
 
-# layout column -> DuckDB value over the occurrence columns, for the wide layouts
+# layout column -> DuckDB value over the record columns, for the wide layouts
 _WIDE = {
     **{n: n for n in "datasetkey occurrenceid kingdom family genus species taxonrank scientificname countrycode locality occurrencestatus"
        " individualcount publishingorgkey decimallatitude decimallongitude coordinateuncertaintyinmeters elevation depth year taxonkey"
@@ -214,7 +214,7 @@ _WIDE_SOURCES = ("datasetkey occurrenceid kingdom family genus species taxonrank
 
 
 def _wide(spark, sf_dir):
-    return occurrence(spark, sf_dir, "recordid", *[c for c in _WIDE_SOURCES.split() if c[-2:] not in ("_1", "_2") and c != "typestatus_text"],
+    return sighting(spark, sf_dir, "recordid", *[c for c in _WIDE_SOURCES.split() if c[-2:] not in ("_1", "_2") and c != "typestatus_text"],
                       "recordedby", "identifiedby", "typestatus", "issue")
 
 
@@ -258,7 +258,7 @@ def dna_layout(spark, sf_dir):
                                    " CAST(NULL AS VARCHAR) AS audience, CAST(NULL AS VARCHAR) AS contributor, CAST(NULL AS VARCHAR) AS publisher,"
                                    " CAST(NULL AS VARCHAR) AS \"rightsHolder\"").replace(" AS references", " AS \"references\""))
 def multimedia_layout(spark, sf_dir):
-    return layouts.project_multimedia(tables.build_multimedia_table(occurrence(spark, sf_dir, "recordid", "ext_multimedia")))
+    return layouts.project_multimedia(tables.build_multimedia_table(sighting(spark, sf_dir, "recordid", "ext_multimedia")))
 
 
 @query("PRJ13", f"WITH {cte('recordid', 'decimallatitude', 'decimallongitude', 'countrycode', 'publishingcountry', 'recordedby_1', 'recordedby_2', 'ext_multimedia')}"
@@ -268,7 +268,7 @@ def multimedia_layout(spark, sf_dir):
 def derived_flags(spark, sf_dir):
     from sightings.functions.text import media_items
 
-    df = occurrence(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude", "countrycode", "publishingcountry", "recordedby", "ext_multimedia")
+    df = sighting(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude", "countrycode", "publishingcountry", "recordedby", "ext_multimedia")
     rows = layouts.derive_flags(df.withColumn("media", media_items(F.col("ext_multimedia"))))
     return rows.withColumn("mediatype", F.coalesce("mediatype", F.lit("none")))
 
@@ -283,12 +283,12 @@ def derived_flags(spark, sf_dir):
                 " UNION ALL SELECT 'collectioncode', 'STRING', NULL, NULL, count(collectioncode) < count(*) FROM occ")
 def layout_description(spark, sf_dir):
     names = ["datasetkey", "month", "dateidentified", "modified", "recordedby", "collectioncode"]
-    return layouts.describe_layout(occurrence(spark, sf_dir, "recordid", *names), names)
+    return layouts.describe_layout(sighting(spark, sf_dir, "recordid", *names), names)
 
 
 @query("PRJ15", _rows("datasetkey occurrenceid institutioncode collectioncode catalognumber",
                       "CASE WHEN occurrenceid IS NOT NULL THEN datasetkey || '|' || occurrenceid"
                       " ELSE datasetkey || '|' || institutioncode || '|' || collectioncode || '|' || catalognumber || '|null' END AS uniquekey"))
 def unique_keys(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "datasetkey", "occurrenceid", "institutioncode", "collectioncode", "catalognumber")
-    return df.select("recordid", layouts.occurrence_key(df).alias("uniquekey"))
+    df = sighting(spark, sf_dir, "recordid", "datasetkey", "occurrenceid", "institutioncode", "collectioncode", "catalognumber")
+    return df.select("recordid", layouts.record_key(df).alias("uniquekey"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightings.catalog.joins import layer_sql, nation_layer
 from sightings.catalog.registry import query
 from sightings.plans import interpret
-from sightings.sources.driver import cte, occurrence, table
+from sightings.sources.driver import cte, sighting, table
 
 
 def _epoch(day: str) -> str:
@@ -37,13 +37,13 @@ def _filled(df, *numbers: str):
 
 @query("INT1", _DATE_SQL)
 def dates(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", *interpret.RAW_DATES)
+    df = sighting(spark, sf_dir, "recordid", *interpret.RAW_DATES)
     return _filled(interpret.standardise_dates(df), "year", "month", "day", "epoch_from", "epoch_to")
 
 
 @query("INT2", f"WITH {cte('recordid', 'basisofrecord')} SELECT recordid, basisofrecord FROM occ")
 def basis_of_record(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_basisofrecord")
+    df = sighting(spark, sf_dir, "recordid", "v_basisofrecord")
     return interpret.standardise_vocabulary(df, "v_basisofrecord", "basisofrecord").select("recordid", "basisofrecord")
 
 
@@ -55,7 +55,7 @@ def _nation_names(spark, sf_dir):
                " CASE WHEN v_country <> 'Atlantis' THEN upper(v_country) ELSE v_countrycode END AS country,"
                " CASE WHEN v_country = 'Atlantis' THEN 'COUNTRY_INVALID' WHEN v_countrycode IS NOT NULL AND lower(v_countrycode) <> v_country THEN 'COUNTRY_MISMATCH' ELSE '' END AS issues FROM occ")
 def countries(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_country", "v_countrycode")
+    df = sighting(spark, sf_dir, "recordid", "v_country", "v_countrycode")
     rows = interpret.standardise_country(df, ["v_country", "v_countrycode"], _nation_names(spark, sf_dir))
     return rows.select("recordid", "country", F.array_join("countryissues", ";").alias("issues"))
 
@@ -84,7 +84,7 @@ FROM p LEFT JOIN best USING (recordid)"""
 
 
 def _validated(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude", "countrycode", "v_country").select(
+    df = sighting(spark, sf_dir, "recordid", "decimallatitude", "decimallongitude", "countrycode", "v_country").select(
         "recordid", F.col("decimallatitude").alias("lat"), F.col("decimallongitude").alias("lon"),
         F.when(F.col("v_country") != "Atlantis", F.col("countrycode")).alias("country"))
     return interpret.validate_coordinates(df, nation_layer(spark, sf_dir), _CONFUSED)
@@ -113,7 +113,7 @@ def contradictions(spark, sf_dir):
                " SELECT recordid, CASE WHEN good_u THEN u ELSE -1 END AS uncertainty, CASE WHEN good_p THEN p ELSE -1 END AS precision,"
                " concat_ws(';', CASE WHEN has_p AND NOT good_p THEN 'COORDINATE_PRECISION_INVALID' END, CASE WHEN has_u AND NOT good_u THEN 'COORDINATE_UNCERTAINTY_METERS_INVALID' END) AS issues FROM g")
 def uncertainty(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_coordinateuncertaintyinmeters", "v_coordinateprecision")
+    df = sighting(spark, sf_dir, "recordid", "v_coordinateuncertaintyinmeters", "v_coordinateprecision")
     return interpret.validate_uncertainty(df).select(
         "recordid", F.coalesce("coordinateuncertaintyinmeters", F.lit(-1.0)).alias("uncertainty"),
         F.coalesce("coordinateprecision", F.lit(-1.0)).alias("precision"), F.array_join("uncertaintyissues", ";").alias("issues"))
@@ -123,7 +123,7 @@ def uncertainty(spark, sf_dir):
                " try_cast(replace(v_minimumdepthinmeters, ' m', '') AS DOUBLE) AS a, try_cast(v_maximumdepthinmeters AS DOUBLE) AS b FROM occ)"
                " SELECT recordid, coalesce((a + b) / 2, a, b, -1) AS depth, coalesce(abs(b - a) / 2, -1) AS depthaccuracy FROM n")
 def depth(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_minimumdepthinmeters", "v_maximumdepthinmeters")
+    df = sighting(spark, sf_dir, "recordid", "v_minimumdepthinmeters", "v_maximumdepthinmeters")
     rows = interpret.standardise_range(df, "v_minimumdepthinmeters", "v_maximumdepthinmeters", "depth")
     return rows.select("recordid", *[F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in ("depth", "depthaccuracy")])
 
@@ -132,7 +132,7 @@ def depth(spark, sf_dir):
                " trim(regexp_replace(v_scientificname, '\\s+', ' ', 'g')) AS s FROM occ) SELECT recordid, l AS locality,"
                " CASE WHEN regexp_matches(replace(s, ' ', ''), '^[A-Z]+$') THEN upper(substr(s, 1, 1)) || lower(substr(s, 2)) ELSE s END AS name FROM c")
 def place_names(spark, sf_dir):
-    df = occurrence(spark, sf_dir, "recordid", "v_locality", "v_scientificname")
+    df = sighting(spark, sf_dir, "recordid", "v_locality", "v_scientificname")
     return df.select("recordid", interpret.clean_place_name(F.col("v_locality")).alias("locality"),
                      interpret.clean_place_name(F.col("v_scientificname")).alias("name"))
 
@@ -169,7 +169,7 @@ FROM q LEFT JOIN best USING (name)"""
 @query("INT9", _TAXA_SQL)
 def taxa(spark, sf_dir):
     """Names as given, with an author, in capitals, misspelled, with an unknown epithet, and unknown."""
-    df = occurrence(spark, sf_dir, "recordid", "v_scientificname", "species")
+    df = sighting(spark, sf_dir, "recordid", "v_scientificname", "species")
     order = F.pmod(F.split("recordid", "-")[0].cast("bigint"), F.lit(23))
     given = interpret.compose_name(F.col("v_scientificname"), *[F.lit(None).cast("string")] * 5)
     name = (F.when(order == 0, F.expr("substr(species, 1, length(species) - 1)"))
@@ -181,5 +181,5 @@ def taxa(spark, sf_dir):
 @query("INT10", f"WITH {cte('recordid', 'v_geodeticdatum')} SELECT recordid, CASE WHEN v_geodeticdatum IS NULL THEN 'GEODETIC_DATUM_ASSUMED_WGS84'"
                 " WHEN v_geodeticdatum = 'WGS84' THEN '' ELSE 'GEODETIC_DATUM_INVALID;GEODETIC_DATUM_ASSUMED_WGS84' END AS issues FROM occ")
 def datum(spark, sf_dir):
-    rows = interpret.datum_check(occurrence(spark, sf_dir, "recordid", "v_geodeticdatum"))
+    rows = interpret.datum_check(sighting(spark, sf_dir, "recordid", "v_geodeticdatum"))
     return rows.select("recordid", F.array_join("datumissues", ";").alias("issues"))

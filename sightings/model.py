@@ -1,4 +1,4 @@
-"""Column types and the search fields of the occurrence and event tables."""
+"""Column types and the search fields of the record and event tables."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ def _fields(kind: str, *names: str, **more) -> dict[str, Field]:
 
 
 # Search parameter names, by the kind of column they read.
-OCCURRENCE_FIELDS: dict[str, Field] = {
+RECORD_FIELDS: dict[str, Field] = {
     **_fields(UPPER, "license", "protocol", "publishing_country", "basis_of_record", "occurrence_status", "continent"),
     **_fields(LOWER, "dataset_key", "installation_key", "hosting_organization_key", "collection_key", "institution_key"),
     **_fields(KEYWORD, "project_id", "programme_acronym", "dataset_id", "coordinate_precision", "island",
@@ -134,7 +134,7 @@ def field_of(parameter: str, fields: dict[str, Field]) -> Field:
     name = parameter.upper()
     if name in fields:
         return fields[name]
-    if fields is OCCURRENCE_FIELDS and name.endswith(RANK_KEY):
+    if fields is RECORD_FIELDS and name.endswith(RANK_KEY):
         return fields["TAXON_KEY"]
     raise ValueError(f"unknown search parameter {parameter}")
 

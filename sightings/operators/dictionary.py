@@ -43,7 +43,7 @@ class TermDictionary:
 
     def __init__(self, spark: SparkSession, path: str, fields: dict[str, m.Field] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.fields = m.OCCURRENCE_FIELDS if fields is None else fields
+        self.fields = m.RECORD_FIELDS if fields is None else fields
         self.log = VersionLog(spark, f"{self.path}/log")
 
     def _entry(self) -> tuple[int | None, dict]:

@@ -1,4 +1,4 @@
-"""The tree of sampling events: parents, children, lineage and their occurrences."""
+"""The tree of sampling events: parents, children, lineage and their records."""
 
 from __future__ import annotations
 
@@ -25,9 +25,9 @@ def children_of(events: DataFrame) -> DataFrame:
     return events.join(counts.withColumnRenamed("parenteventid", "eventid"), ["datasetkey", "eventid"])
 
 
-def occurrences_of(events: DataFrame, occurrences: DataFrame) -> DataFrame:
+def records_of(events: DataFrame, records: DataFrame) -> DataFrame:
     """Records of the selected events, matched on event and dataset; a record appears once."""
-    return occurrences.join(events.select("eventid", "datasetkey").distinct(), ["eventid", "datasetkey"], "left_semi")
+    return records.join(events.select("eventid", "datasetkey").distinct(), ["eventid", "datasetkey"], "left_semi")
 
 
 def lineage(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -59,7 +59,7 @@ def facet(df: DataFrame, parameter: str, fields: Mapping[str, m.Field] | None =
           min_count: int = 1, limit: int = DEFAULT_LIMIT, offset: int = DEFAULT_OFFSET) -> DataFrame:
     """A page of the terms of one field, most frequent first, ties by term."""
     page_size(None, offset, limit)
-    counts = term_counts(df, parameter, m.OCCURRENCE_FIELDS if fields is None else fields, checklist)
+    counts = term_counts(df, parameter, m.RECORD_FIELDS if fields is None else fields, checklist)
     kept = counts.filter(F.col("count") >= min_count)
     return kept.orderBy(F.desc("count"), "term").offset(offset).limit(limit)
 

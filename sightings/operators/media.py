@@ -12,7 +12,7 @@ MAX_PAGE = 100
 KEYS = ["checklistkey", "taxonkey", "mediatype"]
 
 
-def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int) -> DataFrame:
+def media_index(records: DataFrame, media: DataFrame, chunk_size: int) -> DataFrame:
     """Per checklist, taxon and media type: chunks of media items and the total.
 
     The media of a kingdom may be a third of all media, and so may those of one record:
@@ -22,7 +22,7 @@ def media_index(occurrences: DataFrame, media: DataFrame, chunk_size: int) -> Da
     typed = media.filter("type IS NOT NULL").withColumn("mediatype", F.lower("type"))
     item = F.struct("recordid", "identifier", "title", "license", "created", "creator").alias("item")
     # joined before the taxa are exploded: the shuffle carries each media item once
-    joined = occurrences.select("recordid", "taxonkeys").join(typed, "recordid").select(
+    joined = records.select("recordid", "taxonkeys").join(typed, "recordid").select(
         "recordid", "taxonkeys", "mediatype", "identifier", item)
     rows = joined.select("*", F.explode("taxonkeys").alias("checklistkey", "keys")).select(
         "*", F.explode(F.array_distinct("keys")).alias("taxonkey")).select(*KEYS, "recordid", "identifier", "item")

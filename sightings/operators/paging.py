@@ -17,8 +17,8 @@ def by_id(df: DataFrame, record_id: str) -> DataFrame:
     return df.filter(F.col("recordid") == record_id).limit(1)
 
 
-def by_occurrence(df: DataFrame, dataset: str, occurrence_id: str) -> DataFrame:
-    """First record of a dataset and its occurrence id."""
+def by_record(df: DataFrame, dataset: str, occurrence_id: str) -> DataFrame:
+    """First record of a dataset and the id that its publisher gave it."""
     same = (F.col("datasetkey") == dataset) & (F.col("occurrenceid") == occurrence_id)
     return df.filter(same).orderBy("recordid").limit(1)
 

@@ -72,7 +72,7 @@ def _last_day(text: str) -> str:
 
 def export_predicate(params: Params, fields: dict[str, m.Field] | None = None) -> dict | None:
     """One value is equals, several equals are IN, mixed ones OR, parameters AND."""
-    fields = m.OCCURRENCE_FIELDS if fields is None else fields
+    fields = m.RECORD_FIELDS if fields is None else fields
     match_case = str(next(iter(params.get("matchCase", [])), "false")).lower() == "true"
     by_parameter = []
     for name, values in params.items():
@@ -94,7 +94,7 @@ def export_predicate(params: Params, fields: dict[str, m.Field] | None = None) -
 
 def search_predicate(params: Params, fields: dict[str, m.Field] | None = None) -> dict | None:
     """Search rules: ranges of one parameter are OR-ed, plain values are IN, both AND-ed."""
-    fields = m.OCCURRENCE_FIELDS if fields is None else fields
+    fields = m.RECORD_FIELDS if fields is None else fields
     parts: list[dict] = []
     for name, values in params.items():
         part = parameter_predicate(name, values, fields)

@@ -33,7 +33,7 @@ class Filters:
 
     def __init__(self, fields: dict[str, m.Field] | None = None, checklist: str = "cl-1",
                  geologic: GeologicTime | None = None) -> None:
-        self.fields = m.OCCURRENCE_FIELDS if fields is None else fields
+        self.fields = m.RECORD_FIELDS if fields is None else fields
         self.checklist = checklist
         self.geologic = geologic
 

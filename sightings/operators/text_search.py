@@ -70,7 +70,7 @@ def tokens_of(query: str) -> list[str]:
 
 def suggest(df: DataFrame, parameter: str, prefix: str, limit: int = 10, fields: dict[str, m.Field] | None = None) -> DataFrame:
     """Distinct values of a suggestible field that start with the prefix, in order."""
-    fields = m.OCCURRENCE_FIELDS if fields is None else fields
+    fields = m.RECORD_FIELDS if fields is None else fields
     if not m.field_of(parameter, fields).suggest:
         raise ValueError(f"{parameter} has no suggestions")
     values = df.select(F.explode(facet_terms(parameter, fields)).alias("value"))
@@ -82,7 +82,7 @@ def field_terms(df: DataFrame, parameter: str, query: str, limit: int = 10, fiel
 
     One word matches as a whole word; several words match as a phrase.
     """
-    fields = m.OCCURRENCE_FIELDS if fields is None else fields
+    fields = m.RECORD_FIELDS if fields is None else fields
     words = tokens_of(query)
     terms = facet_terms(parameter, fields)
 
@@ -101,4 +101,4 @@ def field_terms(df: DataFrame, parameter: str, query: str, limit: int = 10, fiel
 
 def searchable_terms(fields: dict[str, m.Field] | None = None) -> list[tuple[str, str]]:
     """(search parameter, kind) of every searchable term."""
-    return sorted((name, field.kind) for name, field in (m.OCCURRENCE_FIELDS if fields is None else fields).items())
+    return sorted((name, field.kind) for name, field in (m.RECORD_FIELDS if fields is None else fields).items())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightings.functions.text import fasta
 from sightings.operators import agents, citations, species
-from sightings.operators.events import occurrences_of
+from sightings.operators.events import records_of
 from sightings.operators.metrics import count_where
 from sightings.plans import layouts, terms
 from sightings.session import staged
@@ -55,44 +55,44 @@ def _with_citation(result: DataFrame, exported: DataFrame, with_license: bool =
     return {"result": result, "citation": citations.citation(exported, with_license), "count": count_where(exported)}
 
 
-def simple_text(occurrences: DataFrame, where: Column, checklist: str) -> Tables:
-    exported = occurrences.filter(where)
+def simple_text(records: DataFrame, where: Column, checklist: str) -> Tables:
+    exported = records.filter(where)
     pairs = [(terms.INTERPRETED, name) for name in terms.SIMPLE_TERMS]
     return _with_citation(layouts.project_grouped(exported, pairs, checklist), exported)
 
 
-def simple_avro(occurrences: DataFrame, where: Column) -> Tables:
-    exported = occurrences.filter(where)
+def simple_avro(records: DataFrame, where: Column) -> Tables:
+    exported = records.filter(where)
     return _with_citation(layouts.project_avro(exported), exported)
 
 
-def simple_with_verbatim_avro(occurrences: DataFrame, where: Column) -> Tables:
-    exported = occurrences.filter(where)
+def simple_with_verbatim_avro(records: DataFrame, where: Column) -> Tables:
+    exported = records.filter(where)
     return _with_citation(layouts.project_simple_with_verbatim(exported), exported)
 
 
-def simple_parquet(occurrences: DataFrame, where: Column) -> Tables:
-    exported = occurrences.filter(where)
+def simple_parquet(records: DataFrame, where: Column) -> Tables:
+    exported = records.filter(where)
     return _with_citation(layouts.project_parquet(exported), exported)
 
 
-def map_of_life(occurrences: DataFrame, where: Column) -> Tables:
-    exported = occurrences.filter(where)
+def map_of_life(records: DataFrame, where: Column) -> Tables:
+    exported = records.filter(where)
     return _with_citation(layouts.project_map_of_life(exported), exported)
 
 
-def species_export(occurrences: DataFrame, where: Column, columns: list[str]) -> Tables:
-    exported = occurrences.filter(where)
+def species_export(records: DataFrame, where: Column, columns: list[str]) -> Tables:
+    exported = records.filter(where)
     listed = species.species_list(exported, columns)
     return {"result": listed, "citation": citations.citation(exported), "count": count_where(listed)}
 
 
-def person_export(occurrences: DataFrame, where: Column) -> Tables:
+def person_export(records: DataFrame, where: Column) -> Tables:
     """Person-centred rows with the agent, family and identifier tables of the same rows.
 
     The filtered rows are staged once in the shared folder: four tables read them.
     """
-    rows = staged(agents.person_rows(occurrences.filter(where)), "persons")
+    rows = staged(agents.person_rows(records.filter(where)), "persons")
     return {
         "result": rows,
         "citation": citations.citation(rows),
@@ -102,14 +102,14 @@ def person_export(occurrences: DataFrame, where: Column) -> Tables:
     }
 
 
-def full_archive(occurrences: DataFrame, where: Column, checklist: str, media: DataFrame, dna: DataFrame | None = None,
+def full_archive(records: DataFrame, where: Column, checklist: str, media: DataFrame, dna: DataFrame | None = None,
                  extensions: Mapping[str, DataFrame] | None = None) -> Tables:
     """Verbatim and interpreted tables, media, DNA, extensions and the citation.
 
     The base table is scanned once: the filtered rows are staged in the shared folder,
     and every output reads its columns from there.
     """
-    exported = staged(occurrences.filter(where), "archive")
+    exported = staged(records.filter(where), "archive")
     out = {
         "verbatim": layouts.project_verbatim(exported),
         "occurrence": layouts.project_interpreted(exported, checklist),
@@ -123,21 +123,21 @@ def full_archive(occurrences: DataFrame, where: Column, checklist: str, media: D
     return out
 
 
-def event_archive(events: DataFrame, where: Column, humboldt: DataFrame, occurrences: DataFrame, wanted: list[str]) -> Tables:
-    """Events with their inventories and the occurrences of the exported events."""
+def event_archive(events: DataFrame, where: Column, humboldt: DataFrame, records: DataFrame, wanted: list[str]) -> Tables:
+    """Events with their inventories and the records of the exported events."""
     exported = staged(events.filter(where), "event-archive")
     return {
         "event": layouts.project_interpreted_event(exported, wanted),
         "humboldt": extension_rows(humboldt, exported.select(F.col("eventid").alias("recordid"))),
-        "occurrence": occurrences_of(exported, occurrences),
+        "occurrence": records_of(exported, records),
         "citation": citations.citation(exported, with_license=False),
     }
 
 
-def fasta_archive(occurrences: DataFrame, where: Column, dna: DataFrame) -> Tables:
+def fasta_archive(records: DataFrame, where: Column, dna: DataFrame) -> Tables:
     """Records that have a sequence, the sequences as text, and the citation."""
     with_sequence = dna.filter("sequence IS NOT NULL").select("recordid").distinct()
-    exported = staged(occurrences.filter(where).join(with_sequence, "recordid", "left_semi"), "fasta")
+    exported = staged(records.filter(where).join(with_sequence, "recordid", "left_semi"), "fasta")
     rows = sequence_rows(dna, exported)
     text = fasta(F.col("nucleotidesequenceid"), F.col("recordid"), F.col("targetgene.concept"), F.col("sequence"))
     return {

@@ -52,7 +52,7 @@ def _common(df: DataFrame, term: str) -> Column | None:
 
 
 def tsv_value(df: DataFrame, term: str, checklist: str | None) -> Column:
-    """Text layout of occurrences: classification through the checklist, arrays joined."""
+    """Text layout of records: classification through the checklist, arrays joined."""
     if term == "issue":
         key = _need_checklist(checklist)
         taxonomic = text.nested_value(_raw(df, "taxonomicissue"), key) if "taxonomicissue" in df.columns else F.lit(None).cast("array<string>")
@@ -210,7 +210,7 @@ def derive_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def occurrence_key(df: DataFrame) -> Column:
+def record_key(df: DataFrame) -> Column:
     """``dataset|occurrenceID``, or the four-part key with the unit; null if a part is missing."""
     unit = F.col("unitqualifier") if "unitqualifier" in df.columns else F.lit(None).cast("string")
     own = F.when(F.col("occurrenceid").isNotNull(), F.concat_ws("|", "datasetkey", "occurrenceid"))

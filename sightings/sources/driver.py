@@ -1,6 +1,6 @@
-"""The driver's tables seen as occurrence, event, DNA, Humboldt and media frames.
+"""The driver's tables seen as record, event, DNA, Humboldt and media frames.
 
-Every column is one SQL expression over the joined tables.  ``occurrence(...)`` joins
+Every column is one SQL expression over the joined tables.  ``sighting(...)`` joins
 only the tables the requested columns need, so a query that reads dataset and licence
 scans ``lineitem`` alone.  ``cte(...)`` gives the same frame as DuckDB SQL.
 """
@@ -71,7 +71,7 @@ def _media_json() -> str:
 
 _KINGDOM_MAP = "map('kingdom', p_type, 'family', p_brand, 'genus', split_part(p_name, ' ', 1), 'order', concat('Order ', p_brand), 'species', p_name)"
 
-OCCURRENCE: dict[str, Source] = {
+RECORD: dict[str, Source] = {
     # identity
     "recordid": _source(_ID),
     "datasetkey": _source("concat('ds-', CAST(l_suppkey AS STRING))"),
@@ -209,7 +209,7 @@ def _tables_for(names: tuple[str, ...]) -> list[str]:
             wanted.append(alias)
 
     for name in names:
-        for alias in OCCURRENCE[name].needs:
+        for alias in RECORD[name].needs:
             add(alias)
     return wanted
 
@@ -229,26 +229,26 @@ def _lines(spark: SparkSession, sf_dir: str, names: tuple[str, ...], aliases: li
     files, as on a cluster, is left where it is.
     """
     lines = table(spark, sf_dir, "lineitem")
-    text = " ".join([*[OCCURRENCE[n].spark_sql for n in names], *[_JOINS[a][2] for a in aliases], "l_orderkey"])
+    text = " ".join([*[RECORD[n].spark_sql for n in names], *[_JOINS[a][2] for a in aliases], "l_orderkey"])
     used = set(_LINE_COLUMNS.findall(text))
     lines = lines.select(*[c for c in lines.columns if c in used])
     cores = spark.sparkContext.defaultParallelism
     return lines.repartition(cores, "l_orderkey") if len(lines.inputFiles()) < cores else lines
 
 
-def occurrence(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    names = names or tuple(OCCURRENCE)
+def sighting(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    names = names or tuple(RECORD)
     df = _lines(spark, sf_dir, names, _tables_for(names)).alias("l")
     for alias in _tables_for(names):
         name, _, condition = _JOINS[alias]
         df = df.join(table(spark, sf_dir, name).alias(alias), F.expr(condition))
-    return df.select(*[F.expr(OCCURRENCE[n].spark_sql).alias(n) for n in names])
+    return df.select(*[F.expr(RECORD[n].spark_sql).alias(n) for n in names])
 
 
 def cte(*names: str, name: str = "occ") -> str:
-    """``occ AS (SELECT …)`` for DuckDB, with the same columns as ``occurrence``."""
+    """``occ AS (SELECT …)`` for DuckDB, with the same columns as ``sighting``."""
     joins = " ".join(f"JOIN {_JOINS[a][0]} {a} ON {_JOINS[a][2]}" for a in _tables_for(names))
-    columns = ", ".join(f"{OCCURRENCE[n].duck_sql} AS {n}" for n in names)
+    columns = ", ".join(f"{RECORD[n].duck_sql} AS {n}" for n in names)
     return f"{name} AS (SELECT {columns} FROM lineitem l {joins})"
 
 

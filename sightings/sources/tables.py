@@ -15,12 +15,12 @@ from sightings.plans.terms import MEDIA_COLUMNS
 from sightings.sources.versions import VersionLog
 
 
-def read_occurrences(spark: SparkSession, path: str, schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = SNAPSHOT_SCHEMA) -> DataFrame:
     """Columnar scan with the fixed schema: nothing is inferred, files are not opened to plan."""
     return spark.read.schema(schema).parquet(path)
 
 
-def build_occurrence_table(raw: DataFrame, initialisers: Mapping[str, Column] | None = None) -> DataFrame:
+def build_record_table(raw: DataFrame, initialisers: Mapping[str, Column] | None = None) -> DataFrame:
     """Raw rows to the typed table: one expression per column, text cleaned of delimiters."""
     initialisers = initialisers or {}
     columns = []
@@ -45,9 +45,9 @@ def build_extension_table(raw: DataFrame, key: str = "recordid") -> DataFrame:
     return raw.select(key, *[clean_delimiters(F.col(f"`{c}`").cast("string")).alias(c) for c in rest])
 
 
-def build_multimedia_table(occurrences: DataFrame) -> DataFrame:
+def build_multimedia_table(records: DataFrame) -> DataFrame:
     """One row per media item; records without media vanish; the created date is left as is."""
-    items = occurrences.select("recordid", F.explode(media_items(F.col("ext_multimedia"))).alias("item"))
+    items = records.select("recordid", F.explode(media_items(F.col("ext_multimedia"))).alias("item"))
     values = []
     for name in MEDIA_COLUMNS:
         c = F.try_element_at("item", F.lit(name))

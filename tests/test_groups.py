@@ -77,11 +77,11 @@ def test_related_records_are_limited_on_both_sides(spark):
 
 
 def test_media_chunks_and_pages(spark):
-    occurrences = spark.range(130).select(F.col("id").cast("string").alias("recordid"),
+    records = spark.range(130).select(F.col("id").cast("string").alias("recordid"),
                                           F.create_map(F.lit("cl"), F.array(F.lit("animals"), (F.col("id") % 3).cast("string"))).alias("taxonkeys"))
-    items = occurrences.select("recordid", F.lit("StillImage").alias("type"), F.concat(F.lit("u"), "recordid").alias("identifier"),
+    items = records.select("recordid", F.lit("StillImage").alias("type"), F.concat(F.lit("u"), "recordid").alias("identifier"),
                                *[F.lit(None).cast("string").alias(c) for c in ("title", "license", "created", "creator")])
-    index = media.media_index(occurrences, items, 50).cache()
+    index = media.media_index(records, items, 50).cache()
     sizes = sorted((r.chunk, len(r["items"]), r.total) for r in index.filter("taxonkey = 'animals'").collect())
     assert sizes == [(0, 50, 130), (1, 50, 130), (2, 30, 130)]
     order = [str(n) for n in sorted(range(130), key=lambda n: digest(f"{n}|u{n}"))]

@@ -139,7 +139,7 @@ def test_missing_columns_become_typed_nulls(spark):
 def test_keys(spark):
     df = spark.createDataFrame([("d", "o", "i", "c", "n"), ("d", None, "i", "c", "n"), ("d", None, "i", None, "n"), (None, "o", "i", "c", "n")],
                                "datasetkey string, occurrenceid string, institutioncode string, collectioncode string, catalognumber string")
-    assert [r[0] for r in df.select(layouts.occurrence_key(df)).collect()] == ["d|o", "d|i|c|n|null", None, None]
+    assert [r[0] for r in df.select(layouts.record_key(df)).collect()] == ["d|o", "d|i|c|n|null", None, None]
 
 
 def test_licences(spark):
