@@ -8,16 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightings.catalog import counts, filters, places, search  # noqa: F401  (their SQL is asked for below)
+from sightings.catalog import changes as change_queries
+from sightings.catalog import counts, filters, joins, places, search  # noqa: F401  (their SQL is asked for below)
 from sightings.catalog.registry import ORACLES, query
 from sightings.operators import tree_intervals as trees
+from sightings.operators.colocated import BucketedTables
+from sightings.operators.cursors import SortedCopy, default_key
 from sightings.operators.curve import ClusteredTable
 from sightings.operators.dictionary import TermDictionary
 from sightings.operators.heatmap import heatmap
 from sightings.operators.maintained_cube import MaintainedCube
 from sightings.operators.postings import DIGITS, PostingsIndex
+from sightings.operators.pyramid import Pyramid
+from sightings.plans.exports import extension_rows
 from sightings.session import scratch_path, staged
-from sightings.sources.driver import sighting, table
+from sightings.sources.tables import build_extension_table
+from sightings.streaming import changes, versions
+from sightings.sources.driver import cte, sighting, table
 
 # ---- taxa as intervals ---------------------------------------------------------------------------
 
@@ -177,3 +184,92 @@ def countries_of_kept_cube(spark, sf_dir):
     published = cube.counts({"publishingcountry": "NATION_4"}, ["countrycode"]).select(F.lit("published").alias("side"), F.col("countrycode").alias("country"), "count")
     return publishers.unionByName(published)
 
+
+# ---- heatmap pyramid ------------------------------------------------------------------------------------
+
+def _pyramid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Pyramid]:
+    records = sighting(spark, sf_dir, *places.HEAT)
+    return records, Pyramid.write(records, scratch_path(spark, "pyramid"))
+
+
+@query("GEO6P", ORACLES["GEO6"])
+def geohash_pyramid_box(spark, sf_dir):
+    records, pyramid = _pyramid(spark, sf_dir)
+    return pyramid.heatmap(4, (-100.0, -40.0, 60.0, 70.0), records).select("cell", "count")
+
+
+@query("GEO7P", ORACLES["GEO7"])
+def geohash_pyramid_bounds(spark, sf_dir):
+    return _pyramid(spark, sf_dir)[1].heatmap(0)
+
+
+@query("GEO8P", ORACLES["GEO8"])
+def geohash_pyramid_centroids(spark, sf_dir):
+    cells = _pyramid(spark, sf_dir)[1].heatmap(2, mode="GEO_CENTROID")
+    return cells.select("cell", "count", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+# ---- pages of a sorted copy -----------------------------------------------------------------------------
+
+@query("SRT1K", ORACLES["SRT1"])
+def first_page_of_copy(spark, sf_dir):
+    copy = SortedCopy.write(sighting(spark, sf_dir, "recordid", "year", "month"), scratch_path(spark, "sorted"), default_key())
+    return copy.page(0, 300).select("recordid", "year")
+
+
+@query("SRT4K", f"WITH {cte('recordid', 'year', 'month')}, p AS (SELECT recordid FROM occ ORDER BY year NULLS LAST, month NULLS LAST, recordid"
+                " LIMIT 300 OFFSET (SELECT CAST(count(*) * 9 // 10 AS BIGINT) FROM occ)) SELECT recordid, (SELECT count(*) FROM occ) AS total FROM p")
+def deep_page_of_copy(spark, sf_dir):
+    """A page behind nine tenths of all rows, and the number of all."""
+    copy = SortedCopy.write(sighting(spark, sf_dir, "recordid", "year", "month"), scratch_path(spark, "sorted"), default_key())
+    total = copy.total()
+    return copy.page(total * 9 // 10, 300).select("recordid", F.lit(total).cast("bigint").alias("total"))
+
+
+# ---- tables in shared buckets ----------------------------------------------------------------------------
+
+@query("JN1B", ORACLES["JN1"])
+def extension_in_buckets(spark, sf_dir):
+    stored = BucketedTables(spark, scratch_path(spark, "buckets"), 8)
+    stored.write("main", sighting(spark, sf_dir, "recordid", "year"), ["recordid"])
+    stored.write("remarks", build_extension_table(joins._part_extension(spark, sf_dir)), ["recordid"])
+    return extension_rows(stored.table("remarks"), stored.table("main").where("year = 1997"))
+
+
+# ---- changes of objects as a stream ------------------------------------------------------------------------
+
+def _version_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed changes from a stream that brings the old snapshot, then, in files of several batches, what changed."""
+    old, new = (change_queries._snapshot(spark, sf_dir, sql) for sql in (change_queries._OLD, change_queries._NEW))
+    schema, dataset, day = old.schema, F.lit("dataset").alias("objecttype"), 86_400_000_000
+
+    def messages(rows: DataFrame, at: int, gone: bool = False) -> DataFrame:
+        value = F.lit(None).cast(schema) if gone else F.struct(*[F.col(c) for c in schema.names])
+        return rows.select(dataset, "key", F.lit(at).cast("bigint").alias("at"), value.alias("object"))
+
+    deleted = old.join(new.select("key"), "key", "left_anti")
+    later = new.where("n % 5 = 0")
+    end = spark.createDataFrame([("end",)], "key string").select(dataset, "key", F.lit(9 * day).cast("bigint").alias("at"), F.lit(None).cast(schema).alias("object"))
+    folder = scratch_path(spark, "versions")
+    parts = [messages(old, day), messages(new, 2 * day), messages(deleted, 2 * day, gone=True), messages(later, 2 * day), end, end.withColumn("at", F.col("at") + 1)]
+    for part in parts:  # some messages come twice; the last ones only move the watermark
+        part.coalesce(2).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 3).parquet(folder)
+    found = versions.object_changes(stream, "1 hour")
+    path = scratch_path(spark, "version-changes")
+    changes.run_to_table(found, path, scratch_path(spark, "version-state"))
+    rows = spark.read.schema(found.schema).parquet(f"{path}/batch=*").where(F.col("at") == 2 * day)
+    return versions.with_objects(rows, schema)
+
+
+@query("CHG1S", ORACLES["CHG1"])
+def changed_datasets_of_stream(spark, sf_dir):
+    rows = _version_stream(spark, sf_dir)
+    changed = (F.col("changetype") == "UPDATED") & changes.dataset_requires_update("old", "new", change_queries._at())
+    return rows.select("key", "changetype", changed.alias("changed"))
+
+
+@query("CHG8S", ORACLES["CHG8"])
+def actions_of_stream(spark, sf_dir):
+    rows = _version_stream(spark, sf_dir)
+    return rows.select("key", F.array_join(changes.dataset_actions(change_queries._at()), ";").alias("actions"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,13 +171,14 @@ def first_per_window(messages: DataFrame, key: str, time: str, seconds: int = RE
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        times = pd.concat([batch[time] for batch in batches]).sort_values()
-        kept = []
-        for moment in times:
-            micros = int(moment.value // 1000)
-            if last is None or micros - last >= seconds * 1_000_000:
-                kept.append(moment)
-                last = micros
+        # only times are held, and the search jumps from one passed message to the next
+        times = np.sort(np.concatenate([batch[time].to_numpy("datetime64[us]").view(np.int64) for batch in batches]))
+        kept, at = [], 0
+        while at < len(times):
+            at = at if last is None else max(at, int(np.searchsorted(times, last + seconds * 1_000_000)))
+            if at < len(times):
+                last = int(times[at])
+                kept.append(pd.Timestamp(last, unit="us"))
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         if kept:
