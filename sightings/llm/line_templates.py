@@ -1,10 +1,17 @@
 """Operator 6: line dedup by a log-template tree; lines of templates that recur across documents are dropped.
 
 A line is parsed to a fixed depth: its number of tokens, then its leading ``DEPTH`` tokens, where a token with a
-digit counts as a variable field.  Inside a leaf of that tree a token is a constant of its place if ``SUPPORT``
-documents have it there, and a variable field otherwise; what remains, constants and fields, is the line's
-template.  A template recurs if the documents of its lines add up to ``SUPPORT`` and at least ``CONSTANT`` of its
-tokens are constants (a line counts once in a document).  Decisions don't depend on the order of the lines.
+digit counts as a variable field (but not in a line of such tokens only, which is taken as it is).  Inside a leaf of
+that tree a place is agreed if ``SUPPORT`` documents have the line's token there, a field too; the agreed places are
+the line's template.  A template recurs if the documents of its lines add up to ``SUPPORT``, at least ``CONSTANT`` of its
+places are agreed and one of them has a word (a line counts once in a document).  So a line that recurs word for word
+is a template whatever its digits, unless it is empty.
+
+A field whose values are skewed has a frequent value that looks like a constant.  So a line also goes if it equals a
+line of ``SUPPORT`` documents at all places but one, in any leaf, and the rest meets the same conditions.  Such a place
+is found by hashes of a line without one of its places, so this is linear in the lines whatever the leaf; the
+candidates are lines with the same number of tokens and the same leading tokens but for one place.  Decisions don't
+depend on the order of the lines.
 
 Leaves are counted by a hash first, and only lines of leaves that can recur go on.  Counting is by partial sums, so
 a line that all documents share is one row per task; lines are joined with what is known of them by shuffles, whose
@@ -32,24 +39,62 @@ _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _VARIABLE_ONCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
+# A line of fields only.
+_FIELDS = r"<\*>(?: <\*>)*"
+
+
 def masked(docs: DataFrame, *columns: Column | str) -> DataFrame:
-    """The columns and ``masked``: the text with variable fields for tokens with a digit, one space between tokens and
-    none around a line.  Each step rewrites only the texts that need it."""
+    """The columns and ``lines``: the text's lines with variable fields for tokens with a digit, one space between tokens
+    and none around a line; lines of such tokens only keep them.  Each step rewrites only the texts that need it."""
 
     def has(*marks: str) -> Column:
-        found = [F.contains(F.col("masked"), F.lit(mark)) for mark in marks]
+        found = [F.contains(F.col("plain"), F.lit(mark)) for mark in marks]
         return reduce(lambda a, b: a | b, found)
 
-    around = F.startswith(F.col("masked"), F.lit(" ")) | F.endswith(F.col("masked"), F.lit(" ")) | has(" \n", "\n ")
+    around = F.startswith(F.col("plain"), F.lit(" ")) | F.endswith(F.col("plain"), F.lit(" ")) | has(" \n", "\n ")
     steps = [
-        (F.col("masked").rlike("[0-9]"), _VARIABLE_ONCE, FIELD),
         (has("  ", "\t", "\x0b", "\x0c", "\r"), _SPACE, " "),
         (around, r"(?dm)^ | $", ""),
     ]
-    rows = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("masked"))
+    rows = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("plain"))
     for needed, pattern, value in steps:
-        rows = rows.withColumn("masked", F.when(needed, F.regexp_replace("masked", pattern, value)).otherwise(F.col("masked")))
-    return rows
+        rows = rows.withColumn("plain", F.when(needed, F.regexp_replace("plain", pattern, value)).otherwise(F.col("plain")))
+    digits = F.col("plain").rlike("[0-9]")
+    rows = rows.withColumn("masked", F.when(digits, F.regexp_replace("plain", _VARIABLE_ONCE, FIELD)).otherwise(F.col("plain")))
+    own, plain = F.split("masked", "\n"), F.split("plain", "\n")
+    kept = F.zip_with(own, plain, lambda line, was: F.when(line.rlike(f"(?d)^{_FIELDS}$"), was).otherwise(line))
+    only_fields = digits & F.col("masked").rlike(f"(?dm)^{_FIELDS}$")
+    return rows.withColumn("lines", F.when(only_fields, kept).otherwise(own)).drop("plain", "masked")
+
+
+def _without(tokens: Column, place: Column) -> Column:
+    """A hash of the line's number of tokens, the place, and the tokens before and behind it."""
+    before, behind = F.slice(tokens, F.lit(1), place), F.slice(tokens, place + 2, F.size(tokens))
+    return F.xxhash64(F.size(tokens), place, before, behind)
+
+
+def _openings(tokens: Column) -> Column:
+    """Hashes of the line's number of tokens and its leading tokens but one, for each of these."""
+    leading = F.slice(tokens, 1, DEPTH)
+    return F.array(*[F.xxhash64(F.size(tokens), F.lit(i), F.slice(leading, 1, i), F.slice(leading, i + 2, DEPTH)) for i in range(DEPTH)])
+
+
+def _holes(lines: DataFrame, constant: float) -> DataFrame:
+    """(said, hole): every line without each of its places, where what remains has a word and enough places."""
+    tokens = F.split("line", " ")
+    each = lines.select(F.xxhash64("line").alias("said"), tokens.alias("tokens"), F.posexplode(tokens).alias("place", "token"))
+    words = F.size("tokens") - F.size(F.filter("tokens", lambda t: t == FIELD))
+    rest = words - (F.col("token") != FIELD).cast("int")
+    each = each.where((rest > 0) & (F.size("tokens") - 1 >= constant * F.size("tokens")))
+    return each.select("said", _without(F.col("tokens"), F.col("place")).alias("hole"))
+
+
+def _one_off(lines: DataFrame, frequent: DataFrame, constant: float) -> DataFrame:
+    """(said), the hash of every line that equals a frequent line at all places but one."""
+    openings = staged(frequent.select(F.explode(_openings(F.split("line", " "))).alias("opening")).distinct(), "openings")
+    holes = staged(_holes(frequent, constant).select("hole").distinct(), "holes")
+    alike = lines.select("line", F.explode(_openings(F.split("line", " "))).alias("opening")).join(openings, "opening", "left_semi")
+    return _holes(alike.select("line").distinct(), constant).join(holes, "hole", "left_semi").select("said")
 
 
 def _leaf(tokens: Column) -> Column:
@@ -57,8 +102,8 @@ def _leaf(tokens: Column) -> Column:
 
 
 def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
-    """(said), the hash of every masked line whose template recurs."""
-    lines = masked(docs).select(F.explode(F.array_distinct(F.split("masked", "\n"))).alias("line")).where("line <> ''")
+    """(said), the hash of every masked line whose template recurs, or that is one place off a line that does."""
+    lines = masked(docs).select(F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
     leaf = F.xxhash64(_leaf(F.split("line", " ")))
     leaves = lines.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf")
     leaves = staged(leaves, "leaves")
@@ -67,14 +112,17 @@ def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTAN
     # from here on a line, and a token at its place in its leaf, are 64-bit hashes: rows are narrow whatever the texts
     known = known.withColumn("tokens", F.split("line", " ")).withColumn("path", F.xxhash64(_leaf(F.col("tokens"))))
     each = known.select(F.xxhash64("line").alias("said"), "n", F.size("tokens").alias("size"), "path", F.posexplode("tokens").alias("place", "token"))
-    each = each.select("said", "n", "size", F.xxhash64("path", "place", "token").alias("slot"), (F.col("token") != FIELD).cast("int").alias("fixed"))
+    each = each.select("said", "n", "size", F.xxhash64("path", "place", "token").alias("slot"), (F.col("token") != FIELD).alias("word"))
     held = each.groupBy("slot").agg(F.sum("n").alias("held")).where(F.col("held") >= support).select("slot")
-    # a line's constants; a slot has its leaf and place in it, so equal sets are equal templates
+    # a line's agreed places; a slot has its leaf and place in it, so equal sets are equal templates
     kept = each.join(held, "slot", "left_semi")
-    shaped = kept.groupBy("said", "n", "size").agg(F.xxhash64(F.sort_array(F.collect_list("slot"))).alias("template"), F.sum("fixed").alias("fixed"))
-    shaped = staged(shaped.where(F.col("fixed") >= constant * F.col("size")).select("said", "n", "template"), "templates")
+    template = F.xxhash64(F.sort_array(F.collect_list("slot"))).alias("template")
+    shaped = kept.groupBy("said", "n", "size").agg(template, F.count(F.lit(1)).alias("agreed"), F.max("word").alias("word"))
+    shaped = staged(shaped.where(F.col("word") & (F.col("agreed") >= constant * F.col("size"))).select("said", "n", "template"), "templates")
     often = shaped.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("template")
-    return shaped.join(often, "template", "left_semi").select("said")
+    recurs = shaped.join(often, "template", "left_semi").select("said")
+    frequent = known.where((F.col("n") >= support) & F.exists("tokens", lambda t: t != FIELD)).select("line")
+    return recurs.unionByName(_one_off(lines, frequent, constant)).distinct()
 
 
 def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
@@ -82,7 +130,7 @@ def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CO
     hashed, ids, dropped, key, lines, gone = unused(docs.columns, "text_hash", "key_id", "dropped", "key_hash", "n_lines", "n_dropped")
     said = staged(recurring(docs, support, constant), "recurring-lines")
     places = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
-    places = places.select("doc_id", "hash", F.posexplode(F.split("masked", "\n")).alias("place", "line"))
+    places = places.select("doc_id", "hash", F.posexplode("lines").alias("place", "line"))
     places = places.select("doc_id", "hash", "place", F.xxhash64("line").alias("said")).join(said, "said", "left_semi")
     drops = places.groupBy("doc_id", "hash").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias(ids), F.col("hash").alias(key), F.col("places").alias(dropped))
@@ -103,18 +151,23 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 own AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
-m AS (SELECT r, place, line AS raw,
-  trim(regexp_replace(regexp_replace(line, '{_VARIABLE}', '{FIELD}', 'g'), '{_SPACE}', ' ', 'g'), ' ') AS line FROM own),
+spaced AS (SELECT r, place, line AS raw, trim(regexp_replace(line, '{_SPACE}', ' ', 'g'), ' ') AS line FROM own),
+hidden AS (SELECT *, regexp_replace(line, '{_VARIABLE}', '{FIELD}', 'g') AS fields FROM spaced),
+m AS (SELECT r, place, raw, CASE WHEN regexp_full_match(fields, '{_FIELDS}') THEN line ELSE fields END AS line FROM hidden),
 k AS (SELECT line, count(DISTINCT r) AS n, string_split(line, ' ') AS tokens FROM m WHERE line <> '' GROUP BY line),
 p AS (SELECT *, concat_ws(' ', len(tokens), array_to_string(tokens[1:{DEPTH}], ' ')) AS path FROM k),
 leaf AS (SELECT path FROM p GROUP BY path HAVING sum(n) >= {SUPPORT}),
 e AS (SELECT line, n, path, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM p WHERE path IN (FROM leaf)),
 held AS (SELECT path, place, token FROM e GROUP BY ALL HAVING sum(n) >= {SUPPORT}),
-c AS (SELECT line, path, any_value(n) AS n, list((place, token) ORDER BY place) AS constants,
-  count(*) FILTER (token <> '{FIELD}') AS fixed FROM e JOIN held USING (path, place, token) GROUP BY line, path),
-s AS (SELECT c.* FROM c JOIN p USING (line) WHERE fixed >= {CONSTANT} * len(tokens)),
-often AS (SELECT path, constants FROM s GROUP BY path, constants HAVING sum(n) >= {SUPPORT}),
-said AS (SELECT line FROM s JOIN often USING (path, constants)),
+c AS (SELECT line, path, any_value(n) AS n, list((place, token) ORDER BY place) AS agreed,
+  bool_or(token <> '{FIELD}') AS word FROM e JOIN held USING (path, place, token) GROUP BY line, path),
+s AS (SELECT c.* FROM c JOIN p USING (line) WHERE word AND len(agreed) >= {CONSTANT} * len(tokens)),
+often AS (SELECT path, agreed FROM s GROUP BY path, agreed HAVING sum(n) >= {SUPPORT}),
+each AS (SELECT line, n, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM k),
+hole AS (SELECT line, n, place, tokens[:place - 1] AS before, tokens[place + 1:] AS behind FROM each
+  WHERE len(tokens) - 1 >= {CONSTANT} * len(tokens) AND len(list_filter(tokens, lambda t: t <> '{FIELD}')) > (token <> '{FIELD}')::INT),
+frequent AS (SELECT DISTINCT place, before, behind FROM hole WHERE n >= {SUPPORT}),
+said AS (SELECT line FROM s JOIN often USING (path, agreed) UNION SELECT line FROM hole JOIN frequent USING (place, before, behind)),
 gone AS (SELECT r, count(*) AS n_dropped FROM m WHERE line IN (FROM said) GROUP BY r),
 stay AS (SELECT r, string_agg(raw, chr(10) ORDER BY place) AS text FROM m WHERE line NOT IN (FROM said) GROUP BY r)
 SELECT doc_id, coalesce(stay.text, '') AS text, len(string_split(d.text, chr(10))) AS n_lines,
