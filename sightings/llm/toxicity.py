@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sightings.llm.chunk_tokens import Memo, slices
 from sightings.llm.common import documents, frames, held_out, plain_texts, unused
 
-# Labelled documents that the field is fitted on, at most, and the longest text among them.
+# Labelled documents that the field is fitted on, at most, and the characters of each.
 TOXIC, CLEAN, SAMPLE_CHARS = 1000, 4000, 20_000
 # A toxic word: so many times as frequent in toxic documents, in so many of them and between so many neighbours.
 RATIO, SUPPORT = 20, 5  # or one in a hundred, if that is more
@@ -279,14 +279,35 @@ def train(toxic: Sequence[str], clean: Sequence[str]) -> Field:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Field:
-    """Learns labels.toxic of rows that are not held out, from at most so many documents of either kind."""
+def _passage(text: Column, seed: Column) -> Column:
+    """The text, or of a long one a run of whole sentences of at most ``SAMPLE_CHARS``, anywhere in it."""
+    start = F.pmod(seed, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1
+    run = F.substr(text, start.cast("int"), F.lit(SAMPLE_CHARS))
+    whole = F.regexp_extract(run, r"(?s)[.!?\n](.*[.!?\n])", 1)
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.when(whole != "", whole).otherwise(run))
+
+
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> DataFrame:
+    """(toxic, text) to learn from: at most so many documents of either kind, one text of each id.
+
+    The draw is among labelled ids that are not held out and have a text; of a long text a passage is taken.
+    """
     known = labels.select("doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    there = docs.where(F.trim("text") != "").select("doc_id").distinct()
+    known = known.join(there, "doc_id", "left_semi")
     picks = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in ((1, toxic), (0, clean))]
     picked = F.broadcast(picks[0].unionByName(picks[1]))  # at most toxic + clean rows
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(picked, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "text").limit(toxic + clean).select("toxic", "text").collect()
+    seed = F.xxhash64("doc_id", "text")
+    rows = docs.select("doc_id", "text").where(F.trim("text") != "").join(picked, "doc_id")
+    rows = rows.select("doc_id", "toxic", seed.alias("seed"), _passage(F.col("text"), seed).alias("text"))
+    one = F.min(F.struct("seed", "text")).alias("one")
+    return rows.groupBy("doc_id", "toxic").agg(one).select("doc_id", "toxic", "one.text").orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> Field:
+    """Learns labels.toxic from a sample of the rows that are not held out."""
+    rows = sample(docs, labels, toxic, clean).collect()
     texts = {kind: list(dict.fromkeys(r.text for r in rows if r.toxic == kind)) for kind in (0, 1)}
     return train(texts[1], texts[0])
 
