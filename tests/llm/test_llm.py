@@ -69,7 +69,7 @@ def _tables(spark, rows):
 
 
 def test_names():
-    assert sorted(int(k[2 : k.index("_")]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2 : k.index("_")]) for k in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "exact_dedup", "near_dedup", "packing"]
 
 
@@ -321,6 +321,37 @@ def test_recurring_lines(spark, edge):
     assert line_templates.drop_recurring(edge.limit(0)).count() == 0
 
 
+def test_digit_lines_and_skewed_fields(spark, duck):
+    """Digits recur as fields or word for word; a rare value beside a frequent one is a field, in a leading place too."""
+    common = "Page {i}\nTel 030 1234567 Fax 030 1234568\n030 55 / 7\nposted by admin on day {i} at home\nno way"
+    docs = [(i, common.format(i=i)) for i in range(200)]
+    docs += [(200, "posted by bob on day 9 at home\nposted by admin on day 7 at work\nposted by bob on day 9 at work\n030 55 / 8\nPage one")]
+    docs += [(201, " 030\t55 / 7 \n<*> 4\n7\npage 9\nno war\nposted by admin on day 3 at home now"), (202, "7\n7"), (203, None)]
+    frame = _tables(spark, docs)
+    got = {r.doc_id: r for r in line_templates.drop_recurring(frame).collect()}
+    assert all(got[i].text == "" and got[i].n_dropped == 5 for i in range(200))
+    assert got[200].text == "posted by bob on day 9 at work\nPage one" and got[203].n_lines == 1
+    assert got[201].text == "<*> 4\n7\npage 9\nno war\nposted by admin on day 3 at home now" and got[202].text == "7\n7"
+    local = duck.cursor()
+    local.register("own_rows", frame.toPandas())
+    wanted = local.execute(line_templates.OP6_SQL.replace("FROM documents", "FROM own_rows")).fetchall()
+    assert _rows(wanted) == _rows((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.values())
+
+
+def test_lines_of_many_templates(spark, duck):
+    """Random lines over few words: every rule against the SQL."""
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice(["ab", "cd", "ef", "7", "<*>", "x1"]) for _ in range(rng.randint(1, 5)))
+    lines = [line() for _ in range(300)]
+    docs = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else line() for _ in range(12))) for i in range(60)]
+    frame = _tables(spark, docs)
+    local = duck.cursor()
+    local.register("own_rows", frame.toPandas())
+    wanted = local.execute(line_templates.OP6_SQL.replace("FROM documents", "FROM own_rows")).fetchall()
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_templates.drop_recurring(frame).collect()]
+    assert _rows(got) == _rows(wanted) and 0 < sum(r[3] for r in got) < 720
+
+
 # 7 toxicity
 
 
@@ -375,6 +406,19 @@ def test_toxicity_query_and_cases(spark, edge):
     assert toxicity.drop_toxic(edge.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_sample(spark):
+    """Labels of missing, empty or held-out documents take no place; long texts give a passage, a hot id one text."""
+    bad = {i for i in range(1000) if zlib.crc32(str(i).encode()) % 5}
+    there = sorted(bad)[:300]
+    long = "Some words here. " * 5000
+    rows = [(i, long if i % 2 else "short text") for i in there] + [(there[0], f"copy {k}") for k in range(500)] + [(i, " ") for i in sorted(bad)[300:400]]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(1000)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.sample(_tables(spark, rows), labels, 60, 120).collect()
+    assert sum(r.toxic for r in got) == 60 and len(got) == len({r.doc_id for r in got}) == 180 and {r.doc_id for r in got} <= set(there)
+    assert all(len(r.text) <= toxicity.SAMPLE_CHARS and (r.text.endswith(".") if r.doc_id % 2 and r.doc_id != there[0] else True) for r in got)
+    assert any(len(r.text) > 10_000 for r in got)
+
+
 def test_toxic_words_in_texts_without_stops():
     rng = random.Random(7)
     plain = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
