@@ -67,43 +67,51 @@ def masked(docs: DataFrame, *columns: Column | str) -> DataFrame:
     return rows.withColumn("lines", F.when(only_fields, kept).otherwise(own)).drop("plain", "masked")
 
 
-def _without(tokens: Column, place: Column) -> Column:
-    """A hash of the line's number of tokens, the place, and the tokens before and behind it."""
-    before, behind = F.slice(tokens, F.lit(1), place), F.slice(tokens, place + 2, F.size(tokens))
-    return F.xxhash64(F.size(tokens), place, before, behind)
+def _leaf(tokens: Column) -> Column:
+    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
 
 
 def _openings(tokens: Column) -> Column:
     """Hashes of the line's number of tokens and its leading tokens but one, for each of these."""
-    leading = F.slice(tokens, 1, DEPTH)
-    return F.array(*[F.xxhash64(F.size(tokens), F.lit(i), F.slice(leading, 1, i), F.slice(leading, i + 2, DEPTH)) for i in range(DEPTH)])
+    lead = [F.get(tokens, F.lit(i)) for i in range(DEPTH)]
+    return F.array(*[F.xxhash64(F.size(tokens), F.lit(i), *lead[:i], *lead[i + 1 :]) for i in range(DEPTH)])
+
+
+def _opened(lines: DataFrame, constant: float) -> DataFrame:
+    """(line, opening): the openings of every line that can have a hole."""
+    split = lines.select("line", F.split("line", " ").alias("tokens")).where(F.size("tokens") - 1 >= constant * F.size("tokens"))
+    return split.select("line", _openings(F.col("tokens")).alias("openings")).select("line", F.explode_outer("openings").alias("opening"))
 
 
 def _holes(lines: DataFrame, constant: float) -> DataFrame:
-    """(said, hole): every line without each of its places, where what remains has a word and enough places."""
-    tokens = F.split("line", " ")
-    each = lines.select(F.xxhash64("line").alias("said"), tokens.alias("tokens"), F.posexplode(tokens).alias("place", "token"))
-    words = F.size("tokens") - F.size(F.filter("tokens", lambda t: t == FIELD))
-    rest = words - (F.col("token") != FIELD).cast("int")
-    each = each.where((rest > 0) & (F.size("tokens") - 1 >= constant * F.size("tokens")))
-    return each.select("said", _without(F.col("tokens"), F.col("place")).alias("hole"))
+    """(said, hole): every line without each of its places, where what remains has a word and enough places.
+
+    A hole is the exclusive or of the hashes of the other places, so each costs one step whatever the line's length.
+    """
+    split = lines.select(F.xxhash64("line").alias("said"), F.split("line", " ").alias("tokens"))
+    size = F.size("tokens")
+    split = split.where(size - 1 >= constant * size)
+    words = size - F.size(F.filter("tokens", lambda t: t == FIELD))
+    marks = F.transform("tokens", lambda t, i: F.struct(F.xxhash64(i, t).alias("hash"), (t != FIELD).cast("int").alias("word")))
+    each = split.select("said", size.alias("size"), words.alias("words"), marks.alias("marks"))
+    whole = F.aggregate("marks", F.lit(0).cast("bigint"), lambda x, mark: x.bitwiseXOR(mark["hash"]))
+    each = each.select("said", "size", "words", whole.alias("whole"), F.posexplode_outer("marks").alias("place", "mark"))
+    rest = F.col("whole").bitwiseXOR(F.col("mark.hash"))
+    return each.where(F.col("words") > F.col("mark.word")).select("said", F.xxhash64("size", "place", rest).alias("hole"))
 
 
 def _one_off(lines: DataFrame, frequent: DataFrame, constant: float) -> DataFrame:
     """(said), the hash of every line that equals a frequent line at all places but one."""
-    openings = staged(frequent.select(F.explode(_openings(F.split("line", " "))).alias("opening")).distinct(), "openings")
+    openings = staged(_opened(frequent, constant).select("opening").distinct(), "openings")
     holes = staged(_holes(frequent, constant).select("hole").distinct(), "holes")
-    alike = lines.select("line", F.explode(_openings(F.split("line", " "))).alias("opening")).join(openings, "opening", "left_semi")
+    alike = _opened(lines, constant).join(openings, "opening", "left_semi")
     return _holes(alike.select("line").distinct(), constant).join(holes, "hole", "left_semi").select("said")
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
-
-
 def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """(said), the hash of every masked line whose template recurs, or that is one place off a line that does."""
-    lines = masked(docs).select(F.explode(F.array_distinct("lines")).alias("line")).where("line <> ''")
+    # a text has one line at least; the plain explode would add a filter on the lines, which masks every text twice
+    lines = masked(docs).select(F.explode_outer(F.array_distinct("lines")).alias("line")).where("line <> ''")
     leaf = F.xxhash64(_leaf(F.split("line", " ")))
     leaves = lines.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf")
     leaves = staged(leaves, "leaves")
@@ -130,7 +138,7 @@ def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CO
     hashed, ids, dropped, key, lines, gone = unused(docs.columns, "text_hash", "key_id", "dropped", "key_hash", "n_lines", "n_dropped")
     said = staged(recurring(docs, support, constant), "recurring-lines")
     places = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
-    places = places.select("doc_id", "hash", F.posexplode("lines").alias("place", "line"))
+    places = places.select("doc_id", "hash", F.posexplode_outer("lines").alias("place", "line"))
     places = places.select("doc_id", "hash", "place", F.xxhash64("line").alias("said")).join(said, "said", "left_semi")
     drops = places.groupBy("doc_id", "hash").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias(ids), F.col("hash").alias(key), F.col("places").alias(dropped))
