@@ -13,9 +13,10 @@ is found by hashes of a line without one of its places, so this is linear in the
 candidates are lines with the same number of tokens and the same leading tokens but for one place.  Decisions don't
 depend on the order of the lines.
 
-Leaves are counted by a hash first, and only lines of leaves that can recur go on.  Counting is by partial sums, so
-a line that all documents share is one row per task; lines are joined with what is known of them by shuffles, whose
-hot keys can be split.  Whole copies of a document recur line by line, so exact dedup comes before this operator.
+Lines are hashed first and written as narrow rows; leaves, lines and openings are counted from these, and only lines
+that can recur go on with their words.  Counting is by partial sums, so a line that all documents share is one row
+per task; lines are joined with what is known of them by shuffles, whose hot keys can be split.  Whole copies of a
+document recur line by line, so exact dedup comes before this operator.
 
 Defined cases: a null text is empty; lines without tokens are never dropped; rows of one id with different texts
 are separate documents, repeated rows are alike; a document all of whose lines recur becomes the empty text.
@@ -77,10 +78,32 @@ def _openings(tokens: Column) -> Column:
     return F.array(*[F.xxhash64(F.size(tokens), F.lit(i), *lead[:i], *lead[i + 1 :]) for i in range(DEPTH)])
 
 
-def _opened(lines: DataFrame, constant: float) -> DataFrame:
-    """(line, opening): the openings of every line that can have a hole."""
-    split = lines.select("line", F.split("line", " ").alias("tokens")).where(F.size("tokens") - 1 >= constant * F.size("tokens"))
-    return split.select("line", _openings(F.col("tokens")).alias("openings")).select("line", F.explode_outer("openings").alias("opening"))
+def _enough(tokens: Column, constant: float) -> Column:
+    """True where a line without one of its places still has enough of them."""
+    return F.size(tokens) - 1 >= constant * F.size(tokens)
+
+
+def hashed_lines(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
+    """(doc_id, hash, place, first, said, leaf, openings) of every line with tokens, written once.
+
+    ``first`` is true at one place of a text's equal lines; openings are null where a line can't miss a place.  All that
+    is counted over lines is counted from these narrow rows, so texts are masked twice in all: here, and for the
+    words of the lines that can recur.
+    """
+    rows = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
+    ordered = F.sort_array(F.transform("lines", lambda line, i: F.struct(line.alias("line"), i.alias("place"))))
+    rows = rows.select("doc_id", "hash", ordered.alias("ordered"))
+
+    def noted(one: Column, i: Column) -> Column:
+        before = F.get(F.col("ordered"), i - 1)["line"]
+        return F.struct(one["line"].alias("line"), one["place"].alias("place"), (~before.eqNullSafe(one["line"])).alias("first"))
+
+    # a text has one line at least; the plain explode would add a filter on the lines, which masks every text twice
+    rows = rows.select("doc_id", "hash", F.explode_outer(F.transform("ordered", noted)).alias("one")).select("doc_id", "hash", "one.*")
+    rows = rows.where("line <> ''").withColumn("tokens", F.split("line", " "))
+    openings = F.when(_enough(F.col("tokens"), constant), _openings(F.col("tokens")))
+    said, leaf = F.xxhash64("line").alias("said"), F.xxhash64(_leaf(F.col("tokens"))).alias("leaf")
+    return staged(rows.select("doc_id", "hash", "place", "first", said, leaf, openings.alias("openings")), "hashed-lines")
 
 
 def _holes(lines: DataFrame, constant: float) -> DataFrame:
@@ -90,7 +113,7 @@ def _holes(lines: DataFrame, constant: float) -> DataFrame:
     """
     split = lines.select(F.xxhash64("line").alias("said"), F.split("line", " ").alias("tokens"))
     size = F.size("tokens")
-    split = split.where(size - 1 >= constant * size)
+    split = split.where(_enough(F.col("tokens"), constant))
     words = size - F.size(F.filter("tokens", lambda t: t == FIELD))
     marks = F.transform("tokens", lambda t, i: F.struct(F.xxhash64(i, t).alias("hash"), (t != FIELD).cast("int").alias("word")))
     each = split.select("said", size.alias("size"), words.alias("words"), marks.alias("marks"))
@@ -100,23 +123,28 @@ def _holes(lines: DataFrame, constant: float) -> DataFrame:
     return each.where(F.col("words") > F.col("mark.word")).select("said", F.xxhash64("size", "place", rest).alias("hole"))
 
 
-def _one_off(lines: DataFrame, frequent: DataFrame, constant: float) -> DataFrame:
-    """(said), the hash of every line that equals a frequent line at all places but one."""
-    openings = staged(_opened(frequent, constant).select("opening").distinct(), "openings")
-    holes = staged(_holes(frequent, constant).select("hole").distinct(), "holes")
-    alike = _opened(lines, constant).join(openings, "opening", "left_semi")
-    return _holes(alike.select("line").distinct(), constant).join(holes, "hole", "left_semi").select("said")
+def _candidates(hashes: DataFrame, support: int) -> DataFrame:
+    """(said, n, alike): lines of leaves that can recur with the number of their documents, and lines with the number of
+    tokens and the leading tokens but for one place of a line of ``support`` documents, which are ``alike``."""
+    once = hashes.where("first").select("said", "leaf", "openings")
+    leaves = staged(once.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf"), "leaves")
+    likely = once.join(leaves, "leaf", "left_semi")
+    counted = staged(likely.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.first("openings").alias("openings")), "leaf-lines")
+    often = counted.where(F.col("n") >= support).select(F.explode("openings").alias("opening")).distinct()
+    opened = once.where("openings is not null").select("said", F.explode("openings").alias("opening"))
+    alike = opened.join(staged(often, "openings"), "opening", "left_semi").select("said")
+    both = counted.select("said", "n", F.lit(False).alias("alike")).unionByName(
+        alike.select("said", F.lit(None).cast("bigint").alias("n"), F.lit(True).alias("alike")))
+    return staged(both.groupBy("said").agg(F.max("n").alias("n"), F.max("alike").alias("alike")), "candidates")
 
 
-def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, hashes: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """(said), the hash of every masked line whose template recurs, or that is one place off a line that does."""
-    # a text has one line at least; the plain explode would add a filter on the lines, which masks every text twice
+    wanted = _candidates(hashes, support)
     lines = masked(docs).select(F.explode_outer(F.array_distinct("lines")).alias("line")).where("line <> ''")
-    leaf = F.xxhash64(_leaf(F.split("line", " ")))
-    leaves = lines.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("leaf")
-    leaves = staged(leaves, "leaves")
-    likely = lines.withColumn("leaf", leaf).join(leaves, "leaf", "left_semi")
-    known = staged(likely.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "leaf-lines")
+    lines = lines.withColumn("said", F.xxhash64("line")).join(wanted, "said", "left_semi").distinct()
+    lines = staged(lines.join(wanted, "said").select("line", "n", "alike"), "lines")
+    known = lines.where("n is not null").select("line", "n")
     # from here on a line, and a token at its place in its leaf, are 64-bit hashes: rows are narrow whatever the texts
     known = known.withColumn("tokens", F.split("line", " ")).withColumn("path", F.xxhash64(_leaf(F.col("tokens"))))
     each = known.select(F.xxhash64("line").alias("said"), "n", F.size("tokens").alias("size"), "path", F.posexplode("tokens").alias("place", "token"))
@@ -130,16 +158,17 @@ def recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTAN
     often = shaped.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("template")
     recurs = shaped.join(often, "template", "left_semi").select("said")
     frequent = known.where((F.col("n") >= support) & F.exists("tokens", lambda t: t != FIELD)).select("line")
-    return recurs.unionByName(_one_off(lines, frequent, constant)).distinct()
+    holes = staged(_holes(frequent, constant).select("hole").distinct(), "holes")
+    one_off = _holes(lines.where("alike").select("line"), constant).join(holes, "hole", "left_semi").select("said")
+    return recurs.unionByName(one_off).distinct()
 
 
 def drop_recurring(docs: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """docs' columns with the text without its recurring lines, and n_lines and n_dropped (which see)."""
     hashed, ids, dropped, key, lines, gone = unused(docs.columns, "text_hash", "key_id", "dropped", "key_hash", "n_lines", "n_dropped")
-    said = staged(recurring(docs, support, constant), "recurring-lines")
-    places = masked(docs, "doc_id", text_hash(F.col("text")).alias("hash"))
-    places = places.select("doc_id", "hash", F.posexplode_outer("lines").alias("place", "line"))
-    places = places.select("doc_id", "hash", "place", F.xxhash64("line").alias("said")).join(said, "said", "left_semi")
+    hashes = hashed_lines(docs, constant)
+    said = staged(recurring(docs, hashes, support, constant), "recurring-lines")
+    places = hashes.select("doc_id", "hash", "place", "said").join(said, "said", "left_semi")
     drops = places.groupBy("doc_id", "hash").agg(F.collect_set("place").alias("places"))
     drops = drops.select(F.col("doc_id").alias(ids), F.col("hash").alias(key), F.col("places").alias(dropped))
     marked = docs.withColumn(hashed, text_hash(F.col("text")))
