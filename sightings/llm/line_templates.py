@@ -33,6 +33,7 @@ from sightings.llm.common import documents, text_hash, unused
 from sightings.session import staged
 
 DEPTH, SUPPORT, CONSTANT = 3, 5, 0.6
+WORDS = 1 << 18  # of 64 bits, in the filter that lines pass before they are joined: at most as many rows are broadcast
 FIELD = "<*>"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
 _VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -138,11 +139,19 @@ def _candidates(hashes: DataFrame, support: int) -> DataFrame:
     return staged(both.groupBy("said").agg(F.max("n").alias("n"), F.max("alike").alias("alike")), "candidates")
 
 
+def _possible(lines: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """The lines whose bit is set in a filter of the wanted hashes, so that few others are shuffled by the exact join
+    that has to follow.  The filter has at most ``words`` rows, however many hashes there are."""
+    word, bit = F.pmod("said", F.lit(words)), F.expr("shiftleft(1L, cast(shiftright(said, 58) & 63 AS int))")
+    bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return lines.join(F.broadcast(bits), (word == F.col("word")) & (bit.bitwiseAND(F.col("bits")) != 0), "left_semi")
+
+
 def recurring(docs: DataFrame, hashes: DataFrame, support: int = SUPPORT, constant: float = CONSTANT) -> DataFrame:
     """(said), the hash of every masked line whose template recurs, or that is one place off a line that does."""
     wanted = _candidates(hashes, support)
     lines = masked(docs).select(F.explode_outer(F.array_distinct("lines")).alias("line")).where("line <> ''")
-    lines = lines.withColumn("said", F.xxhash64("line")).join(wanted, "said", "left_semi").distinct()
+    lines = _possible(lines.withColumn("said", F.xxhash64("line")), wanted).join(wanted, "said", "left_semi").distinct()
     lines = staged(lines.join(wanted, "said").select("line", "n", "alike"), "lines")
     known = lines.where("n is not null").select("line", "n")
     # from here on a line, and a token at its place in its leaf, are 64-bit hashes: rows are narrow whatever the texts
