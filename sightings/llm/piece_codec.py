@@ -5,7 +5,8 @@ joining a pair puts its two new neighbours on the agenda.  Symbols that are no p
 of the vocabulary goes on past the end of a word (a space mark after another character) or over a line break, so a
 normalised text is cut there and each segment is merged once and remembered; a vocabulary that does have such
 pieces is merged over whole texts.  Every segment that is merged is compared with the library's answer in the same
-Arrow batch, and a difference stops the job.  Normalising and decoding are the library's.
+Arrow batch; a text with a segment that differs gets the library's ids, and the difference is counted and reported.
+Normalising and decoding are the library's.
 
 Defined cases: a null text is empty, which is the begin and the end id and decodes to the empty text.
 """
@@ -13,6 +14,7 @@ Defined cases: a null text is empty, which is the begin and the end id and decod
 from __future__ import annotations
 
 import heapq
+import logging
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
@@ -44,6 +46,7 @@ class PieceCodec:
         joined = [p for p in self.pieces if len(p) > 1]
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in joined) and len(self.bytes) == 256
         self.memo = Memo(generation)
+        self.differences = 0
         self.begin, self.end = array(UINT32, [lib.bos_id()]).tobytes(), array(UINT32, [lib.eos_id()]).tobytes()
         self.before = array(UINT32, lib.encode("\n")).tobytes()
 
@@ -91,19 +94,20 @@ class PieceCodec:
             return _SEGMENT.findall(normal)
         return normal.replace(MARK, _CUT + MARK).replace("\n", _CUT + "\n" + _CUT).split(_CUT)
 
-    def _check(self, segments: list[str], ids: dict[str, bytes], texts: Sequence[str]) -> None:
-        """Against the library: a line break before a segment takes the mark that it puts before every text."""
+    def _differing(self, segments: list[str], ids: dict[str, bytes], texts: Sequence[str]) -> set[str]:
+        """Segments that the library encodes otherwise: a line break before one takes the mark that it puts before every text."""
         if self.cuts:
             told = self.library.encode(["\n" + s.replace(MARK, " ") for s in segments])
-            skip = self.before
-            wrong = [s for s, x in zip(segments, told, strict=True) if skip + ids[s] != array(UINT32, x).tobytes()]
-        else:
-            wrong = [t for t, x in zip(texts, self.library.encode(list(texts)), strict=True) if ids[self.segments(t)[0]] != array(UINT32, x).tobytes()]
-        if wrong:
-            raise ValueError(f"sentencepiece encodes otherwise: {wrong[:3]!r}")
+            return {s for s, x in zip(segments, told, strict=True) if self.before + ids[s] != array(UINT32, x).tobytes()}
+        told = self.library.encode(list(texts))
+        own = [self.segments(text)[0] for text in texts]
+        return {s for s, x in zip(own, told, strict=True) if s in ids and ids[s] != array(UINT32, x).tobytes()}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Begin id, ids and end id of every text, as little-endian unsigned 32-bit integers."""
+        """Begin id, ids and end id of every text, as little-endian unsigned 32-bit integers.
+
+        A text with a segment that differs from the library gets the library's ids; such texts are counted and reported.
+        """
         for some in slices(texts):
             lists = [self.segments(text) for text in some]
             wanted: set[str] = set()
@@ -111,12 +115,17 @@ class PieceCodec:
                 wanted.update(segments)
             known, missing = self.memo.split(wanted)
             fresh = {s: array(UINT32, self.merge(s)).tobytes() for s in missing}
-            self._check([s for s in missing if s], fresh, some)
-            self.memo.add(fresh)
+            wrong = self._differing([s for s in missing if s], fresh, some)
+            self.memo.add({s: x for s, x in fresh.items() if s not in wrong} if wrong else fresh)
             known |= fresh
             get = known.__getitem__
-            for segments in lists:
-                yield self.begin + b"".join(map(get, segments)) + self.end
+            for text, segments in zip(some, lists, strict=True):
+                if wrong and not wrong.isdisjoint(segments):
+                    self.differences += 1
+                    logging.getLogger(__name__).warning("a text of %d characters is encoded otherwise by the library, whose ids are taken", len(text))
+                    yield self.begin + array(UINT32, self.library.encode(text)).tobytes() + self.end
+                else:
+                    yield self.begin + b"".join(map(get, segments)) + self.end
 
     def decode(self, ids: Sequence[bytes]) -> list[str]:
         lists = []

@@ -294,10 +294,15 @@ def test_pieces_whole_text_and_check():
     codec = piece_codec.PieceCodec(PIECES)
     codec.cuts = False  # as for a vocabulary whose pieces cross words
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(ODD)] == codec.library.encode(ODD, add_bos=True, add_eos=True)
-    codec = piece_codec.PieceCodec(PIECES)
-    codec.pieces["▁qq"] = (5, 0.0)
-    with pytest.raises(ValueError, match="otherwise"):
-        list(codec.encode(["a qq"]))
+    assert codec.differences == 0
+    for cuts in (True, False):
+        codec = piece_codec.PieceCodec(PIECES)
+        codec.cuts = cuts
+        codec.pieces["▁qq"] = (5, 9.0)
+        some = ["a qq", "a b", "qq", "a qq"]
+        for _ in range(2):  # what differs is not remembered
+            assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(some)] == codec.library.encode(some, add_bos=True, add_eos=True)
+        assert codec.differences == 6
 
 
 def test_pieces_cases(spark, edge):
