@@ -66,12 +66,12 @@ def full_archive_export(spark, sf_dir):
 
 @query("EXP3", _simple_sql(50))
 def simple_avro_export(spark, sf_dir):
-    return _manifest(exports.simple_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
+    return _manifest(exports.simple_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, sinks.export_format(spark, "avro", fallback="orc"))
 
 
 @query("EXP4", _simple_sql(len(layouts.simple_with_verbatim_pairs()) + 1))
 def simple_with_verbatim_export(spark, sf_dir):
-    return _manifest(exports.simple_with_verbatim_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, "orc")
+    return _manifest(exports.simple_with_verbatim_avro(sighting(spark, sf_dir, *_SIMPLE), _where()), spark, sinks.export_format(spark, "avro", fallback="orc"))
 
 
 @query("EXP5", _simple_sql(50))

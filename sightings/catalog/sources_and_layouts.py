@@ -101,7 +101,7 @@ def avro_round_trip(spark, sf_dir):
     df = sighting(spark, sf_dir, "recordid", "datasetkey", "recordedby", "eventdategte")
     rows = layouts.project_avro(df, ["datasetkey", "recordedby", "eventdategte"])
     path = scratch_path(spark, "avro")
-    fmt = sinks.write_avro(rows, path)
+    fmt = sinks.write_avro(rows, path, fallback="orc")
     return spark.read.format(fmt).schema(rows.schema).load(path).groupBy("datasetkey").agg(F.count("*").alias("n"))
 
 

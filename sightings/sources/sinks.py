@@ -37,16 +37,23 @@ def avro_available(spark: SparkSession) -> bool:
         return False
 
 
-def write_avro(df: DataFrame, path: str, fmt: str = "avro") -> str:
-    """Deflate level 9; without the optional Avro package the same rows go to ORC. Returns the format."""
+def export_format(spark: SparkSession, fmt: str, fallback: str | None = None) -> str:
+    """``fmt``, or the stated fallback where it is Avro and its package is missing; without one that is an error."""
+    if fmt != "avro" or avro_available(spark):
+        return fmt
+    if fallback is None:
+        raise RuntimeError("Avro needs the optional package spark-avro; name a fallback format to go on without it")
+    return fallback
+
+
+def write_avro(df: DataFrame, path: str, fallback: str | None = None) -> str:
+    """Avro with deflate level 9, or the stated fallback format where its package is missing. Returns the format."""
     spark = df.sparkSession
-    if fmt == "avro" and avro_available(spark):
-        writer = df.write.mode("overwrite").format("avro").option("compression", "deflate")
+    fmt = export_format(spark, "avro", fallback)
+    writer = df.write.mode("overwrite").format(fmt)
+    if fmt == "avro":
         spark.conf.set("spark.sql.avro.deflate.level", "9")
-        writer.save(path)
-        return "avro"
-    fmt = "orc" if fmt == "avro" else fmt
-    df.write.mode("overwrite").format(fmt).option("compression", "zlib" if fmt == "orc" else "snappy").save(path)
+    writer.option("compression", {"avro": "deflate", "orc": "zlib"}.get(fmt, "snappy")).save(path)
     return fmt
 
 

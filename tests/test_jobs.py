@@ -174,10 +174,14 @@ def test_text_files(spark):
     assert spark.read.text(f"{path}_header").first().value == "a\tb\tc"
 
 
-def test_avro_falls_back(spark):
+def test_avro_falls_back_only_where_told(spark):
     df = spark.createDataFrame([("1", ["a"])], "recordid string, x array<string>")
     path = scratch_path(spark, "a")
-    fmt = sinks.write_avro(df, path)
+    fmt = sinks.write_avro(df, path, fallback="orc")
+    assert fmt == ("avro" if sinks.avro_available(spark) else "orc")
+    if fmt == "orc":
+        with pytest.raises(RuntimeError, match="spark-avro"):
+            sinks.write_avro(df, path)
     assert spark.read.format(fmt).schema(df.schema).load(path).collect() == df.collect()
 
 
