@@ -90,6 +90,24 @@ def test_media_chunks_and_pages(spark):
     assert media.media_page(index, "cl", "animals", "stillimage", limit=500, offset=0, chunk_size=50).count() == media.MAX_PAGE
 
 
+def test_media_chunks_of_hot_taxa_do_not_depend_on_buckets(spark):
+    keys = F.array(F.lit("animals"), F.when(F.col("id") % 2 == 0, "even"), (F.col("id") % 7).cast("string"))
+    records = spark.range(600).select(F.col("id").cast("string").alias("recordid"),
+                                      F.create_map(F.lit("a"), keys, F.lit("b"), F.array(F.lit("animals"))).alias("taxonkeys"))
+    items = records.select("recordid", F.when(F.col("recordid") < "3", "Sound").otherwise("StillImage").alias("type"),
+                           F.when(F.col("recordid") != "77", F.concat(F.lit("u"), "recordid")).alias("identifier"),
+                           *[F.lit(None).cast("string").alias(c) for c in ("title", "license", "created", "creator")])
+
+    def rows(**limits):
+        found = media.media_index(records, items, 7, **limits).collect()
+        return sorted((r.checklistkey, str(r.taxonkey), r.mediatype, r.chunk, r.total, [i.recordid for i in r["items"]]) for r in found)
+
+    whole = rows()
+    assert sum(len(r[-1]) for r in whole) == 600 * 4
+    assert rows(hot_rows=60, task_rows=100) == whole
+    assert rows(hot_rows=10, task_rows=3) == whole
+
+
 def walk(parent, start, depth):
     seen, out, at = {start}, [], start
     while parent.get(at) is not None and parent[at] in parent and len(out) < depth:
