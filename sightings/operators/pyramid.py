@@ -1,4 +1,4 @@
-"""Heatmap pyramid: records counted once at the finest cells, every coarser zoom rolled up from the next finer one.
+"""Heatmap pyramid: records counted once at the finest cells, the coarser zooms rolled up from finer ones.
 
 A cell's count, coordinate sums and bounds add up to those of the cell above it, because a geohash is a prefix of its
 parts' geohashes.  The records are read once for all zooms.  A box that cuts cells takes whole cells from the
@@ -7,6 +7,7 @@ pyramid and counts the records of the cells on its rim, which lie in four narrow
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -17,6 +18,10 @@ from sightings.operators.geo import bounding_box
 from sightings.operators.heatmap import DEFAULT_BUCKETS, LENGTH_BY_ZOOM, MIN_CELL_LIMIT, cell_indexes, geohash_text, length_of
 
 _SCHEMA = "x bigint, y bigint, n bigint, sumlat double, sumlon double, top double, bottom double, `left` double, `right` double, length int"
+# Lengths rolled up by one shuffle: a cell has at most 32 to that power cells of the finer length.
+STEP = 3
+# Cells that one task rolls up, about.
+TASK_CELLS = 200_000
 _MEASURES = {"n": F.sum, "sumlat": F.sum, "sumlon": F.sum, "top": F.max, "bottom": F.min, "left": F.min, "right": F.max}
 
 
@@ -40,18 +45,29 @@ class Pyramid:
 
     @classmethod
     def write(cls, df: DataFrame, path: str, zooms: int = len(LENGTH_BY_ZOOM)) -> Pyramid:
-        """One pass over the records; each coarser length from the cells of the next finer one."""
+        """One pass over the records; the coarser lengths, ``STEP`` at once, from the cells of the next finer one."""
         pyramid, lengths = cls(df.sparkSession, path), sorted(set(LENGTH_BY_ZOOM[:zooms]), reverse=True)
         world = df.where(bounding_box(F.col("decimallatitude"), F.col("decimallongitude"), -180.0, -90.0, 180.0, 90.0))
-        cells = _of_records(world, lengths[0])
-        for finer, length in zip([None, *lengths], lengths):
-            if finer is not None:
-                (fx, fy), (x, y) = _bits(finer), _bits(length)
-                up = pyramid.cells(finer).groupBy(F.shiftright("x", fx - x).alias("x"), F.shiftright("y", fy - y).alias("y"))
-                cells = up.agg(*[merge(F.col(name)).alias(name) for name, merge in _MEASURES.items()])
-            cells.write.parquet(f"{pyramid.path}/length={length}")
+        _of_records(world, lengths[0]).write.parquet(f"{pyramid.path}/length={lengths[0]}")
+        for k in range(1, len(lengths), STEP):
+            pyramid._rolled_up(lengths[k - 1], lengths[k:k + STEP]).write.mode("append").partitionBy("length").parquet(pyramid.path)
         return pyramid
 
+    def _rolled_up(self, finer: int, lengths: list[int]) -> DataFrame:
+        """The cells of coarser lengths, shuffled once, by the cell of the coarsest, which has a bounded number of parts."""
+
+        def above(length: int) -> list[Column]:
+            (fx, fy), (x, y) = _bits(finer), _bits(length)
+            return [F.shiftright("x", fx - x), F.shiftright("y", fy - y)]
+
+        (top_x, top_y), fine = above(lengths[-1]), self.cells(finer).drop("length")
+        tasks = max(self.spark.sparkContext.defaultParallelism, math.ceil(fine.count() / TASK_CELLS))
+        dealt = fine.withColumns({"_x": top_x, "_y": top_y}).repartition(tasks, "_x", "_y")
+        places = [F.struct(F.lit(n).alias("length"), above(n)[0].alias("x"), above(n)[1].alias("y")) for n in lengths]
+        up = dealt.select("_x", "_y", *_MEASURES, F.explode(F.array(*places)).alias("cell")).select("_x", "_y", *_MEASURES, "cell.*")
+        cells = up.groupBy("_x", "_y", "length", "x", "y").agg(*[merge(F.col(name)).alias(name) for name, merge in _MEASURES.items()])
+        return cells.drop("_x", "_y")
+
     def cells(self, length: int) -> DataFrame:
         return self.spark.read.schema(_SCHEMA).parquet(self.path).where(F.col("length") == length)
 
