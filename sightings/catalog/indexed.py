@@ -12,7 +12,7 @@ from sightings.catalog import changes as change_queries
 from sightings.catalog import counts, filters, joins, places, search  # noqa: F401  (their SQL is asked for below)
 from sightings.catalog.registry import ORACLES, query
 from sightings.operators import tree_intervals as trees
-from sightings.operators.colocated import BucketedTables
+from sightings.operators.colocated import BucketedTables, buckets_for
 from sightings.operators.cursors import SortedCopy, default_key
 from sightings.operators.curve import ClusteredTable
 from sightings.operators.dictionary import TermDictionary
@@ -230,8 +230,9 @@ def deep_page_of_copy(spark, sf_dir):
 
 @query("JN1B", ORACLES["JN1"])
 def extension_in_buckets(spark, sf_dir):
-    stored = BucketedTables(spark, scratch_path(spark, "buckets"), 8)
-    stored.write("main", sighting(spark, sf_dir, "recordid", "year"), ["recordid"])
+    rows = sighting(spark, sf_dir, "recordid", "year")
+    stored = BucketedTables(spark, scratch_path(spark, "buckets"), buckets_for(table(spark, sf_dir, "lineitem").count()))
+    stored.write("main", rows, ["recordid"])
     stored.write("remarks", build_extension_table(joins._part_extension(spark, sf_dir)), ["recordid"])
     return extension_rows(stored.table("remarks"), stored.table("main").where("year = 1997"))
 

@@ -7,6 +7,7 @@ again; compaction writes one sorted file a bucket as the table's next version.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -16,6 +17,15 @@ from pyspark.sql.types import StructType
 from sightings.sources.versions import VersionLog
 
 
+# Rows of the main table in one bucket, about.
+BUCKET_ROWS = 250_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """More buckets for more rows: a task reads and sorts one of them."""
+    return max(least, math.ceil(rows / BUCKET_ROWS))
+
+
 class BucketedTables:
     """Tables of one folder with the same number of buckets; a table's key and folder stand in its version log."""
 

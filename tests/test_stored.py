@@ -70,6 +70,28 @@ def test_pyramid_equals_direct_heatmaps(spark):
         pyramid.heatmap(2, (0.0, 0.0, 1.0, 1.0))
 
 
+def test_pyramid_rolls_up_several_lengths_by_one_shuffle(spark, monkeypatch):
+    from sightings.operators import pyramid as module
+
+    monkeypatch.setattr(module, "TASK_CELLS", 50, raising=False)
+    rng = random.Random(4)
+    rows = [(rng.uniform(-90, 90), rng.uniform(-180, 180), True) for _ in range(900)] + [(52.0, 13.0, True)] * 300
+    df = spark.createDataFrame(rows, "decimallatitude double, decimallongitude double, hascoordinate boolean").cache()
+    made = Pyramid.write(df, scratch_path(spark, "pyramid"))
+    for zoom in (0, 4, 7, 10, 13, 15, 18):
+        found = sorted((r.cell, r["count"]) for r in made.heatmap(zoom).collect())
+        assert found == sorted((r.cell, r["count"]) for r in heatmap(df, zoom).collect())
+    plan = made._rolled_up(10, [9, 8, 7])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_buckets_grow_with_the_rows():
+    from sightings.operators.colocated import BUCKET_ROWS, buckets_for
+
+    assert buckets_for(0) == buckets_for(8 * BUCKET_ROWS) == 8
+    assert buckets_for(100 * BUCKET_ROWS) == 100
+
+
 def test_bucketed_joins_move_no_side(spark):
     rng = random.Random(3)
     main = spark.createDataFrame([(f"r{i}", i % 5) for i in range(500)], "recordid string, kind int")
