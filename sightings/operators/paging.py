@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sightings.operators.hot import hashed_number
 MAX_PAGE = 300
 MAX_RESULT_WINDOW = 100_000
 SHUFFLE_RANGE = 1_000_000
+# Rows of an export slice that one task sorts.
+SLICE_ROWS = 1_000_000
 
 
 def by_id(df: DataFrame, record_id: str) -> DataFrame:
@@ -54,7 +58,12 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
-def export_slices(df: DataFrame, slices: int) -> DataFrame:
-    """Rows in descending id order, cut into contiguous ranges, one per output file."""
+def export_slices(df: DataFrame, slices: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows in descending id order, cut into contiguous ranges, one per output file.
+
+    A slice of more than ``slice_rows`` rows is cut again, into files that follow each other, so that no task
+    sorts more than about so many.
+    """
     newest_first = F.col("recordid").desc()
-    return df.repartitionByRange(slices, newest_first).sortWithinPartitions(newest_first)
+    files = slices * max(1, math.ceil(df.count() / (slices * slice_rows)))
+    return df.repartitionByRange(files, newest_first).sortWithinPartitions(newest_first)
