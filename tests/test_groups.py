@@ -181,6 +181,23 @@ def test_pages_and_shuffles(spark):
         paging.page(df, paging.default_order(), paging.MAX_RESULT_WINDOW, 1)
 
 
+def test_export_slices_of_many_rows_are_cut_again(spark):
+    df = spark.range(2000).select(F.format_string("%05d", "id").alias("recordid"))
+    rows = paging.export_slices(df, 4, slice_rows=100).select("recordid", F.spark_partition_id().alias("p")).collect()
+    sizes = [sum(r.p == p for r in rows) for p in {r.p for r in rows}]
+    assert len(sizes) >= 15 and max(sizes) < 250
+    assert [r.recordid for r in sorted(rows, key=lambda r: r.p)] == [f"{n:05d}" for n in reversed(range(2000))]
+
+
+def test_a_single_file_is_spread_by_its_rows(spark, monkeypatch):
+    from conftest import SF_DIR
+    from sightings.sources import driver
+
+    monkeypatch.setattr(driver, "TASK_ROWS", 500, raising=False)
+    spread = driver.sighting(spark, SF_DIR, "recordid").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > spark.sparkContext.defaultParallelism and max(r["count"] for r in spread) < 1500
+
+
 def test_export_slices_are_ranges(spark):
     df = spark.range(1000).select(F.format_string("%05d", "id").alias("recordid"))
     sliced = paging.export_slices(df, 4).select("recordid", F.spark_partition_id().alias("p")).collect()
