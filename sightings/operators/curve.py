@@ -8,6 +8,7 @@ shape is covered by cells, its ranges pick the files and reach their scan as com
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,33 @@ ORDER = 16
 # Ranges of a shape at most, and cells that are cut further until there are so many.
 RANGES, CELLS = 64, 400
 PLACE = "placekey"
+# Levels of the curve that a point goes down by one look at a list.
+LEVELS = 4
+
+
+@lru_cache
+def _steps(levels: int) -> list[int]:
+    """The curve's steps through so many levels at once.
+
+    At state, bits of x, bits of y: the number on those levels, and above its bits the state in which the next ones are
+    read.  A state tells whether the axes have changed places (1) and whether both are mirrored (2).
+    """
+    out = []
+    for state in range(4):
+        for bits in range(1 << 2 * levels):
+            x, y, after, d = bits >> levels, bits & ((1 << levels) - 1), state, 0
+            for k in reversed(range(levels)):
+                right, upper = x >> k & 1, y >> k & 1
+                if after & 1:
+                    right, upper = upper, right
+                if after & 2:
+                    right, upper = 1 - right, 1 - upper
+                d = d * 4 + ((2 if upper else 3) if right else upper)
+                # the lower quarters are turned: mirrored on the right, and their axes change places
+                if not upper:
+                    after = (after ^ 2 if right else after) ^ 1
+            out.append(after << 2 * levels | d)
+    return out
 
 
 def curve_number(lat: Column, lon: Column, order: int = ORDER) -> Column:
@@ -32,18 +60,16 @@ def curve_number(lat: Column, lon: Column, order: int = ORDER) -> Column:
     def index(share: Column) -> Column:
         return F.least(F.floor(share * many), F.lit(many - 1)).cast("bigint")
 
-    def step(state: Column, level: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-        right, upper = state["x"].bitwiseAND(bit) > 0, state["y"].bitwiseAND(bit) > 0
-        quarter = F.when(right, F.when(upper, 2).otherwise(3)).otherwise(F.when(upper, 1).otherwise(0)).cast("bigint")
-        # the lower quarters are turned: mirrored on the right, and their axes change places
-        turned = right & ~upper
-        x = F.when(turned, many - 1 - state["x"]).otherwise(state["x"])
-        y = F.when(turned, many - 1 - state["y"]).otherwise(state["y"])
-        return F.struct(F.when(upper, x).otherwise(y).alias("x"), F.when(upper, y).otherwise(x).alias("y"), (state["d"] * 4 + quarter).alias("d"))
-
-    start = F.struct(index((lon + 180) / 360).alias("x"), index((lat + 90) / 180).alias("y"), F.lit(0).cast("bigint").alias("d"))
-    number = F.aggregate(F.sequence(F.lit(order - 1), F.lit(0)), start, step, lambda s: s["d"])
+    x, y = index((lon + 180) / 360), index((lat + 90) / 180)
+    number, state, left = F.lit(0).cast("bigint"), F.lit(0), order
+    while left:
+        levels = left % LEVELS or LEVELS
+        left -= levels
+        part = (1 << levels) - 1
+        bits = F.shiftleft(F.shiftright(x, left).bitwiseAND(part), levels) + F.shiftright(y, left).bitwiseAND(part)
+        step = F.get(F.lit(_steps(levels)), F.shiftleft(state, 2 * levels) + bits.cast("int"))
+        number = F.shiftleft(number, 2 * levels) + step.bitwiseAND((1 << 2 * levels) - 1)
+        state = F.shiftright(step, 2 * levels)
     return F.when(geo.in_range(lat, lon), number)
 
 

@@ -124,6 +124,16 @@ def test_intervals_reach_the_scan(spark, monkeypatch):
 # ---- curve order -----------------------------------------------------------------------------------------
 
 
+def test_curve_numbers_of_any_order_without_lambdas(spark):
+    points = [(-90 + 180 * (y + 0.5) / 32, -180 + 360 * (x + 0.5) / 32) for x in range(32) for y in range(32)] + [(-1e300, 0.0), (None, 0.0)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    for order in (1, 4, 5):
+        number = curve.curve_number(F.col("lat"), F.col("lon"), order)
+        assert "lambda" not in str(number)
+        found = [r.d for r in df.select(number.alias("d")).collect()]
+        assert found == [curve.cell_number(order, x >> 5 - order, y >> 5 - order) for x in range(32) for y in range(32)] + [None, None]
+
+
 def test_curve_is_one_path_of_neighbours(spark):
     for level in (1, 2, 4):
         cells = {curve.cell_number(level, x, y): (x, y) for x in range(1 << level) for y in range(1 << level)}
