@@ -221,6 +221,20 @@ def test_postings_rank_like_bm25(spark):
     assert PostingsIndex(spark, scratch_path(spark, "empty")).search("a").count() == 0
 
 
+def test_postings_move_as_lists(spark):
+    """A term of a block is a few rows, whatever its documents, and an index of few files is made by all cores."""
+    texts = [(i, f"Common common only{i % 10} \u0130stanbul") for i in range(200)] + [(900, None), (901, " ,")]
+    index = PostingsIndex(spark, scratch_path(spark, "postings"), buckets=4, block=64)
+    index.add(spark.createDataFrame(texts, "doc int, text string").coalesce(1), "doc", F.col("text"))
+    rows = index._read("postings", postings._POSTINGS, ["common"]).collect()
+    assert len(rows) < 200 and sum(r.df for r in rows) == sum(len(r.numbers) for r in rows) == 200
+    assert {x for r in rows for x in r.tfs} == {2} and all(r.numbers == sorted(r.numbers) for r in rows)
+    assert {(n - 1) // 64 == r.block for r in rows for n in r.numbers} == {True}
+    bounds = index._read("bounds", postings._BOUNDS, ["only3"]).collect()
+    assert sum(b.df for b in bounds) == 20 and {(b.tf, b.least_length) for b in bounds} == {(1, 5)}  # a lower-case dotted I is two words here
+    assert postings._spread(spark.createDataFrame(texts, "doc int, text string").coalesce(1)).rdd.getNumPartitions() > 1
+
+
 # ---- dictionary -------------------------------------------------------------------------------------------------
 
 
