@@ -3,7 +3,8 @@
 A message has the object's type and key, a time in microseconds that orders its versions, and the object (null: it is
 gone).  Messages wait in the state until the watermark has passed them and are then taken in order, so late ones
 within ``delay`` find their place, and any cut into micro-batches gives the same changes.  A repeated message, and one
-older than the version already taken, changes nothing.  A timer wakes a key whose messages have become due.
+older than the version already taken, changes nothing.  Objects are dealt out to shards by a hash of their key; a timer
+wakes a shard of which messages have become due.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql.types import StructType
 from sightings.streaming.changes import CREATED, DELETED, UPDATED
 
 _CHANGES = "objecttype string, key string, at bigint, changetype string, oldjson string, newjson string"
-_STATE = "taken bigint, object string, waiting string"
+_STATE = "objects string"
+# Parts of the keys by hash, each with one state of its objects: a call, which costs far more than an object, serves all of them.
+SHARDS = 4096
 
 
 def taken_in_order(taken: int | None, current: str | None, messages: list[tuple[int, str | None]]) -> tuple[int | None, str | None, list[tuple]]:
@@ -37,29 +40,37 @@ def taken_in_order(taken: int | None, current: str | None, messages: list[tuple[
     return taken, current, changes
 
 
-def object_changes(messages: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def object_changes(messages: DataFrame, delay: str = "10 minutes", shards: int = SHARDS) -> DataFrame:
     """(objecttype, key, at, changetype, oldjson, newjson) for a stream of (objecttype, key, at, object)."""
-    timed = messages.select("objecttype", "key", "at", F.timestamp_micros("at").alias("time"), F.to_json("object").alias("object"))
+    shard = F.pmod(F.xxhash64("objecttype", "key"), F.lit(shards)).cast("int").alias("shard")
+    timed = messages.select(shard, "objecttype", "key", "at", F.timestamp_micros("at").alias("time"), F.to_json("object").alias("object"))
 
     def step(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken, current, waiting = state.get if state.exists else (None, None, "[]")
-        held = [tuple(x) for x in json.loads(waiting)]
+        held = json.loads(state.get[0]) if state.exists else []
+        objects = {(kind, key): (taken, current, [tuple(x) for x in waiting]) for kind, key, taken, current, waiting in held}
         if not state.hasTimedOut:
             for batch in batches:
-                fresh = zip(batch["at"].tolist(), (None if pd.isna(x) else x for x in batch["object"]))
-                held = sorted({*held, *fresh}, key=str)  # repeated messages wait once
-        watermark = state.getCurrentWatermarkMs()
-        due = [x for x in held if x[0] // 1000 < watermark]
-        rest = [x for x in held if x[0] // 1000 >= watermark]
-        taken, current, changes = taken_in_order(taken, current, due)
-        state.update((taken, current, json.dumps(rest)))
-        if rest:
-            state.setTimeoutTimestamp(max(min(at for at, _ in rest) // 1000 + 1, watermark + 1))
+                made = (x if isinstance(x, str) else None for x in batch["object"])
+                for kind, key, at, value in zip(batch["objecttype"].tolist(), batch["key"].tolist(), batch["at"].tolist(), made):
+                    objects.setdefault((kind, key), (None, None, []))[2].append((at, value))
+        watermark, soonest, changes = state.getCurrentWatermarkMs(), None, []
+        for named, (taken, current, waiting) in objects.items():
+            if waiting:
+                waiting = set(waiting)  # repeated messages wait once
+                due = [x for x in waiting if x[0] // 1000 < watermark]
+                rest = sorted((x for x in waiting if x[0] // 1000 >= watermark), key=str)
+                taken, current, own = taken_in_order(taken, current, due)
+                objects[named] = taken, current, rest
+                changes += [(*named, *c) for c in own]
+                soonest = min([at for at, _ in rest] + ([] if soonest is None else [soonest]), default=None)
+        state.update((json.dumps([(*named, *rest) for named, rest in objects.items()]),))
+        if soonest is not None:
+            state.setTimeoutTimestamp(max(soonest // 1000 + 1, watermark + 1))
         if changes:
-            yield pd.DataFrame([(*group, *c) for c in changes], columns=["objecttype", "key", "at", "changetype", "oldjson", "newjson"])
+            yield pd.DataFrame(changes, columns=["objecttype", "key", "at", "changetype", "oldjson", "newjson"])
 
     watermarked = timed.withWatermark("time", delay)
-    return watermarked.groupBy("objecttype", "key").applyInPandasWithState(step, _CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return watermarked.groupBy("shard").applyInPandasWithState(step, _CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def batch_changes(messages: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from sightings.operators.text_search import field_terms, suggest
 from sightings.session import scratch_path
 from sightings.sources import tables
 from sightings.sources.versions import VersionConflict, VersionLog
+from sightings.streaming import changes, versions
 
 
 def _plan(df) -> str:
@@ -331,3 +332,24 @@ def test_a_torn_entry_is_no_version(spark, tmp_path):
     with pytest.raises(VersionConflict):
         log.commit({"a": 3}, 0)
     assert json.loads((tmp_path / "log" / "000000000002.json").read_text()) == {"a": 2}
+
+
+def test_versions_of_one_shard(spark):
+    """Many objects of a shard are served by one call: more messages than shards, repeated and late ones among them."""
+    rows = [("dataset", f"k{i}", at, f"v{at}" if at < 30 or i % 2 else None) for i in range(50) for at in (10, 20, 30)]
+    rows += rows[:7] + [("other", None, 10, "x"), ("end", "end", 9_000, "e")]
+    seconds = [(kind, key, at * 1_000_000, (value,) if value else None) for kind, key, at, value in rows]
+    schema = "objecttype string, key string, at bigint, object struct<v: string>"
+    messages, folder = spark.createDataFrame(seconds, schema), scratch_path(spark, "shard-messages")
+    messages.where("at % 20000000 = 0").coalesce(1).write.mode("append").parquet(folder)
+    messages.where("at % 20000000 <> 0").coalesce(1).write.mode("append").parquet(folder)
+    ends = [("end", "end", at * 1_000_000, None) for at in (20_000, 20_001)]
+    for end in ends:  # these only move the watermark
+        spark.createDataFrame([end], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = scratch_path(spark, "shard-changes")
+    found = versions.object_changes(stream, "1 hour", shards=3)
+    changes.run_to_table(found, path, scratch_path(spark, "shard-state"))
+    got = spark.read.schema(found.schema).parquet(f"{path}/batch=*").where("objecttype <> 'end'")
+    wanted = versions.batch_changes(messages).where("objecttype <> 'end'")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.count() == 151
