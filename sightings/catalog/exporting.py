@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightings.catalog.registry import query
 from sightings.plans import exports, layouts
 from sightings.plans.user_sql import sql_export
-from sightings.session import scratch_path
+from sightings.session import scratch_path, staged
 from sightings.sources import sinks
 from sightings.sources.driver import DNA_CTE, EVENT_CTE, HUMBOLDT_CTE, cte, dna, event, humboldt, sighting
 from sightings.sources.tables import build_multimedia_table, build_record_table
@@ -50,8 +50,10 @@ def _archive(spark, sf_dir):
     names = [*_SIMPLE, "publishingcountry", "eventid", "eventtime", "sex", "lifestage", "taxonomicstatuses", "modified", "eventdategte", "eventdatelte",
              "hascoordinate", "v_country", "v_year", "v_recordedby", "ext_multimedia"]
     df = sighting(spark, sf_dir, *names)
-    remarks = df.select("recordid", F.explode(F.array("locality", "recordnumber")).alias("remark"))
-    return exports.full_archive(df, _where(), "cl-1", build_multimedia_table(df), dna(spark, sf_dir), {"remarks": remarks})
+    # both extensions of all records come from one join of the tables
+    extended = staged(df.select("recordid", "locality", "recordnumber", "ext_multimedia"), "extended", codec="zstd")
+    remarks = extended.select("recordid", F.explode(F.array("locality", "recordnumber")).alias("remark"))
+    return exports.full_archive(df, _where(), "cl-1", build_multimedia_table(extended), dna(spark, sf_dir), {"remarks": remarks})
 
 
 @query("EXP2", _manifest_sql(

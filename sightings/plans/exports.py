@@ -109,7 +109,7 @@ def full_archive(records: DataFrame, where: Column, checklist: str, media: DataF
     The base table is scanned once: the filtered rows are staged in the shared folder,
     and every output reads its columns from there.
     """
-    exported = staged(records.filter(where), "archive")
+    exported = staged(records.filter(where), "archive", codec="zstd")
     out = {
         "verbatim": layouts.project_verbatim(exported),
         "occurrence": layouts.project_interpreted(exported, checklist),

@@ -287,3 +287,34 @@ def test_stream_passes_once_per_window_and_survives_a_restart(spark):
     for key in "abc":
         want += [(key, s) for s in _passed([s for batch in batches for k, s in batch if k == key], 5)]
     assert sorted((r.k, r.s - base) for r in got) == want
+
+
+def test_lines_meet_the_orders_where_they_are_spread(spark, tmp_path):
+    """A table's own tables are joined to it first: the lines move by the order's key once, repeated orders stay."""
+    from sightings.sources.driver import sighting
+
+    tables = {
+        "lineitem": ([(k, k % 4, k % 3, k % 7) for k in range(40)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "orders": ([(k, k % 5) for k in range(30)] + [(3, 1), (None, 2)], "o_orderkey long, o_custkey long"),
+        "customer": ([(k, k % 2) for k in range(4)] + [(1, 0)], "c_custkey long, c_nationkey int"),
+        "nation": ([(0, "A"), (1, "B")], "n_nationkey int, n_name string"),
+        "part": ([(k, f"brand{k}") for k in range(4)], "p_partkey long, p_brand string"),
+        "supplier": ([(k, k % 2) for k in range(2)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = ("family", "countrycode", "publishingcountry", "taxonkey")
+    nations = dict(tables["nation"][0])
+    wanted = [
+        (f"brand{p}", nations[cn], nations[sn], str(p))
+        for o, p, s, _ in tables["lineitem"][0] for ok, c in tables["orders"][0] if ok == o
+        for ck, cn in tables["customer"][0] if ck == c for sk, sn in tables["supplier"][0] if sk == s]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sighting(spark, str(tmp_path), *names)
+        assert sorted(map(tuple, rows.collect())) == sorted(wanted)
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(o_custkey" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
