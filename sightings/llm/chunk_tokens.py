@@ -1,33 +1,44 @@
 """Whole texts to token ids: a public tokenizer is asked once per chunk of text, not once per occurrence.
 
 Both BPE files split a text before they merge, and no token crosses from a non-space character to white space.
-A text can therefore be cut before every run of white space and each chunk encoded alone: the ids of the chunks in
-a row are the ids of the text.  Chunks repeat as words do, so a bounded memo answers most of them.
+Nor does one cross from a letter to punctuation.  A text can therefore be cut before every run of white space and
+between a letter and an ASCII mark, and each chunk encoded alone: the ids of the chunks in a row are the ids of the
+text.  Chunks repeat as words do, so a bounded memo answers most of them.
 
-The files' added tokens, such as an end-of-text mark, have one id where a text spells them; the library cuts a text at
-them before anything else, and so does this module.
+Texts stay Arrow buffers: the cuts are found over their bytes, Arrow numbers the different chunks of some texts, and
+the ids of all chunks are gathered by these numbers.  Only a different chunk is a Python object, once for some texts.
+
+The files' added tokens, such as an end-of-text mark, have one id where a text spells them; they hold none of the
+places where texts are cut, so that a chunk has them whole and the library cuts the chunk at them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 
 # Unicode White_Space, spelt out so that it does not depend on a library's idea of white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+$")
-_NOT_WHITE = re.compile(r"[\x1c-\x1f]")  # str.split() takes them for white space, Unicode does not
-_LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_LETTER = frozenset(c for c in map(chr, range(256)) if _LETTERS.fullmatch(c))
 UINT32 = "I"  # array type of an id; four bytes, little-endian on every platform that Spark runs on
-_CLOSING = ".,!?;:"
-_VERBATIM = "\n\n"  # opens the key of a chunk that is taken as it is; other keys have a space before them
-_ADDED = "\n\n\n"  # opens the key of an added token
+# one word for both files' patterns: a space or none, letters of Latin-1
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Bytes of texts: 1 white space of one byte, 2 perhaps the first byte of a longer one.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[ord(c) for c in WHITE if c < "\x80"]] = 1
+_LONG_WHITE = [c.encode() for c in WHITE if c >= "\x80"]
+_KIND[[c[0] for c in _LONG_WHITE]] = 2
+# ASCII punctuation; not what added tokens have behind a letter
+_MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(_MARKS.encode())] = True
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+# Bytes of texts whose different chunks are looked up at once, about, and chunks whose ids are gathered at once.
+RUN, CHUNKS = 8_000_000, 1 << 20
 
 
 class Memo:
@@ -50,6 +61,16 @@ class Memo:
             rest -= again
         return known, list(rest)
 
+    def recall(self, keys: list) -> list:
+        """What is known of each key, or None."""
+        found = list(map(self.young.get, keys))
+        if self.old:
+            again = {keys[k]: x for k, v in enumerate(found) if v is None and (x := self.old.get(keys[k])) is not None}
+            if again:
+                self.young.update(again)
+                found = list(map(self.young.get, keys))
+        return found
+
     def add(self, values: dict) -> None:
         self.young.update(values)
         if len(self.young) > self.generation:
@@ -72,11 +93,47 @@ def slices(texts: Iterable[str], chars: int = CHARS) -> Iterator[list[str]]:
         yield held
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], doc_ids: deque[int | None]) -> Iterator[str]:
-    """The texts of (doc_id, text); their ids wait in the queue."""
+def texts_of(batches: Iterator[pa.RecordBatch], doc_ids: deque[int | None], size: int = RUN) -> Iterator[pa.Array]:
+    """The texts of (doc_id, text), null as empty, in runs of about so many bytes; their ids wait in the queue."""
+    held, many = [], 0
     for batch in batches:
         doc_ids.extend(batch.column(0).to_pylist())
-        yield from (x or "" for x in batch.column(1).to_pylist())
+        texts = batch.column(1).cast(pa.large_string()).fill_null("")
+        ends = _buffers(texts)[1][1:]
+        row = 0
+        while row < len(texts):
+            begun = int(ends[row - 1]) if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, begun + size - many, "right")))
+            held.append(texts.slice(row, stop - row))
+            many += int(ends[stop - 1]) - begun
+            row = stop
+            if many >= size or row < len(texts):
+                yield pa.concat_arrays(held)
+                held, many = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings without nulls, and where each begins and the last ends."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def white_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are of white space."""
+    kind = _KIND[data]
+    white = kind == 1
+    first = np.flatnonzero(kind == 2)
+    if len(first):
+        follow = np.pad(data, (0, 2))
+        for c in _LONG_WHITE:
+            found = first[np.all([follow[first + k] == byte for k, byte in enumerate(c)], axis=0)]
+            for k in range(len(c)):
+                white[found + k] = True
+    return white
 
 
 class ChunkEncoder:
@@ -90,100 +147,111 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = {token.content: id_ for id_, token in self.tokenizer.get_added_tokens_decoder().items()}
-        self.added = {_ADDED + text: array(UINT32, [id_]).tobytes() for text, id_ in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.marks = sorted({text[:2] for text in added})
-        self.tokenizer.encode_special_tokens = True  # chunks are cut at added tokens and hold ordinary text only
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or set(t.content) & set(WHITE + _MARKS) for t in added):
+            raise ValueError(f"{path}: an added token that a cut could divide")
+        self.added = [t.content.lower().encode() for t in added]
         self.drops_space = drops_space
         self.memo = Memo(generation)
         # how the library spells a space and the letters of Latin-1 before it merges
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = {n: spell.pre_tokenize_str(chr(n))[0][0] for n in range(0xC0, 0x100)}
-        self.space = spell.pre_tokenize_str(" ")[0][0]
-
-    def keys(self, text: str) -> list[str]:
-        """The text's chunks and added tokens in order, as keys of the memo."""
-        if self.cut and any(mark in text for mark in self.marks):
-            parts = self.cut.split(text)
-            return [key for k, part in enumerate(parts) if part for key in ([_ADDED + part] if k % 2 else self._keys(part))]
-        return self._keys(text)
-
-    def _keys(self, text: str) -> list[str]:
-        if self.drops_space:
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # as the library does; beyond Latin-1 letters it is left to it
-            except UnicodeEncodeError:
-                pass
-            if _NOT_WHITE.search(text):
-                return [x for chunk in _CHUNK.findall(text) if (x := chunk.strip(WHITE))]
-            return text.split()
-        if any(w + " " in text or w + "\n" in text for w in WHITE):
-            return [self._key(chunk) for chunk in _CHUNK.findall(text)]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [_VERBATIM + first, *rest] if first else rest
-
-    @staticmethod
-    def _key(chunk: str) -> str:
-        if chunk[0] == " " and chunk[1:2] != "\n":
-            return chunk[1:]
-        return chunk if chunk[0] == "\n" and chunk[1:2] != "\n" else _VERBATIM + chunk
-
-    def _chunk(self, key: str) -> str:
+        self.spelling = {n: spell.pre_tokenize_str(chr(n))[0][0] for n in (0x20, *range(0xC0, 0x100))}
+
+    def chunks(self, data: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of texts that begin (and the last ends) at the given bytes, and where each text's chunks begin."""
+        white = white_space(data)
+        first = np.zeros(len(data) + 1, bool)
+        np.greater(white[1:], white[:-1], out=first[1:-1])
+        first[begins] = True
+        if not self.drops_space:  # a line feed alone is a token's end, unlike a space
+            first[1:-1] |= first[:-2] & (data[:-1] == 10) & ~white[1:]
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        first[1:-1] |= letter[:-1] & _MARK[data[1:]]
+        at = np.flatnonzero(first[:-1])
+        of_texts = np.searchsorted(at, begins)
         if self.drops_space:
-            return key
-        return key[2:] if key.startswith(_VERBATIM) else key if key[:1] == "\n" else " " + key
-
-    def _ask(self, keys: list[str]) -> dict[str, bytes]:
-        found, other, merge = {}, [], self.tokenizer.model.tokenize
-        for key in keys:
-            if key in self.added:
-                found[key] = self.added[key]
-            elif _LETTERS.fullmatch(key):  # one word for the file's pattern: straight to its merges
-                word = key.lower() if self.drops_space else key
-                word = word if word.isascii() else word.translate(self.spelling)
-                ids = [x.id for x in merge(word if self.drops_space else self.space + word)]
-                found[key] = array(UINT32, ids).tobytes()
+            kept = ~white
+            at = np.cumsum(kept, dtype=np.int64)[at] - kept[at]
+            data = self._lower(data)[kept]
+        ends = np.append(at, len(data))
+        return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]), of_texts
+
+    def _lower(self, data: np.ndarray) -> np.ndarray:
+        """Capital letters before ASCII characters are lower-cased; others, which may compose, are left to the library."""
+        capital = data - np.uint8(65) < 26
+        capital[:-1] &= data[1:] < 0x80
+        lower = data + 32 * capital.astype(np.uint8)
+        text = lower.tobytes()
+        for token in self.added:  # only texts that spell it as it is have the token
+            at = text.find(token)
+            while at >= 0:
+                lower[at : at + len(token)] = data[at : at + len(token)]
+                at = text.find(token, at + 1)
+        return lower
+
+    def _library(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks by the library; a word of letters goes straight to its merges."""
+        merge, spelling, lower, is_word = self.tokenizer.model.tokenize, self.spelling, self.drops_space, _LETTERS.fullmatch
+        # one list for the ids of all chunks: a list for each would keep the garbage collector busy
+        flat, ends, order, other = [], [], [], []
+        for chunk in chunks:
+            if chunk.isalpha():
+                word = chunk.decode("ascii").lower() if lower else chunk.decode("ascii")
+            elif is_word(chunk):
+                word = (chunk.decode().lower() if lower else chunk.decode()).translate(spelling)
             else:
-                other.append(key)
+                other.append(chunk)
+                continue
+            flat += [x.id for x in merge(word)]
+            ends.append(len(flat))
+            order.append(chunk)
         for begin in range(0, len(other), 256):
             part = other[begin : begin + 256]
-            asked = self.tokenizer.encode_batch_fast([self._chunk(key) for key in part], add_special_tokens=False)
-            found |= {key: array(UINT32, x.ids).tobytes() for key, x in zip(part, asked, strict=True)}
-        return found
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of unknown keys; closing punctuation after a letter is a token of its own in both files."""
-        cuts, parts = {}, set()
-        for key in missing:
-            stem = key.rstrip(_CLOSING)
-            if len(stem) < len(key) and stem[-1:] in _LETTER:
-                mark = key[len(stem) :] if self.drops_space else _VERBATIM + key[len(stem) :]
-                cuts[key] = stem, mark
-                parts |= {stem, mark}
-            else:
-                parts.add(key)
-        known, unknown = self.memo.split(parts)
-        fresh = self._ask(unknown)
-        known |= fresh
-        whole = {key: known[stem] + known[mark] for key, (stem, mark) in cuts.items()}
-        self.memo.add(fresh | whole)
-        return known | whole
+            for x in self.tokenizer.encode_batch_fast([chunk.decode() for chunk in part], add_special_tokens=False):
+                flat += x.ids
+                ends.append(len(flat))
+        data = np.array(flat, "<u4").tobytes()
+        ends = [4 * end for end in ends]
+        return {chunk: data[a:b] for chunk, a, b in zip(order + other, [0, *ends], ends, strict=False)}
+
+    def _learn(self, missing: list[bytes]) -> list[bytes]:
+        """Ids of unknown chunks, which the memo keeps."""
+        fresh = self._library(missing)
+        self.memo.add(fresh)
+        return list(map(fresh.__getitem__, missing))
+
+    def _ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        numbered = chunks.dictionary_encode()
+        different = numbered.dictionary.to_pylist()
+        ids = self.memo.recall(different)
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if missing:
+            for k, x in zip(missing, self._learn([different[k] for k in missing]), strict=True):
+                ids[k] = x
+        many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(many) - many
+        at = numbered.indices.to_numpy()
+        many = many[at]
+        ends = np.cumsum(many)
+        places = np.repeat(begins[at] - (ends - many), many)
+        places += np.arange(len(places))
+        return np.frombuffer(b"".join(ids), "<u4")[places], many
+
+    def encode_arrays(self, runs: Iterable[pa.Array]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of every text of some arrays, in order."""
+        for texts in runs:
+            chunks, of_texts = self.chunks(*_buffers(texts.cast(pa.large_string())))
+            found = [self._ids(chunks.slice(k, CHUNKS)) for k in range(0, len(chunks), CHUNKS)]
+            ids = b"".join(x.tobytes() for x, _ in found)
+            ends = np.cumsum(np.concatenate([[0], *(many for _, many in found)]), dtype=np.int64)[of_texts] * 4
+            for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield ids[begin:end]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text, in order."""
-        for some in slices(texts):
-            lists = [self.keys(text) for text in some]
-            wanted: set[str] = set()
-            for keys in lists:
-                wanted.update(keys)
-            known, missing = self.memo.split(wanted)
-            if missing:
-                known |= self._learn(missing)
-            get = known.__getitem__
-            for keys in lists:
-                yield b"".join(map(get, keys))
+        return self.encode_arrays(pa.array(some, pa.large_string()) for some in slices(texts))
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -110,7 +110,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: in
     tail = np.array([end], "<u4").tobytes()
     doc_ids: deque[int | None] = deque()
     rows: list[tuple] = []
-    for tokens in encoder(path, False).encode(texts_of(batches, doc_ids)):
+    for tokens in encoder(path, False).encode_arrays(texts_of(batches, doc_ids)):
         doc_id = doc_ids.popleft()
         tokens += tail
         total = len(tokens) // 4

@@ -121,7 +121,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
     ids_in_turn: deque[int | None] = deque()
-    for ids in encoder(path, True).encode(texts_of(batches, ids_in_turn)):
+    for ids in encoder(path, True).encode_arrays(texts_of(batches, ids_in_turn)):
         doc_ids.append(ids_in_turn.popleft())
         starts.append(size)
         held.append(ids + tail)

@@ -9,10 +9,11 @@ import random
 import re
 import textwrap
 import zlib
-from collections import Counter
+from collections import Counter, deque
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -225,6 +226,53 @@ def test_chunks_equal_library(path, texts):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+class _Asked:
+    """A tokenizer that notes the chunks it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.whole, self.chunks, self.model = tokenizer, [], self
+        self.words = tokenizer.model
+
+    def tokenize(self, word):
+        return self.words.tokenize(word)
+
+    def encode_batch_fast(self, chunks, **options):
+        self.chunks += chunks
+        return self.whole.encode_batch_fast(chunks, **options)
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_words_with_marks_are_asked_once(path):
+    words = ["".join(x) for x in zip("abcdefghij" * 5, "éfghijklmnopqrstuvwxyz" * 3, "nopqr" * 20)]
+    some = ["".join(f" {w}{m}\n{w.upper()}{m}{m}" for w in words) for m in ("$$$", "&&", "%", ".#", ",*", ".", "-", "'s")]
+    encoder, library = chunk_tokens.ChunkEncoder(path, path == WORD_BPE), Tokenizer.from_file(path)
+    encoder.tokenizer = asked = _Asked(encoder.tokenizer)
+    for text, ids in zip(some, encoder.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked.chunks) < 2 * len(words)  # marks and borders of lines, not every word with every mark
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_cuts_over_bytes_equal_library(path):
+    encoder, library = chunk_tokens.ChunkEncoder(path, path == WORD_BPE, generation=50), Tokenizer.from_file(path)
+    white = [*chunk_tokens.WHITE, "\x1c", "\x1f", "\u200b", "\ufeff", "\u180e"]
+    some = [f"a{x}b{x}{x}C {x}d\n{x}{x}e{x}" for x in white]
+    some += [f"{a}{b}{c}" for a in ("H", "é", "ÿ", "3", "|", "\n", "") for b in ("\u0331", "\u0338", "'", "=\u0338", "<|endoftext|>", "\n", "×") for c in ("s", "LL", "É.", "")]
+    some += ["<|EndOfText|>x<|endoftext|>Y<|STARTOFTEXT|>", "x" * 70_000 + " y", "\nA\n\nB\n \nC"]
+    for text, ids in zip(some, encoder.encode(some), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = [(k, None if k % 7 == 3 else text) for k, text in enumerate(some)]
+    for size in (1, 40, 10**6):  # texts of Arrow batches, in runs that batches do not bound
+        waiting = deque()
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.string())], ["doc_id", "text"])
+                   for ids, x in (zip(*rows[k : k + 11], strict=True) for k in range(0, len(rows), 11))]
+        runs = [*chunk_tokens.texts_of(iter([*batches, batches[0].slice(3, 4), batches[0].slice(0, 0)]), waiting, size)]
+        assert [x for run in runs for x in run.to_pylist()] == [x or "" for _, x in [*rows, *rows[3:7]]]
+        assert [*waiting] == [k for k, _ in [*rows, *rows[3:7]]]
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_arrays(runs)]
+        assert got == [library.encode(x or "", add_special_tokens=False).ids for _, x in [*rows, *rows[3:7]]]
+
+
 # 4 Lempel-Ziv fingerprints
 
 
