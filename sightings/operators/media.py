@@ -39,7 +39,14 @@ def _starts(sizes: DataFrame, hot: DataFrame, buckets: int) -> DataFrame:
     return placed.groupBy(*KEYS).agg(F.sum("_n").alias("total"), starts.alias("_starts"))
 
 
-def media_index(records: DataFrame, media: DataFrame, chunk_size: int, hot_rows: int = HOT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
+def _of_key(items: DataFrame, checklist: str, taxon: str, media_type: str) -> DataFrame:
+    """The items of one taxon and type, which keep that taxon alone."""
+    mine = items.where((F.col("mediatype") == media_type.lower()) & F.array_contains(F.try_element_at("taxonkeys", F.lit(checklist)), taxon))
+    return mine.withColumn("taxonkeys", F.create_map(F.lit(checklist), F.array(F.lit(taxon))))
+
+
+def media_index(records: DataFrame, media: DataFrame, chunk_size: int, hot_rows: int = HOT_ROWS, task_rows: int = TASK_ROWS,
+                only: tuple[str, str, str] | None = None) -> DataFrame:
     """Per checklist, taxon and media type: chunks of media items and the total.
 
     The order of items is that of the hash of record and media identifier, the same in every taxon.  The media of
@@ -47,12 +54,16 @@ def media_index(records: DataFrame, media: DataFrame, chunk_size: int, hot_rows:
     once by ranges of the hash, before they are repeated for their taxa, and a bucket's places start behind
     the counted rows of the buckets before it.  A chunk inside a bucket is collected where it lies; only the rows of
     chunks that a border cuts move again.  The other taxa are numbered whole.
+
+    ``only`` names the checklist, taxon and type that will be read.  A filter on the index does not get below the
+    join, the counting and the dealing out of items, which have all their taxa there; this one does, and the chunks
+    of that key are the same.
     """
     typed = media.filter("type IS NOT NULL").withColumn("mediatype", F.lower("type"))
     joined = records.select("recordid", "taxonkeys").join(typed, "recordid").select(
         "recordid", "taxonkeys", "mediatype", "identifier", "title", "license", "created", "creator")
     # staged, the join and the JSON behind it run once; an item stands there once, whatever its taxa
-    items = staged(joined, "media")
+    items = staged(_of_key(joined, *only) if only else joined, "media")
     digest = F.md5(F.concat_ws("|", "recordid", "identifier"))
     in_chunk = F.floor((F.col("place") - 1) / chunk_size).cast("int")
     hot, groups = hot_groups(_of_taxa(items.select("taxonkeys", "mediatype")), KEYS, hot_rows)

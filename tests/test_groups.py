@@ -108,6 +108,46 @@ def test_media_chunks_of_hot_taxa_do_not_depend_on_buckets(spark):
     assert rows(hot_rows=10, task_rows=3) == whole
 
 
+def test_media_index_of_one_key_joins_and_counts_that_key_only(spark, monkeypatch):
+    keys = F.array(F.lit("animals"), F.when(F.col("id") % 2 == 0, "even"), (F.col("id") % 7).cast("string"), F.lit("animals"))
+    taxa = F.when(F.col("id") % 50 != 0, F.create_map(F.lit("a"), keys, F.lit("b"), F.when(F.col("id") % 3 == 0, F.array(F.lit("animals")))))
+    rows = spark.range(400).union(spark.range(90, 120))  # some records stand twice
+    records = rows.select(F.col("id").cast("string").alias("recordid"), taxa.alias("taxonkeys"))
+    items = rows.select(F.col("id").cast("string").alias("recordid"), F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 4 == 0, "Sound").otherwise("StillImage")).alias("type"),
+                        F.when(F.col("id") != 77, F.concat(F.lit("u"), (F.col("id") % 90).cast("string"))).alias("identifier"),
+                        *[F.lit(None).cast("string").alias(c) for c in ("title", "license", "created", "creator")])
+    sizes = []
+
+    def noted(df, label, *rest):
+        out = staged(df, label, *rest)
+        sizes.extend([out.count()] if label == "media" else [])
+        return out
+
+    staged = media.staged
+    monkeypatch.setattr(media, "staged", noted)
+
+    def found(index):
+        return sorted((*r[:5], [(i.recordid, str(i.identifier)) for i in r["items"]]) for r in index.select(*media.KEYS, "chunk", "total", "items").collect())
+
+    for key in (("a", "animals", "StillImage"), ("a", "even", "SOUND"), ("b", "animals", "stillimage"), ("b", "even", "Sound"), ("c", "animals", "Sound")):
+        of_key = (F.col("checklistkey") == key[0]) & (F.col("taxonkey") == key[1]) & (F.col("mediatype") == key[2].lower())
+        wanted = found(media.media_index(records, items, 7).where(of_key))
+        for limits in ({}, {"hot_rows": 20, "task_rows": 10}):
+            assert found(media.media_index(records, items, 7, only=key, **limits)) == wanted
+            assert sizes.pop() == sum(len(r[-1]) for r in wanted)
+
+
+def test_media_page_brings_only_its_taxon_together(spark, monkeypatch):
+    from conftest import SF_DIR
+    from sightings.catalog import QUERIES
+
+    staged, seen = media.staged, []
+    monkeypatch.setattr(media, "staged", lambda df, label, *rest: seen.append((label, out := staged(df, label, *rest))) or out)
+    page = QUERIES["AGG34"](spark, SF_DIR)
+    assert {key for label, df in seen if label == "media" for r in df.collect() for keys in r.taxonkeys.values() for key in keys} <= {"PROMO"}
+    assert page.columns == ["position", "total", "recordid", "identifier"]
+
+
 def walk(parent, start, depth):
     seen, out, at = {start}, [], start
     while parent.get(at) is not None and parent[at] in parent and len(out) < depth:
