@@ -68,6 +68,21 @@ def test_id_sets_are_whole_and_bounded(skewed):
     assert whole["k1"].totalidentifiedby == whole["k1"].totalrecordedby
 
 
+def test_id_sets_are_one_row_per_person_whatever_their_size(spark):
+    """A person with a quarter of a million records, some of them named twice, and one with few."""
+    n = 250_000
+    rows = spark.range(n).select(
+        F.concat(F.lit("r"), F.col("id") % (n - 10)).alias("recordid"), F.when(F.col("id") < 3, "few").otherwise("many").alias("v_recordedbyid"),
+        F.when(F.col("id") % 2 == 0, "many").alias("v_identifiedbyid"))
+    found = {r.identifier: r for r in agents.identifiers(rows).withColumns({
+        "recorded": F.size("idsrecordedbyid"), "identified": F.size("idsidentifiedbyid"),
+        "distinct": F.size(F.array_distinct("idsrecordedbyid"))}).drop("idsrecordedbyid", "idsidentifiedbyid").collect()}
+    assert agents.identifiers(rows).count() == 2 and set(found) == {"few", "many"} and {r.part for r in found.values()} == {0}
+    assert (found["many"].totalrecordedbyid, found["many"].totalidentifiedbyid) == (n - 3, n // 2)
+    assert (found["many"].recorded, found["many"].distinct, found["many"].identified) == (n - 10, n - 10, n // 2 - 5)
+    assert (found["few"].totalrecordedbyid, found["few"].recorded, found["few"].identified) == (3, 3, 0)
+
+
 def test_related_records_are_limited_on_both_sides(spark):
     edges = spark.range(500).select(F.lit("hub").alias("id1"), F.format_string("x%04d", "id").alias("id2"), F.lit("A,B").alias("reasons"))
     rows = relations.related_records(edges).collect()
