@@ -58,3 +58,13 @@ def test_verbatim_layout_has_every_verbatim_column(spark, few, few_duck):
     found = _checked(spark, few, few_duck, "PRJ1")
     assert set(found.columns) == {"recordid", *[n for n in RECORD if n.startswith("v_")]} and len(found.columns) == 23
     assert set(found["v_identifiedby"].dropna()) == {"Supplier#1", "Supplier#2"} and set(found["v_enddayofyear"].dropna()) == {"90"}
+
+
+def test_simple_with_verbatim_layout_has_every_simple_and_verbatim_column(spark, few, few_duck):
+    from sightings.plans.terms import SIMPLE_TERMS, VERBATIM_TERMS
+
+    found = _checked(spark, few, few_duck, "PRJ9")
+    assert list(found.columns[:len(SIMPLE_TERMS) + 1]) == ["recordid", *SIMPLE_TERMS]
+    assert set(found.columns[len(SIMPLE_TERMS) + 1:]) == {f"v_{n}" for n in VERBATIM_TERMS} and len(found.columns) == 72
+    assert set(found["mediatype"]) == {"StillImage;Sound", "StillImage", "Sound", ""}
+    assert set(found["month"]) == {-1, 1, 2, 3, 4, 5, 6} and not found["phylum"].notna().any()
