@@ -68,3 +68,22 @@ def test_simple_with_verbatim_layout_has_every_simple_and_verbatim_column(spark,
     assert set(found.columns[len(SIMPLE_TERMS) + 1:]) == {f"v_{n}" for n in VERBATIM_TERMS} and len(found.columns) == 72
     assert set(found["mediatype"]) == {"StillImage;Sound", "StillImage", "Sound", ""}
     assert set(found["month"]) == {-1, 1, 2, 3, 4, 5, 6} and not found["phylum"].notna().any()
+
+
+def test_full_text_field_has_the_texts_of_all_columns(spark, few, few_duck):
+    found = _checked(spark, few, few_duck, "TXT2")
+    texts = [set(t.split("|")) for t in found["fulltext"]]
+    for text in ("CC_BY_4_0", "HUMAN_OBSERVATION", "Customer#1", "Supplier#2", "ADULT", "1-URGENT", "last summer", "moon datum", "NATION_0", "T1", "60"):
+        assert any(text in t for t in texts), text
+    assert all(i.rsplit("-", 3)[0] not in t and "14:30" not in t for i, t in zip(found["recordid"], texts))
+    assert not any(word.startswith(("ds-", "org-", "inst-", "[{")) for t in texts for word in t)
+
+
+def test_full_text_takes_concepts_and_leaves_keys_and_extensions(spark):
+    from sightings.operators.text_search import full_text
+
+    df = spark.createDataFrame(
+        [("r", ("Female", ["Sex", "Female"]), None, 0.25, "k1", "k2", "[{}]", ("Holotype",))],
+        "recordid string, sex struct<concept:string,lineage:array<string>>, lifestage struct<concept:string,lineage:array<string>>, depth double,"
+        " publishingorgkey string, v_somekey string, ext_multimedia string, other struct<name:string>")
+    assert sorted(df.select(full_text(df)).first()[0]) == ["0.25", "Female", "k2"]
